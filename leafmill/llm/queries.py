@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, sharding, token_counts
+from . import language_id, mixing, neighbours, secrets, sharding, token_counts
 from .common import read
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.fold("doc_id") == 0)
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
 
@@ -20,6 +26,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(mixing.mix_rows(read(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,5 +59,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_sharding, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
