@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, neighbours, secrets, sharding, token_counts
+from . import decontamination, jaccard_join, language_id, mixing, neighbours, secrets, sharding, token_counts
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.fold("doc_id") == 0)
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -63,5 +67,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
