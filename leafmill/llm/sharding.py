@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, small
+from .common import materialize, parts_for, small
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -27,44 +27,40 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 20, part_rows: int = 65_536) -> DataFrame:
     """Deals `rows` into `shards` shards, uniformly at random, with sizes at most one apart; adds shard and slot (from 0, gapless in each shard).
 
-    Parts are made by a hash of the whole row, so the result depends on the rows and the seed alone, not on files, splits or lost
-    executors. Each part's rows are permuted by a hash, cut as its line of the communication matrix says, exchanged to blocks of a
-    shard, and permuted again by another hash; a block starts at the number of rows in the blocks before it. Equal rows are
-    counted before they move and numbered after, so repeats of one row spread over all parts. Columns of map type are not
-    supported. Nulls are values like others; an empty table gives an empty one. Input columns named shard or slot are replaced.
-    The driver holds a count for each part and shard: rows / part_rows * shards numbers.
+    Rows are dealt by two hashes of all their columns, so the result depends on the rows and the seed alone, not on files, splits or lost
+    executors. Parts are made by a hash. Each part's rows are permuted, cut as its line of the communication matrix says, exchanged
+    to blocks of a shard, and permuted again; a block starts at the number of rows in the blocks before it. Equal rows are
+    counted before they move and numbered after, so repeats of one row spread over all parts. The plan moves hashes only; the rows
+    themselves move once, to their places. Columns of map type are not supported. Nulls are values like others; an empty
+    table gives an empty one. Input columns named shard or slot are replaced. The driver holds a count for each part and
+    shard: rows / part_rows * shards numbers.
     """
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
-    rows = rows.select(*cols)
-    # Two hashes of 64 bits tell rows apart.
-    ids = [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(seed), F.lit("row"), *cols).alias("_k2")]
-    copied = lambda df: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
-    n = rows.count()
+    keyed = rows.select(F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(seed), F.lit("row"), *cols).alias("_k2"), F.struct(*cols).alias("_row"))
+    keys = materialize(keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")), "rows")
+    n = keys.agg(F.sum("_n")).first()[0] or 0
+    copies = keys.select("_k1", "_k2", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
     parts = parts_for(n, part_rows)
-    part = F.pmod(F.xxhash64(F.lit(seed), F.lit("part"), "_k1", "_k2", "_copy"), F.lit(parts)).cast("int")
-    counted = copied(rows.select(*ids).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))).groupBy(part.alias("part")).count().collect()
+    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "_k1", "_k2", "_copy")
+    dealt = copies.withColumn("_part", F.pmod(draw("part"), F.lit(parts)).cast("int"))
     counts = [0] * parts
-    for r in counted:
-        counts[r["part"]] = r["count"]
+    for r in dealt.groupBy("_part").count().collect():
+        counts[r["_part"]] = r["count"]
     matrix = communication_matrix(counts, shards, seed)
     ends = rows.sparkSession.createDataFrame([(i, [int(x) for x in line]) for i, line in enumerate(matrix.cumsum(axis=1))], "_m_part int, _ends array<long>")
-    whole = copied(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))).select("*", *ids).withColumn("_part", part)
-    draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "_k1", "_k2", "_copy")
-    ties = ["_k1", "_k2", "_copy"]
-    first = Window.partitionBy("_part").orderBy(draw("first"), *ties)
+    first = Window.partitionBy("_part").orderBy(draw("first"), "_k1", "_k2", "_copy")
+    # Blocks of a shard by the top bits of the second draw: as many as keep a block near part_rows.
+    blocks = parts_for(n / shards, part_rows)
     sent = (
-        whole.withColumn("_place", F.row_number().over(first) - 1)
+        dealt.withColumn("_place", F.row_number().over(first) - 1)
         .join(small(ends, parts, 10_000), F.col("_part") == F.col("_m_part"))
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))).cast("int"))
+        .select("_k1", "_k2", "_copy", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))).cast("int").alias("shard"), draw("second").alias("_second"))
+        .withColumn("_block", F.floor(F.shiftrightunsigned("_second", 33) * blocks / F.lit(2**31)).cast("int"))
     )
-    # Blocks of a shard by the top bits of the second draw: as many as keep a block near part_rows.
-    blocks = parts_for(n / shards, part_rows)
-    second = draw("second")
-    block = F.floor(F.shiftrightunsigned(second, 33) * blocks / F.lit(2**31)).cast("int")
-    sent = sent.drop("_place", "_m_part", "_ends", "_part").withColumn("_block", block)
-    if blocks == 1:
-        return sent.withColumn("slot", (F.row_number().over(Window.partitionBy("shard").orderBy(second, *ties)) - 1).cast("long")).select(*cols, "shard", "slot")
-    starts = sent.groupBy("shard", "_block").count()
-    starts = starts.select(F.col("shard").alias("_s"), F.col("_block").alias("_b"), F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    slot = F.col("_start") + F.row_number().over(Window.partitionBy("shard", "_block").orderBy(second, *ties)) - 1
-    return sent.join(small(starts, blocks * shards, 10_000), (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).withColumn("slot", slot.cast("long")).select(*cols, "shard", "slot")
+    sent = materialize(sent, "sent")
+    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sent.groupBy("shard", "_block").count().select("shard", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    second = Window.partitionBy("shard", "_block").orderBy("_second", "_k1", "_k2", "_copy")
+    plan = sent.join(small(starts, blocks * shards, 10_000), ["shard", "_block"]).select("_k1", "_k2", "shard", (F.col("_start") + F.row_number().over(second) - 1).cast("long").alias("slot"))
+    # Equal rows travel as one and are repeated where they arrive.
+    return keyed.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row")).join(plan, ["_k1", "_k2"]).select("_row.*", "shard", "slot")
