@@ -388,3 +388,17 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: i
     known = sets.where("n > 0").join(by_class, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).select("doc_id", "n", "component_id")
     out = known.union(sets.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one document of each group that link_documents() finds: that of the smallest id.
+
+    Of rows with this id and one text, one stays. Rows whose group has no id all stay, as no id tells which to keep.
+    """
+    groups = materialize(link_documents(docs, **options), "groups")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    n, ids = kept.where("doc_id is not null").agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    out = docs.join(small(kept.select(F.col("doc_id").alias("kept_id")).distinct(), ids), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    if n == ids:
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))

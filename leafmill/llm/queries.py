@@ -9,6 +9,12 @@ from . import decontamination, jaccard_join, language_id, mixing, neighbours, se
 from .common import read
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -67,5 +73,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
