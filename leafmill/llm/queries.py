@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, mixing, neighbours, secrets, sharding, token_counts
+from . import decontamination, jaccard_join, language_id, language_model, mixing, neighbours, secrets, sharding, token_counts
 from .common import read
 
 
@@ -33,6 +33,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(read(spark, sf_dir, "documents")))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = language_id.fold("doc_id")
+    scored = language_model.score_texts(docs, training=fold != 1, held=fold == 0)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -73,5 +80,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
