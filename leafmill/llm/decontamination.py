@@ -49,7 +49,7 @@ def overlap(part: list[str], passage: list[str], width: int = 3) -> float:
 class Index:
     """Postings of test items by term, with weights that sum to 1 for each item: BM25 over the item's score against itself."""
 
-    def __init__(self, items: list[tuple[object, str]], block: int = 16):
+    def __init__(self, items: list[tuple[object, str]], block: int = 4):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         texts = [q + a for q, a in self.parts]
