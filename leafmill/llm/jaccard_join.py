@@ -113,16 +113,25 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(np.array([mixed(s ^ np.uint64(k)).sum() + np.uint64(len(s))]))[0].astype(np.int64)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many elements fall in each of 128 bins, 255 at most: the sum of two sketches' differences is at most the sets' symmetric difference."""
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & 127, minlength=128), 255).astype(np.uint8).tobytes()
+
+
+def bins_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 128).astype(np.int16)
+
+
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2 (hashes of the set) of every row of `docs` (doc_id, text as bytes)."""
+    """doc_id, n, s1, s2 (hashes of the set) and sketch of every row of `docs` (doc_id, text as bytes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            rows = [(len(s), *set_hashes(s)) for s in (text_set(x.as_py(), hashes, width) for x in b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]], names=["doc_id", "n", "s1", "s2"])
+            rows = [(len(s), *set_hashes(s), sketch_of(s)) for s in (text_set(x.as_py(), hashes, width) for x in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "n", "s1", "s2", "sketch"])
 
-    return docs.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long")
+    return docs.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, sketch binary")
 
 
 def packed_keys(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
@@ -225,7 +234,10 @@ class Labels:
 
 
 def candidate_links(runs: DataFrame, labels: Labels, salt: int) -> DataFrame:
-    """Pairs (a, b) to compare next: in each run, a set of each component but the most common with a set of that one. A task sends each set once at most."""
+    """Pairs (a, b) to compare next: in each run, a set of each component but the most common with a set of that one.
+
+    A task sends at most three pairs of each set: which are compared first matters for speed only.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,10 +259,14 @@ def candidate_links(runs: DataFrame, labels: Labels, salt: int) -> DataFrame:
                 a, c = np.concatenate(left), np.concatenate(right)
                 order = np.lexsort((c, a))
                 a, c = a[order], c[order]
-                keep = np.diff(a, prepend=a[0] - 1) != 0
+                keep = np.ones(len(a), bool)
+                keep[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+                a, c = a[keep], c[keep]
+                starts = np.flatnonzero(np.diff(a, prepend=a[0] - 1) != 0)
+                keep = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < 3
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
 
-    return runs.select("nodes").mapInArrow(pairs, "a long, b long").groupBy("a").agg(F.min("b").alias("b"))
+    return runs.select("nodes").mapInArrow(pairs, "a long, b long").distinct()
 
 
 class Join:
@@ -259,46 +275,65 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, width: int, ratio: float, deletion_below: int, bucket_keys: int):
         self.docs, self.percent, self.width = docs, percent, width
         self.sets = materialize(with_sets(docs, width), "sets")
-        classes = self.sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"))
+        classes = self.sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         self.bands = Bands(percent, ratio, deletion_below)
         self.runs = materialize(live_runs(packed_keys(docs, width, self.bands, parts_for(total, bucket_keys))), "runs")
 
-    def contents(self, nodes: DataFrame, sketch: bool = False) -> DataFrame:
-        """node, cid, n and the set (or a sketch of it) of each class with one of the nodes, from the first document that has it."""
-        wanted = self.classes.join(nodes.select(F.col("node").alias("s1")).distinct(), "s1").select("s1", "s2", "cid", F.col("first_doc").alias("want_id"))
-        n = wanted.count()
-        found = self.docs.join(small(wanted, n), F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "s1", "s2", "cid")
+    def contents(self, wanted: DataFrame, rows: int, extra: list[str]) -> DataFrame:
+        """The sets of classes (cid, s1, s2, first_doc): cid, set and the extra columns (long), from the first document of each."""
+        found = self.docs.join(small(wanted.withColumnRenamed("first_doc", "want_id"), rows), F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "s1", "s2", "cid", *extra)
         width = self.width
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, done = WordHashes(), set()
+            hashes, done, last = WordHashes(), set(), (None, None, None)
             for b in batches:
-                out = []
-                for text, s1, s2, cid in zip(*(b.column(j) for j in range(4)), strict=True):
-                    if cid.as_py() in done:
+                keep, sets = [], []
+                for i, (text, *key) in enumerate(zip(b.column(0), *(b.column(j).to_pylist() for j in range(1, b.num_columns)), strict=True)):
+                    if tuple(key) in done:  # a repeated row
                         continue
-                    s = text_set(text.as_py(), hashes, width)
-                    if set_hashes(s) == (s1.as_py(), s2.as_py()):
-                        done.add(cid.as_py())
-                        bins = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & 511, minlength=512), 255).astype(np.uint8) if sketch else None
-                        out.append((s1.as_py(), cid.as_py(), len(s), bins.tobytes() if sketch else s.view(np.int64)))
-                lists = pa.array([r[3] for r in out], pa.binary() if sketch else pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[j] for r in out], pa.int64()) for j in range(3)], lists], names=["node", "cid", "n", "content"])
+                    if last[0] != key[2] or last[1] != text:
+                        s = text_set(text.as_py(), hashes, width)
+                        last = (key[2], text, s if set_hashes(s) == (key[0], key[1]) else None)
+                    if last[2] is not None:
+                        done.add(tuple(key))
+                        keep.append(i)
+                        sets.append(last[2].view(np.int64))
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(3, b.num_columns)], pa.array(sets, pa.list_(pa.int64()))], names=["cid", *extra, "set"])
+
+        return found.mapInArrow(build, ", ".join(f"{c} long" for c in ("cid", *extra)) + ", set array<long>")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of classes with the nodes of `pairs` that sizes and sketches do not rule out, and how far apart their sketches are."""
+        side = lambda p: self.classes.select(F.col("s1").alias(f"{p}_s1"), F.col("s2").alias(f"{p}_s2"), F.col("cid").alias(f"{p}_cid"), F.col("n").alias(f"{p}_n"), F.col("first_doc").alias(f"{p}_doc"), F.col("sketch").alias(f"{p}_sketch"))
+        met = pairs.join(side("a"), F.col("a") == F.col("a_s1")).join(side("b"), F.col("b") == F.col("b_s1")).where("a_cid <> b_cid").drop("a", "b")
+        percent = self.percent
+
+        def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    apart = np.abs(bins_of(b.column("a_sketch")) - bins_of(b.column("b_sketch"))).sum(axis=1, dtype=np.int64)
+                    total = np.asarray(b.column("a_n")) + np.asarray(b.column("b_n"))
+                    keep = pa.array(apart <= total - 2 * -(-percent * total // (100 + percent)))
+                    out = b.drop_columns(["a_sketch", "b_sketch"]).append_column("apart", pa.array(apart)).filter(keep)
+                    yield out
 
-        kind = "binary" if sketch else "array<long>"
-        return found.mapInArrow(build, f"node long, cid long, n long, content {kind}").dropDuplicates(["cid"])
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        columns = [f"{p}_{c} {kind if c == 'doc' else 'long'}" for p in "ab" for c in ("s1", "s2", "cid", "n", "doc")]
+        return met.mapInArrow(rule_out, ", ".join(columns) + ", apart long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b: cid; a_node, b_node) among pairs of nodes, by their sets."""
+        """Links (a, b: cid) among pairs of classes from near(), by their sets."""
         pairs = materialize(pairs, "pairs")
-        held = materialize(self.contents(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "contents")
-        side = lambda p: held.select(F.col("node").alias(f"{p}_node"), F.col("cid").alias(f"{p}_cid"), F.col("n").alias(f"{p}_n"), F.col("content").alias(f"{p}_set"))
-        met = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-        met = met.where((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & (F.col("a_cid") != F.col("b_cid")))
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        return met.where(100 * common >= self.percent * (F.col("a_n") + F.col("b_n") - common)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+        n = pairs.count()
+        one = lambda p: [F.col(f"{p}_{c}").alias({"doc": "first_doc"}.get(c, c)) for c in ("s1", "s2", "cid", "doc")]
+        left = self.contents(pairs.select(*one("a"), F.col("b_cid").alias("other"), F.col("a_n").alias("n"), F.col("b_n").alias("other_n")), n, ["other", "n", "other_n"])
+        right = self.contents(pairs.select(*one("b")).distinct(), n, []).select(F.col("cid").alias("other"), F.col("set").alias("other_set"))
+        common = F.size(F.array_intersect("set", "other_set"))
+        linked = left.join(right, "other").where(100 * common >= self.percent * (F.col("n") + F.col("other_n") - common))
+        return linked.select(F.col("cid").alias("a"), F.col("other").alias("b"))
 
     def labels(self, components: DataFrame, bound: int = 4_000_000) -> Labels:
         """Labels by node as arrays that each task gets; beyond `bound` sets, only the first by node, so that more pairs are compared, none fewer."""
@@ -317,16 +352,12 @@ class Join:
 
 
 def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024) -> DataFrame:
-    """All pairs of nodes that share an open run, are in different components and whose sketches do not rule a link out.
-
-    A sketch counts a set's elements in 512 bins; the sum of differences is at most the symmetric difference, so no link is lost. Parts of a
-    long run meet block by block.
-    """
+    """All pairs of nodes that share an open run, are in different components and whose sketches do not rule a link out. Parts of a long run meet block by block."""
     percent = join.percent
     rows = runs.select("h1", "h2", "part", F.posexplode("nodes").alias("pos", "node")).withColumn("blk", F.concat_ws("-", F.col("part").cast("string"), F.expr(f"string(pos div {block})"))).select("h1", "h2", "blk", "node").distinct()
     blocks = rows.select("h1", "h2", "blk").distinct()
     two = blocks.alias("x").join(blocks.alias("y"), ["h1", "h2"]).where("x.blk <= y.blk").select("h1", "h2", F.col("x.blk").alias("b1"), F.col("y.blk").alias("b2"))
-    sketches = join.contents(rows.select("node"), sketch=True).select(F.col("node").alias("s_node"), "n", "content")
+    sketches = join.classes.select(F.col("s1").alias("s_node"), "n", F.col("sketch").alias("content"))
     filled = rows.join(sketches, F.col("node") == F.col("s_node"))
     sides = two.join(filled.withColumnRenamed("blk", "b1"), ["h1", "h2", "b1"]).select("h1", "h2", "b1", "b2", F.lit(0).alias("side"), "node", "n", "content")
     sides = sides.union(two.where("b1 != b2").join(filled.withColumnRenamed("blk", "b2"), ["h1", "h2", "b2"]).select("h1", "h2", "b1", "b2", F.lit(1), "node", "n", "content"))
@@ -334,8 +365,8 @@ def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024)
     def compare(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
         node, n = np.asarray(table.column("node")), np.asarray(table.column("n"))
-        bins = np.frombuffer(b"".join(x.as_py() for x in table.column("content")), np.uint8).reshape(-1, 512).astype(np.int16)
-        coarse = bins.reshape(-1, 64, 8).sum(axis=2, dtype=np.int16)  # rules most pairs out at an eighth of the cost
+        bins = bins_of(table.column("content"))
+        coarse = bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16)  # rules most pairs out at a quarter of the cost
         label = labels.of(node)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
@@ -354,7 +385,7 @@ def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024)
     return sides.groupBy("h1", "h2", "b1", "b2").applyInArrow(compare, "a long, b long").distinct()
 
 
-def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 3, ratio: float = 1.4, deletion_below: int = 0, bucket_keys: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2, ratio: float = 1.4, deletion_below: int = 0, bucket_keys: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents that links connect: id, n_shingles, component_id.
 
     Two rows link if 100 * intersection >= percent * union of their sets of `width`-word shingles. component_id is the smallest id
@@ -371,7 +402,10 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: i
     join = Join(docs, percent, width, ratio, deletion_below, bucket_keys)
     links, labels, runs, components = None, Labels(None), join.runs, None
     for salt in range(rounds):
-        found = join.verified(candidate_links(runs, labels, salt))
+        # Of the pairs that sketches leave, the nearest of each set is compared.
+        near = join.near(candidate_links(runs, labels, salt))
+        best = near.groupBy("a_cid").agg(F.min_by(F.struct(*near.columns), F.struct("apart", "b_cid")).alias("p")).select("p.*")
+        found = join.verified(best)
         links = materialize(links.union(found) if links is not None else found, "links")
         components = connected_components(links)
         labels = join.labels(components)
@@ -379,7 +413,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: i
         if not runs.limit(1).count():
             break
     if runs.limit(1).count():
-        links = links.union(join.verified(close_pairs(join, runs, labels)))
+        links = links.union(join.verified(join.near(close_pairs(join, runs, labels))))
         components = connected_components(links)
     grouped = join.classes.join(components.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
