@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, language_model, mixing, neighbours, secrets, sharding, token_counts
+from . import decontamination, jaccard_join, language_id, language_model, mixing, neighbours, secrets, sharding, substring_dedup, token_counts
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(substring_dedup.repeated_passages(read(spark, sf_dir, "documents")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.fold("doc_id") == 0)
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -80,5 +84,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op3_substring_dedup, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
