@@ -89,6 +89,15 @@ class Bands:
             out.append(b)
         return out
 
+    def least_shared(self, sorted_set: np.ndarray) -> int:
+        """Segments with elements in the band in which the set is the smaller of a pair: the pair shares so many keys less those that H elements can change. 0 if the band uses deletions."""
+        if not len(sorted_set):
+            return 0
+        band = self.of(len(sorted_set))[0]
+        if band.deletion:
+            return 0
+        return int(np.count_nonzero(np.diff(((sorted_set >> np.uint64(32)) * np.uint64(band.segments)) >> np.uint64(32)))) + 1
+
     def _index(self, size: int) -> int:
         lo, hi = 0, len(self.all) - 1
         while lo < hi:
@@ -122,16 +131,16 @@ def bins_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 128).astype(np.int16)
 
 
-def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, s1, s2 (hashes of the set) and sketch of every row of `docs` (doc_id, text as bytes)."""
+def with_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """doc_id, n, s1, s2 (hashes of the set), stand (segments with elements in the own band) and sketch of every row of `docs` (doc_id, text as bytes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            rows = [(len(s), *set_hashes(s), sketch_of(s)) for s in (text_set(x.as_py(), hashes, width) for x in b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], pa.array([r[3] for r in rows], pa.binary())], names=["doc_id", "n", "s1", "s2", "sketch"])
+            rows = [(len(s), *set_hashes(s), bands.least_shared(s), sketch_of(s)) for s in (text_set(x.as_py(), hashes, width) for x in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "n", "s1", "s2", "stand", "sketch"])
 
-    return docs.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, sketch binary")
+    return docs.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, stand long, sketch binary")
 
 
 def packed_keys(docs: DataFrame, width: int, bands: Bands, buckets: int) -> DataFrame:
@@ -172,7 +181,7 @@ def packed_keys(docs: DataFrame, width: int, bands: Bands, buckets: int) -> Data
 
 
 def live_runs(packed: DataFrame, most: int = 4096) -> DataFrame:
-    """Sets that share a key: h1, h2 (hashes of all sets of the key), part, nodes (sorted; of a later part, the key's first set before them).
+    """Sets that share a key: h1, h2 (hashes of all sets of the key), part, keys (how many keys these sets share so), nodes (sorted; of a later part, the key's first set before them).
 
     Each distinct run stands once. Runs of over `most` sets are cut into parts.
     """
@@ -198,24 +207,24 @@ def live_runs(packed: DataFrame, most: int = 4096) -> DataFrame:
         if len(starts):
             u = node.view(np.uint64)
             h = [np.add.reduceat(mixed(u ^ np.uint64(k)), starts).view(np.int64) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-            _, distinct = np.unique(h[0], return_index=True)
+            _, distinct, times = np.unique(h[0], return_index=True, return_counts=True)
         else:
-            h, distinct = [np.zeros(0, np.int64)] * 2, []
+            h, distinct, times = [np.zeros(0, np.int64)] * 2, [], []
         out = []
-        for i in distinct:
+        for i, n in zip(distinct, times, strict=True):
             s, e = starts[i], ends[i]
             if e - s < 2:
                 continue
-            out.append((h[0][i], h[1][i], 0, node[s : min(e, s + most)]))
+            out.append((h[0][i], h[1][i], 0, node[s : min(e, s + most)], n))
             for part, at in enumerate(range(s + most, e, most), 1):
-                out.append((h[0][i], h[1][i], part, np.append(node[s], node[at : min(e, at + most)])))
+                out.append((h[0][i], h[1][i], part, np.append(node[s], node[at : min(e, at + most)]), n))
         values = np.concatenate([r[3] for r in out]) if out else np.zeros(0, np.int64)
         offsets = np.cumsum([0, *(len(r[3]) for r in out)])
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-        return pa.table({"h1": pa.array([r[0] for r in out], pa.int64()), "h2": pa.array([r[1] for r in out], pa.int64()), "part": pa.array([r[2] for r in out], pa.int32()), "nodes": lists})
+        return pa.table({"h1": pa.array([r[0] for r in out], pa.int64()), "h2": pa.array([r[1] for r in out], pa.int64()), "part": pa.array([r[2] for r in out], pa.int32()), "keys": pa.array([r[4] for r in out], pa.int64()), "nodes": lists})
 
-    found = packed.groupBy("bucket").applyInArrow(runs, "h1 long, h2 long, part int, nodes array<long>")
-    return found.dropDuplicates(["h1", "h2", "part"])
+    found = packed.groupBy("bucket").applyInArrow(runs, "h1 long, h2 long, part int, keys long, nodes array<long>")
+    return found.groupBy("h1", "h2", "part").agg(F.sum("keys").alias("keys"), F.first("nodes").alias("nodes"))
 
 
 class Labels:
@@ -274,36 +283,30 @@ class Join:
 
     def __init__(self, docs: DataFrame, percent: int, width: int, ratio: float, deletion_below: int, bucket_keys: int):
         self.docs, self.percent, self.width = docs, percent, width
-        self.sets = materialize(with_sets(docs, width), "sets")
-        classes = self.sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
+        self.bands = Bands(percent, ratio, deletion_below)
+        self.sets = materialize(with_sets(docs, width, self.bands), "sets")
+        classes = self.sets.where("n > 0").groupBy("s1", "s2", "n", "stand").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         total = self.sets.agg(F.sum("n")).first()[0] or 0
-        self.bands = Bands(percent, ratio, deletion_below)
         self.runs = materialize(live_runs(packed_keys(docs, width, self.bands, parts_for(total, bucket_keys))), "runs")
 
-    def contents(self, wanted: DataFrame, rows: int, extra: list[str]) -> DataFrame:
-        """The sets of classes (cid, s1, s2, first_doc): cid, set and the extra columns (long), from the first document of each."""
-        found = self.docs.join(small(wanted.withColumnRenamed("first_doc", "want_id"), rows), F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "s1", "s2", "cid", *extra)
+    def contents(self, wanted: DataFrame, rows: int) -> DataFrame:
+        """The sets of classes (cid, s1, s2, first_doc): cid, set, from the first document of each."""
+        found = self.docs.join(small(wanted.withColumnRenamed("first_doc", "want_id"), rows), F.col("doc_id").eqNullSafe(F.col("want_id"))).select("text", "s1", "s2", "cid")
         width = self.width
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, done, last = WordHashes(), set(), (None, None, None)
+            hashes, done = WordHashes(), set()
             for b in batches:
-                keep, sets = [], []
-                for i, (text, *key) in enumerate(zip(b.column(0), *(b.column(j).to_pylist() for j in range(1, b.num_columns)), strict=True)):
-                    if tuple(key) in done:  # a repeated row
-                        continue
-                    if last[0] != key[2] or last[1] != text:
-                        s = text_set(text.as_py(), hashes, width)
-                        last = (key[2], text, s if set_hashes(s) == (key[0], key[1]) else None)
-                    if last[2] is not None:
-                        done.add(tuple(key))
-                        keep.append(i)
-                        sets.append(last[2].view(np.int64))
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(3, b.num_columns)], pa.array(sets, pa.list_(pa.int64()))], names=["cid", *extra, "set"])
-
-        return found.mapInArrow(build, ", ".join(f"{c} long" for c in ("cid", *extra)) + ", set array<long>")
+                cids, sets = [], []
+                for text, s1, s2, cid in zip(b.column(0), *(b.column(j).to_pylist() for j in (1, 2, 3)), strict=True):
+                    if cid not in done and set_hashes(s := text_set(text.as_py(), hashes, width)) == (s1, s2):
+                        done.add(cid)  # rows may repeat
+                        cids.append(cid)
+                        sets.append(s.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
+
+        return found.mapInArrow(build, "cid long, set array<long>")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes with the nodes of `pairs` that sizes and sketches do not rule out, and how far apart their sketches are."""
@@ -329,11 +332,12 @@ class Join:
         pairs = materialize(pairs, "pairs")
         n = pairs.count()
         one = lambda p: [F.col(f"{p}_{c}").alias({"doc": "first_doc"}.get(c, c)) for c in ("s1", "s2", "cid", "doc")]
-        left = self.contents(pairs.select(*one("a"), F.col("b_cid").alias("other"), F.col("a_n").alias("n"), F.col("b_n").alias("other_n")), n, ["other", "n", "other_n"])
-        right = self.contents(pairs.select(*one("b")).distinct(), n, []).select(F.col("cid").alias("other"), F.col("set").alias("other_set"))
+        left = self.contents(pairs.select(*one("a")).distinct(), n).select(F.col("cid").alias("a_cid"), "set")
+        right = self.contents(pairs.select(*one("b")).distinct(), n).select(F.col("cid").alias("b_cid"), F.col("set").alias("other_set"))
+        met = pairs.select("a_cid", "b_cid", F.col("a_n").alias("n"), F.col("b_n").alias("other_n")).join(left, "a_cid").join(right, "b_cid")
         common = F.size(F.array_intersect("set", "other_set"))
-        linked = left.join(right, "other").where(100 * common >= self.percent * (F.col("n") + F.col("other_n") - common))
-        return linked.select(F.col("cid").alias("a"), F.col("other").alias("b"))
+        linked = met.where(100 * common >= self.percent * (F.col("n") + F.col("other_n") - common))
+        return linked.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
     def labels(self, components: DataFrame, bound: int = 4_000_000) -> Labels:
         """Labels by node as arrays that each task gets; beyond `bound` sets, only the first by node, so that more pairs are compared, none fewer."""
@@ -352,37 +356,53 @@ class Join:
 
 
 def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024) -> DataFrame:
-    """All pairs of nodes that share an open run, are in different components and whose sketches do not rule a link out. Parts of a long run meet block by block."""
+    """All pairs of nodes that share open runs, are in different components and may link by their sketches and by how many keys they share.
+
+    The parts of a long run meet block by block. A linked pair shares all keys of the smaller set's segments but those that their symmetric
+    difference can change (less a few for keys that meet by chance).
+    """
     percent = join.percent
-    rows = runs.select("h1", "h2", "part", F.posexplode("nodes").alias("pos", "node")).withColumn("blk", F.concat_ws("-", F.col("part").cast("string"), F.expr(f"string(pos div {block})"))).select("h1", "h2", "blk", "node").distinct()
+    rows = runs.select("h1", "h2", "part", "keys", F.posexplode("nodes").alias("pos", "node")).withColumn("blk", F.concat_ws("-", F.col("part").cast("string"), F.expr(f"string(pos div {block})"))).select("h1", "h2", "keys", "blk", "node").distinct()
     blocks = rows.select("h1", "h2", "blk").distinct()
     two = blocks.alias("x").join(blocks.alias("y"), ["h1", "h2"]).where("x.blk <= y.blk").select("h1", "h2", F.col("x.blk").alias("b1"), F.col("y.blk").alias("b2"))
-    sketches = join.classes.select(F.col("s1").alias("s_node"), "n", F.col("sketch").alias("content"))
-    filled = rows.join(sketches, F.col("node") == F.col("s_node"))
-    sides = two.join(filled.withColumnRenamed("blk", "b1"), ["h1", "h2", "b1"]).select("h1", "h2", "b1", "b2", F.lit(0).alias("side"), "node", "n", "content")
-    sides = sides.union(two.where("b1 != b2").join(filled.withColumnRenamed("blk", "b2"), ["h1", "h2", "b2"]).select("h1", "h2", "b1", "b2", F.lit(1), "node", "n", "content"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
-        node, n = np.asarray(table.column("node")), np.asarray(table.column("n"))
-        bins = bins_of(table.column("content"))
-        coarse = bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16)  # rules most pairs out at a quarter of the cost
-        label = labels.of(node)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        right = right if len(right) else left
-        out_a, out_b = [], []
-        for i in left:
-            total = n[right] + n[i]
-            bound = total - 2 * -(-percent * total // (100 + percent))
-            near = np.flatnonzero((label[right] != label[i]) & (np.abs(n[right] - n[i]) <= bound))
-            near = near[np.abs(coarse[right[near]] - coarse[i]).sum(axis=1, dtype=np.int32) <= bound[near]]
-            near = right[near[np.abs(bins[right[near]] - bins[i]).sum(axis=1, dtype=np.int32) <= bound[near]]]
-            out_a.append(np.minimum(node[i], node[near]))
-            out_b.append(np.maximum(node[i], node[near]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return sides.groupBy("h1", "h2", "b1", "b2").applyInArrow(compare, "a long, b long").distinct()
+    facts = join.classes.groupBy("s1").agg(F.max("n").alias("n"), F.min("stand").alias("stand"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("same"))
+    # Sets whose hashes are equal by chance are told apart only when they are compared.
+    facts = facts.select(F.col("s1").alias("s_node"), F.struct("n", F.when(F.col("same") > 1, 0).otherwise(F.col("stand")).alias("stand"), F.when(F.col("same") == 1, F.col("sketch")).alias("sketch")).alias("f"))
+    filled = rows.join(facts, F.col("node") == F.col("s_node")).select("h1", "h2", "keys", "blk", "node", "f")
+    left = two.join(filled.withColumnRenamed("blk", "b1"), ["h1", "h2", "b1"]).select("h1", "h2", "b1", "b2", "keys", F.lit(0).alias("side"), "node", "f")
+    right = two.where("b1 != b2").join(filled.withColumnRenamed("blk", "b2"), ["h1", "h2", "b2"]).select("h1", "h2", "b1", "b2", "keys", F.lit(1), "node", "f")
+    met = left.union(right).groupBy("h1", "h2", "b1", "b2").agg(F.first("keys").alias("keys"), F.collect_list(F.struct("side", "node", "f")).alias("sets"))  # two blocks at most
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            for keys, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v, f = x.values, x.values.field("f")
+                side, node, n, stand = np.asarray(v.field("side")), np.asarray(v.field("node")), np.asarray(f.field("n")), np.asarray(f.field("stand"))
+                sketches = f.field("sketch")
+                unsure = np.asarray(sketches.is_null())
+                bins = bins_of(sketches.fill_null(b"\0" * 128))
+                coarse = bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16)  # rules most pairs out at a quarter of the cost
+                label = labels.of(node)
+                left = np.flatnonzero(side == 0)
+                right = np.flatnonzero(side == 1) if (side == 1).any() else left
+                for i in left:
+                    total = n[right] + n[i]
+                    bound = total - 2 * -(-percent * total // (100 + percent))
+                    near = np.flatnonzero((label[right] != label[i]) & (np.abs(n[right] - n[i]) <= bound))
+                    free = unsure[right[near]] | unsure[i]
+                    near = near[free | (np.abs(coarse[right[near]] - coarse[i]).sum(axis=1, dtype=np.int32) <= bound[near])]
+                    free = unsure[right[near]] | unsure[i]
+                    near = near[free | (np.abs(bins[right[near]] - bins[i]).sum(axis=1, dtype=np.int32) <= bound[near])]
+                    at = right[near]
+                    least = np.where(n[at] < n[i], stand[at], np.where(n[at] > n[i], stand[i], np.minimum(stand[i], stand[at]))) - bound[near]
+                    for column, values in zip(out, (np.minimum(node[i], node[at]), np.maximum(node[i], node[at]), np.full(len(at), keys), least), strict=True):
+                        column.append(values)
+            columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "keys", "least"])
+
+    found = met.select("keys", "sets").mapInArrow(compare, "a long, b long, keys long, least long").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.max("least").alias("least"))
+    return found.where(F.col("keys") >= F.col("least") - 2 - F.col("least") / 50).select("a", "b")
 
 
 def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2, ratio: float = 1.4, deletion_below: int = 0, bucket_keys: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
