@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plan import Plan, oracle, view
 
-MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster")
+MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.text")
 
 
 def plans() -> dict[str, Plan]:
