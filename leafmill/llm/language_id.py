@@ -167,7 +167,7 @@ class LanguageModel:
         return self.models.languages[best], score, float(h[best]) - self.mean[best] <= self.limit[best] * spread(n), float(h[best])
 
 
-def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float = 1.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
+def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float = 2.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Fits a model of each language on about `sample_docs` documents of it at most, chosen by a hash of their ids.
 
     Whole texts are used. Rows with a null text or language are left out. Nine in ten of the sample make the counts; on the
@@ -211,7 +211,7 @@ def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float
     for lang in models.languages:
         own = [(r["h"], r["n"]) for r in rows if r["lang"] == lang]
         mean.append(sum(h * n for h, n in own) / sum(n for _, n in own) if own else 2.0)
-        limit.append(max(0.3, slack * max((h - mean[-1]) / spread(n) for h, n in own)) if own else 1.0)
+        limit.append(max(0.8, slack * max((h - mean[-1]) / spread(n) for h, n in own)) if own else 1.0)
     return LanguageModel(models, mean, limit)
 
 
