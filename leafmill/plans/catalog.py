@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plan import Plan, oracle, view
 
-MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.text")
+MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.text", "sources.archive", "streaming.live")
 
 
 def plans() -> dict[str, Plan]:
@@ -24,7 +24,8 @@ def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(p) for name, p in plans().items()}
+    live = import_module("leafmill.streaming.live")
+    return {name: _query(p) for name, p in plans().items()} | live.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
