@@ -45,7 +45,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, kept for at most `most` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -73,6 +73,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_RNG = np.random.default_rng(0x5EED)
+_BYTES = _RNG.integers(0, 2**64, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE = np.uint64(int(_RNG.integers(0, 2**62)) * 4 + 3)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed in pieces of about so many bytes, cut at white space.
+_PIECE = 1 << 20
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 text with A-Z in lower case, in order.
+
+    A word's hash is a polynomial of random numbers for its bytes, from running sums over the text.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    if len(text) > _PIECE:
+        parts, at = [], 0
+        while at < len(text):
+            end = at + _PIECE
+            while end < len(text) and not _SPACE[text[end]]:
+                end += 1
+            parts.append(_hashed(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+    return _hashed(text)
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text.lower(), np.uint8)
+    if len(b) > len(_powers[0]):
+        size = 1 << len(b).bit_length()
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.concatenate(([np.uint64(1)], np.full(size - 1, base))).cumprod(dtype=np.uint64)
+    edges = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * _powers[0][: len(b)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of the runs of `width` words, in their order; of the whole sequence if it is shorter; none without words."""
     n = len(words)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mixed, parts_for, shingle_hashes, small, words_of
+from .common import distinct, materialize, mixed, parts_for, shingle_hashes, small, word_hashes
 from .components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -50,12 +50,11 @@ class Band:
                 m += max(1, m // 16)
             self.segments = m
 
-    def keys(self, sorted_set: np.ndarray) -> np.ndarray:
-        """Keys of a set (sorted hashes): linked sets of this band share one."""
+    def keys(self, sorted_set: np.ndarray, element: np.ndarray) -> np.ndarray:
+        """Keys of a set (sorted hashes, and numbers for its elements to add up): linked sets of this band share one."""
         segment = ((sorted_set >> np.uint64(32)) * np.uint64(self.segments)) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(2**63)))
         base = mixed(segment[starts] + (np.uint64(self.number) << np.uint64(40)))
-        element = mixed(sorted_set ^ GOLDEN)
         sums = np.add.reduceat(element, starts)
         out = [mixed(base + sums)]
         if self.deletion:
@@ -109,17 +108,18 @@ class Bands:
         return lo
 
 
-def text_set(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
+def text_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
-    words = words_of(text)
-    return np.unique(shingle_hashes(hashes.of(words), width)) if words else np.zeros(0, np.uint64)
+    return distinct(shingle_hashes(word_hashes(text), width))
 
 
 def set_hashes(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set, independent of order."""
     if not len(s):
         return 0, 0
-    return tuple(int(mixed(np.array([mixed(s ^ np.uint64(k)).sum() + np.uint64(len(s))]))[0].astype(np.int64)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    m = mixed(s)
+    n = np.uint64(len(s))
+    return tuple(mixed(np.array([m.sum() + n, np.bitwise_xor.reduce(m * GOLDEN) ^ n])).view(np.int64).tolist())
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -135,9 +135,8 @@ def with_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     """doc_id, n, s1, s2 (hashes of the set), stand (segments with elements in the own band) and sketch of every row of `docs` (doc_id, text as bytes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            rows = [(len(s), *set_hashes(s), bands.least_shared(s), sketch_of(s)) for s in (text_set(x.as_py(), hashes, width) for x in b.column(1))]
+            rows = [(len(s), *set_hashes(s), bands.least_shared(s), sketch_of(s)) for s in (text_set(x.as_py(), width) for x in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], pa.array([r[4] for r in rows], pa.binary())], names=["doc_id", "n", "s1", "s2", "stand", "sketch"])
 
     return docs.mapInArrow(sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, s1 long, s2 long, stand long, sketch binary")
@@ -150,32 +149,38 @@ def packed_keys(docs: DataFrame, width: int, bands: Bands, buckets: int) -> Data
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             seen: set[int] = set()
-            nodes, keys = [], []
+            nodes, keys, size = [], [], 0
             for x in b.column(0):
-                s = text_set(x.as_py(), hashes, width)
+                s = text_set(x.as_py(), width)
                 if len(s) and (node := set_hashes(s)[0]) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    keys.append(np.unique(np.concatenate([band.keys(s) for band in bands.of(len(s))])))
-            if not nodes:
-                continue
-            key = np.concatenate(keys)
-            owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(k) for k in keys])
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            node = np.array(nodes, np.int64)
-            low = key.astype(np.uint32)
-            out = []
-            for i in range(buckets):
-                rows = order[ends[i] : ends[i + 1]]
-                if len(rows):
-                    own, counts = np.unique(owner[rows], return_counts=True)
-                    out.append((i, node[own].tobytes(), counts.astype(np.uint32).tobytes(), low[rows].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[j] for r in out], pa.binary()) for j in (1, 2, 3)]], names=["bucket", "nodes", "counts", "keys"])
+                    element = mixed(s ^ GOLDEN)
+                    keys.append(np.concatenate([band.keys(s, element) for band in bands.of(len(s))]))
+                    size += len(keys[-1])
+                if size > 1_000_000:
+                    yield rows_of(nodes, keys)
+                    nodes, keys, size = [], [], 0
+            if nodes:
+                yield rows_of(nodes, keys)
+
+    def rows_of(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate(keys)
+        owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(k) for k in keys])
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        node = np.array(nodes, np.int64)
+        low = key.astype(np.uint32)
+        out = []
+        for i in range(buckets):
+            rows = order[ends[i] : ends[i + 1]]
+            if len(rows):
+                own, counts = np.unique(owner[rows], return_counts=True)
+                out.append((i, node[own].tobytes(), counts.astype(np.uint32).tobytes(), low[rows].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *[pa.array([r[j] for r in out], pa.binary()) for j in (1, 2, 3)]], names=["bucket", "nodes", "counts", "keys"])
 
     return docs.select("text").mapInArrow(pack, "bucket int, nodes binary, counts binary, keys binary")
 
@@ -296,15 +301,21 @@ class Join:
         width = self.width
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, done = WordHashes(), set()
+            done = set()
             for b in batches:
                 cids, sets = [], []
                 for text, s1, s2, cid in zip(b.column(0), *(b.column(j).to_pylist() for j in (1, 2, 3)), strict=True):
-                    if cid not in done and set_hashes(s := text_set(text.as_py(), hashes, width)) == (s1, s2):
+                    if cid not in done and set_hashes(s := text_set(text.as_py(), width)) == (s1, s2):
                         done.add(cid)  # rows may repeat
                         cids.append(cid)
                         sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
+                        if len(sets) >= 500:
+                            yield batch(cids, sets)
+                            cids, sets = [], []
+                yield batch(cids, sets)
+
+        def batch(cids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "set"])
 
         return found.mapInArrow(build, "cid long, set array<long>")
 
