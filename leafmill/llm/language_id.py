@@ -59,7 +59,7 @@ class Table:
         hashes = np.array([hash_of(g) for g in grams], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.values = np.array([rows[g] for g in grams], np.float32).reshape(-1, languages)[order]
+        self.values = np.array([rows[g] for g in grams], np.float32).reshape(len(grams), languages)[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is there, and its row."""
