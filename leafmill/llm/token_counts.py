@@ -10,24 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 TOKENIZERS = "/opt/tokenizers"
 
 
 class Encoder:
     """Token lengths under a byte-pair vocabulary in the rank format (a line for each token: base 64, rank)."""
 
-    #: Lengths of pieces kept at a time.
-    KEPT = 400_000
-
     def __init__(self, vocabulary: str, pattern: str):
-        import regex
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(pattern)
-        self.known: dict[str, int] = {}
 
     def length(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text)) if text else 0
@@ -65,7 +61,7 @@ def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
 
     Sums run within blocks of lengths on top of the sums of later blocks, so no task holds all lengths.
     """
-    h = histogram.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("blk", F.expr(f"length div {block}"))
+    h = materialize(histogram, "lengths").withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("blk", F.expr(f"length div {block}"))
     blocks = h.groupBy("blk").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.col("blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("blk").alias("b"), *[F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"{c}_after") for c in "dt"], F.sum("d").over(Window.partitionBy()).alias("d_all"), F.sum("t").over(Window.partitionBy()).alias("t_all"))
