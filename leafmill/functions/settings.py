@@ -36,6 +36,10 @@ CROP_DUCKDB = _numbers("p[{i}]", "len", "string_split(left_crop_box, ',')") + ",
 #: Setting codes known to the library: key, code, name.
 CODES = "codes AS (SELECT * FROM (VALUES ('iso', 1, 'ISO 100'), ('iso', 2, 'ISO 200'), ('iso', 3, 'ISO 400'), ('av', 1, 'f/4'), ('av', 2, 'f/5.6'), ('av', 4, 'f/8'), ('tv', 1, '1/60'), ('tv', 3, '1/125'), ('tv', 5, '1/250')) AS t(setting, code, name))"
 
+#: Stored curves and calibrations as text, some of them malformed.
+CURVE_TEXT = "t AS (SELECT job_id, concat('top:0,', CAST(page_number AS STRING), ',500,12', CASE WHEN batch_id % 5 = 0 THEN ',7' WHEN batch_id % 7 = 0 THEN ',x,1' ELSE '' END, CASE WHEN batch_id % 11 = 0 THEN '' ELSE concat(';bottom:0,', CAST(batch_id % 900 AS STRING), ',500,880') END) AS txt FROM capture_job)"
+CALIBRATION_TEXT = "t AS (SELECT calibration_id, concat('3000,3010,', CAST(calibration_id AS STRING), ',900', CASE WHEN calibration_id % 4 = 0 THEN ',1' ELSE '' END, ';0.1,-0.2', CASE WHEN calibration_id % 3 = 0 THEN '' ELSE ';4000,3000' END) AS txt FROM calibration)"
+
 _BASE = "regexp_replace(regexp_replace(original_path, '^.*/', ''), '[.][^.]*$', '')"
 _DIR = "regexp_replace(original_path, '[^/]*$', '')"
 
@@ -72,4 +76,10 @@ PLANS = {
     "b12_decode_setting": Plan(("lineitem",), "Name of a setting's code; unknown ones in hexadecimal.",
         f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', hex(q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code",
         f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', printf('%X', q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code"),
+    "b05_parse_curve": Plan(("capture_job",), "Curves stored as 'top:...;bottom:...': both needed; an odd count or one bad number makes the whole value null.",
+        f"WITH {CURVE_TEXT}, p AS (SELECT job_id, txt, split(regexp_extract(txt, 'top:([^;]*)', 1), ',') AS a, split(regexp_extract(txt, 'bottom:([^;]*)', 1), ',') AS b FROM t), g AS (SELECT job_id, size(a) % 2 = 0 AND size(b) % 2 = 0 AND NOT exists(a, v -> try_cast(v AS DOUBLE) IS NULL) AND NOT exists(b, v -> try_cast(v AS DOUBLE) IS NULL) AS good, a, b FROM p) SELECT job_id, CASE WHEN good THEN size(a) div 2 END AS top_points, CASE WHEN good THEN size(b) div 2 END AS bottom_points, CASE WHEN good THEN try_cast(a[0] AS DOUBLE) END AS x0, CASE WHEN good THEN try_cast(b[1] AS DOUBLE) END AS y0 FROM g",
+        f"WITH {CURVE_TEXT}, p AS (SELECT job_id, txt, string_split(regexp_extract(txt, 'top:([^;]*)', 1), ',') AS a, string_split(regexp_extract(txt, 'bottom:([^;]*)', 1), ',') AS b FROM t), g AS (SELECT job_id, len(a) % 2 = 0 AND len(b) % 2 = 0 AND len(list_filter(a, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AND len(list_filter(b, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AS good, a, b FROM p) SELECT job_id, CASE WHEN good THEN len(a) // 2 END AS top_points, CASE WHEN good THEN len(b) // 2 END AS bottom_points, CASE WHEN good THEN try_cast(a[1] AS DOUBLE) END AS x0, CASE WHEN good THEN try_cast(b[2] AS DOUBLE) END AS y0 FROM g"),
+    "b06_parse_calibration": Plan(("calibration",), "Calibrations stored as three parts: four intrinsics, distortions, two sizes; else null.",
+        f"WITH {CALIBRATION_TEXT}, p AS (SELECT calibration_id, split(txt, ';') AS s FROM t), q AS (SELECT calibration_id, size(s) AS parts, split(try_element_at(s, 1), ',') AS i, split(try_element_at(s, 3), ',') AS z FROM p) SELECT calibration_id, CASE WHEN parts = 3 AND size(i) = 4 AND size(z) = 2 THEN try_cast(i[0] AS DOUBLE) END AS fx, CASE WHEN parts = 3 AND size(i) = 4 AND size(z) = 2 THEN try_cast(z[0] AS INT) END AS w FROM q",
+        f"WITH {CALIBRATION_TEXT}, p AS (SELECT calibration_id, string_split(txt, ';') AS s FROM t), q AS (SELECT calibration_id, len(s) AS parts, string_split(s[1], ',') AS i, string_split(s[3], ',') AS z FROM p) SELECT calibration_id, CASE WHEN parts = 3 AND len(i) = 4 AND len(z) = 2 THEN try_cast(i[1] AS DOUBLE) END AS fx, CASE WHEN parts = 3 AND len(i) = 4 AND len(z) = 2 THEN try_cast(z[1] AS INT) END AS w FROM q"),
 }

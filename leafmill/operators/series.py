@@ -86,4 +86,11 @@ PLANS = {
         f"WITH {SCORED}, i AS (SELECT DISTINCT image_id FROM contour) SELECT i.image_id, CASE WHEN conf IS NULL OR conf < 0.3 THEN 'whole' ELSE 'crop' END AS action, CASE WHEN conf IS NULL OR conf < 0.5 THEN 'WARNING' ELSE 'PASS' END AS verdict FROM i LEFT JOIN best b ON i.image_id = b.image_id"),
     "e31_quad_from_traces": both(("edge",), "Side of each half of an edge: its mean row, and the edge's row there.", "SELECT image_id, round(avg(CASE WHEN pos < 32 THEN row_val END), 6) AS left_mean, round(avg(CASE WHEN pos >= 32 THEN row_val END), 6) AS right_mean, max(CASE WHEN pos = 0 THEN row_val END) AS left_row, max(CASE WHEN pos = 63 THEN row_val END) AS right_row FROM edge GROUP BY image_id"),
     "e34_calibration_audit": both(("calibration",), "A rig's calibrations: three are needed; good if the mean error is 1 pixel at most.", "SELECT project_id, count(*) AS n, round(avg(reprojection_error_px), 6) AS error_px, CASE WHEN count(*) < 3 THEN 'too few' WHEN avg(reprojection_error_px) <= 1 THEN 'good' ELSE 'poor' END AS grade FROM calibration GROUP BY project_id"),
+    "e27_mesh_gate": both(("line_sample",), "Whether a page's lines allow a mesh: six lines at least, and smoothed offsets of their words from the line within 6 % of the page's height.",
+        f"WITH {LINES}, h AS (SELECT doc_id, max(ly) - min(ly) AS height, count(*) AS n FROM ln GROUP BY doc_id), o AS (SELECT s.doc_id, s.line_num, s.x, avg(s.y - l.ly) OVER (PARTITION BY s.doc_id, s.line_num ORDER BY s.x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS off FROM line_sample s JOIN ln l ON s.doc_id = l.doc_id AND s.line_num = l.line_num), m AS (SELECT doc_id, max(abs(off)) AS most FROM o GROUP BY doc_id) SELECT h.doc_id, h.n, round(m.most, 6) AS most, h.n >= 6 AND m.most <= 0.06 * h.height AS mesh FROM h JOIN m ON h.doc_id = m.doc_id"),
+    "e32_output_size": both(("edge",), "Size of a flattened page: the edge's length, at least a quarter of its width, and the range of its rows.", "WITH d AS (SELECT image_id, pos, row_val, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, CAST(greatest(bround(sum(coalesce(step, 0))), bround(count(*) / 4e0)) AS INT) AS w, CAST(greatest(1, max(row_val) - min(row_val)) AS INT) AS h FROM d GROUP BY image_id"),
+    "e33_spline": both(("profile",), "Catmull-Rom spline through a profile, half way between its samples; ends are held.",
+        "WITH p AS (SELECT image_id, pos, val AS p1, coalesce(lag(val) OVER w, val) AS p0, lead(val) OVER w AS p2, lead(val, 2) OVER w AS q3 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.5e0 AS x, round(0.5e0 * (2 * p1 + (p2 - p0) * 0.5e0 + (2 * p0 - 5 * p1 + 4 * p2 - coalesce(q3, p2)) * 0.25e0 + (3 * p1 - p0 - 3 * p2 + coalesce(q3, p2)) * 0.125e0), 6) AS val FROM p WHERE p2 IS NOT NULL"),
+    "e35_nearest_edge_point": both(("contour", "edge"), "The edge sample nearest to a corner, within 15 pixels, else the corner; candidates come from the corner's cell and its neighbours.",
+        "WITH k AS (SELECT contour_id, image_id % 10 AS img, CAST(x % 64 AS DOUBLE) AS cx, CAST(y % 40 AS DOUBLE) AS cy FROM contour), n AS (SELECT k.*, CAST(floor(cx / 16) AS INT) + d AS cell FROM k CROSS JOIN (VALUES (-1), (0), (1)) AS t(d)), e AS (SELECT image_id, pos, row_val, CAST(floor(pos / 16e0) AS INT) AS cell FROM edge), m AS (SELECT n.contour_id, e.pos, e.row_val, (e.pos - n.cx) * (e.pos - n.cx) + (e.row_val - n.cy) * (e.row_val - n.cy) AS d2 FROM n JOIN e ON e.image_id = n.img AND e.cell = n.cell), r AS (SELECT *, row_number() OVER (PARTITION BY contour_id ORDER BY d2, pos) AS rn FROM m WHERE d2 <= 225), u AS (SELECT contour_id, min(cx) AS cx, min(cy) AS cy FROM k GROUP BY contour_id), f AS (SELECT contour_id, min(pos) AS pos, min(row_val) AS row_val FROM r WHERE rn = 1 GROUP BY contour_id) SELECT u.contour_id, coalesce(CAST(f.pos AS DOUBLE), u.cx) AS x, coalesce(f.row_val, u.cy) AS y FROM u LEFT JOIN f ON u.contour_id = f.contour_id"),
 }

@@ -24,8 +24,8 @@ def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    live = import_module("leafmill.streaming.live")
-    return {name: _query(p) for name, p in plans().items()} | live.QUERIES
+    more = [import_module(f"leafmill.{name}").QUERIES for name in ("operators.trace", "streaming.live")]
+    return {name: _query(p) for name, p in plans().items()} | more[0] | more[1]
 
 
 def oracle_sql() -> dict[str, str]:
