@@ -232,33 +232,19 @@ def live_runs(packed: DataFrame, most: int = 4096) -> DataFrame:
     return found.groupBy("h1", "h2", "part").agg(F.sum("keys").alias("keys"), F.first("nodes").alias("nodes"))
 
 
-class Labels:
-    """Component by set, for sets in components of several; others are their own."""
-
-    def __init__(self, rows: pa.Table | None):
-        order = np.argsort(np.asarray(rows.column(0))) if rows is not None else []
-        self.nodes = np.asarray(rows.column(0))[order] if rows is not None else np.zeros(0, np.int64)
-        self.labels = np.asarray(rows.column(1))[order] if rows is not None else np.zeros(0, np.int64)
-
-    def of(self, nodes: np.ndarray) -> np.ndarray:
-        if not len(self.nodes):
-            return nodes
-        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
-        return np.where(self.nodes[at] == nodes, self.labels[at], nodes)
-
-
-def candidate_links(runs: DataFrame, labels: Labels, salt: int) -> DataFrame:
+def candidate_links(runs: DataFrame, salt: int) -> DataFrame:
     """Pairs (a, b) to compare next: in each run, a set of each component but the most common with a set of that one.
 
-    A task sends at most three pairs of each set: which are compared first matters for speed only.
+    `runs` has nodes and, if components are known, labels. A task sends at most three pairs of each set: which are compared first matters for speed only.
     """
+    known = "labels" in runs.columns
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = [], []
-            for x in b.column(0):
-                nodes = np.asarray(x.values)
-                label = labels.of(nodes)
+            for i in range(b.num_rows):
+                nodes = np.asarray(b.column(0)[i].values)
+                label = np.asarray(b.column(1)[i].values) if known else nodes
                 if (label == label[0]).all():
                     continue
                 # In an order of the round's own, the first set of each component stands for it.
@@ -280,7 +266,7 @@ def candidate_links(runs: DataFrame, labels: Labels, salt: int) -> DataFrame:
                 keep = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) < 3
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], names=["a", "b"])
 
-    return runs.select("nodes").mapInArrow(pairs, "a long, b long").distinct()
+    return runs.select("nodes", *["labels"] * known).mapInArrow(pairs, "a long, b long").distinct()
 
 
 class Join:
@@ -350,39 +336,39 @@ class Join:
         linked = met.where(100 * common >= self.percent * (F.col("n") + F.col("other_n") - common))
         return linked.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
 
-    def labels(self, components: DataFrame, bound: int = 4_000_000) -> Labels:
-        """Labels by node as arrays that each task gets; beyond `bound` sets, only the first by node, so that more pairs are compared, none fewer."""
-        rows = components.join(self.classes.select(F.col("cid").alias("vertex"), "s1"), "vertex").select("s1", "component")
-        return Labels(rows.limit(bound).toArrow())
-
-    def open_runs(self, runs: DataFrame, labels: Labels) -> DataFrame:
-        """Runs whose sets are not all in one component."""
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = [bool((g != g[0]).any()) for g in (labels.of(np.asarray(x.values)) for x in b.column(b.schema.get_field_index("nodes")))]
-                yield b.filter(pa.array(keep, pa.bool_()))
+    def labels(self, components: DataFrame) -> DataFrame:
+        """Components by node, for sets in components of several; a node that two sets share by chance has none, so that its pairs are all compared."""
+        classes = self.classes.select(F.col("cid").alias("vertex"), F.col("s1").alias("l_node"))
+        held = classes.join(components, "vertex", "left").groupBy("l_node").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("label"))
+        return held.where("sets = 1 AND label IS NOT NULL").select("l_node", "label")
 
-        return runs.mapInArrow(check, runs.schema)
+    def open_runs(self, runs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Runs whose sets are not all in one component, with labels: the component's, or for a set by itself its node, in lists beside the nodes."""
+        rows = runs.select("h1", "h2", "part", "keys", F.explode("nodes").alias("node")).join(labels, F.col("node") == F.col("l_node"), "left")
+        # A component goes by its hash, so that it and a set by itself, which goes by its node, can be told apart.
+        label = F.coalesce(F.xxhash64(F.lit("component"), "label"), F.col("node"))
+        sets = rows.groupBy("h1", "h2", "part", "keys").agg(F.sort_array(F.collect_list(F.struct("node", label.alias("label")))).alias("sets"), F.min(label).alias("low"), F.max(label).alias("high"))  # a part's sets
+        return sets.where("low <> high").select("h1", "h2", "part", "keys", F.col("sets.node").alias("nodes"), F.col("sets.label").alias("labels"))
 
 
-def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024) -> DataFrame:
+def close_pairs(join: Join, runs: DataFrame, block: int = 1024) -> DataFrame:
     """All pairs of nodes that share open runs, are in different components and may link by their sketches and by how many keys they share.
 
     The parts of a long run meet block by block. A linked pair shares all keys of the smaller set's segments but those that their symmetric
     difference can change (less a few for keys that meet by chance).
     """
     percent = join.percent
-    rows = runs.select("h1", "h2", "part", "keys", F.posexplode("nodes").alias("pos", "node")).withColumn("blk", F.concat_ws("-", F.col("part").cast("string"), F.expr(f"string(pos div {block})"))).select("h1", "h2", "keys", "blk", "node").distinct()
+    members = F.posexplode(F.arrays_zip("nodes", "labels")).alias("pos", "set")
+    rows = runs.select("h1", "h2", "part", "keys", members).withColumn("blk", F.concat_ws("-", F.col("part").cast("string"), F.expr(f"string(pos div {block})"))).select("h1", "h2", "keys", "blk", F.col("set.nodes").alias("node"), F.col("set.labels").alias("label"))
     blocks = rows.select("h1", "h2", "blk").distinct()
     two = blocks.alias("x").join(blocks.alias("y"), ["h1", "h2"]).where("x.blk <= y.blk").select("h1", "h2", F.col("x.blk").alias("b1"), F.col("y.blk").alias("b2"))
     facts = join.classes.groupBy("s1").agg(F.max("n").alias("n"), F.min("stand").alias("stand"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("same"))
     # Sets whose hashes are equal by chance are told apart only when they are compared.
     facts = facts.select(F.col("s1").alias("s_node"), F.struct("n", F.when(F.col("same") > 1, 0).otherwise(F.col("stand")).alias("stand"), F.when(F.col("same") == 1, F.col("sketch")).alias("sketch")).alias("f"))
-    filled = rows.join(facts, F.col("node") == F.col("s_node")).select("h1", "h2", "keys", "blk", "node", "f")
-    left = two.join(filled.withColumnRenamed("blk", "b1"), ["h1", "h2", "b1"]).select("h1", "h2", "b1", "b2", "keys", F.lit(0).alias("side"), "node", "f")
-    right = two.where("b1 != b2").join(filled.withColumnRenamed("blk", "b2"), ["h1", "h2", "b2"]).select("h1", "h2", "b1", "b2", "keys", F.lit(1), "node", "f")
-    met = left.union(right).groupBy("h1", "h2", "b1", "b2").agg(F.first("keys").alias("keys"), F.collect_list(F.struct("side", "node", "f")).alias("sets"))  # two blocks at most
+    filled = rows.join(facts, F.col("node") == F.col("s_node")).select("h1", "h2", "keys", "blk", "node", "label", "f")
+    left = two.join(filled.withColumnRenamed("blk", "b1"), ["h1", "h2", "b1"]).select("h1", "h2", "b1", "b2", "keys", F.lit(0).alias("side"), "node", "label", "f")
+    right = two.where("b1 != b2").join(filled.withColumnRenamed("blk", "b2"), ["h1", "h2", "b2"]).select("h1", "h2", "b1", "b2", "keys", F.lit(1), "node", "label", "f")
+    met = left.union(right).groupBy("h1", "h2", "b1", "b2").agg(F.first("keys").alias("keys"), F.collect_list(F.struct("side", "node", "label", "f")).alias("sets"))  # two blocks at most
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +380,7 @@ def close_pairs(join: Join, runs: DataFrame, labels: Labels, block: int = 1024)
                 unsure = np.asarray(sketches.is_null())
                 bins = bins_of(sketches.fill_null(b"\0" * 128))
                 coarse = bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16)  # rules most pairs out at a quarter of the cost
-                label = labels.of(node)
+                label = np.asarray(v.field("label"))
                 left = np.flatnonzero(side == 0)
                 right = np.flatnonzero(side == 1) if (side == 1).any() else left
                 for i in left:
@@ -431,20 +417,19 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: i
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     join = Join(docs, percent, width, ratio, deletion_below, bucket_keys)
-    links, labels, runs, components = None, Labels(None), join.runs, None
+    links, runs, components = None, join.runs, None
     for salt in range(rounds):
         # Of the pairs that sketches leave, the nearest of each set is compared.
-        near = join.near(candidate_links(runs, labels, salt))
+        near = join.near(candidate_links(runs, salt))
         best = near.groupBy("a_cid").agg(F.min_by(F.struct(*near.columns), F.struct("apart", "b_cid")).alias("p")).select("p.*")
         found = join.verified(best)
         links = materialize(links.union(found) if links is not None else found, "links")
         components = connected_components(links)
-        labels = join.labels(components)
-        runs = materialize(join.open_runs(runs, labels), "runs")
+        runs = materialize(join.open_runs(runs, join.labels(components)), "runs")
         if not runs.limit(1).count():
             break
     if runs.limit(1).count():
-        links = links.union(join.verified(join.near(close_pairs(join, runs, labels))))
+        links = links.union(join.verified(join.near(close_pairs(join, runs))))
         components = connected_components(links)
     grouped = join.classes.join(components.withColumnRenamed("vertex", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
