@@ -9,7 +9,6 @@ all chunks' training counts and answer. So no table of counts is gathered anywhe
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
