@@ -372,31 +372,54 @@ def close_pairs(join: Join, runs: DataFrame, block: int = 1024) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for keys, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v, f = x.values, x.values.field("f")
-                side, node, n, stand = np.asarray(v.field("side")), np.asarray(v.field("node")), np.asarray(f.field("n")), np.asarray(f.field("stand"))
-                sketches = f.field("sketch")
-                unsure = np.asarray(sketches.is_null())
-                bins = bins_of(sketches.fill_null(b"\0" * 128))
-                coarse = bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16)  # rules most pairs out at a quarter of the cost
-                label = np.asarray(v.field("label"))
-                left = np.flatnonzero(side == 0)
-                right = np.flatnonzero(side == 1) if (side == 1).any() else left
-                for i in left:
-                    total = n[right] + n[i]
-                    bound = total - 2 * -(-percent * total // (100 + percent))
-                    near = np.flatnonzero((label[right] != label[i]) & (np.abs(n[right] - n[i]) <= bound))
-                    free = unsure[right[near]] | unsure[i]
-                    near = near[free | (np.abs(coarse[right[near]] - coarse[i]).sum(axis=1, dtype=np.int32) <= bound[near])]
-                    free = unsure[right[near]] | unsure[i]
-                    near = near[free | (np.abs(bins[right[near]] - bins[i]).sum(axis=1, dtype=np.int32) <= bound[near])]
-                    at = right[near]
-                    least = np.where(n[at] < n[i], stand[at], np.where(n[at] > n[i], stand[i], np.minimum(stand[i], stand[at]))) - bound[near]
-                    for column, values in zip(out, (np.minimum(node[i], node[at]), np.maximum(node[i], node[at]), np.full(len(at), keys), least), strict=True):
-                        column.append(values)
-            columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "keys", "least"])
+            sizes = np.asarray(batch.column(1).value_lengths())
+            at = 0
+            while at < len(sizes):  # some runs at a time: a million pairs or one run
+                upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:].astype(np.int64) ** 2), 4_000_000)))
+                yield close(batch.slice(at, upto - at))
+                at = upto
+
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = np.asarray(batch.column(1).value_lengths())
+        v = batch.column(1).flatten()
+        f = v.field("f")
+        run = np.repeat(np.arange(len(lengths)), lengths)
+        side, node, label = (np.asarray(v.field(c)) for c in ("side", "node", "label"))
+        # Members of a run by side: those of side 0 meet those of side 1, or, if there are none, those after them.
+        order = np.lexsort((side, run))
+        v_side, ends = side[order], np.cumsum(lengths)
+        lefts = np.bincount(run[side == 0], minlength=len(lengths))
+        place = np.arange(len(run)) - np.repeat(ends - lengths, lengths)
+        alone = (lefts == lengths)[run]
+        count = np.where(v_side == 0, np.where(alone, lengths[run] - 1 - place, (lengths - lefts)[run]), 0)
+        i = np.repeat(np.arange(len(run)), count)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        j = np.where(alone[i], i + 1, (ends - lengths + lefts)[run[i]]) + k
+        i, j = order[i], order[j]
+        n, stand, sketch = np.asarray(f.field("n")), np.asarray(f.field("stand")), f.field("sketch")
+        total = n[i] + n[j]
+        bound = total - 2 * -(-percent * total // (100 + percent))
+        keep = (label[i] != label[j]) & (np.abs(n[i] - n[j]) <= bound)
+        i, j, bound = i[keep], j[keep], bound[keep]
+        unsure = np.asarray(sketch.is_null())
+        bins = bins_of(sketch.fill_null(b"\0" * 128))
+        for fine in (bins.reshape(-1, 32, 4).sum(axis=2, dtype=np.int16), bins):  # the coarse ones rule most pairs out at a quarter of the cost
+            keep = unsure[i] | unsure[j]
+            for a in range(0, len(i), 50_000):
+                part = slice(a, a + 50_000)
+                keep[part] |= np.abs(fine[i[part]] - fine[j[part]]).sum(axis=1, dtype=np.int32) <= bound[part]
+            i, j, bound = i[keep], j[keep], bound[keep]
+        smaller = np.where(n[i] < n[j], stand[i], np.where(n[i] > n[j], stand[j], np.minimum(stand[i], stand[j])))
+        keys = np.asarray(batch.column(0))[run[i]]
+        a, b, least = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), smaller - bound
+        # A pair's keys are added up before it is sent.
+        order = np.lexsort((b, a))
+        a, b, keys, least = a[order], b[order], keys[order], least[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        starts = np.flatnonzero(fresh)
+        columns = (a[starts], b[starts], np.add.reduceat(keys, starts), np.maximum.reduceat(least, starts)) if len(a) else (a, b, keys, least)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "keys", "least"])
 
     found = met.select("keys", "sets").mapInArrow(compare, "a long, b long, keys long, least long").groupBy("a", "b").agg(F.sum("keys").alias("keys"), F.max("least").alias("least"))
     return found.where(F.col("keys") >= F.col("least") - 2 - F.col("least") / 50).select("a", "b")
