@@ -346,7 +346,7 @@ class Join:
         """Runs whose sets are not all in one component, with labels: the component's, or for a set by itself its node, in lists beside the nodes."""
         rows = runs.select("h1", "h2", "part", "keys", F.explode("nodes").alias("node")).join(labels, F.col("node") == F.col("l_node"), "left")
         # A component goes by its hash, so that it and a set by itself, which goes by its node, can be told apart.
-        label = F.coalesce(F.xxhash64(F.lit("component"), "label"), F.col("node"))
+        label = F.when(F.col("label").isNotNull(), F.xxhash64(F.lit("component"), "label")).otherwise(F.col("node"))
         sets = rows.groupBy("h1", "h2", "part", "keys").agg(F.sort_array(F.collect_list(F.struct("node", label.alias("label")))).alias("sets"), F.min(label).alias("low"), F.max(label).alias("high"))  # a part's sets
         return sets.where("low <> high").select("h1", "h2", "part", "keys", F.col("sets.node").alias("nodes"), F.col("sets.label").alias("labels"))
 
