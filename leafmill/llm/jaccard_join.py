@@ -185,7 +185,7 @@ def packed_keys(docs: DataFrame, width: int, bands: Bands, buckets: int) -> Data
     return docs.select("text").mapInArrow(pack, "bucket int, nodes binary, counts binary, keys binary")
 
 
-def live_runs(packed: DataFrame, most: int = 4096) -> DataFrame:
+def live_runs(packed: DataFrame, most: int) -> DataFrame:
     """Sets that share a key: h1, h2 (hashes of all sets of the key), part, keys (how many keys these sets share so), nodes (sorted; of a later part, the key's first set before them).
 
     Each distinct run stands once. Runs of over `most` sets are cut into parts.
@@ -272,14 +272,14 @@ def candidate_links(runs: DataFrame, salt: int) -> DataFrame:
 class Join:
     """The steps of one join over `docs` (doc_id, text as bytes)."""
 
-    def __init__(self, docs: DataFrame, percent: int, width: int, ratio: float, deletion_below: int, bucket_keys: int):
+    def __init__(self, docs: DataFrame, percent: int, width: int, ratio: float, deletion_below: int, bucket_keys: int, most: int):
         self.docs, self.percent, self.width = docs, percent, width
         self.bands = Bands(percent, ratio, deletion_below)
         self.sets = materialize(with_sets(docs, width, self.bands), "sets")
         classes = self.sets.where("n > 0").groupBy("s1", "s2", "n", "stand").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
         self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         total = self.sets.agg(F.sum("n")).first()[0] or 0
-        self.runs = materialize(live_runs(packed_keys(docs, width, self.bands, parts_for(total, bucket_keys))), "runs")
+        self.runs = materialize(live_runs(packed_keys(docs, width, self.bands, parts_for(total, bucket_keys)), most), "runs")
 
     def contents(self, wanted: DataFrame, rows: int) -> DataFrame:
         """The sets of classes (cid, s1, s2, first_doc): cid, set, from the first document of each."""
@@ -343,12 +343,20 @@ class Join:
         return held.where("sets = 1 AND label IS NOT NULL").select("l_node", "label")
 
     def open_runs(self, runs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Runs whose sets are not all in one component, with labels: the component's, or for a set by itself its node, in lists beside the nodes."""
-        rows = runs.select("h1", "h2", "part", "keys", F.explode("nodes").alias("node")).join(labels, F.col("node") == F.col("l_node"), "left")
+        """All parts of runs whose sets are not all in one component, with labels: the component's, or for a set by itself its node, in lists beside the nodes."""
         # A component goes by its hash, so that it and a set by itself, which goes by its node, can be told apart.
         label = F.when(F.col("label").isNotNull(), F.xxhash64(F.lit("component"), "label")).otherwise(F.col("node"))
-        sets = rows.groupBy("h1", "h2", "part", "keys").agg(F.sort_array(F.collect_list(F.struct("node", label.alias("label")))).alias("sets"), F.min(label).alias("low"), F.max(label).alias("high"))  # a part's sets
-        return sets.where("low <> high").select("h1", "h2", "part", "keys", F.col("sets.node").alias("nodes"), F.col("sets.label").alias("labels"))
+        rows = lambda r: r.select("h1", "h2", "part", "keys", F.explode("nodes").alias("node")).join(labels, F.col("node") == F.col("l_node"), "left")
+        sets = rows(runs).groupBy("h1", "h2", "part", "keys").agg(F.sort_array(F.collect_list(F.struct("node", label.alias("label")))).alias("sets"), F.min(label).alias("low"), F.max(label).alias("high"))  # a part's sets
+        is_open = F.col("low") != F.col("high")
+        long = runs.where("part > 0").select("h1", "h2").distinct()
+        n = long.count()
+        if n:
+            # A part in one component stays if another part of its run is in a second one.
+            whole = rows(runs.join(small(long, n), ["h1", "h2"], "left_semi")).groupBy("h1", "h2").agg(F.min(label).alias("least"), F.max(label).alias("most"))
+            sets = sets.join(small(whole.where("least <> most").select("h1", "h2", F.lit(True).alias("divided")), n), ["h1", "h2"], "left")
+            is_open = is_open | F.col("divided").isNotNull()
+        return sets.where(is_open).select("h1", "h2", "part", "keys", F.col("sets.node").alias("nodes"), F.col("sets.label").alias("labels"))
 
 
 def close_pairs(join: Join, runs: DataFrame, block: int = 1024) -> DataFrame:
@@ -425,7 +433,7 @@ def close_pairs(join: Join, runs: DataFrame, block: int = 1024) -> DataFrame:
     return found.where(F.col("keys") >= F.col("least") - 2 - F.col("least") / 50).select("a", "b")
 
 
-def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2, ratio: float = 1.4, deletion_below: int = 0, bucket_keys: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: int = 2, ratio: float = 1.4, deletion_below: int = 0, bucket_keys: int = 2_000_000, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents that links connect: id, n_shingles, component_id.
 
     Two rows link if 100 * intersection >= percent * union of their sets of `width`-word shingles. component_id is the smallest id
@@ -436,10 +444,10 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5, rounds: i
     Rows with equal sets are one class. Keys of all sets are exchanged in packed form; sets that share a key are a run. For `rounds` rounds, each
     run compares one set of each component with one of its most common component, and links are merged into components; groups of
     copies, however large, are settled by as many comparisons as they have members. What runs are still divided is then
-    compared pair by pair, behind a bound from sketches. Sets smaller than `deletion_below` use one-deletion neighbourhoods.
+    compared pair by pair, behind a bound from sketches. Runs of over `most` sets are held in parts. Sets smaller than `deletion_below` use one-deletion neighbourhoods.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    join = Join(docs, percent, width, ratio, deletion_below, bucket_keys)
+    join = Join(docs, percent, width, ratio, deletion_below, bucket_keys, most)
     links, runs, components = None, join.runs, None
     for salt in range(rounds):
         # Of the pairs that sketches leave, the nearest of each set is compared.

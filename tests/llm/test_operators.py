@@ -67,6 +67,20 @@ def test_jaccard_join(docs, options):
     assert got == want
 
 
+def test_jaccard_join_compares_all_parts_of_a_run(spark):
+    rng = random.Random(11)
+    base = prose(rng, 100).split()
+    df = spark.createDataFrame([(i, " ".join([*base[:50], f"own{i}", *base[51:]]).encode()) for i in range(8)], "doc_id long, text binary")
+    join = jaccard_join.Join(df, 75, 5, 1.4, 0, 2_000_000, 4)
+    nodes = sorted(r["s1"] for r in join.classes.collect())
+    # One component is the whole first part of the run of all eight sets.
+    labels = spark.createDataFrame([(n, i // 4) for i, n in enumerate(nodes)], "l_node long, label long")
+    found = {(r["a"], r["b"]) for r in jaccard_join.close_pairs(join, join.open_runs(join.runs, labels)).collect()}
+    assert found == {(a, b) for a in nodes[:4] for b in nodes[4:]}
+    one = labels.withColumn("label", F.lit(1).cast("long"))
+    assert join.open_runs(join.runs, one).count() == 0
+
+
 def test_one_of_each_group(docs):
     kept = jaccard_join.one_of_each_group(docs)
     assert kept.columns == docs.columns
