@@ -62,7 +62,7 @@ PLANS = {
         SELECT original_path, path FROM o JOIN l ON o.dir = l.dir AND substring(l.file, 1, length(o.base)) = o.base WHERE regexp_like(substring(l.file, length(o.base) + 1), '^(_processed|_1_left|_2_right|_frame[0-9]+)?[.][^.]+$')""",
         f"""WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), l AS (SELECT path, {_DIR.replace('original_path', 'path')} AS dir, lower(regexp_replace(path, '^.*/', '')) AS file FROM listing)
         SELECT original_path, path FROM o JOIN l ON o.dir = l.dir AND substring(l.file, 1, length(o.base)) = o.base WHERE regexp_matches(substring(l.file, length(o.base) + 1), '^(_processed|_1_left|_2_right|_frame[0-9]+)?[.][^.]+$')"""),
-    "b11_resolve_outputs": Plan(("capture_job", "listing"), "Files to export of each final page; the first of these that there are: recorded outputs, derivatives beside the original, old ones in Processed/, the original.",
+    "b11_resolve_outputs": Plan(("capture_job", "listing"), "Files to export of each final page; the first of these that there are: recorded outputs, derivatives beside the original, old ones in Processed/, the original. Reduced: beside the original only base_processed.tif, in Processed/ only base.tif.",
         f"""WITH {FINAL}, r AS (SELECT job_id, p.path, 1 AS tier FROM (SELECT job_id, explode(split(processed_path, ';')) AS path FROM f) p JOIN listing l ON p.path = l.path),
         d AS (SELECT job_id, l.path, 2 AS tier FROM f JOIN listing l ON l.path = regexp_replace(f.original_path, '[.]jpg$', '_processed.tif')),
         o AS (SELECT job_id, l.path, 3 AS tier FROM f JOIN listing l ON l.path = concat({_DIR}, 'Processed/', {_BASE}, '.tif')), g AS (SELECT job_id, original_path AS path, 4 AS tier FROM f),

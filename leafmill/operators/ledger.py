@@ -79,7 +79,7 @@ PLANS = {
         f"""WITH {FINAL}, c AS (SELECT f.batch_id, f.batch_id % 7 = 0 AS missing, sum(CASE WHEN ocr_status = 'Completed' THEN 1 ELSE 0 END) AS done, sum(CASE WHEN ocr_status = 'Failed' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM f GROUP BY f.batch_id)
         SELECT batch_id, missing, CASE WHEN missing THEN 0 ELSE done END AS completed, CASE WHEN missing THEN 0 ELSE failed END AS failed, CASE WHEN missing THEN n ELSE n - done - failed END AS skipped,
         CASE WHEN missing THEN 'engine missing' WHEN failed > 0 THEN 'some pages failed' WHEN done = n THEN 'all pages read' ELSE 'some pages skipped' END AS message FROM c"""),
-    "a17_export_plan": Plan(("capture_job", "batch"), "Whether a batch can be exported and its pages in order: none without captures, none while a job waits.",
+    "a17_export_plan": Plan(("capture_job", "batch"), "Whether a batch can be exported and its pages in order: none without captures, none while a job waits. Reduced: takes no explicit list of ids.",
         f"""WITH {FINAL}, {GATE} SELECT b.batch_id, CASE WHEN g.batch_id IS NULL THEN 'no captures' WHEN g.waiting > 0 THEN 'blocked' ELSE 'ready' END AS state, f.job_id, f.page_number, CAST(row_number() OVER (PARTITION BY b.batch_id ORDER BY f.page_number, f.job_id) AS INT) AS position
         FROM batch b LEFT JOIN g ON b.batch_id = g.batch_id LEFT JOIN f ON b.batch_id = f.batch_id AND g.waiting = 0"""),
     "a18_export_manifest": Plan(("capture_job", "batch"), "Files to write: final pages' outputs, one running number for each batch, and the target's name.", f"WITH {FINAL}, {FILES_SPARK} {MANIFEST}", f"WITH {FINAL}, {FILES_DUCKDB} {MANIFEST}"),

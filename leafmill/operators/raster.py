@@ -58,7 +58,7 @@ PLANS = {
         f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC}, r AS (SELECT *, image_id % 2 AS job, CASE verdict WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END AS bad, row_number() OVER (PARTITION BY image_id % 2 ORDER BY image_id DESC) AS rn FROM qc) SELECT job, CASE max(bad) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' END AS verdict, round(max(CASE WHEN rn = 1 THEN score END), 6) AS score, round(max(CASE WHEN rn = 1 THEN mean END), 6) AS mean FROM r GROUP BY job"),
     "d07_content_signature": on_pixels("24 x 24 area means with fractional overlap.", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells"),
     "d08_content_difference": on_pixels("Mean absolute difference of the signatures of an image and the next.", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id"),
-    "d09_gutter": on_pixels("Darkest smoothed column in the middle 40 % of the width and how far it stands out.",
+    "d09_gutter": on_pixels("Darkest smoothed column in the middle 40 % of the width and how far it stands out. Reduced: a box mean of 9 columns, no rule for the flanks.",
         """WITH p AS (SELECT image_id, x, avg(v) AS m FROM pixel GROUP BY image_id, x), s AS (SELECT image_id, x, avg(m) OVER (PARTITION BY image_id ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m, max(x) OVER (PARTITION BY image_id) + 1 AS w FROM p),
         k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn FROM s WHERE x >= 0.3 * w AND x < 0.7 * w), a AS (SELECT image_id, avg(m) AS mean FROM s GROUP BY image_id)
         SELECT k.image_id, k.x AS gutter, round((a.mean - k.m) / a.mean, 9) AS confidence, round(a.mean - k.m, 9) AS fall FROM k JOIN a ON k.image_id = a.image_id WHERE rn = 1"""),
@@ -88,13 +88,13 @@ PLANS = {
     "d22_median3": Plan(("pixel",), "3 x 3 median; the border is replicated.", f"WITH {MEDIAN_SPARK} SELECT image_id, y, x, v FROM med", f"WITH {MEDIAN_DUCKDB} SELECT image_id, y, x, v FROM med"),
     "d23_sauvola": Plan(("pixel",), "Black and white by local thresholds.", f"WITH {MEDIAN_SPARK}, {SAUVOLA} SELECT image_id, y, x, v FROM ink", f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, y, x, v FROM ink"),
     "d24_ink_coverage": Plan(("pixel",), "Share of ink.", f"WITH {MEDIAN_SPARK}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id", f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id"),
-    "d25_sign_change_profile": on_pixels("Sign changes of the vertical gradient down each column, the outer tenth left out.",
+    "d25_sign_change_profile": on_pixels("Sign changes of the vertical gradient down each column, the outer tenth left out. Reduced: over the whole height, no validity rules.",
         f"WITH {SOBEL_PASSES}, z AS (SELECT image_id, x, y, CASE WHEN gy > 0 THEN 1 ELSE -1 END AS s, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM g), t AS (SELECT g.image_id, g.x, g.y, CASE WHEN g.gy > 0 THEN 1 ELSE -1 END AS s FROM g JOIN (SELECT DISTINCT image_id, h FROM z) k ON g.image_id = k.image_id WHERE g.gy <> 0 AND g.y >= greatest(3, 0.1 * h) AND g.y < h - greatest(3, 0.1 * h)), l AS (SELECT *, lag(s) OVER (PARTITION BY image_id, x ORDER BY y) AS p FROM t) SELECT image_id, x, sum(CASE WHEN p IS NOT NULL AND p <> s THEN 1 ELSE 0 END) AS changes FROM l GROUP BY image_id, x"),
     "d26_band_argmax": on_pixels("In every third row the column, of 16 to 47, of the strongest horizontal gradient; the first on a tie.", f"WITH {SOBEL_PASSES}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, y ORDER BY abs(gx) DESC, x) AS rn FROM g WHERE y % 3 = 0 AND x BETWEEN 16 AND 47) SELECT image_id, y, x, abs(gx) AS strength FROM r WHERE rn = 1"),
     "d27_edge_points": on_pixels("Points of strong gradient, row by row, thinned evenly to 5000 at most.",
         f"WITH {SOBEL_PASSES}, m AS (SELECT image_id, y, x FROM g WHERE gx * gx + gy * gy > 90000), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM m) SELECT image_id, y, x FROM r WHERE k % CAST(ceil(n / 5000.0) AS INT) = 0"),
     "d28_resample_plan": both(("calibration", "batch"), "Size of each page at its batch's resolution, from the rig's measured one.",
         "WITH p AS (SELECT project_id, max(CASE WHEN target_w_in IS NOT NULL AND (pixel_w / target_w_in + pixel_h / target_h_in) / 2 BETWEEN 20 AND 4800 THEN (pixel_w / target_w_in + pixel_h / target_h_in) / 2 END) AS ppi FROM calibration GROUP BY project_id) SELECT b.batch_id, CAST(greatest(1, bround(3000 * greatest(0.125e0, least(8e0, b.dpi / coalesce(p.ppi, 285e0))))) AS INT) AS w, CAST(greatest(1, bround(4000 * greatest(0.125e0, least(8e0, b.dpi / coalesce(p.ppi, 285e0))))) AS INT) AS h FROM batch b LEFT JOIN p ON b.project_id = p.project_id"),
-    "d29_glare_rows": on_pixels("Rows whose saturation is 25 or less in the middle: an edge can't be found there.",
+    "d29_glare_rows": on_pixels("Rows whose saturation is 25 or less in the middle: an edge can't be found there. Reduced: no chroma step for other rows.",
         f"WITH {RGB} SELECT image_id, y, round(avg(CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE)), 6) AS saturation, max(greatest(r, g, b) - least(r, g, b)) <= 25 AS glare FROM rgb WHERE x BETWEEN 28 AND 35 GROUP BY image_id, y"),
 }

@@ -43,7 +43,7 @@ PLANS = {
         f"WITH {ROLLED}, {LEVELS}, t AS (SELECT *, near_min + 0.6e0 * (page - near_min) AS cut FROM levels) SELECT t.image_id, coalesce(min(CASE WHEN r > cut THEN pos END), 0) AS first_pos, round(max(t.cut), 6) AS cut FROM t JOIN rolled q ON q.image_id = t.image_id GROUP BY t.image_id"),
     "e04_bridge_low_confidence": both(("edge",), "An edge whose weak samples are bridged.", f"WITH {BRIDGED} SELECT image_id, pos, round(val, 9) AS val FROM bridged"),
     "e05_count_bridged": both(("edge",), "Samples that bridging moved by over 0.01.", f"WITH {BRIDGED} SELECT image_id, sum(CASE WHEN abs(val - row_val) > 0.01 THEN 1 ELSE 0 END) AS moved FROM bridged GROUP BY image_id"),
-    "e06_savgol": both(("edge",), "Local quadratic fit over 15 samples, fewer at the ends.",
+    "e06_savgol": both(("edge",), "Local quadratic fit over 15 samples, fewer at the ends. Reduced: 15, not 151.",
         f"""WITH d AS (SELECT image_id, CAST(pos AS DOUBLE) AS i, row_val AS v FROM edge), s AS (SELECT image_id, i, v, count(*) OVER w AS s0, sum(i) OVER w AS s1, sum(i * i) OVER w AS s2, sum(i * i * i) OVER w AS s3, sum(i * i * i * i) OVER w AS s4, sum(v) OVER w AS t0, sum(i * v) OVER w AS t1, sum(i * i * v) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY image_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)),
         c AS (SELECT image_id, i, v, CAST(s0 AS DOUBLE) AS m0, s1 - i * s0 AS m1, s2 - 2 * i * s1 + i * i * s0 AS m2, s3 - 3 * i * s2 + 3 * i * i * s1 - i * i * i * s0 AS m3, s4 - 4 * i * s3 + 6 * i * i * s2 - 4 * i * i * i * s1 + i * i * i * i * s0 AS m4, t0 AS u0, t1 - i * t0 AS u1, t2 - 2 * i * t1 + i * i * t0 AS u2 FROM s)
         SELECT image_id, CAST(i AS INT) AS pos, round({C0}, 6) AS val FROM c"""),
@@ -51,7 +51,7 @@ PLANS = {
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_val DESC, pos) AS hi, row_number() OVER (PARTITION BY image_id ORDER BY row_val, pos) AS lo FROM edge WHERE pos BETWEEN 12 AND 52), k AS (SELECT image_id, max(CASE WHEN hi = 1 THEN pos END) AS top_pos, max(CASE WHEN hi = 1 THEN row_val END) AS top_val, max(CASE WHEN lo = 1 THEN pos END) AS bottom_pos, max(CASE WHEN lo = 1 THEN row_val END) AS bottom_val FROM r GROUP BY image_id) SELECT *, CAST(bround(sqrt(CAST((top_pos - bottom_pos) * (top_pos - bottom_pos) AS DOUBLE) + (top_val - bottom_val) * (top_val - bottom_val))) AS INT) AS length FROM k"),
     "e08_otsu_split": both(("profile",), "Value that splits a profile in two classes; none with under 20 values or no range.", f"WITH {SPLIT} SELECT image_id, round(at_val, 6) AS cut FROM cut"),
     "e09_clean_mask": both(("profile",), "Majority of five around each sample of the split profile; ends are replicated.", f"WITH {MASK} SELECT image_id, pos, m FROM mask"),
-    "e10_book_span": both(("profile",), "Runs of the cleaned mask, merged over gaps of 10 or less; the widest.", f"WITH {MASK}, {RUNS}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) SELECT image_id, a, b FROM w WHERE rn = 1"),
+    "e10_book_span": both(("profile",), "Runs of the cleaned mask, merged over gaps of 10 or less; the widest. Reduced: no least length of a run, no gap by width, no gutter.", f"WITH {MASK}, {RUNS}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) SELECT image_id, a, b FROM w WHERE rn = 1"),
     "e11_detect_span": both(("profile",), "The span of e10 if it is at least 20 wide, else nothing.", f"WITH {MASK}, {RUNS}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) SELECT image_id, CASE WHEN b - a + 1 >= 20 THEN a END AS a, CASE WHEN b - a + 1 >= 20 THEN b END AS b FROM w WHERE rn = 1"),
     "e13_line_fit": both(("edge",), "Least squares of an edge's rows on its columns.", "SELECT image_id, round(regr_slope(row_val, pos), 9) AS slope, round(regr_intercept(row_val, pos), 6) AS intercept FROM edge GROUP BY image_id"),
     "e14_robust_line": both(("edge",), "The line through two samples, of hashed trial pairs, that most samples lie within 4 of; then a fit to these.",
@@ -71,7 +71,7 @@ PLANS = {
         SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(inliers, 6) AS inliers, inliers >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM i"""),
     "e19_rotation_field": both(("line_sample",), "Agreement of the lines' own slopes: share within 0.03 of the middle one.",
         f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY slope, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM ln WHERE cnt >= 8), m AS (SELECT doc_id, slope AS mid FROM r WHERE k = floor(n / 2e0) AND n >= 8) SELECT r.doc_id, round(max(m.mid), 9) AS slope, round(avg(CASE WHEN abs(r.slope - m.mid) <= 0.03 THEN 1e0 ELSE 0e0 END), 6) AS share FROM r JOIN m ON r.doc_id = m.doc_id GROUP BY r.doc_id"),
-    "e20_deskew_decision": both(("line_sample",), "Page angle from its lines' slopes: the middle one, if three lines have 8 samples, quartiles are within 3 degrees and it is 0.1 to 15.",
+    "e20_deskew_decision": both(("line_sample",), "Page angle from its lines' slopes: the middle one, if three lines have 8 samples, quartiles are within 3 degrees and it is 0.1 to 15. Reduced: else none, without e19 and e18.",
         f"WITH {LINES}, a AS (SELECT doc_id, line_num, degrees(atan(slope)) AS deg FROM ln WHERE cnt >= 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY deg, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM a), q AS (SELECT doc_id, max(n) AS n, max(CASE WHEN k = floor(n / 2e0) THEN deg END) AS mid, max(CASE WHEN k = floor(n * 3 / 4e0) THEN deg END) - max(CASE WHEN k = floor(n / 4e0) THEN deg END) AS iqr FROM r GROUP BY doc_id) SELECT doc_id, n, round(mid, 6) AS angle, round(iqr, 6) AS iqr, CASE WHEN n < 3 THEN 'none' WHEN iqr <= 3 AND abs(mid) BETWEEN 0.1 AND 15 THEN 'lines' ELSE 'none' END AS decision FROM q"),
     "e21_poly_fit": both(("edge",), "Quadratic through an edge, weighted by strength, around its mean column; nothing if singular.",
         f"""WITH c AS (SELECT image_id, avg(CAST(pos AS DOUBLE)) AS mid FROM edge GROUP BY image_id), d AS (SELECT e.image_id, e.pos - c.mid AS t, e.row_val AS v, e.strength + 1 AS w FROM edge e JOIN c ON e.image_id = c.image_id),

@@ -103,7 +103,7 @@ QUERIES = {
     "f04_smooth_box": _checks("smooth_x", "smooth_y", "smooth_w", "smooth_h"),
     "f05_stable_count": _checks("stable_count"),
     "f06_capture_trigger": _checks("ts", where="triggered"),
-    "f07_frame_mode_trigger": _checks("settled"),
+    "f07_frame_mode_trigger": _checks("settled"),  # reduced: no regions, no pause, no trigger
 }
 
 PLANS = {
