@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +139,20 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed bytes of whole numbers, byte plane by byte plane."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -142,3 +160,23 @@ def signed(x: int) -> int:
 def parts_for(rows: float, each: int) -> int:
     """Buckets for `rows` rows at about `each` rows a bucket."""
     return max(1, math.ceil(rows / each))
+
+
+def give_back() -> None:
+    """Hands memory that a task no longer needs back to the system: Python workers outlive their tasks, and what they keep counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int, rows: int = 500, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `rows` rows and about `size` bytes of `column` (or one row) each."""
+    for b in batches:
+        c = b.column(column)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(c), 0)))
+        at = 0
+        while at < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            upto = min(max(upto, at + 1), at + rows, b.num_rows)
+            yield b.slice(at, upto - at)
+            at = upto

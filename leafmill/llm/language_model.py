@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mixed, parts_for, words_of
+from .common import WordHashes, materialize, mixed, packed, parts_for, unpacked, words_of
 
 #: Chunks of training documents, of others, and of the training documents on which weights are learned.
 TRAIN, OTHER, HELD = 0, 1, 2
@@ -27,20 +27,6 @@ STEP = 10
 BIGRAM = np.uint64(0x9E3779B97F4A7C15)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Compressed bytes of whole numbers, byte plane by byte plane."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
-    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
-
-
 def end_and_start() -> tuple[np.uint64, np.uint64]:
     """Hashes of the end of a text and of what comes before it; no word has white space."""
     h = WordHashes()
