@@ -9,22 +9,47 @@ from pyspark.sql import functions as F
 from .common import materialize, parts_for, small
 
 
+def hypergeometric(good: int, bad: int, n: int, u: float) -> int:
+    """How many of `n` seats drawn from `good` and `bad` ones are good: the quantile `u`. For totals of any size.
+
+    Probabilities come from the ratios of neighbours around the mode, 12 standard deviations each way, beyond which less than 1e-30 lies.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 30 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (float(bad - n) + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.exp(logs - logs.max()).cumsum()
+    return low + int(np.searchsorted(chance, u * chance[-1], side="right").clip(0, high - low))
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """Rows that each part sends to each shard: drawn exactly, as if all rows were permuted and cut into shards of sizes at most one apart.
 
-    Each part draws a multivariate hypergeometric sample from the seats that the parts before it left.
+    Each part draws a multivariate hypergeometric sample from the seats that the parts before it left, shard by shard.
     """
     total = sum(counts)
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
-    rng = np.random.default_rng(seed)
+    left = [total // shards + (s < total % shards) for s in range(shards)]
+    draws = np.random.default_rng(seed)
     out = np.zeros((len(counts), shards), np.int64)
     for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[i]
+        rest = total
+        for s, u in enumerate(draws.random(shards).tolist()):
+            rest -= left[s]
+            taken = hypergeometric(left[s], rest, n, u)
+            out[i, s] = taken
+            left[s] -= taken
+            total -= taken
+            n -= taken
     return out
 
 
-def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 20, part_rows: int = 65_536) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 20, part_rows: int = 65_536, most_parts: int = 100_000) -> DataFrame:
     """Deals `rows` into `shards` shards, uniformly at random, with sizes at most one apart; adds shard and slot (from 0, gapless in each shard).
 
     Rows are dealt by two hashes of all their columns, so the result depends on the rows and the seed alone, not on files, splits or lost
@@ -32,15 +57,16 @@ def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 20, part_rows: int
     to blocks of a shard, and permuted again; a block starts at the number of rows in the blocks before it. Equal rows are
     counted before they move and numbered after, so repeats of one row spread over all parts. The plan moves hashes only; the rows
     themselves move once, to their places. Columns of map type are not supported. Nulls are values like others; an empty
-    table gives an empty one. Input columns named shard or slot are replaced. The driver holds a count for each part and
-    shard: rows / part_rows * shards numbers.
+    table gives an empty one. Input columns named shard or slot are replaced. Parts have about `part_rows` rows, or more if there would be over `most_parts` parts:
+    the driver holds a count for each part and shard.
     """
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
-    keyed = rows.select(F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(seed), F.lit("row"), *cols).alias("_k2"), F.struct(*cols).alias("_row"))
+    nulls = [F.col(c).isNull() for c in cols]  # a hash passes over nulls
+    keyed = rows.select(F.xxhash64(*nulls, *cols).alias("_k1"), F.xxhash64(F.lit(seed), F.lit("row"), *nulls, *cols).alias("_k2"), F.struct(*cols).alias("_row"))
     keys = materialize(keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")), "rows")
     n = keys.agg(F.sum("_n")).first()[0] or 0
     copies = keys.select("_k1", "_k2", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
-    parts = parts_for(n, part_rows)
+    parts = min(parts_for(n, part_rows), most_parts)
     draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "_k1", "_k2", "_copy")
     dealt = copies.withColumn("_part", F.pmod(draw("part"), F.lit(parts)).cast("int"))
     counts = [0] * parts
