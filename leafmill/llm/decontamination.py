@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import give_back, materialize, pieces
+
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.?!\n]+\s*")
 #: BM25's usual constants.
@@ -47,14 +49,16 @@ def overlap(part: list[str], passage: list[str], width: int = 3) -> float:
 
 
 class Index:
-    """Postings of test items by term, with weights that sum to 1 for each item: BM25 over the item's score against itself."""
+    """Postings of test items by term, with weights that sum to 1 for each item: BM25 over the item's score against itself.
+
+    `known` has the number of all items, their mean length and the number of items by term, if `items` are some of them.
+    """
 
-    def __init__(self, items: list[tuple[object, str]], block: int = 4):
+    def __init__(self, items: list[tuple[object, str]], block: int = 4, known: tuple[int, float, dict[str, int]] | None = None):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         texts = [q + a for q, a in self.parts]
         self.longest = max(map(len, texts), default=0)
-        mean = sum(map(len, texts)) / max(1, len(texts))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         counts = [defaultdict(int) for _ in texts]
         for c, t in zip(counts, texts, strict=True):
@@ -64,8 +68,11 @@ class Index:
         for c in counts:
             for w in c:
                 held[w] += 1
+        every, mean = len(texts), sum(map(len, texts)) / max(1, len(texts))
+        if known:
+            every, mean, held = known
         for i, c in enumerate(counts):
-            own = {w: np.log1p((len(texts) - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(texts[i]) / mean)) for w, n in c.items()}
+            own = {w: np.log1p((every - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(texts[i]) / mean)) for w, n in c.items()}
             total = sum(own.values())
             for w, x in own.items():
                 postings[w].append((i, x / total))
@@ -161,13 +168,34 @@ class Index:
 
 
 def indexes(items: DataFrame, block_items: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of all items in blocks of about `block_items`, so that what a task gets is bounded; items without words are left out."""
+    """Indexes of all items in blocks of about `block_items`, so that what a task gets is bounded; items without words are left out.
+
+    Scores don't depend on the blocks: numbers of items by term, and of all items, are counted over all of them.
+    """
     items = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"\w"))
-    blocks = max(1, -(-items.count() // block_items))
-    for b in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        if held:
-            yield Index([(r["i"], r["t"]) for r in held])
+    n = items.count()
+    blocks = max(1, -(-n // block_items))
+    of_block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")
+    if blocks == 1:
+        if n:
+            yield Index([(r["i"], r["t"]) for r in items.orderBy("i", "t").collect()])
+        return
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            texts = [words(t) for t in b.column(1).to_pylist()]
+            found = [(block, w, len(t)) for block, t in zip(b.column(0).to_pylist(), texts, strict=True) for w in dict.fromkeys(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], names=["block", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(t) for t in texts], pa.int32()), pa.nulls(len(texts), pa.string())], names=["block", "term"])
+
+    counted = materialize(items.select(of_block.alias("block"), "t").mapInArrow(terms, "block int, term string").groupBy("block", "term").count(), "terms")
+    lengths = counted.where("term is null").agg(F.sum(F.col("block") * F.col("count"))).first()[0]
+    counted = counted.where("term is not null")
+    held = counted.join(counted.groupBy("term").agg(F.sum("count").alias("items")), "term")
+    for k in range(blocks):
+        own = items.where(of_block == k).orderBy("i", "t").collect()
+        if own:
+            yield Index([(r["i"], r["t"]) for r in own], known=(n, lengths / n, {r["term"]: r["items"] for r in held.where(F.col("block") == k).select("term", "items").collect()}))
 
 
 def grouped(batch: pa.RecordBatch, column: int, most: int = 400_000) -> Iterator[tuple[list[int], list[list[str]]]]:
@@ -202,11 +230,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, least_
     for index in indexes(items):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, 1):
                 hits = [(rows[k], item, *x) for rows, texts in grouped(b, 1) for k, found in enumerate(index.search(texts, threshold, least_overlap)) for item, x in found.items()]
                 ids = b.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
                 item_ids = pa.array([index.ids[h[1]] for h in hits], to_arrow_type(item_type))
                 yield pa.RecordBatch.from_arrays([ids, item_ids, *[pa.array([h[j] for h in hits], pa.float64()) for j in (2, 3, 4)], pa.array([h[5] for h in hits], pa.int64())], names=[id_col, "item_id", "score", "question_overlap", "answer_overlap", "start_word"])
+            give_back()
 
         out = out.unionByName(docs.select(id_col, text_col).mapInArrow(search, schema))
     return out
@@ -217,10 +246,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.6, lea
     for index in indexes(items):
 
         def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, text_col):
                 column = b.schema.get_field_index(text_col)
                 keep = [not found for rows, texts in grouped(b, column) for found in index.search(texts, threshold, least_overlap)]
                 yield b.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
