@@ -44,7 +44,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("options", [{}, {"deletion_below": 10**6, "rounds": 1, "bucket_keys": 500}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 1, "bucket_keys": 500, "most": 5}, {"rounds": 0, "hot": 1, "key_cost": 0.01, "most": 4}])
 def test_jaccard_join(docs, options):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(docs, **options).collect())
     rows = rows_of(docs)
@@ -71,16 +71,41 @@ def test_jaccard_join_compares_all_parts_of_a_run(spark):
     rng = random.Random(11)
     base = prose(rng, 100).split()
     df = spark.createDataFrame([(i, " ".join([*base[:50], f"own{i}", *base[51:]]).encode()) for i in range(8)], "doc_id long, text binary")
-    join = jaccard_join.Join(df, 75, 5, 1.4, 0, 2_000_000, 4)
+    join = jaccard_join.Join(df, most=4)
     nodes = sorted(r["s1"] for r in join.classes.collect())
     # One component is the whole first part of the run of all eight sets.
     labels = spark.createDataFrame([(n, i // 4) for i, n in enumerate(nodes)], "l_node long, label long")
-    found = {(r["a"], r["b"]) for r in jaccard_join.close_pairs(join, join.open_runs(join.runs, labels)).collect()}
+    blocks = jaccard_join.blocks_of(join, join.open_runs(join.runs, labels), 1000, 4.0)
+    found = {(r["a"], r["b"]) for r in jaccard_join.close_pairs(join, blocks, labels).collect()}
     assert found == {(a, b) for a in nodes[:4] for b in nodes[4:]}
     one = labels.withColumn("label", F.lit(1).cast("long"))
     assert join.open_runs(join.runs, one).count() == 0
 
 
+def test_skippers_meet_in_their_one_deletion_neighbourhoods(spark):
+    # Texts share a passage; each has a partner that differs in one word. Keys of the passage are skipped, and no link is lost.
+    rng = random.Random(12)
+    passage, rows = prose(rng, 30), []
+    for i in range(12):
+        own = prose(rng, 90).split()
+        rows.append((2 * i, passage + " " + " ".join(own)))
+        own[rng.randrange(90)] = "other"
+        rows.append((2 * i + 1, passage + " " + " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_join.Join(df.select("doc_id", F.col("text").cast("binary").alias("text")))
+    runs = join.open_runs(join.runs, None)
+    skippers = join.skippers(runs, 4, 0.01)
+    n = skippers.count()
+    assert n
+    near = join.neighbour_runs(skippers, n).collect()
+    assert near
+    sets = {r["s1"]: r["doc_id"] for r in join.sets.collect()}
+    met = {frozenset((sets[a] // 2, sets[b] // 2)) for r in near for a in r["left"] for b in r["right"]}
+    assert frozenset((0,)) in met
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(df, rounds=0, hot=4, key_cost=0.01).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
+
+
 def test_one_of_each_group(docs):
     kept = jaccard_join.one_of_each_group(docs)
     assert kept.columns == docs.columns
@@ -111,6 +136,32 @@ def test_compact_windows_cover_each_passage_once():
             assert len(own) == 1 and own[0][1] == i + v[i : j + 1].argmin()
 
 
+def test_index_blocks_do_not_change_scores(spark):
+    rng = random.Random(4)
+    common = prose(rng, 8)
+    items = spark.createDataFrame([(i, f"{common} {prose(rng, 10 + i % 7)}? {prose(rng, 5)}.") for i in range(40)] + [(3, None), (None, "some words")], "item_id long, text string")
+    scores = [{(i.ids[k], t, round(x, 12)) for i in decontamination.indexes(items, n) for t, p, w in zip(i.terms, i.items, i.weights, strict=True) for k, x in zip(p, w, strict=True)} for n in (1000, 9)]
+    assert scores[0] == scores[1]
+
+
+def test_hypergeometric_draws_of_large_totals():
+    # Against numpy's distribution where numpy can draw, and beyond its limit.
+    rng = np.random.default_rng(1)
+    own = [sharding.hypergeometric(300, 700, 100, u) for u in rng.random(20_000)]
+    other = rng.hypergeometric(300, 700, 100, 20_000)
+    assert abs(np.mean(own) - other.mean()) < 0.15 and abs(np.std(own) - other.std()) < 0.1
+    counts = [700_000_000, 900_000_000, 400_000_003]
+    m = sharding.communication_matrix(counts, 3, 1)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == [666_666_668, 666_666_668, 666_666_667]
+    assert abs(m[0, 0] - 700_000_000 / 3) < 150_000
+
+
+def test_sharding_keeps_rows_that_differ_in_where_a_null_is(spark):
+    df = spark.createDataFrame([("x", None), (None, "x"), (None, None)] * 3, "lang string, source string")
+    got = Counter((r["lang"], r["source"]) for r in sharding.shard_rows(df, 2).collect())
+    assert got == {("x", None): 3, (None, "x"): 3, (None, None): 3}
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(i, prose(rng, 20) + "? " + prose(rng, 12) + ".") for i in range(30)] + [(30, None), (31, "")]
