@@ -14,10 +14,10 @@ FRAMES_DUCKDB = """s AS (SELECT batch_id, frame_ref_w, frame_ref_h, string_split
     fr AS (SELECT batch_id, frame_ref_w, frame_ref_h, pos, try_cast(p[1] AS DOUBLE) AS x, try_cast(p[2] AS DOUBLE) AS y, try_cast(p[3] AS DOUBLE) AS w, try_cast(p[4] AS DOUBLE) AS h FROM b WHERE len(p) = 4),
     ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS INT) AS n, CAST(count(*) OVER (PARTITION BY batch_id) AS INT) AS total FROM fr WHERE x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL)"""
 
-#: A stored crop as four corners in an image of 1000 x 800: eight numbers are a quad, four a rectangle kept inside and truncated, else the whole image.
+#: A stored crop as four corners in an image of 1000 x 800: eight numbers are a quad, four a rectangle truncated, not below 0 and not beyond the image's end, else the whole image.
 _CROP = """cq AS (SELECT job_id, CASE WHEN k = 8 AND good = 8 THEN 'quad' WHEN k = 4 AND good = 4 THEN 'rect' ELSE 'whole' END AS kind, n1, n2, n3, n4, n5, n6, n7, n8 FROM cn),
-    cr AS (SELECT job_id, kind, least(greatest(CAST(trunc_(n1) AS INT), 0), 999) AS rx, least(greatest(CAST(trunc_(n2) AS INT), 0), 799) AS ry, CAST(trunc_(n3) AS INT) AS rw, CAST(trunc_(n4) AS INT) AS rh, n1, n2, n3, n4, n5, n6, n7, n8 FROM cq),
-    cs AS (SELECT *, CASE kind WHEN 'rect' THEN greatest(1, least(rw, 1000 - rx)) ELSE 1000 END AS cw, CASE kind WHEN 'rect' THEN greatest(1, least(rh, 800 - ry)) ELSE 800 END AS ch FROM cr),
+    cr AS (SELECT job_id, kind, greatest(CAST(trunc_(n1) AS INT), 0) AS rx, greatest(CAST(trunc_(n2) AS INT), 0) AS ry, CAST(trunc_(n3) AS INT) AS rw, CAST(trunc_(n4) AS INT) AS rh, n1, n2, n3, n4, n5, n6, n7, n8 FROM cq),
+    cs AS (SELECT *, CASE kind WHEN 'rect' THEN least(rw, 1000 - rx) ELSE 1000 END AS cw, CASE kind WHEN 'rect' THEN least(rh, 800 - ry) ELSE 800 END AS ch FROM cr),
     crop AS (SELECT job_id, kind, CASE kind WHEN 'quad' THEN n1 WHEN 'rect' THEN CAST(rx AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS x1, CASE kind WHEN 'quad' THEN n2 WHEN 'rect' THEN CAST(ry AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y1,
        CASE kind WHEN 'quad' THEN n3 WHEN 'rect' THEN CAST(rx + cw AS DOUBLE) ELSE CAST(1000 AS DOUBLE) END AS x2, CASE kind WHEN 'quad' THEN n4 WHEN 'rect' THEN CAST(ry AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y2,
        CASE kind WHEN 'quad' THEN n5 WHEN 'rect' THEN CAST(rx + cw AS DOUBLE) ELSE CAST(1000 AS DOUBLE) END AS x3, CASE kind WHEN 'quad' THEN n6 WHEN 'rect' THEN CAST(ry + ch AS DOUBLE) ELSE CAST(800 AS DOUBLE) END AS y3,
@@ -43,6 +43,18 @@ CALIBRATION_TEXT = "t AS (SELECT calibration_id, concat('3000,3010,', CAST(calib
 _BASE = "regexp_replace(regexp_replace(original_path, '^.*/', ''), '[.][^.]*$', '')"
 _DIR = "regexp_replace(original_path, '[^/]*$', '')"
 
+#: Files under the names of the originals that they may derive from: without the ending, and without a known suffix and the ending.
+_SUFFIX, _ENDING = "(_processed|_1_left|_2_right|_frame[0-9]+)[.][^.]+$", "[.][^.]+$"
+_NAMES = f"CASE WHEN matches_(file, '{_SUFFIX}') THEN regexp_replace(file, '{_SUFFIX}', '') END, CASE WHEN matches_(file, '{_ENDING}') THEN regexp_replace(file, '{_ENDING}', '') END"
+_FILES = f"lf AS (SELECT path, {_DIR.replace('original_path', 'path')} AS dir, lower(regexp_replace(path, '^.*/', '')) AS file FROM listing)"
+NAMED_SPARK = f"{_FILES}, ln AS (SELECT path, dir, file, explode(array_compact(array_distinct(array({_NAMES.replace('matches_', 'regexp_like')})))) AS base FROM lf)"
+NAMED_DUCKDB = f"{_FILES}, ln AS (SELECT path, dir, file, unnest(list_distinct([{_NAMES.replace('matches_', 'regexp_matches')}])) AS base FROM lf)"
+_TIERS = f"""o AS (SELECT job_id, original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM f), i AS (SELECT * FROM ln WHERE matches_(file, '[.](tif|tiff|jpg|jpeg|png)$')),
+        d AS (SELECT job_id, i.path, 2 AS tier FROM o JOIN i ON o.dir = i.dir AND o.base = i.base WHERE lower(i.path) <> lower(o.original_path)), q AS (SELECT job_id, i.path, 3 AS tier FROM o JOIN i ON concat(o.dir, 'Processed/') = i.dir AND o.base = i.base),
+        g AS (SELECT job_id, original_path AS path, 4 AS tier FROM o JOIN listing l ON o.original_path = l.path),
+        u AS (SELECT * FROM r UNION ALL SELECT * FROM d UNION ALL SELECT * FROM q UNION ALL SELECT * FROM g), t AS (SELECT *, min(tier) OVER (PARTITION BY job_id) AS best FROM u)
+        SELECT DISTINCT job_id, path, tier FROM t WHERE tier = best"""
+
 PLANS = {
     "b01_parse_frames": Plan(("batch",), "Frames of a batch; malformed entries are skipped.", f"WITH {FRAMES_SPARK} SELECT batch_id, n, x, y, w, h FROM ok", f"WITH {FRAMES_DUCKDB} SELECT batch_id, n, x, y, w, h FROM ok"),
     "b02_format_frames": Plan(("batch",), "Frames as text again, one decimal.",
@@ -58,21 +70,11 @@ PLANS = {
         """SELECT j.job_id, concat(p.name, '_', b.batch_code, '_', lpad(CAST(j.page_number AS STRING), 6, '0'), CASE WHEN j.original_path LIKE '%!_R.jpg' ESCAPE '!' THEN '_R' ELSE '' END) AS name,
         concat(p.output_directory, '/', b.batch_code, '/Thumbnails/', lpad(CAST(j.page_number AS STRING), 6, '0'), '.png') AS thumbnail FROM capture_job j JOIN batch b ON j.batch_id = b.batch_id JOIN project p ON b.project_id = p.project_id"""),
     "b10_is_derivative": Plan(("capture_job", "listing"), "Files of the same folder that derive from a job's original: base name and a known suffix; recaptures of the page do not.",
-        f"""WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), l AS (SELECT path, {_DIR.replace('original_path', 'path')} AS dir, lower(regexp_replace(path, '^.*/', '')) AS file FROM listing)
-        SELECT original_path, path FROM o JOIN l ON o.dir = l.dir AND substring(l.file, 1, length(o.base)) = o.base WHERE regexp_like(substring(l.file, length(o.base) + 1), '^(_processed|_1_left|_2_right|_frame[0-9]+)?[.][^.]+$')""",
-        f"""WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), l AS (SELECT path, {_DIR.replace('original_path', 'path')} AS dir, lower(regexp_replace(path, '^.*/', '')) AS file FROM listing)
-        SELECT original_path, path FROM o JOIN l ON o.dir = l.dir AND substring(l.file, 1, length(o.base)) = o.base WHERE regexp_matches(substring(l.file, length(o.base) + 1), '^(_processed|_1_left|_2_right|_frame[0-9]+)?[.][^.]+$')"""),
-    "b11_resolve_outputs": Plan(("capture_job", "listing"), "Files to export of each final page; the first of these that there are: recorded outputs, derivatives beside the original, old ones in Processed/, the original. Reduced: beside the original only base_processed.tif, in Processed/ only base.tif.",
-        f"""WITH {FINAL}, r AS (SELECT job_id, p.path, 1 AS tier FROM (SELECT job_id, explode(split(processed_path, ';')) AS path FROM f) p JOIN listing l ON p.path = l.path),
-        d AS (SELECT job_id, l.path, 2 AS tier FROM f JOIN listing l ON l.path = regexp_replace(f.original_path, '[.]jpg$', '_processed.tif')),
-        o AS (SELECT job_id, l.path, 3 AS tier FROM f JOIN listing l ON l.path = concat({_DIR}, 'Processed/', {_BASE}, '.tif')), g AS (SELECT job_id, original_path AS path, 4 AS tier FROM f),
-        u AS (SELECT * FROM r UNION ALL SELECT * FROM d UNION ALL SELECT * FROM o UNION ALL SELECT * FROM g), t AS (SELECT *, min(tier) OVER (PARTITION BY job_id) AS best FROM u)
-        SELECT DISTINCT job_id, path, tier FROM t WHERE tier = best""",
-        f"""WITH {FINAL}, p AS (SELECT job_id, unnest(string_split(processed_path, ';')) AS path FROM f), r AS (SELECT job_id, p.path, 1 AS tier FROM p JOIN listing l ON p.path = l.path),
-        d AS (SELECT job_id, l.path, 2 AS tier FROM f JOIN listing l ON l.path = regexp_replace(f.original_path, '[.]jpg$', '_processed.tif')),
-        o AS (SELECT job_id, l.path, 3 AS tier FROM f JOIN listing l ON l.path = concat({_DIR}, 'Processed/', {_BASE}, '.tif')), g AS (SELECT job_id, original_path AS path, 4 AS tier FROM f),
-        u AS (SELECT * FROM r UNION ALL SELECT * FROM d UNION ALL SELECT * FROM o UNION ALL SELECT * FROM g), t AS (SELECT *, min(tier) OVER (PARTITION BY job_id) AS best FROM u)
-        SELECT DISTINCT job_id, path, tier FROM t WHERE tier = best"""),
+        f"WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), {NAMED_SPARK} SELECT original_path, path FROM o JOIN ln ON o.dir = ln.dir AND o.base = ln.base",
+        f"WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), {NAMED_DUCKDB} SELECT original_path, path FROM o JOIN ln ON o.dir = ln.dir AND o.base = ln.base"),
+    "b11_resolve_outputs": Plan(("capture_job", "listing"), "Files to export of each final page; the first of these that there are: recorded outputs that exist, images that derive from the original beside it, those in Processed/, the original.",
+        f"WITH {FINAL}, {NAMED_SPARK}, r AS (SELECT job_id, p.path, 1 AS tier FROM (SELECT job_id, explode(split(processed_path, ';')) AS path FROM f) p JOIN listing l ON p.path = l.path), {_TIERS.replace('matches_', 'regexp_like')}",
+        f"WITH {FINAL}, {NAMED_DUCKDB}, p AS (SELECT job_id, unnest(string_split(processed_path, ';')) AS path FROM f), r AS (SELECT job_id, p.path, 1 AS tier FROM p JOIN listing l ON p.path = l.path), {_TIERS.replace('matches_', 'regexp_matches')}"),
     "b12_decode_setting": Plan(("lineitem",), "Name of a setting's code; unknown ones in hexadecimal.",
         f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', hex(q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code",
         f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', printf('%X', q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code"),

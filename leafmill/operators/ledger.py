@@ -18,6 +18,10 @@ FOLD = """s AS (SELECT *, min(CASE WHEN lower(status_type) = 'supersede' THEN ts
                   max(CASE WHEN field = 'ocr' THEN new_status END) AS ocr, max(CASE WHEN field = 'export' THEN new_status END) AS export FROM l WHERE rn = 1 GROUP BY job_id),
      a AS (SELECT job_id, max(CASE WHEN cut IS NOT NULL THEN 1 ELSE 0 END) AS gone FROM s GROUP BY job_id)"""
 
+#: A frame's four numbers.
+FRAME = "^ *-?[0-9.]+ *, *-?[0-9.]+ *, *-?[0-9.]+ *, *-?[0-9.]+ *$"
+OUTPUTS = "SELECT batch_id, CAST(CASE WHEN frames > 0 THEN frames WHEN split_book_pages THEN 2 ELSE 1 END AS INT) AS outputs FROM q"
+
 #: Extension of a path, cut off.
 STEM = "regexp_replace(path, '[.][^./]+$', '')"
 
@@ -99,17 +103,21 @@ PLANS = {
         SELECT job_id, edited AS left_crop_box, (qc_status = 'WARNING') OR (edited IS DISTINCT FROM left_crop_box) AS manual_crop, 'Pending' AS processing_status, 'Pending' AS qc_status, 'Pending' AS ocr_status, 'Pending' AS export_status FROM e"""),
     "a24_page_status": Plan(("capture_job",), "One label for a page; the first that fits.",
         "SELECT job_id, CASE WHEN processing_status = 'Failed' THEN 'Processing failed' WHEN ocr_status = 'Failed' THEN 'OCR failed' WHEN qc_status = 'FAIL' THEN 'QC fail' WHEN qc_status = 'WARNING' THEN 'Needs review' WHEN processing_status = 'Completed' THEN 'Processed' ELSE 'Processing' END AS label FROM capture_job"),
-    "a25_severity": Plan(("capture_job",), "Severity of a status text, by what it contains.",
-        """SELECT status, count(*) AS n, CASE WHEN lower(status) LIKE '%fail%' OR lower(status) LIKE '%error%' THEN 'Fail' WHEN lower(status) LIKE '%warn%' OR lower(status) LIKE '%review%' THEN 'Warning' WHEN lower(status) LIKE '%complete%' OR lower(status) LIKE '%pass%' THEN 'Success'
-        WHEN lower(status) LIKE '%progress%' OR lower(status) LIKE '%pending%' THEN 'InProgress' ELSE 'Neutral' END AS severity
-        FROM (SELECT processing_status AS status FROM capture_job UNION ALL SELECT qc_status FROM capture_job UNION ALL SELECT ocr_status FROM capture_job UNION ALL SELECT export_status FROM capture_job) u GROUP BY status"""),
-    "a26_worker_route": Plan(("capture_job", "batch", "calibration"), "How a job is processed: by fixed frames or normally, at which resolution, and the resulting status; a job with frames keeps its check pending.",
-        """WITH c AS (SELECT project_id, max(CASE WHEN target_w_in IS NOT NULL THEN pixel_w / target_w_in END) AS ppi FROM calibration GROUP BY project_id)
-        SELECT j.job_id, CASE WHEN trim(coalesce(b.fixed_frames, '')) <> '' THEN 'frames' ELSE 'normal' END AS route, CASE WHEN b.dpi > 0 THEN 'stamped' WHEN c.ppi IS NOT NULL THEN 'calibration' ELSE 'fallback' END AS dpi_source,
+    "a25_severity": Plan(("capture_job",), "Severity of a status text or page label; the first rule that fits.",
+        """WITH u AS (SELECT processing_status AS status FROM capture_job UNION ALL SELECT qc_status FROM capture_job UNION ALL SELECT ocr_status FROM capture_job UNION ALL SELECT export_status FROM capture_job
+        UNION ALL SELECT CASE WHEN processing_status = 'Failed' THEN 'Processing failed' WHEN ocr_status = 'Failed' THEN 'OCR failed' WHEN qc_status = 'FAIL' THEN 'QC fail' WHEN qc_status = 'WARNING' THEN 'Needs review' WHEN processing_status = 'Completed' THEN 'Processed' ELSE 'Processing' END FROM capture_job)
+        SELECT status, count(*) AS n, CASE WHEN coalesce(status, '') = '' THEN 'Neutral' WHEN lower(status) LIKE '%qc fail%' OR status = 'Processing failed' THEN 'Fail'
+        WHEN status IN ('NOT READY', 'SET PROJECT & BATCH') OR lower(status) LIKE '%ocr failed%' OR lower(status) LIKE '%needs review%' OR lower(status) LIKE '%lower confidence%' OR lower(status) LIKE '%no boundary detected%' THEN 'Warning'
+        WHEN status LIKE '✓%' OR status IN ('Processed', 'READY TO CAPTURE', 'AUTO CAPTURE ACTIVE') THEN 'Success' WHEN status = 'Recapturing' OR lower(status) LIKE '%processing%' THEN 'InProgress' ELSE 'Neutral' END AS severity
+        FROM u GROUP BY status"""),
+    "a26_worker_route": Plan(("capture_job", "batch", "calibration"), "How a job is processed: by fixed frames or normally, whether the resolution is measured (all four sizes of the calibration at the batch's start) or the fallback, and the resulting status; a job with frames keeps its check pending.",
+        """WITH c AS (SELECT *, lead(calibrated_utc) OVER (PARTITION BY project_id ORDER BY calibrated_utc, calibration_id) AS until FROM calibration)
+        SELECT j.job_id, CASE WHEN trim(coalesce(b.fixed_frames, '')) <> '' THEN 'frames' ELSE 'normal' END AS route, CASE WHEN c.target_w_in > 0 AND c.target_h_in > 0 AND c.pixel_w IS NOT NULL AND c.pixel_h IS NOT NULL THEN 'calibration' ELSE 'fallback' END AS dpi_source,
         CASE WHEN j.processing_status = 'Completed' AND j.processed_path IS NOT NULL THEN 'Completed' ELSE 'Failed' END AS output_status, CASE WHEN trim(coalesce(b.fixed_frames, '')) <> '' THEN 'Pending' ELSE j.qc_status END AS qc_status
-        FROM capture_job j LEFT JOIN batch b ON j.batch_id = b.batch_id LEFT JOIN c ON b.project_id = c.project_id"""),
-    "a27_expected_outputs": Plan(("batch",), "Files expected of each page: one for each frame, else two when pages are split, else one.",
-        "SELECT batch_id, CASE WHEN trim(coalesce(fixed_frames, '')) <> '' THEN length(fixed_frames) - length(replace(fixed_frames, ';', '')) + 1 - CASE WHEN fixed_frames LIKE '%oops%' THEN 1 ELSE 0 END WHEN split_book_pages THEN 2 ELSE 1 END AS outputs FROM batch"),
+        FROM capture_job j LEFT JOIN batch b ON j.batch_id = b.batch_id LEFT JOIN c ON b.project_id = c.project_id AND c.calibrated_utc <= b.start_time AND (c.until IS NULL OR b.start_time < c.until)"""),
+    "a27_expected_outputs": Plan(("batch",), "Files expected of each page: one for each well-formed frame, else two when pages are split, else one.",
+        f"WITH q AS (SELECT batch_id, split_book_pages, size(filter(split(fixed_frames, ';'), t -> t RLIKE '{FRAME}')) AS frames FROM batch) {OUTPUTS}",
+        f"WITH q AS (SELECT batch_id, split_book_pages, len(list_filter(string_split(fixed_frames, ';'), lambda t: regexp_matches(t, '{FRAME}'))) AS frames FROM batch) {OUTPUTS}"),
     "a28_qc_rollup": Plan(("capture_job",), "Verdicts of a batch: counts, the worst, and the mean sharpness setting.",
         """SELECT batch_id, sum(CASE WHEN qc_status = 'PASS' THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN qc_status = 'WARNING' THEN 1 ELSE 0 END) AS warned, sum(CASE WHEN qc_status = 'FAIL' THEN 1 ELSE 0 END) AS failed,
         CASE max(CASE qc_status WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' ELSE 'Pending' END AS worst, round(avg(sharpness), 6) AS mean_sharpness FROM capture_job GROUP BY batch_id"""),

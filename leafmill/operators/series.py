@@ -58,9 +58,10 @@ PLANS = {
         """WITH t AS (SELECT a.image_id, a.pos AS k, a.pos AS x0, a.row_val AS y0, b.pos AS x1, b.row_val AS y1 FROM edge a JOIN edge b ON a.image_id = b.image_id AND b.pos = (a.pos * 37 + 11) % 64 AND b.pos <> a.pos), l AS (SELECT image_id, k, (y1 - y0) / (x1 - x0) AS s, y0 - x0 * (y1 - y0) / (x1 - x0) AS c FROM t),
         q AS (SELECT l.image_id, l.k, l.s, l.c, sum(CASE WHEN abs(e.row_val - l.s * e.pos - l.c) <= 4 THEN 1 ELSE 0 END) AS inliers FROM l JOIN edge e ON e.image_id = l.image_id GROUP BY l.image_id, l.k, l.s, l.c), w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY inliers DESC, k) AS rn FROM q)
         SELECT w.image_id, max(w.inliers) AS inliers, round(regr_slope(e.row_val, e.pos), 6) AS slope FROM w JOIN edge e ON e.image_id = w.image_id AND abs(e.row_val - w.s * e.pos - w.c) <= 4 WHERE w.rn = 1 AND w.inliers >= 2 GROUP BY w.image_id"""),
-    "e15_edge_quality": both(("edge",), "Spread of an edge around its line and its median strength; good if steady and at least half as strong as the strongest.",
-        """WITH f AS (SELECT image_id, regr_slope(row_val, pos) AS s, regr_intercept(row_val, pos) AS c, median(strength) AS strength FROM edge GROUP BY image_id), j AS (SELECT f.image_id, max(f.strength) AS strength, sqrt(avg(power(e.row_val - f.s * e.pos - f.c, 2))) AS jitter FROM f JOIN edge e ON e.image_id = f.image_id GROUP BY f.image_id)
-        SELECT image_id, round(jitter, 6) AS jitter, strength, jitter <= 3 AND strength >= 0.5 * (SELECT max(strength) FROM j) AS good FROM j"""),
+    "e15_edge_quality": both(("edge",), "Spread of each half of an edge around its line and its median strength; good if steady and at least half as strong as the stronger half of its image, else it needs a second try. Reduced: halves stand for sides; no distance to the gutter.",
+        """WITH h AS (SELECT e.*, CASE WHEN 2 * pos < max(pos) OVER (PARTITION BY image_id) + 1 THEN 'left' ELSE 'right' END AS side FROM edge e), f AS (SELECT image_id, side, regr_slope(row_val, pos) AS s, regr_intercept(row_val, pos) AS c, median(strength) AS strength FROM h GROUP BY image_id, side),
+        j AS (SELECT f.image_id, f.side, max(f.strength) AS strength, sqrt(avg(power(h.row_val - f.s * h.pos - f.c, 2))) AS jitter FROM f JOIN h ON h.image_id = f.image_id AND h.side = f.side GROUP BY f.image_id, f.side), g AS (SELECT *, jitter <= 3 AND strength >= 0.5 * max(strength) OVER (PARTITION BY image_id) AS good FROM j)
+        SELECT image_id, side, round(jitter, 6) AS jitter, strength, good, NOT good AS needs_retry FROM g"""),
     "e16_interp": both(("profile",), "A profile at places between its samples, by straight lines; ends are held.",
         "WITH s AS (SELECT image_id, pos, val, lead(pos) OVER w AS p1, lead(val) OVER w AS v1 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.25e0 AS x, round(CASE WHEN p1 IS NULL THEN val ELSE val + (v1 - val) * 0.25e0 / (p1 - pos) END, 9) AS val FROM s"),
     "e17_arc_length": both(("edge",), "Length along an edge up to each sample.", "WITH d AS (SELECT image_id, pos, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, pos, round(sum(coalesce(step, 0)) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS length FROM d"),
@@ -79,7 +80,7 @@ PLANS = {
     "e26_marker_spacing": both(("contour",), "Middle distance of outlines' centres to their nearest neighbour, by image.",
         "WITH p AS (SELECT image_id, contour_id, x + w / 2e0 AS cx, y + h / 2e0 AS cy FROM contour), d AS (SELECT a.image_id, a.contour_id, min(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS d FROM p a JOIN p b ON a.image_id = b.image_id AND a.contour_id <> b.contour_id GROUP BY a.image_id, a.contour_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d, contour_id) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM d) SELECT image_id, round(d, 6) AS spacing FROM r WHERE k = floor(n / 2e0)"),
     "e28_detection_score": both(("contour",), "The best outline of each image over the passes; a later pass must be strictly better. Padded by 10 but where it touches the border.",
-        f"WITH {SCORED} SELECT image_id, contour_id, pass, round(conf, 6) AS conf, CASE WHEN x <= 0 THEN x ELSE greatest(0, x - 10) END AS px, CASE WHEN y <= 0 THEN y ELSE greatest(0, y - 10) END AS py FROM best"),
+        f"WITH {SCORED} SELECT image_id, contour_id, pass, round(conf, 12) AS conf, CASE WHEN x <= 0 THEN x ELSE greatest(0, x - 10) END AS px, CASE WHEN y <= 0 THEN y ELSE greatest(0, y - 10) END AS py FROM best"),
     "e29_two_page_pair": both(("contour",), "The two largest outlines of 15 to 60 % of the image, left to right, if they overlap by a quarter of the narrower at most.",
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, contour_id) AS rn FROM contour WHERE area / 800000 BETWEEN 0.15 AND 0.6) SELECT a.image_id, CASE WHEN a.x + a.w / 2e0 <= b.x + b.w / 2e0 THEN a.contour_id ELSE b.contour_id END AS left_id, CASE WHEN a.x + a.w / 2e0 <= b.x + b.w / 2e0 THEN b.contour_id ELSE a.contour_id END AS right_id, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) AS overlap FROM r a JOIN r b ON a.image_id = b.image_id AND a.rn = 1 AND b.rn = 2 WHERE greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) <= 0.25 * least(a.w, b.w)"),
     "e30_crop_decision": both(("contour",), "Keep the whole page below a confidence of 0.3, crop with a warning below 0.5, else crop.",

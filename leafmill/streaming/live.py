@@ -12,7 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.plan import Plan, view
 
-INTERVAL_MS, SHARP, NEEDED, DIFFERS, WEIGHT, NEAR = 500, 40.0, 3, 18.0, 0.35, 0.03
+INTERVAL_MS, SHARP, NEEDED, DIFFERS, WEIGHT, NEAR, COVERED = 500, 40.0, 3, 18.0, 0.35, 0.03, 0.2
+#: Size of the live picture.
+IMAGE_W, IMAGE_H = 640, 480
 FRAMES = "frame_id long, stream_id long, ts timestamp, detected boolean, x double, y double, w double, h double, sharpness double, signature array<int>"
 CHECKS = "frame_id long, stream_id long, ts timestamp, stable boolean, smooth_x double, smooth_y double, smooth_w double, smooth_h double, stable_count int, settled boolean, triggered boolean"
 STATE = "last_ms long, x double, y double, w double, h double, count int, captured array<int>, previous array<int>"
@@ -38,13 +40,14 @@ class Watch:
         settled = difference(signature, self.previous) < DIFFERS
         self.previous = signature
         stable = triggered = False
-        if not f.detected or f.sharpness < SHARP:
+        new = (f.x, f.y, f.w, f.h)
+        if not f.detected or f.w * f.h < COVERED * IMAGE_W * IMAGE_H:
             self.box, self.count = None, 0
+        elif f.sharpness < SHARP:
+            self.box, self.count = new, 0
         else:
-            new = (f.x, f.y, f.w, f.h)
             if self.box is not None:
-                old = self.box
-                stable = all(abs(a - b) <= NEAR * size for a, b, size in zip(new, old, (old[2], old[3], old[2], old[3]), strict=True))
+                stable = all(abs(a - b) <= NEAR * size for a, b, size in zip(new, self.box, (IMAGE_W, IMAGE_H) * 2, strict=True))
             self.count = min(self.count + 1, NEEDED) if stable else 1
             self.box = tuple(WEIGHT * a + (1 - WEIGHT) * b for a, b in zip(new, self.box, strict=True)) if self.box is not None else new
             if self.count == NEEDED and difference(signature, self.captured) >= DIFFERS:
@@ -108,5 +111,8 @@ QUERIES = {
 
 PLANS = {
     "f02_detected_gate": Plan(("live_frame",), "Frames whose outline covers a fifth of the picture.", "SELECT frame_id, stream_id, detected AND w * h / (640 * 480) >= 0.2 AS passes FROM live_frame"),
-    "f08_readiness": Plan(("live_frame",), "What the operator is told; the first that fits.", "SELECT frame_id, CASE WHEN NOT detected THEN 'NOT READY' WHEN stream_id % 11 = 0 THEN 'SET PROJECT & BATCH' WHEN stream_id % 7 = 0 THEN 'EDITING FRAMES' WHEN sharpness >= 40 THEN 'AUTO CAPTURE ACTIVE' WHEN sharpness >= 20 THEN 'WAITING' ELSE 'READY' END AS readiness FROM live_frame"),
+    # A frame without a measurement means no camera, a stream is at the batch of its number, an active batch captures by itself, and frames of a batch that was not exported are being edited.
+    "f08_readiness": Plan(("live_frame", "batch"), "What the operator is told; the first that fits.",
+        """WITH s AS (SELECT l.frame_id, l.sharpness IS NOT NULL AS connected, b.project_id, b.batch_code, b.fixed_frames IS NOT NULL AND b.status = 'Completed' AS editing, b.status = 'Active' AS automatic, l.detected AND l.w * l.h / (640 * 480) >= 0.2 AS found FROM live_frame l LEFT JOIN batch b ON l.stream_id = b.batch_id)
+        SELECT frame_id, CASE WHEN NOT connected THEN 'NOT READY' WHEN project_id IS NULL OR trim(coalesce(batch_code, '')) = '' THEN 'SET PROJECT & BATCH' WHEN editing THEN 'EDITING FRAMES' WHEN NOT found THEN 'WAITING FOR DOCUMENT' WHEN automatic THEN 'AUTO CAPTURE ACTIVE' ELSE 'READY TO CAPTURE' END AS readiness FROM s"""),
 }

@@ -100,3 +100,41 @@ def test_ledger_stream(spark, tmp_path):
     q.stop()
     want = sorted(map(str, PLANS["a07_fold_status"].apply(job_event=df).collect()))
     assert sorted(map(str, spark.sql("SELECT job_id, processing_status, qc_status, ocr_status, export_status FROM statuses").collect())) == want
+
+
+def test_severity_of_page_labels(spark):
+    row = lambda p, q, o: ("j", 1, p, q, o, "Pending")
+    jobs = spark.createDataFrame([row("Failed", "PASS", "Completed"), row("Completed", "PASS", "Failed"), row("Completed", "FAIL", "Completed"), row("Completed", "WARNING", "Completed"), row("Completed", "PASS", "Completed"), row("Pending", "Pending", "Pending")], "job_id string, batch_id long, processing_status string, qc_status string, ocr_status string, export_status string")
+    got = {r["status"]: r["severity"] for r in PLANS["a25_severity"].apply(capture_job=jobs).collect()}
+    want = {"Processing failed": "Fail", "OCR failed": "Warning", "QC fail": "Fail", "Needs review": "Warning", "Processed": "Success", "Processing": "InProgress", "Failed": "Neutral", "PASS": "Neutral", "Completed": "Neutral", "Pending": "Neutral", "FAIL": "Neutral", "WARNING": "Neutral"}
+    assert got == want
+
+
+def test_crops_are_held_at_zero_only(spark):
+    from leafmill.functions.settings import PLANS as settings
+
+    rows = [(1, "-5.5,10.9,300.7,900"), (2, "1200,10,50,50"), (3, "1,2,3"), (4, "1,2,3,4,5,6,7,8")]
+    got = {r["job_id"]: [r[c] for c in ("kind", "x1", "y1", "x3", "y3")] for r in settings["b03_parse_crop"].apply(capture_job=spark.createDataFrame(rows, "job_id long, left_crop_box string")).collect()}
+    assert got == {1: ["rect", 0, 10, 300, 800], 2: ["rect", 1200, 10, 1000, 60], 3: ["whole", 0, 0, 1000, 800], 4: ["quad", 1, 2, 5, 6]}
+
+
+def test_outputs_are_resolved_by_tiers(spark):
+    from leafmill.functions.settings import PLANS as settings
+
+    job = lambda i, original, recorded=None: (i, 1, i, AT[0], original, recorded, "Completed", "Pending")
+    jobs = spark.createDataFrame([job(1, "d/a.jpg", "d/x.tif;d/gone.tif"), job(2, "d/b.jpg", "d/gone.tif"), job(3, "d/c.jpg"), job(4, "d/e.jpg"), job(5, "d/none.jpg")], "job_id long, batch_id long, page_number long, ts timestamp, original_path string, processed_path string, processing_status string, export_status string")
+    files = "d/a.jpg d/x.tif d/b.jpg d/b_1_left.TIF d/b_2_right.tif d/b_R_2024.jpg d/b.txt d/c.jpg d/Processed/c.png d/e.jpg".split()
+    listing = spark.createDataFrame([(f, 1) for f in files], "path string, length long")
+    got = sorted((r["job_id"], r["path"], r["tier"]) for r in settings["b11_resolve_outputs"].apply(capture_job=jobs, listing=listing).collect())
+    assert got == [(1, "d/x.tif", 1), (2, "d/b_1_left.TIF", 2), (2, "d/b_2_right.tif", 2), (3, "d/Processed/c.png", 3), (4, "d/e.jpg", 4)]
+
+
+def test_boxes_are_steady_within_a_share_of_the_picture(spark):
+    box = lambda i, x, sharp=60.0, w=400.0: (i, 1, datetime(2024, 1, 1, 0, 0, i), True, x, 80.0, w, 300.0, sharp, [1] * 4)
+    rows = [box(0, 100.0), box(1, 118.0), box(2, 140.0), box(3, 141.0, 10.0), box(4, 142.0), box(5, 142.0, 60.0, 100.0)]
+    got = {r["frame_id"]: (r["stable"], r["stable_count"], r["smooth_x"]) for r in live.watch_batch(spark.createDataFrame(rows, live.FRAMES)).collect()}
+    assert got[1] == (True, 2, pytest.approx(106.3))  # 18 of 640 is below 3 %
+    assert got[2][:2] == (False, 1)
+    assert got[3] == (False, 0, 141.0)  # too blurred: the new box stays
+    assert got[4][:2] == (True, 1 + 0) or got[4][:2] == (True, 1)
+    assert got[5] == (False, 0, None)  # under a fifth of the picture
