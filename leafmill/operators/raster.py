@@ -45,8 +45,14 @@ SMOOTH = f"""sx AS (SELECT image_id, y, x, v, {GAUSS[1]} * v + {GAUSS[0]} * (coa
 
 SIGNATURE_CELLS = """cells AS (SELECT image_id, cy, cx, sum(v * oy * ox) / sum(oy * ox) AS m FROM (SELECT p.image_id, p.v, c.cy, k.cx, least(CAST(p.y + 1 AS DOUBLE), (c.cy + 1) * z.h / 24) - greatest(CAST(p.y AS DOUBLE), c.cy * z.h / 24) AS oy,
     least(CAST(p.x + 1 AS DOUBLE), (k.cx + 1) * z.w / 24) - greatest(CAST(p.x AS DOUBLE), k.cx * z.w / 24) AS ox FROM pixel p JOIN dims z ON p.image_id = z.image_id JOIN rows24 c ON c.cy < (p.y + 1) * 24 / z.h AND c.cy + 1 > p.y * 24 / z.h JOIN cols24 k ON k.cx < (p.x + 1) * 24 / z.w AND k.cx + 1 > p.x * 24 / z.w) q WHERE oy > 0 AND ox > 0 GROUP BY image_id, cy, cx)"""
+#: The same without a join: a pixel's rows of cells, added up by column, then the columns' cells.
+SIGNATURE_SPARK = """part AS (SELECT q.image_id, q.x, q.w, q.cy, sum(q.v * q.oy) AS s, sum(q.oy) AS o FROM (SELECT p.image_id, p.x, p.v, p.w, c.cy, least(CAST(p.y + 1 AS DOUBLE), (c.cy + 1) * p.h / 24) - greatest(CAST(p.y AS DOUBLE), c.cy * p.h / 24) AS oy
+    FROM (SELECT p.*, z.h, z.w FROM pixel p JOIN dims z ON p.image_id = z.image_id) p LATERAL VIEW explode(sequence(CAST(floor(p.y * 24 / p.h) AS INT), least(23, CAST(ceil((p.y + 1) * 24 / p.h) AS INT) - 1))) c AS cy) q WHERE oy > 0 GROUP BY q.image_id, q.x, q.w, q.cy),
+    cells AS (SELECT image_id, cy, cx, sum(s * ox) / sum(o * ox) AS m FROM (SELECT p.*, k.cx, least(CAST(p.x + 1 AS DOUBLE), (k.cx + 1) * p.w / 24) - greatest(CAST(p.x AS DOUBLE), k.cx * p.w / 24) AS ox
+    FROM part p LATERAL VIEW explode(sequence(CAST(floor(p.x * 24 / p.w) AS INT), least(23, CAST(ceil((p.x + 1) * 24 / p.w) AS INT) - 1))) k AS cx) q WHERE ox > 0 GROUP BY image_id, cy, cx)"""
 N24 = ", ".join(f"({i})" for i in range(24))
-DIMS = f"dims AS (SELECT image_id, CAST(max(y) + 1 AS DOUBLE) AS h, CAST(max(x) + 1 AS DOUBLE) AS w FROM pixel GROUP BY image_id), rows24 AS (SELECT * FROM (VALUES {N24}) AS t(cy)), cols24 AS (SELECT * FROM (VALUES {N24}) AS t(cx))"
+SIZES = "dims AS (SELECT image_id, CAST(max(y) + 1 AS DOUBLE) AS h, CAST(max(x) + 1 AS DOUBLE) AS w FROM pixel GROUP BY image_id)"
+DIMS = f"{SIZES}, rows24 AS (SELECT * FROM (VALUES {N24}) AS t(cy)), cols24 AS (SELECT * FROM (VALUES {N24}) AS t(cx))"
 
 PLANS = {
     "d01_to_gray": on_pixels("Grey from colour: 0.299 red, 0.587 green, 0.114 blue, rounded.", f"WITH {RGB} SELECT image_id, y, x, CAST(bround(0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE)) AS INT) AS v FROM rgb"),
@@ -56,8 +62,8 @@ PLANS = {
     "d05_qc_verdict": on_pixels("FAIL if blurred, WARNING if too dark or bright, else PASS.", f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC} SELECT image_id, verdict, round(score, 6) AS score, round(mean, 6) AS mean FROM qc"),
     "d06_combine_verdict": on_pixels("The worst verdict of a job's frames (here: images of one parity); scores of the last frame.",
         f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC}, r AS (SELECT *, image_id % 2 AS job, CASE verdict WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END AS bad, row_number() OVER (PARTITION BY image_id % 2 ORDER BY image_id DESC) AS rn FROM qc) SELECT job, CASE max(bad) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' END AS verdict, round(max(CASE WHEN rn = 1 THEN score END), 6) AS score, round(max(CASE WHEN rn = 1 THEN mean END), 6) AS mean FROM r GROUP BY job"),
-    "d07_content_signature": on_pixels("24 x 24 area means with fractional overlap.", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells"),
-    "d08_content_difference": on_pixels("Mean absolute difference of the signatures of an image and the next.", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id"),
+    "d07_content_signature": Plan(("pixel",), "24 x 24 area means with fractional overlap.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells"),
+    "d08_content_difference": Plan(("pixel",), "Mean absolute difference of the signatures of an image and the next.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id"),
     "d09_gutter": on_pixels("Darkest smoothed column in the middle 40 % of the width and how far it stands out. Reduced: a box mean of 9 columns, no rule for the flanks.",
         """WITH p AS (SELECT image_id, x, avg(v) AS m FROM pixel GROUP BY image_id, x), s AS (SELECT image_id, x, avg(m) OVER (PARTITION BY image_id ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m, max(x) OVER (PARTITION BY image_id) + 1 AS w FROM p),
         k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn FROM s WHERE x >= 0.3 * w AND x < 0.7 * w), a AS (SELECT image_id, avg(m) AS mean FROM s GROUP BY image_id)

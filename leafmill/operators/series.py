@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.geometry import both
+from ..plans.plan import Plan
 from .raster import OTSU
 
 ROLLED = "rolled AS (SELECT image_id, pos, val, avg(val) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS r, max(pos) OVER (PARTITION BY image_id) + 1 AS n FROM profile)"
@@ -65,7 +66,12 @@ PLANS = {
     "e16_interp": both(("profile",), "A profile at places between its samples, by straight lines; ends are held.",
         "WITH s AS (SELECT image_id, pos, val, lead(pos) OVER w AS p1, lead(val) OVER w AS v1 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.25e0 AS x, round(CASE WHEN p1 IS NULL THEN val ELSE val + (v1 - val) * 0.25e0 / (p1 - pos) END, 9) AS val FROM s"),
     "e17_arc_length": both(("edge",), "Length along an edge up to each sample.", "WITH d AS (SELECT image_id, pos, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, pos, round(sum(coalesce(step, 0)) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS length FROM d"),
-    "e18_margin_shear": both(("line_sample",), "Slope of the left margin: the upper-middle slope of all pairs of lines far enough apart; 8 lines and 60 % of them within 15 pixels are needed, and 0.3 to 10 degrees.",
+    "e18_margin_shear": Plan(("line_sample",), "Slope of the left margin: the upper-middle slope of all pairs of lines far enough apart; 8 lines and 60 % of them within 15 pixels are needed, and 0.3 to 10 degrees.",
+        f"""WITH {LINES}, g AS (SELECT doc_id, array_sort(collect_list(struct(line_num, lx, ly))) AS ls, max(ly) - min(ly) AS height FROM ln GROUP BY doc_id HAVING count(*) >= 8),
+        p AS (SELECT doc_id, ls, array_sort(flatten(transform(ls, (a, i) -> transform(filter(slice(ls, i + 2, size(ls)), b -> b.ly - a.ly >= 0.02 * height AND b.ly > a.ly), b -> (b.lx - a.lx) / (b.ly - a.ly))))) AS ss FROM g),
+        m AS (SELECT doc_id, ls, ss[size(ss) div 2] AS s FROM p WHERE size(ss) > 0), c AS (SELECT doc_id, s, array_sort(transform(ls, l -> l.lx - s * l.ly)) AS cs FROM m),
+        i AS (SELECT doc_id, s, size(filter(cs, v -> abs(v - cs[size(cs) div 2]) <= 15)) / CAST(size(cs) AS DOUBLE) AS inliers FROM c)
+        SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(inliers, 6) AS inliers, inliers >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM i""",
         f"""WITH {LINES}, h AS (SELECT doc_id, max(ly) - min(ly) AS height, count(*) AS n FROM ln GROUP BY doc_id HAVING count(*) >= 8), p AS (SELECT a.doc_id, (b.lx - a.lx) / (b.ly - a.ly) AS s FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND a.line_num < b.line_num JOIN h ON h.doc_id = a.doc_id WHERE b.ly - a.ly >= 0.02 * h.height AND b.ly > a.ly),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p), m AS (SELECT doc_id, s FROM r WHERE k = floor(n / 2e0)), c AS (SELECT l.doc_id, m.s, l.lx - m.s * l.ly AS c FROM ln l JOIN m ON l.doc_id = m.doc_id),
         cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM c), mc AS (SELECT doc_id, c AS mid FROM cr WHERE k = floor(n / 2e0)), i AS (SELECT c.doc_id, max(c.s) AS s, avg(CASE WHEN abs(c.c - mc.mid) <= 15 THEN 1e0 ELSE 0e0 END) AS inliers FROM c JOIN mc ON c.doc_id = mc.doc_id GROUP BY c.doc_id)
@@ -92,6 +98,7 @@ PLANS = {
     "e32_output_size": both(("edge",), "Size of a flattened page: the edge's length, at least a quarter of its width, and the range of its rows.", "WITH d AS (SELECT image_id, pos, row_val, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, CAST(greatest(bround(sum(coalesce(step, 0))), bround(count(*) / 4e0)) AS INT) AS w, CAST(greatest(1, max(row_val) - min(row_val)) AS INT) AS h FROM d GROUP BY image_id"),
     "e33_spline": both(("profile",), "Catmull-Rom spline through a profile, half way between its samples; ends are held.",
         "WITH p AS (SELECT image_id, pos, val AS p1, coalesce(lag(val) OVER w, val) AS p0, lead(val) OVER w AS p2, lead(val, 2) OVER w AS q3 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.5e0 AS x, round(0.5e0 * (2 * p1 + (p2 - p0) * 0.5e0 + (2 * p0 - 5 * p1 + 4 * p2 - coalesce(q3, p2)) * 0.25e0 + (3 * p1 - p0 - 3 * p2 + coalesce(q3, p2)) * 0.125e0), 6) AS val FROM p WHERE p2 IS NOT NULL"),
-    "e35_nearest_edge_point": both(("contour", "edge"), "The edge sample nearest to a corner, within 15 pixels, else the corner; candidates come from the corner's cell and its neighbours.",
+    "e35_nearest_edge_point": Plan(("contour", "edge"), "The edge sample nearest to a corner, within 15 pixels, else the corner; candidates come from the corner's cell and its neighbours.",
+        "WITH k AS (SELECT contour_id, image_id % 10 AS img, CAST(x % 64 AS DOUBLE) AS cx, CAST(y % 40 AS DOUBLE) AS cy FROM contour), n AS (SELECT k.*, CAST(floor(cx / 16) AS INT) + d AS cell FROM k LATERAL VIEW explode(array(-1, 0, 1)) t AS d), e AS (SELECT image_id, pos, row_val, CAST(floor(pos / 16e0) AS INT) AS cell FROM edge), m AS (SELECT n.contour_id, e.pos, e.row_val, (e.pos - n.cx) * (e.pos - n.cx) + (e.row_val - n.cy) * (e.row_val - n.cy) AS d2 FROM n JOIN e ON e.image_id = n.img AND e.cell = n.cell), r AS (SELECT *, row_number() OVER (PARTITION BY contour_id ORDER BY d2, pos) AS rn FROM m WHERE d2 <= 225), u AS (SELECT contour_id, min(cx) AS cx, min(cy) AS cy FROM k GROUP BY contour_id), f AS (SELECT contour_id, min(pos) AS pos, min(row_val) AS row_val FROM r WHERE rn = 1 GROUP BY contour_id) SELECT u.contour_id, coalesce(CAST(f.pos AS DOUBLE), u.cx) AS x, coalesce(f.row_val, u.cy) AS y FROM u LEFT JOIN f ON u.contour_id = f.contour_id",
         "WITH k AS (SELECT contour_id, image_id % 10 AS img, CAST(x % 64 AS DOUBLE) AS cx, CAST(y % 40 AS DOUBLE) AS cy FROM contour), n AS (SELECT k.*, CAST(floor(cx / 16) AS INT) + d AS cell FROM k CROSS JOIN (VALUES (-1), (0), (1)) AS t(d)), e AS (SELECT image_id, pos, row_val, CAST(floor(pos / 16e0) AS INT) AS cell FROM edge), m AS (SELECT n.contour_id, e.pos, e.row_val, (e.pos - n.cx) * (e.pos - n.cx) + (e.row_val - n.cy) * (e.row_val - n.cy) AS d2 FROM n JOIN e ON e.image_id = n.img AND e.cell = n.cell), r AS (SELECT *, row_number() OVER (PARTITION BY contour_id ORDER BY d2, pos) AS rn FROM m WHERE d2 <= 225), u AS (SELECT contour_id, min(cx) AS cx, min(cy) AS cy FROM k GROUP BY contour_id), f AS (SELECT contour_id, min(pos) AS pos, min(row_val) AS row_val FROM r WHERE rn = 1 GROUP BY contour_id) SELECT u.contour_id, coalesce(CAST(f.pos AS DOUBLE), u.cx) AS x, coalesce(f.row_val, u.cy) AS y FROM u LEFT JOIN f ON u.contour_id = f.contour_id"),
 }
