@@ -386,15 +386,16 @@ class Join:
         columns = [f"{p}_{c} {kind if c == 'doc' else 'long'}" for p in "ab" for c in ("s1", "s2", "cid", "n", "doc")]
         return met.mapInArrow(rule_out, "grp long, " + ", ".join(columns) + ", apart long")
 
-    def verified(self, pairs: DataFrame, each: int = 1_500_000) -> DataFrame:
+    def verified(self, pairs: DataFrame, each: int = 1_500_000, most: int = 200_000) -> DataFrame:
         """Links (a, b: cid) among pairs of classes from near(), by their sets.
 
-        Each text is sent once to each group of pairs that has it. Groups whose sets have over `each` elements are dealt into blocks of pairs.
+        Each text is sent once to each group of pairs that has it. Groups whose sets have over `each` elements, or of over `most` pairs, are dealt into blocks of pairs.
         """
         pairs = materialize(pairs, "pairs")
         side = lambda p: pairs.select("grp", F.col(f"{p}_cid").alias("cid"), F.col(f"{p}_n").alias("n"))
-        large = side("a").unionByName(side("b")).distinct().groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > each)
-        large = materialize(large.select(F.col("grp").alias("l_grp"), F.ceil(F.col("n") / each).alias("blocks")), "large")
+        elements_of = side("a").unionByName(side("b")).distinct().groupBy("grp").agg(F.sum("n").alias("n"))
+        large = elements_of.join(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("pairs")), "grp").where((F.col("n") > each) | (F.col("pairs") > most))
+        large = materialize(large.select(F.col("grp").alias("l_grp"), F.greatest(F.ceil(F.col("n") / each), F.ceil(F.sqrt(2 * F.col("pairs") / most))).alias("blocks")), "large")
         block = lambda p: F.pmod(F.xxhash64(f"{p}_cid"), "blocks").cast("int")
         split = pairs.join(small(large, large.count()), F.col("grp") == F.col("l_grp"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         split = split.withColumn("x", F.least(block("a"), block("b"))).withColumn("y", F.greatest(block("a"), block("b")))
