@@ -246,19 +246,88 @@ def test_token_counts(spark):
     assert token_counts.suffix_sums(token_counts.length_histogram(df.limit(0))).count() == 0
 
 
-def test_language_model(docs):
+def interpolated(rows, rounds=30):
+    """Log10 probabilities by a trigram model with deleted interpolation, plainly: (text, fold) rows, training unless fold is 1, weights learned on fold 0."""
+    texts = [[*words_of((t or "").encode()), None] for t, _ in rows]
+
+    def counts(chosen):
+        c = [Counter(), Counter(), Counter()]
+        for ws, (_, k) in zip(texts, rows, strict=True):
+            if chosen(k):
+                padded = ["<", "<", *ws]
+                for i in range(2, len(padded)):
+                    for n in range(3):
+                        c[n][tuple(padded[i - n : i + 1])] += 1
+        contexts = [Counter(), Counter(), Counter()]
+        for own, of in zip(c, contexts, strict=True):
+            for g, n in own.items():
+                of[g[:-1]] += n
+        return c, contexts
+
+    def estimate(c, of, gram):
+        values = []
+        for n in (2, 1, 0):
+            g = gram[2 - n :]
+            values.append((of[n][g[:-1]], c[n][g] / of[n][g[:-1]] if of[n][g[:-1]] else 0.0))
+        return values
+
+    grams = lambda ws: [tuple((["<", "<", *ws])[i : i + 3]) for i in range(len(ws))]
+    level = lambda n: min(int(math.log2(n)) + 1, 39) if n else 0
+    every, rest = counts(lambda k: k != 1), counts(lambda k: k > 1)
+    floor = 1 / (len(every[0][0]) + 1)
+    weight = defaultdict(lambda: 0.5)
+
+    def parts(values):
+        left, out = 1.0, []
+        for order, (n, p) in zip((3, 2, 1), values, strict=True):
+            key = (order, level(n) if order > 1 else 0)
+            w = 0.0 if order > 1 and not n else weight[key]
+            out.append((key, left * w * p))
+            left *= 1 - w
+        return [*out, (None, left * floor)]
+
+    held = [estimate(*rest, g) for ws, (_, k) in zip(texts, rows, strict=True) if k == 0 for g in grams(ws)]
+    for _ in range(rounds):
+        won, of = Counter(), Counter()
+        for values in held:
+            found = parts(values)
+            total = sum(p for _, p in found)
+            for j, (key, p) in enumerate(found[:3]):
+                won[key] += p / total
+                of[key] += sum(q for _, q in found[j:]) / total
+        moved = max(abs(min(won[k] / of[k], 1 - 1e-9) - weight[k]) for k in of if k[0] == 1 or k[1])
+        weight.update({k: min(won[k] / of[k], 1 - 1e-9) for k in of})
+        if moved <= 1e-3:
+            break
+    for order in (3, 2):
+        for b in range(2, 40):
+            if not any(k == (order, b) for k in of):
+                weight[order, b] = weight[order, b - 1]
+    return [sum(math.log10(sum(p for _, p in parts(estimate(*every, g)))) for g in grams(ws)) for ws in texts]
+
+
+@pytest.mark.parametrize("fan", [4096, 3])  # counters answer chunks, or through nodes
+def test_language_model(docs, fan):
     fold = language_id.fold("doc_id")
-    df = language_model.score_texts(docs, training=fold != 1, held=fold == 0, chunk_words=700, counter_keys=900)
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in df.collect())
+    df = language_model.score_texts(docs, training=fold != 1, held=fold == 0, chunk_words=700, counter_keys=900, fan=fan)
     rows = rows_of(docs)
+    folds = [zlib.crc32(str(d if d is not None else "").encode()) % 5 for d, _ in rows]
     tokens = [[*words_of((t or "").encode()), None] for _, t in rows]
-    c = Counter(w for (d, _), ws in zip(rows, tokens, strict=True) if zlib.crc32(str(d if d is not None else "").encode()) % 5 != 1 for w in ws)
+    c = Counter(w for k, ws in zip(folds, tokens, strict=True) if k != 1 for w in ws)
     n, v = sum(c.values()), len(c)
-    assert got == Counter((d, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for (d, _), ws in zip(rows, tokens, strict=True))
-    again = language_model.score_texts(docs, training=fold != 1, held=fold == 0)  # chunks don't change results
-    assert sorted((round(r["score"], 6) for r in df.collect())) == sorted((round(r["score"], 6) for r in again.collect()))
+    got = df.collect()
+    base = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
+    assert base == Counter((d, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for (d, _), ws in zip(rows, tokens, strict=True))
+    plain = interpolated([(t, k) for (_, t), k in zip(rows, folds, strict=True)])
+    named = lambda pairs: sorted(pairs, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    for (a, x), (b, y) in zip(named((r["doc_id"], r["score"]) for r in got), named((d, s) for (d, _), s in zip(rows, plain, strict=True)), strict=True):
+        assert a == b and abs(x - y) <= 1e-4 * max(1, abs(y))
+
+
+def test_language_model_without_training_rows(docs):
     none = language_model.score_texts(docs, training=F.lit(False), held=F.lit(True)).collect()
-    assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in none)
+    assert len(none) == docs.count() and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 for r in none)
+    assert language_model.score_texts(docs.limit(0), training=F.lit(True), held=F.lit(False)).count() == 0
 
 
 def test_sharding(docs):
