@@ -32,6 +32,25 @@ C1 = f"(m0 * (u1 * m4 - u2 * m3) - u0 * (m1 * m4 - m2 * m3) + m2 * (m1 * u2 - m2
 C2 = f"(m0 * (m2 * u2 - m3 * u1) - m1 * (m1 * u2 - m2 * u1) + u0 * (m1 * m3 - m2 * m2)) / {DET}"
 
 LINES = "ln AS (SELECT doc_id, line_num, min(x) AS lx, avg(y) AS ly, count(*) AS cnt, regr_slope(y, x) AS slope FROM line_sample GROUP BY doc_id, line_num)"
+#: Slope v over y of the lines of a page: upper-middle slope of all pairs at least 2 % of the height apart, upper-middle intercept, share of lines within `near` of it.
+_THEIL_SPARK = """{n}_g AS (SELECT doc_id, array_sort(collect_list(struct(ly, {v} AS v))) AS ls, max(ly) - min(ly) AS height FROM ln WHERE {lines} GROUP BY doc_id HAVING count(*) >= 8),
+        {n}_p AS (SELECT doc_id, ls, array_sort(flatten(transform(ls, (a, i) -> transform(filter(slice(ls, i + 2, size(ls)), b -> b.ly - a.ly >= 0.02 * height AND b.ly > a.ly), b -> (b.v - a.v) / (b.ly - a.ly))))) AS ss FROM {n}_g),
+        {n}_m AS (SELECT doc_id, ls, ss[size(ss) div 2] AS s FROM {n}_p WHERE size(ss) > 0), {n}_c AS (SELECT doc_id, s, array_sort(transform(ls, l -> l.v - s * l.ly)) AS cs, array_min(ls).ly AS first_y, array_max(ls).ly AS last_y FROM {n}_m),
+        {n} AS (SELECT doc_id, s, cs[size(cs) div 2] AS c, first_y, last_y, size(filter(cs, v -> abs(v - cs[size(cs) div 2]) <= {near})) / CAST(size(cs) AS DOUBLE) AS share FROM {n}_c)"""
+_THEIL_DUCKDB = """{n}_l AS (SELECT doc_id, line_num, ly, {v} AS v FROM ln WHERE {lines}), {n}_h AS (SELECT doc_id, min(ly) AS first_y, max(ly) AS last_y FROM {n}_l GROUP BY doc_id HAVING count(*) >= 8),
+        {n}_p AS (SELECT a.doc_id, (b.v - a.v) / (b.ly - a.ly) AS s FROM {n}_l a JOIN {n}_l b ON a.doc_id = b.doc_id AND b.ly > a.ly JOIN {n}_h h ON h.doc_id = a.doc_id WHERE b.ly - a.ly >= 0.02 * (h.last_y - h.first_y)),
+        {n}_m AS (SELECT doc_id, list_sort(list(s))[count(*) // 2 + 1] AS s FROM {n}_p GROUP BY doc_id), {n}_c AS (SELECT l.doc_id, m.s, l.v - m.s * l.ly AS c FROM {n}_l l JOIN {n}_m m ON l.doc_id = m.doc_id),
+        {n}_k AS (SELECT doc_id, list_sort(list(c))[count(*) // 2 + 1] AS mid FROM {n}_c GROUP BY doc_id),
+        {n} AS (SELECT c.doc_id, max(c.s) AS s, max(k.mid) AS c, max(h.first_y) AS first_y, max(h.last_y) AS last_y, avg(CASE WHEN abs(c.c - k.mid) <= {near} THEN 1e0 ELSE 0e0 END) AS share FROM {n}_c c JOIN {n}_k k ON c.doc_id = k.doc_id JOIN {n}_h h ON h.doc_id = c.doc_id GROUP BY c.doc_id)"""
+_SHEAR = "shear AS (SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(share, 6) AS inliers, share >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM margin)"
+_FIELD = "span AS (SELECT *, abs(degrees(atan(c + s * last_y)) - degrees(atan(c + s * first_y))) AS span FROM turn), field AS (SELECT doc_id, round(s, 9) + 0e0 AS trend, round(c, 9) + 0e0 AS slope, round(span, 6) AS span, round(share, 6) AS share, share >= 0.5 AND span BETWEEN 0.5 AND 10 AS applies FROM span)"
+_MARGIN, _TURN = {"n": "margin", "v": "lx", "lines": "cnt >= 1", "near": "15"}, {"n": "turn", "v": "slope", "lines": "cnt >= 8", "near": "0.03e0"}
+SHEAR_SPARK, SHEAR_DUCKDB = (f"{t.format(**_MARGIN)}, {_SHEAR}" for t in (_THEIL_SPARK, _THEIL_DUCKDB))
+FIELD_SPARK, FIELD_DUCKDB = (f"{t.format(**_TURN)}, {_FIELD}" for t in (_THEIL_SPARK, _THEIL_DUCKDB))
+DECISION = """a AS (SELECT doc_id, line_num, degrees(atan(slope)) AS deg FROM ln WHERE cnt >= 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY deg, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM a),
+        q AS (SELECT doc_id, max(n) AS n, max(CASE WHEN k = floor(n / 2e0) THEN deg END) AS mid, max(CASE WHEN k = floor(n * 3 / 4e0) THEN deg END) - max(CASE WHEN k = floor(n / 4e0) THEN deg END) AS iqr FROM r GROUP BY doc_id)
+        SELECT q.doc_id, q.n, round(mid, 6) AS angle, round(iqr, 6) AS iqr, CASE WHEN n < 3 THEN 'none' WHEN iqr <= 3 AND abs(mid) >= 0.1 THEN CASE WHEN abs(mid) <= 15 THEN 'lines' ELSE 'none' END WHEN field.applies THEN 'rotation' WHEN shear.applies THEN 'shear' ELSE 'none' END AS decision
+        FROM q LEFT JOIN field ON q.doc_id = field.doc_id LEFT JOIN shear ON q.doc_id = shear.doc_id"""
 SCORED = """sc AS (SELECT *, area / 800000 AS share, CASE WHEN area / 800000 < 0.1 THEN NULL ELSE 0.5e0 * area / 800000 + 0.3e0 * area / rect_area + 0.2e0 END AS conf FROM contour),
     big AS (SELECT *, row_number() OVER (PARTITION BY image_id, pass ORDER BY area DESC, contour_id) AS rn FROM sc),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(conf, 9) DESC, pass) AS pick FROM big WHERE rn = 1 AND conf IS NOT NULL) q WHERE pick = 1)"""
@@ -44,10 +63,10 @@ PLANS = {
         f"WITH {ROLLED}, {LEVELS}, t AS (SELECT *, near_min + 0.6e0 * (page - near_min) AS cut FROM levels) SELECT t.image_id, coalesce(min(CASE WHEN r > cut THEN pos END), 0) AS first_pos, round(max(t.cut), 6) AS cut FROM t JOIN rolled q ON q.image_id = t.image_id GROUP BY t.image_id"),
     "e04_bridge_low_confidence": both(("edge",), "An edge whose weak samples are bridged.", f"WITH {BRIDGED} SELECT image_id, pos, round(val, 9) AS val FROM bridged"),
     "e05_count_bridged": both(("edge",), "Samples that bridging moved by over 0.01.", f"WITH {BRIDGED} SELECT image_id, sum(CASE WHEN abs(val - row_val) > 0.01 THEN 1 ELSE 0 END) AS moved FROM bridged GROUP BY image_id"),
-    "e06_savgol": both(("edge",), "Local quadratic fit over 15 samples, fewer at the ends. Reduced: 15, not 151.",
-        f"""WITH d AS (SELECT image_id, CAST(pos AS DOUBLE) AS i, row_val AS v FROM edge), s AS (SELECT image_id, i, v, count(*) OVER w AS s0, sum(i) OVER w AS s1, sum(i * i) OVER w AS s2, sum(i * i * i) OVER w AS s3, sum(i * i * i * i) OVER w AS s4, sum(v) OVER w AS t0, sum(i * v) OVER w AS t1, sum(i * i * v) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY image_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)),
-        c AS (SELECT image_id, i, v, CAST(s0 AS DOUBLE) AS m0, s1 - i * s0 AS m1, s2 - 2 * i * s1 + i * i * s0 AS m2, s3 - 3 * i * s2 + 3 * i * i * s1 - i * i * i * s0 AS m3, s4 - 4 * i * s3 + 6 * i * i * s2 - 4 * i * i * i * s1 + i * i * i * i * s0 AS m4, t0 AS u0, t1 - i * t0 AS u1, t2 - 2 * i * t1 + i * i * t0 AS u2 FROM s)
-        SELECT image_id, CAST(i AS INT) AS pos, round({C0}, 6) AS val FROM c"""),
+    "e06_savgol": both(("edge",), "Local quadratic fit over 151 samples, fewer at the ends; places count from the middle of each edge.",
+        f"""WITH d AS (SELECT image_id, pos, (pos - (min(pos) OVER (PARTITION BY image_id) + max(pos) OVER (PARTITION BY image_id)) / 2e0) / 64 AS i, row_val AS v FROM edge), s AS (SELECT image_id, pos, i, v, count(*) OVER w AS s0, sum(i) OVER w AS s1, sum(i * i) OVER w AS s2, sum(i * i * i) OVER w AS s3, sum(i * i * i * i) OVER w AS s4, sum(v) OVER w AS t0, sum(i * v) OVER w AS t1, sum(i * i * v) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY image_id ORDER BY i ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING)),
+        c AS (SELECT image_id, pos, v, CAST(s0 AS DOUBLE) AS m0, s1 - i * s0 AS m1, s2 - 2 * i * s1 + i * i * s0 AS m2, s3 - 3 * i * s2 + 3 * i * i * s1 - i * i * i * s0 AS m3, s4 - 4 * i * s3 + 6 * i * i * s2 - 4 * i * i * i * s1 + i * i * i * i * s0 AS m4, t0 AS u0, t1 - i * t0 AS u1, t2 - 2 * i * t1 + i * i * t0 AS u2 FROM s)
+        SELECT image_id, pos, round(CASE WHEN m0 >= 3 THEN {C0} ELSE v END, 6) AS val FROM c"""),
     "e07_gutter_notch": both(("edge",), "Near the middle, the lowest and the highest place of an edge (the first of each), and the length of the line between.",
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_val DESC, pos) AS hi, row_number() OVER (PARTITION BY image_id ORDER BY row_val, pos) AS lo FROM edge WHERE pos BETWEEN 12 AND 52), k AS (SELECT image_id, max(CASE WHEN hi = 1 THEN pos END) AS top_pos, max(CASE WHEN hi = 1 THEN row_val END) AS top_val, max(CASE WHEN lo = 1 THEN pos END) AS bottom_pos, max(CASE WHEN lo = 1 THEN row_val END) AS bottom_val FROM r GROUP BY image_id) SELECT *, CAST(bround(sqrt(CAST((top_pos - bottom_pos) * (top_pos - bottom_pos) AS DOUBLE) + (top_val - bottom_val) * (top_val - bottom_val))) AS INT) AS length FROM k"),
     "e08_otsu_split": both(("profile",), "Value that splits a profile in two classes; none with under 20 values or no range.", f"WITH {SPLIT} SELECT image_id, round(at_val, 6) AS cut FROM cut"),
@@ -67,19 +86,11 @@ PLANS = {
         "WITH s AS (SELECT image_id, pos, val, lead(pos) OVER w AS p1, lead(val) OVER w AS v1 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.25e0 AS x, round(CASE WHEN p1 IS NULL THEN val ELSE val + (v1 - val) * 0.25e0 / (p1 - pos) END, 9) AS val FROM s"),
     "e17_arc_length": both(("edge",), "Length along an edge up to each sample.", "WITH d AS (SELECT image_id, pos, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, pos, round(sum(coalesce(step, 0)) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS length FROM d"),
     "e18_margin_shear": Plan(("line_sample",), "Slope of the left margin: the upper-middle slope of all pairs of lines far enough apart; 8 lines and 60 % of them within 15 pixels are needed, and 0.3 to 10 degrees.",
-        f"""WITH {LINES}, g AS (SELECT doc_id, array_sort(collect_list(struct(line_num, lx, ly))) AS ls, max(ly) - min(ly) AS height FROM ln GROUP BY doc_id HAVING count(*) >= 8),
-        p AS (SELECT doc_id, ls, array_sort(flatten(transform(ls, (a, i) -> transform(filter(slice(ls, i + 2, size(ls)), b -> b.ly - a.ly >= 0.02 * height AND b.ly > a.ly), b -> (b.lx - a.lx) / (b.ly - a.ly))))) AS ss FROM g),
-        m AS (SELECT doc_id, ls, ss[size(ss) div 2] AS s FROM p WHERE size(ss) > 0), c AS (SELECT doc_id, s, array_sort(transform(ls, l -> l.lx - s * l.ly)) AS cs FROM m),
-        i AS (SELECT doc_id, s, size(filter(cs, v -> abs(v - cs[size(cs) div 2]) <= 15)) / CAST(size(cs) AS DOUBLE) AS inliers FROM c)
-        SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(inliers, 6) AS inliers, inliers >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM i""",
-        f"""WITH {LINES}, h AS (SELECT doc_id, max(ly) - min(ly) AS height, count(*) AS n FROM ln GROUP BY doc_id HAVING count(*) >= 8), p AS (SELECT a.doc_id, (b.lx - a.lx) / (b.ly - a.ly) AS s FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND a.line_num < b.line_num JOIN h ON h.doc_id = a.doc_id WHERE b.ly - a.ly >= 0.02 * h.height AND b.ly > a.ly),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p), m AS (SELECT doc_id, s FROM r WHERE k = floor(n / 2e0)), c AS (SELECT l.doc_id, m.s, l.lx - m.s * l.ly AS c FROM ln l JOIN m ON l.doc_id = m.doc_id),
-        cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM c), mc AS (SELECT doc_id, c AS mid FROM cr WHERE k = floor(n / 2e0)), i AS (SELECT c.doc_id, max(c.s) AS s, avg(CASE WHEN abs(c.c - mc.mid) <= 15 THEN 1e0 ELSE 0e0 END) AS inliers FROM c JOIN mc ON c.doc_id = mc.doc_id GROUP BY c.doc_id)
-        SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(inliers, 6) AS inliers, inliers >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM i"""),
-    "e19_rotation_field": both(("line_sample",), "Agreement of the lines' own slopes: share within 0.03 of the middle one.",
-        f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY slope, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM ln WHERE cnt >= 8), m AS (SELECT doc_id, slope AS mid FROM r WHERE k = floor(n / 2e0) AND n >= 8) SELECT r.doc_id, round(max(m.mid), 9) AS slope, round(avg(CASE WHEN abs(r.slope - m.mid) <= 0.03 THEN 1e0 ELSE 0e0 END), 6) AS share FROM r JOIN m ON r.doc_id = m.doc_id GROUP BY r.doc_id"),
-    "e20_deskew_decision": both(("line_sample",), "Page angle from its lines' slopes: the middle one, if three lines have 8 samples, quartiles are within 3 degrees and it is 0.1 to 15. Reduced: else none, without e19 and e18.",
-        f"WITH {LINES}, a AS (SELECT doc_id, line_num, degrees(atan(slope)) AS deg FROM ln WHERE cnt >= 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY deg, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM a), q AS (SELECT doc_id, max(n) AS n, max(CASE WHEN k = floor(n / 2e0) THEN deg END) AS mid, max(CASE WHEN k = floor(n * 3 / 4e0) THEN deg END) - max(CASE WHEN k = floor(n / 4e0) THEN deg END) AS iqr FROM r GROUP BY doc_id) SELECT doc_id, n, round(mid, 6) AS angle, round(iqr, 6) AS iqr, CASE WHEN n < 3 THEN 'none' WHEN iqr <= 3 AND abs(mid) BETWEEN 0.1 AND 15 THEN 'lines' ELSE 'none' END AS decision FROM q"),
+        f"WITH {LINES}, {SHEAR_SPARK} SELECT * FROM shear", f"WITH {LINES}, {SHEAR_DUCKDB} SELECT * FROM shear"),
+    "e19_rotation_field": Plan(("line_sample",), "How the lines' own slopes change down the page: as e18, with 8 lines of 8 samples, half of them within 0.03, and a span of 0.5 to 10 degrees from the first to the last line.",
+        f"WITH {LINES}, {FIELD_SPARK} SELECT * FROM field", f"WITH {LINES}, {FIELD_DUCKDB} SELECT * FROM field"),
+    "e20_deskew_decision": Plan(("line_sample",), "How to set a page straight. By its lines' middle angle, if three lines have 8 samples, quartiles are within 3 degrees and it is 0.1 at least (none beyond 15); else by e19; else by e18; else none.",
+        f"WITH {LINES}, {FIELD_SPARK}, {SHEAR_SPARK}, {DECISION}", f"WITH {LINES}, {FIELD_DUCKDB}, {SHEAR_DUCKDB}, {DECISION}"),
     "e21_poly_fit": both(("edge",), "Quadratic through an edge, weighted by strength, around its mean column; nothing if singular.",
         f"""WITH c AS (SELECT image_id, avg(CAST(pos AS DOUBLE)) AS mid FROM edge GROUP BY image_id), d AS (SELECT e.image_id, e.pos - c.mid AS t, e.row_val AS v, e.strength + 1 AS w FROM edge e JOIN c ON e.image_id = c.image_id),
         s AS (SELECT image_id, sum(w) AS m0, sum(w * t) AS m1, sum(w * t * t) AS m2, sum(w * t * t * t) AS m3, sum(w * t * t * t * t) AS m4, sum(w * v) AS u0, sum(w * t * v) AS u1, sum(w * t * t * v) AS u2 FROM d GROUP BY image_id) SELECT image_id, round({C0}, 5) AS c0, round({C1}, 6) AS c1, round({C2}, 7) AS c2 FROM s WHERE abs({DET}) > 0.000000001"""),

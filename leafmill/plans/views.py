@@ -82,6 +82,23 @@ EDGE = f"""WITH {SOBEL_PASSES},
      r AS (SELECT *, row_number() OVER (PARTITION BY image_id, x ORDER BY abs(gy) DESC, y) AS rn FROM g)
 SELECT image_id, x AS pos, CAST(y AS DOUBLE) AS row_val, CAST(abs(gy) AS DOUBLE) AS strength FROM r WHERE rn = 1"""
 
+#: Strongest row of each column in the upper and in the lower half.
+EDGE_PAIR = f"""WITH {SOBEL_PASSES},
+     h AS (SELECT *, CASE WHEN 2 * y < max(y) OVER (PARTITION BY image_id) + 1 THEN 0 ELSE 1 END AS half FROM g),
+     r AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, half ORDER BY abs(gy) DESC, y) AS rn FROM h)
+SELECT image_id, x AS pos, CAST(max(CASE WHEN half = 0 THEN y END) AS DOUBLE) AS top, CAST(max(CASE WHEN half = 1 THEN y END) AS DOUBLE) AS bottom FROM r WHERE rn = 1 GROUP BY image_id, x HAVING count(*) = 2"""
+
+#: Points of strong gradient, thinned evenly to 5000 an image.
+EDGE_POINT = f"""WITH {SOBEL_PASSES},
+     m AS (SELECT image_id, y, x FROM g WHERE gx * gx + gy * gy > 90000),
+     r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM m)
+SELECT image_id, x, y FROM r WHERE k % CAST(ceil(n / 5000.0) AS INT) = 0"""
+
+#: Sides 0 to 3 of each image's outline, clockwise, each from the corner of its number; a little aslant.
+SEGMENT = """WITH b AS (SELECT image_id, min(x) + 1e0 AS x0, max(x) - 1e0 AS x1, min(y) + 2e0 AS y0, max(y) - 2e0 AS y1 FROM edge_point GROUP BY image_id)
+SELECT image_id, 0 AS side, x0 AS ax, y0 AS ay, x1 AS ex, y0 + 1 AS ey FROM b UNION ALL SELECT image_id, 1, x1, y0 + 1, x1 - 1, y1 FROM b
+UNION ALL SELECT image_id, 2, x1 - 1, y1, x0, y1 - 1 FROM b UNION ALL SELECT image_id, 3, x0, y1 - 1, x0, y0 FROM b"""
+
 _WORD = """SELECT doc_id, CASE WHEN pos % 13 = 12 THEN 4 ELSE 5 END AS level, 1 AS block_num, 1 AS par_num,
        CAST(floor(pos / 10.0) AS INT) AS line_num, CAST(pos % 10 AS INT) AS word_num,
        CAST(pos % 10 * 80 + 2 * floor(pos / 10.0) AS INT) AS left_px,
@@ -124,4 +141,5 @@ VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
+    "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
 }
