@@ -60,6 +60,7 @@ class Chunk:
         triples = mixed(pairs[later - 1] * TRIPLE + token[later])
         #: Sorted distinct keys of all orders.
         self.keys, place = np.unique(np.concatenate([key_of(words, 1), key_of(pairs, 0), key_of(triples, 0)]), return_inverse=True)
+        place = place.astype(np.int32)
         w, t = len(words), len(tokens)
         self.end = int(place[0])
         #: Places of each token's n-grams; the first token of a text has no longer one than its pair.
@@ -72,7 +73,7 @@ class Chunk:
     def estimates(self, counts: np.ndarray, tokens: int) -> tuple[np.ndarray, ...]:
         """For each token the buckets of its contexts' counts (two words, one) and the maximum-likelihood estimates of order 3, 2 and 1."""
         # What precedes a text is as frequent as the end. A pair that ends no text is followed by one token, so its count is that of a context.
-        one, two = np.empty(len(self.first), np.int64), np.empty(len(self.first), np.int64)
+        one, two = np.empty((2, len(self.first)), np.int64)
         one[1:], two[1:] = counts[self.first[:-1]], counts[self.second[:-1]]
         one[self.starts] = two[self.starts] = counts[self.end]
         share = lambda n, of: np.where(of > 0, n / np.maximum(of, 1), 0.0)
@@ -245,23 +246,28 @@ class Weights:
         rest = (1 - a) * (1 - b)
         return np.stack([a * third, (1 - a) * b * second, rest * self.words * first, rest * (1 - self.words) * self.floor])
 
-    def learn(self, held: DataFrame, rounds: int = 30, close: float = 1e-3) -> Weights:
-        """Expectation-maximisation on held-out n-grams (n, two, one, third, second, first as packed arrays), until no weight moves by more than `close`.
+    def learn(self, held: DataFrame, rounds: int = 30, gain: float = 1e-3) -> Weights:
+        """Expectation-maximisation on held-out n-grams (n, two, one, third, second, first as packed arrays), until a round gains less than `gain` nats a token.
 
         A bucket without held-out tokens takes the next lower one's weight in the end. Each round reads `held` once and returns a row for each bucket.
         """
         used = np.zeros((2, BUCKETS), bool)
+        before = -np.inf
         for _ in range(rounds):
 
             def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                won, out_of = np.zeros((3, BUCKETS)), np.zeros((3, BUCKETS))
+                # The last row: the log probability of all tokens, and their number.
+                won, out_of = np.zeros((4, BUCKETS)), np.zeros((4, BUCKETS))
                 for b in batches:
                     for i in range(b.num_rows):
                         row = b.slice(i, 1).to_pylist()[0]
                         n = unpacked(row["n"], np.uint32).astype(float)
                         two, one = unpacked(row["two"], np.uint8), unpacked(row["one"], np.uint8)
                         part = self.shares(two, one, *(unpacked(row[c], np.float32).astype(float) for c in ("third", "second", "first")))
-                        part *= n / part.sum(axis=0)
+                        p = part.sum(axis=0)
+                        won[3, 0] += n @ np.log(p)
+                        out_of[3, 0] += n.sum()
+                        part *= n / p
                         below = part[::-1].cumsum(axis=0)[::-1]
                         for j, at in enumerate((two, one, np.zeros_like(one))):
                             won[j] += np.bincount(at, part[j], BUCKETS)
@@ -270,17 +276,19 @@ class Weights:
                 yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(at), pa.array(won[j, at]), pa.array(out_of[j, at])], names=["place", "bucket", "won", "out_of"])
 
             sums = held.mapInArrow(expect, "place long, bucket long, won double, out_of double").groupBy("place", "bucket").agg(F.sum("won").alias("won"), F.sum("out_of").alias("out_of")).collect()
-            moved = 0.0
+            now = -np.inf
             for r in sums:
-                new = min(r["won"] / r["out_of"], 1 - 1e-9)  # no token ever has probability 0
-                if r["place"] < 2:
-                    used[r["place"], r["bucket"]] = True
-                    moved = max(moved, abs(new - self.orders[r["place"], r["bucket"]]))
-                    self.orders[r["place"], r["bucket"]] = new
+                new = r["won"] / r["out_of"]
+                if r["place"] == 3:
+                    now = new
+                elif r["place"] == 2:
+                    self.words = min(new, 1 - 1e-9)  # no token ever has probability 0
                 else:
-                    moved, self.words = max(moved, abs(new - self.words)), new
-            if moved <= close:
+                    used[r["place"], r["bucket"]] = True
+                    self.orders[r["place"], r["bucket"]] = min(new, 1 - 1e-9)
+            if now - before < gain:
                 break
+            before = now
         for j in range(2):
             for b in range(2, BUCKETS):
                 if not used[j, b]:
@@ -288,7 +296,7 @@ class Weights:
         return self
 
 
-def score_texts(docs: DataFrame, training: Column, held: Column, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_000_000, counter_keys: int = 2_000_000, fan: int = 4096) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, held: Column, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 800_000, counter_keys: int = 2_000_000, fan: int = 4096) -> DataFrame:
     """Scores every whole text: id, n_tokens, n_known (tokens seen in training), train_tokens, base_score, score.
 
     Tokens are the words with A-Z in lower case, then one end. Counts come from the rows where `training` holds; the
@@ -310,10 +318,13 @@ def score_texts(docs: DataFrame, training: Column, held: Column, id_col: str = "
     def held_out(mine: pa.Table, got: pa.Table) -> pa.Table:
         chunk, answer = Chunk(mine.to_pylist()[0]), got.to_pylist()
         values = chunk.estimates(placed(answer, "counts") - placed(answer, "held"), tokens - held_tokens)
-        # Tokens of one place have one context.
-        _, at, n = np.unique(chunk.third, return_index=True, return_counts=True)
+        # Tokens with the same estimates count together.
         kinds = (np.uint8, np.uint8, np.float32, np.float32, np.float32)
-        row = [packed(n.astype(np.uint32)), *(packed(v[at].astype(k)) for v, k in zip(values, kinds, strict=True))]
+        two, one, third, second, first = values = [v.astype(k) for v, k in zip(values, kinds, strict=True)]
+        wide = lambda v: v.view(np.uint32).astype(np.uint64)
+        same = mixed(mixed(wide(third) << np.uint64(32) | wide(second)) + (wide(first) << np.uint64(16) | two.astype(np.uint64) << np.uint64(8) | one))
+        _, at, n = np.unique(same, return_index=True, return_counts=True)
+        row = [packed(n.astype(np.uint32)), *(packed(v[at]) for v in values)]
         give_back()
         return pa.table([pa.array([x], pa.binary()) for x in row], names=["n", "two", "one", "third", "second", "first"])
 

@@ -287,18 +287,20 @@ def interpolated(rows, rounds=30):
         return [*out, (None, left * floor)]
 
     held = [estimate(*rest, g) for ws, (_, k) in zip(texts, rows, strict=True) if k == 0 for g in grams(ws)]
+    before = -math.inf
     for _ in range(rounds):
-        won, of = Counter(), Counter()
+        won, of, now = Counter(), Counter(), 0.0
         for values in held:
             found = parts(values)
             total = sum(p for _, p in found)
+            now += math.log(total) / len(held)
             for j, (key, p) in enumerate(found[:3]):
                 won[key] += p / total
                 of[key] += sum(q for _, q in found[j:]) / total
-        moved = max(abs(min(won[k] / of[k], 1 - 1e-9) - weight[k]) for k in of if k[0] == 1 or k[1])
         weight.update({k: min(won[k] / of[k], 1 - 1e-9) for k in of})
-        if moved <= 1e-3:
+        if now - before < 1e-3:
             break
+        before = now
     for order in (3, 2):
         for b in range(2, 40):
             if not any(k == (order, b) for k in of):
