@@ -171,8 +171,8 @@ def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float
     """Fits a model of each language on about `sample_docs` documents of it at most, chosen by a hash of their ids.
 
     Whole texts are used. Rows with a null text or language are left out. Nine in ten of the sample make the counts; on the
-    rest, rejection is calibrated: a text is accepted as its best language if its cross-entropy exceeds that language's mean by at most
-    `slack` times the most that any of those exceeds it, allowing short texts more. The driver holds the sample's n-grams only.
+    rest, rejection is calibrated: of the texts that the models take for the language of their label, the 0.99 quantile of what their cross-entropy exceeds
+    that language's mean by, times `slack` (0.8 nats at least), is what any text may exceed it by, short ones more. So wrong labels do not widen it. The driver holds the sample's n-grams only.
     """
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("language"), id_col), F.lit(1_000_000)).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
@@ -202,8 +202,9 @@ def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float
         for b in batches:
             langs, h, n = [], [], []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lang in models.languages and (e := models.entropies(text))[1]:
-                    langs.append(lang), h.append(float(e[0][models.languages.index(lang)])), n.append(e[1])
+                # Texts that the models take for another language may bear a wrong label.
+                if (e := models.entropies(text))[1] and models.languages[int(e[0].argmin())] == lang:
+                    langs.append(lang), h.append(float(e[0].min())), n.append(e[1])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(h, pa.float64()), pa.array(n, pa.int64())], names=["lang", "h", "n"])
 
     rows = sample.where(held).select("lang", "text").mapInArrow(deviations, "lang string, h double, n long").toArrow().to_pylist()
@@ -211,7 +212,7 @@ def train(docs: DataFrame, order: int = 4, sample_docs: int = 1500, slack: float
     for lang in models.languages:
         own = [(r["h"], r["n"]) for r in rows if r["lang"] == lang]
         mean.append(sum(h * n for h, n in own) / sum(n for _, n in own) if own else 2.0)
-        limit.append(max(0.8, slack * max((h - mean[-1]) / spread(n) for h, n in own)) if own else 1.0)
+        limit.append(max(0.8, slack * float(np.quantile([(h - mean[-1]) / spread(n) for h, n in own], 0.99))) if own else 1.0)
     return LanguageModel(models, mean, limit)
 
 
