@@ -7,11 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parts_for
 
+#: More than a product of unit vectors can differ from their cosine in double precision.
+ROUNDING = 1e-12
+
 
 class Forest:
     """Trees whose inner nodes cut at the median of a sample's projections on the difference of two of its vectors.
@@ -54,6 +58,21 @@ class Forest:
             out[:, t] = node - 2**self.depth
         return out
 
+    def ranks(self, unit: np.ndarray) -> np.ndarray:
+        """The place (from 1) of each leaf in the order in which an endless search visits them, (trees, leaves); empty leaves count no place.
+
+        A leaf's turn is set by the largest margin on its way, so the queue's order is that of these.
+        """
+        gap = self.planes @ unit - self.offsets
+        worst = np.full((self.trees, 1), -np.inf)
+        for level in range(self.depth):
+            own = gap[:, 2**level : 2 ** (level + 1)]
+            worst = np.stack([np.maximum(worst, own), np.maximum(worst, -own)], axis=2).reshape(self.trees, -1)
+        order = np.argsort(worst, axis=None, kind="stable")
+        out = np.empty(worst.size, np.int64)
+        out[order] = np.cumsum(self.sizes.ravel()[order] > 0)
+        return out.reshape(worst.shape)
+
     def search(self, unit: np.ndarray, visits: int, least: int) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of a queue that all trees share: the branch with the largest smallest margin first.
 
@@ -85,18 +104,49 @@ def usable(vector) -> F.Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, depth: int = 6, visits: int = 52, sample_rows: int = 20_000, block_rows: int = 20_000, seed: int = 8) -> DataFrame:
+def measured_visits(forest: Forest, vectors: DataFrame, queries: list, width: int, k: int, recall: float) -> int:
+    """Leaves to visit so that the share `recall` of the true `k` nearest of `queries` (rows of h1, h2, vector) is found; 1 without queries."""
+    if not queries:
+        return 1
+    w = np.array([r["vector"] for r in queries], np.float64)
+    w /= np.sqrt((w * w).sum(-1, keepdims=True))
+    own = {(r["h1"], r["h2"]): i for i, r in enumerate(queries)}
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = matrix(b.column("vector"), width)
+            v = v / np.sqrt((v * v).sum(-1, keepdims=True))
+            near = w @ v.T
+            for j, key in enumerate(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True)):
+                if key in own:
+                    near[own[key], j] = -np.inf
+            most = min(k, len(v))
+            top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            leaf = forest.leaves(v[top.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(w)), most)), pa.array(np.take_along_axis(near, top, 1).ravel()), pa.array(leaf.tolist(), pa.list_(pa.int64()))], names=["query", "score", "leaf"])
+
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    true = vectors.mapInArrow(closest, "query long, score double, leaf array<long>").where(F.col("score") > float("-inf")).withColumn("place", best).where(F.col("place") <= k)
+    places = {i: forest.ranks(unit) for i, unit in enumerate(w)}
+    need = sorted(min(int(places[r["query"]][t, x]) for t, x in enumerate(r["leaf"])) for r in true.select("query", "leaf").collect())  # k rows a query
+    return max(1, need[int(np.ceil(recall * len(need))) - 1]) if need else 1
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, depth: int = 14, leaf_rows: int = 64, recall: float = 0.95, calibration_queries: int = 128, block_rows: int = 20_000, seed: int = 8) -> DataFrame:
     """The `k` rows of `vectors` nearest to each row of `queries` by cosine: query_id, rank (from 1), vec_id, score.
 
     Both have vec_id and embedding. A query's own id is no candidate; nearest first, ties to the smaller vec_id. Rows whose id is
     null, or whose vector is null, empty, zero or holds null or non-finite numbers, take no part, nor do vectors of another
     length than the most common (ties: the longer). Rows equal in both columns count once. Without vectors there are no rows.
 
-    The trees' cuts are fitted on at most about `sample_rows` vectors (those of smallest hash); every vector is then put into one leaf of
-    each tree. Scores are exact (double precision) for all vectors of the leaves that a query visits; the queue visits
-    `visits` leaves over all trees, and goes on while they could hold fewer than k + 1 vectors. Trees are at most `depth` deep and keep 64
-    vectors a leaf at least, so small tables are searched whole. Equal vectors are searched once, with the
-    k + 1 smallest ids, as no result can hold more of them. A leaf of over `block_rows` vectors is cut into blocks.
+    Trees are as deep as leaves of `leaf_rows` vectors or more allow, but at most `depth`, so that the planes that tasks get are bounded (8 trees of
+    14 levels and 64 numbers: 67 MB). Their cuts are fitted on about eight vectors for each leaf, 20,000 at least (those of smallest hash); every vector is then put
+    into one leaf of each tree. How many leaves a query visits, over all trees, is measured: the true neighbours of `calibration_queries` query
+    vectors (those of smallest hash) are found among all vectors in one pass, and visits are as many as find the share `recall` of them. A search goes on
+    while its leaves could hold fewer than k + 1 vectors. Scores are exact (double precision) for all vectors of visited leaves. Equal vectors are
+    searched once, with the k + 1 smallest ids, as no result can hold more of them. A leaf of over `block_rows` vectors is cut into blocks.
     """
     keyed = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows, asked = keyed(vectors), keyed(queries)
@@ -109,8 +159,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8,
     few = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     distinct = materialize(hashed(rows).withColumn("few", few).where(F.col("few") <= k + 1).groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
     n = distinct.count()
-    depth = max(0, min(depth, (n // 64).bit_length() - 1))
-    share = min(1.0, sample_rows / n)
+    depth = max(0, min(depth, (n // leaf_rows).bit_length() - 1))
+    share = min(1.0, max(20_000, 8 * 2**depth) / n)
     sample = distinct.where(F.pmod(F.col("h2"), F.lit(1_000_000)) < int(share * 1_000_000)).select("vector").toArrow().column(0).combine_chunks()
     sample = matrix(sample, width) if len(sample) else np.zeros((0, width))
     sample = sample / np.maximum(np.sqrt((sample * sample).sum(-1, keepdims=True)), 1e-300)
@@ -131,6 +181,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8,
     for r in cells.groupBy("tree", "leaf").count().collect():  # trees * 2 ** depth rows
         forest.sizes[r["tree"], r["leaf"]] = r["count"]
 
+    asked = hashed(asked).select("vec_id", "vector", "h1", "h2")
+    sought = asked.groupBy("h1", "h2").agg(F.first("vector").alias("vector"))
+    visits = measured_visits(forest, distinct, sought.orderBy("h1", "h2").limit(calibration_queries).collect(), width, k, recall)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -141,8 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8,
             at = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array([x[j] for x in found], pa.int32()) for j in (1, 2, 3)], *[b.column(c).take(at) for c in ("h1", "h2", "vector")]], names=["tree", "leaf", "block", "h1", "h2", "vector"])
 
-    asked = hashed(asked).select("vec_id", "vector", "h1", "h2")
-    visited = asked.groupBy("h1", "h2").agg(F.first("vector").alias("vector")).mapInArrow(visit, "tree int, leaf int, block int, h1 long, h2 long, vector array<double>")
+    visited = sought.mapInArrow(visit, "tree int, leaf int, block int, h1 long, h2 long, vector array<double>")
 
     def score(held: pa.Table, q: pa.Table) -> pa.Table:
         empty = pa.table({"q1": pa.array([], pa.int64()), "q2": pa.array([], pa.int64()), "h1": pa.array([], pa.int64()), "h2": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
@@ -152,15 +205,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8,
         v, w = matrix(held.column("vector").combine_chunks(), width), matrix(q.column("vector").combine_chunks(), width)
         v_norm, w_norm = np.sqrt((v * v).sum(-1)), np.sqrt((w * w).sum(-1))
         most = min(len(v), k + 1)
+        smallest = np.asarray(pc.list_element(held.column("ids"), 0))
+        v_unit = (v / v_norm[:, None]).T
         out_q, out_v, out_s = [], [], []
         for i in range(0, len(w), 512):
-            near = (w[i : i + 512] / w_norm[i : i + 512, None]) @ (v / v_norm[:, None]).T
-            # A few more than needed, so that rounding in the product cannot leave one out; then the measure itself.
-            top = np.argpartition(-near, min(len(v) - 1, most + 3), axis=1)[:, : most + 4]
-            exact = (v[top] * w[i : i + 512, None, :]).sum(-1) / (v_norm[top] * w_norm[i : i + 512, None])
-            out_q.append(np.repeat(np.arange(i, i + len(top)), top.shape[1]))
-            out_v.append(top.ravel())
-            out_s.append(exact.ravel())
+            near = (w[i : i + 512] / w_norm[i : i + 512, None]) @ v_unit
+            least = np.partition(near, len(v) - most, axis=1)[:, len(v) - most]
+            for j, row in enumerate(near, i):
+                # All that rounding in the product could have put below the last; then the measure itself, ties to the smaller id.
+                top = np.flatnonzero(row >= least[j - i] - ROUNDING)
+                exact = (v[top] * w[j]).sum(-1) / (v_norm[top] * w_norm[j])
+                best = np.lexsort((smallest[top], -exact))[:most]
+                out_q.append(np.full(len(best), j))
+                out_v.append(top[best])
+                out_s.append(exact[best])
         a, b = pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v))
         return pa.table({"q1": q.column("h1").take(a), "q2": q.column("h2").take(a), "h1": held.column("h1").take(b), "h2": held.column("h2").take(b), "ids": held.column("ids").take(b), "score": pa.array(np.concatenate(out_s))})
 

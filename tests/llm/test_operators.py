@@ -204,6 +204,18 @@ def test_language_id(spark):
     assert none.predict("abc") == ("und", 0.0, False, None)
 
 
+def test_wrong_labels_do_not_widen_acceptance(spark):
+    rng = random.Random(9)
+    sound = {"aa": "aeklmn", "bb": "ourstv", "cc": "iybdgh", "zz": "fjpqwxae"}
+    text = lambda k: " ".join("".join(rng.choice(sound[k]) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 60)))
+    rows = [(i, text(k), k if rng.random() > 0.04 else rng.choice(["aa", "bb", "cc"])) for i, k in enumerate(rng.choice(["aa", "bb", "cc"]) for _ in range(600))]
+    rows += [(1000 + i, text("zz"), None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["accepted"] for r in language_id.identify(df.select("doc_id", "text"), language_id.train(df)).collect()}
+    assert sum(got[i] for i in range(600)) >= 597
+    assert not any(got[1000 + i] for i in range(50))  # a language without labels
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"a": Counter(), "b": Counter()}
     for lang, text in (("a", "  abracadabra "), ("b", "  banana bandana ")):
@@ -362,6 +374,32 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+def test_equal_directions_keep_their_smallest_ids(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=8)
+    rows = [(i, (v * (1 + 0.37 * ((i * 7) % 40))).tolist()) for i in range(1, 41)] + [(50, v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    d = np.array([r[1] for r in rows])
+    exact = (d * v).sum(-1) / (np.sqrt((d * d).sum(-1)) * np.sqrt((v * v).sum()))
+    want = sorted(range(1, 41), key=lambda i: (-exact[i - 1], i))[:5]
+    assert [r["vec_id"] for r in neighbours.nearest(df, df.where("vec_id = 50")).orderBy("rank").collect()] == want
+
+
+def test_ranks_are_the_order_of_the_search():
+    rng = np.random.default_rng(3)
+    forest = neighbours.Forest(rng.normal(size=(500, 8)), trees=3, depth=4, seed=1)
+    forest.sizes[:] = rng.integers(0, 3, forest.sizes.shape)
+    unit = rng.normal(size=8)
+    unit /= np.linalg.norm(unit)
+    found = forest.search(unit, 10**6, 0)
+    ranks = forest.ranks(unit)
+    # Leaves of one margin may change places.
+    gap = lambda t, leaf: max(((1 if leaf >> (3 - k) & 1 else -1) * -1 * (forest.planes[t, (16 + leaf) >> (4 - k)] @ unit - forest.offsets[t, (16 + leaf) >> (4 - k)]) for k in range(4)))
+    assert len(found) == (forest.sizes > 0).sum()
+    by_rank = sorted(found, key=lambda x: ranks[x])
+    assert [round(gap(*x), 9) for x in found] == [round(gap(*x), 9) for x in by_rank]
+
+
 def test_mixing(docs):
     rows = mixing.mix_rows(docs)
     plan = mixing.mix_plan(rows, block=8).collect()
