@@ -21,9 +21,24 @@ MASK = SPLIT + """, raw AS (SELECT p.image_id, p.pos, CASE WHEN p.val > c.at_val
     ends AS (SELECT image_id, max(CASE WHEN pos = 0 THEN m END) AS first_m, max(CASE WHEN pos = 63 THEN m END) AS last_m FROM raw GROUP BY image_id),
     sums AS (SELECT image_id, pos, m, sum(m) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM raw),
     mask AS (SELECT s.image_id, s.pos, CASE WHEN s.s + greatest(0, 2 - s.pos) * e.first_m + greatest(0, s.pos - 61) * e.last_m >= 3 THEN 1 ELSE 0 END AS m FROM sums s JOIN ends e ON s.image_id = e.image_id)"""
-RUNS = """isl AS (SELECT image_id, pos, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS g FROM mask WHERE m = 1), run0 AS (SELECT image_id, min(pos) AS a, max(pos) AS b FROM isl GROUP BY image_id, g),
-    run1 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY image_id ORDER BY a) - 1 <= 10 THEN 0 ELSE 1 END AS fresh FROM run0), run2 AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id ORDER BY a) AS k FROM run1),
-    runs AS (SELECT image_id, min(a) AS a, max(b) AS b FROM run2 GROUP BY image_id, k)"""
+#: Runs of a mask of at least 20 places and 5 % of its width, merged over gaps of 10 places or 3 % of it; the widest of them, the first on a tie.
+RUNS = """wide AS (SELECT image_id, count(*) AS n FROM mask GROUP BY image_id), isl AS (SELECT image_id, pos, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS g FROM mask WHERE m = 1),
+    run0 AS (SELECT i.image_id, n, min(pos) AS a, max(pos) AS b FROM isl i JOIN wide ON i.image_id = wide.image_id GROUP BY i.image_id, n, g HAVING max(pos) - min(pos) + 1 >= greatest(20, floor(0.05 * n))),
+    run1 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY image_id ORDER BY a) - 1 <= greatest(10, floor(0.03 * n)) THEN 0 ELSE 1 END AS fresh FROM run0), run2 AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id ORDER BY a) AS k FROM run1),
+    runs AS (SELECT image_id, n, min(a) AS a, max(b) AS b FROM run2 GROUP BY image_id, n, k), widest AS (SELECT image_id, n, a, b FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) q WHERE rn = 1)"""
+
+
+def book_span(gutter: int | None = None) -> str:
+    """SQL for the span of a book over `mask`: the widest run, or with a gutter's place, from the last run that starts at or before it to the first that ends at or after it.
+
+    Without a run on both sides of the gutter it is the widest one; images without runs have no row.
+    """
+    if gutter is None:
+        return f"{RUNS}, span AS (SELECT image_id, a, b FROM widest)"
+    at = f"greatest(0, least({gutter}, n - 1))"
+    return f"""{RUNS}, beside AS (SELECT image_id, max(CASE WHEN a <= {at} THEN a END) AS l, min(CASE WHEN b >= {at} THEN b END) AS r FROM runs GROUP BY image_id),
+    span AS (SELECT w.image_id, CASE WHEN l IS NULL OR r IS NULL THEN a ELSE l END AS a, CASE WHEN l IS NULL OR r IS NULL THEN b ELSE r END AS b FROM widest w JOIN beside ON w.image_id = beside.image_id)"""
+
 
 #: Power sums of a quadratic fit around a centre, and its three coefficients, from m0..m4 and u0..u2.
 DET = "(m0 * (m2 * m4 - m3 * m3) - m1 * (m1 * m4 - m2 * m3) + m2 * (m1 * m3 - m2 * m2))"
@@ -71,8 +86,8 @@ PLANS = {
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY row_val DESC, pos) AS hi, row_number() OVER (PARTITION BY image_id ORDER BY row_val, pos) AS lo FROM edge WHERE pos BETWEEN 12 AND 52), k AS (SELECT image_id, max(CASE WHEN hi = 1 THEN pos END) AS top_pos, max(CASE WHEN hi = 1 THEN row_val END) AS top_val, max(CASE WHEN lo = 1 THEN pos END) AS bottom_pos, max(CASE WHEN lo = 1 THEN row_val END) AS bottom_val FROM r GROUP BY image_id) SELECT *, CAST(bround(sqrt(CAST((top_pos - bottom_pos) * (top_pos - bottom_pos) AS DOUBLE) + (top_val - bottom_val) * (top_val - bottom_val))) AS INT) AS length FROM k"),
     "e08_otsu_split": both(("profile",), "Value that splits a profile in two classes; none with under 20 values or no range.", f"WITH {SPLIT} SELECT image_id, round(at_val, 6) AS cut FROM cut"),
     "e09_clean_mask": both(("profile",), "Majority of five around each sample of the split profile; ends are replicated.", f"WITH {MASK} SELECT image_id, pos, m FROM mask"),
-    "e10_book_span": both(("profile",), "Runs of the cleaned mask, merged over gaps of 10 or less; the widest. Reduced: no least length of a run, no gap by width, no gutter.", f"WITH {MASK}, {RUNS}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) SELECT image_id, a, b FROM w WHERE rn = 1"),
-    "e11_detect_span": both(("profile",), "The span of e10 if it is at least 20 wide, else nothing.", f"WITH {MASK}, {RUNS}, w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS rn FROM runs) SELECT image_id, CASE WHEN b - a + 1 >= 20 THEN a END AS a, CASE WHEN b - a + 1 >= 20 THEN b END AS b FROM w WHERE rn = 1"),
+    "e10_book_span": both(("profile",), "The widest run of the cleaned mask; runs of under 20 places or 5 % don't count, gaps of 10 or 3 % are bridged. `book_span` takes a gutter's place.", f"WITH {MASK}, {book_span()} SELECT image_id, a, b FROM span"),
+    "e11_detect_span": both(("profile",), "The span of e10, or nothing where there is none.", f"WITH {MASK}, {book_span()} SELECT wide.image_id, a, b FROM wide LEFT JOIN span ON wide.image_id = span.image_id"),
     "e13_line_fit": both(("edge",), "Least squares of an edge's rows on its columns.", "SELECT image_id, round(regr_slope(row_val, pos), 9) AS slope, round(regr_intercept(row_val, pos), 6) AS intercept FROM edge GROUP BY image_id"),
     "e14_robust_line": both(("edge",), "The line through two samples, of hashed trial pairs, that most samples lie within 4 of; then a fit to these.",
         """WITH t AS (SELECT a.image_id, a.pos AS k, a.pos AS x0, a.row_val AS y0, b.pos AS x1, b.row_val AS y1 FROM edge a JOIN edge b ON a.image_id = b.image_id AND b.pos = (a.pos * 37 + 11) % 64 AND b.pos <> a.pos), l AS (SELECT image_id, k, (y1 - y0) / (x1 - x0) AS s, y0 - x0 * (y1 - y0) / (x1 - x0) AS c FROM t),
