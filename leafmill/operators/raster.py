@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ..functions.geometry import both
 from ..plans.plan import Plan
 from ..plans.views import SOBEL_PASSES
@@ -54,6 +56,19 @@ N24 = ", ".join(f"({i})" for i in range(24))
 SIZES = "dims AS (SELECT image_id, CAST(max(y) + 1 AS DOUBLE) AS h, CAST(max(x) + 1 AS DOUBLE) AS w FROM pixel GROUP BY image_id)"
 DIMS = f"{SIZES}, rows24 AS (SELECT * FROM (VALUES {N24}) AS t(cy)), cols24 AS (SELECT * FROM (VALUES {N24}) AS t(cx))"
 
+#: Weights of a Gaussian over nine samples, whose width (1.7) follows from their number; from the middle outwards.
+_BELL = [math.exp(-k * k / (2 * 1.7**2)) for k in range(5)]
+_BELL = [x / (_BELL[0] + 2 * sum(_BELL[1:])) for x in _BELL]
+#: What smoothing adds to the part that a row has in its column's mean, by its distance from the border, where rows are mirrored.
+_EDGE = [-sum(_BELL[1:]), *_BELL[1:]]
+_PART = lambda at: " ".join(f"WHEN {at} = {k} THEN {v:.15f}e0" for k, v in enumerate(_EDGE))
+_SMOOTH = " + ".join([f"{_BELL[0]:.15f}e0 * m", *(f"{v:.15f}e0 * (coalesce(lag(m, {k}) OVER o, lead(m, {k}) OVER o) + coalesce(lead(m, {k}) OVER o, lag(m, {k}) OVER o))" for k, v in enumerate(_BELL) if k)])
+GUTTER = f"""size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixel GROUP BY image_id),
+        col AS (SELECT p.image_id, x, w, sum(v * (1 + CASE {_PART("y")} ELSE 0e0 END + CASE {_PART("h - 1 - y")} ELSE 0e0 END)) / max(h) AS m FROM pixel p JOIN size ON p.image_id = size.image_id GROUP BY p.image_id, x, w),
+        smooth AS (SELECT image_id, x, w, {_SMOOTH} AS m FROM col WINDOW o AS (PARTITION BY image_id ORDER BY x)),
+        band AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn, avg(m) OVER (PARTITION BY image_id) AS mean FROM smooth WHERE x >= floor(0.3 * w) AND x < floor(0.7 * w)),
+        gutter AS (SELECT image_id, x AS gutter, w, greatest(0e0, mean - m) AS fall, CASE WHEN mean > 0 AND x - floor(0.3 * w) >= floor(0.05 * w) AND floor(0.7 * w) - x >= floor(0.05 * w) THEN greatest(0e0, (mean - m) / mean) ELSE 0e0 END AS confidence FROM band WHERE rn = 1)"""
+
 PLANS = {
     "d01_to_gray": on_pixels("Grey from colour: 0.299 red, 0.587 green, 0.114 blue, rounded.", f"WITH {RGB} SELECT image_id, y, x, CAST(bround(0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE)) AS INT) AS v FROM rgb"),
     "d02_blur_score": on_pixels("Variance of the Laplacian of four neighbours; the border is mirrored.", f"WITH {LAPLACE.format(of='pixel')}, {BLUR} SELECT image_id, round(score, 6) AS score FROM blur"),
@@ -64,14 +79,10 @@ PLANS = {
         f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC}, r AS (SELECT *, image_id % 2 AS job, CASE verdict WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END AS bad, row_number() OVER (PARTITION BY image_id % 2 ORDER BY image_id DESC) AS rn FROM qc) SELECT job, CASE max(bad) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' END AS verdict, round(max(CASE WHEN rn = 1 THEN score END), 6) AS score, round(max(CASE WHEN rn = 1 THEN mean END), 6) AS mean FROM r GROUP BY job"),
     "d07_content_signature": Plan(("pixel",), "24 x 24 area means with fractional overlap.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells"),
     "d08_content_difference": Plan(("pixel",), "Mean absolute difference of the signatures of an image and the next.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id"),
-    "d09_gutter": on_pixels("Darkest smoothed column in the middle 40 % of the width and how far it stands out. Reduced: a box mean of 9 columns, no rule for the flanks.",
-        """WITH p AS (SELECT image_id, x, avg(v) AS m FROM pixel GROUP BY image_id, x), s AS (SELECT image_id, x, avg(m) OVER (PARTITION BY image_id ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m, max(x) OVER (PARTITION BY image_id) + 1 AS w FROM p),
-        k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn FROM s WHERE x >= 0.3 * w AND x < 0.7 * w), a AS (SELECT image_id, avg(m) AS mean FROM s GROUP BY image_id)
-        SELECT k.image_id, k.x AS gutter, round((a.mean - k.m) / a.mean, 9) AS confidence, round(a.mean - k.m, 9) AS fall FROM k JOIN a ON k.image_id = a.image_id WHERE rn = 1"""),
-    "d10_split_decision": on_pixels("Whether a page is split, and where (percent): a gutter of confidence 0.08 and a fall of 20, else the middle.",
-        """WITH p AS (SELECT image_id, x, avg(v) AS m FROM pixel GROUP BY image_id, x), s AS (SELECT image_id, x, avg(m) OVER (PARTITION BY image_id ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m, max(x) OVER (PARTITION BY image_id) + 1 AS w FROM p),
-        k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn FROM s WHERE x >= 0.3 * w AND x < 0.7 * w), a AS (SELECT image_id, avg(m) AS mean FROM s GROUP BY image_id),
-        d AS (SELECT k.image_id, (a.mean - k.m) / a.mean >= 0.08 AND a.mean - k.m >= 20 AS split, k.x * 100.0 / k.w AS place FROM k JOIN a ON k.image_id = a.image_id WHERE rn = 1) SELECT image_id, split, CASE WHEN split THEN CAST(greatest(1, least(99, floor(place))) AS INT) ELSE 50 END AS percent FROM d"""),
+    "d09_gutter": on_pixels("Darkest column, smoothed by a 9 x 9 Gaussian, from 30 to 70 % of the width; how far it stands out from the columns there, 0 unless 5 % of the width lies on both sides of it; its fall.",
+        f"WITH {GUTTER} SELECT image_id, gutter, round(confidence, 9) AS confidence, round(fall, 9) AS fall FROM gutter"),
+    "d10_split_decision": on_pixels("Whether a page is split, and where (percent): a gutter of confidence 0.08 and a fall of 20, else the middle. Reduced: takes no request.",
+        f"WITH {GUTTER}, d AS (SELECT image_id, confidence >= 0.08 AND fall >= 20 AS split, gutter * 100.0 / w AS place FROM gutter) SELECT image_id, split, CASE WHEN split THEN CAST(greatest(1, least(99, floor(place))) AS INT) ELSE 50 END AS percent FROM d"),
     "d11_otsu": on_pixels("Threshold of the largest variance between two classes.", f"WITH {HIST}, {OTSU} SELECT image_id, threshold FROM otsu"),
     "d12_region_measure": on_pixels("Sharpness inside two regions of an image (left and right 45 %), each by itself.",
         f"WITH reg AS (SELECT image_id * 2 + CASE WHEN x < 32 THEN 0 ELSE 1 END AS image_id, y, x, v FROM pixel WHERE x < 29 OR x >= 35), {LAPLACE.format(of='reg')}, {BLUR} SELECT image_id AS region, round(score, 6) AS score FROM blur"),

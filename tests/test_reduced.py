@@ -4,7 +4,7 @@ from pathlib import Path
 
 from leafmill.plans import catalog
 
-REDUCED = "a17_export_plan d09_gutter d25_sign_change_profile d29_glare_rows".split()
+REDUCED = "a17_export_plan d25_sign_change_profile d29_glare_rows".split()
 
 
 def test_reduced_forms_are_named():
