@@ -134,15 +134,15 @@ def measured_visits(forest: Forest, vectors: DataFrame, queries: list, width: in
     return max(1, need[int(np.ceil(recall * len(need))) - 1]) if need else 1
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, depth: int = 14, leaf_rows: int = 64, recall: float = 0.95, calibration_queries: int = 128, block_rows: int = 20_000, seed: int = 8) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8, depth: int = 6, leaf_rows: int = 64, recall: float = 0.95, calibration_queries: int = 128, block_rows: int = 20_000, seed: int = 8) -> DataFrame:
     """The `k` rows of `vectors` nearest to each row of `queries` by cosine: query_id, rank (from 1), vec_id, score.
 
     Both have vec_id and embedding. A query's own id is no candidate; nearest first, ties to the smaller vec_id. Rows whose id is
     null, or whose vector is null, empty, zero or holds null or non-finite numbers, take no part, nor do vectors of another
     length than the most common (ties: the longer). Rows equal in both columns count once. Without vectors there are no rows.
 
-    Trees are as deep as leaves of `leaf_rows` vectors or more allow, but at most `depth`, so that the planes that tasks get are bounded (8 trees of
-    14 levels and 64 numbers: 67 MB). Their cuts are fitted on about eight vectors for each leaf, 20,000 at least (those of smallest hash); every vector is then put
+    Trees are as deep as leaves of `leaf_rows` vectors or more allow, but at most `depth`, so that the planes that tasks get are bounded and a
+    query's candidates grow with its visits only; beyond 64 times `leaf_rows` vectors, leaves grow unless `depth` is raised. Their cuts are fitted on about eight vectors for each leaf, 20,000 at least (those of smallest hash); every vector is then put
     into one leaf of each tree. How many leaves a query visits, over all trees, is measured: the true neighbours of `calibration_queries` query
     vectors (those of smallest hash) are found among all vectors in one pass, and visits are as many as find the share `recall` of them. A search goes on
     while its leaves could hold fewer than k + 1 vectors. Scores are exact (double precision) for all vectors of visited leaves. Equal vectors are
@@ -226,7 +226,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 8,
     scored = cells.groupBy(*by).cogroup(visited.groupBy(*by)).applyInArrow(score, "q1 long, q2 long, h1 long, h2 long, ids array<long>, score double")
     # The best of each query vector over all leaves; a vector may come from several trees.
     pairs = scored.groupBy("q1", "q2", "h1", "h2").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    found = pairs.withColumn("id", F.explode("ids")).withColumn("place", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "id"))).where(F.col("place") <= 2 * (k + 1))
+    # The first k + 1 ids of a query are those of its first k + 1 vectors, by score and then smallest id.
+    first = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.element_at("ids", 1)))
+    found = pairs.withColumn("place", first).where(F.col("place") <= k + 1).withColumn("id", F.explode("ids"))
     named = asked.select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2")).distinct()
     ranked = named.join(found, ["q1", "q2"]).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
