@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, jaccard_join, language_id, language_model, mixing, neighbours, secrets, sharding, substring_dedup, token_counts
+from . import alignment, decontamination, jaccard_join, language_id, language_model, mixing, neighbours, quality, secrets, sharding, substring_dedup, token_counts
 from .common import read
 
 
@@ -84,9 +84,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op3_substring_dedup, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op3_substring_dedup, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan, op12_quality_rules, op13_token_alignment)}
 ORACLE_SQL = {"op9_mixing": OP9_SQL}
