@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, jaccard_join, language_id, language_model, mixing, neighbours, quality, secrets, sharding, substring_dedup, token_counts
+from . import alignment, decontamination, hard_negatives, jaccard_join, language_id, language_model, mixing, neighbours, quality, secrets, sharding, substring_dedup, token_counts
 from .common import read
 
 
@@ -84,6 +84,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_vectors(read(spark, sf_dir, "embeddings"), label=label)
+    return hard_negatives.mine_hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+OP11_SQL = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) x WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10
+"""
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -93,5 +110,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op3_substring_dedup, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan, op12_quality_rules, op13_token_alignment)}
-ORACLE_SQL = {"op9_mixing": OP9_SQL}
+QUERIES = {f.__name__: f for f in (pipeline, op1_decontamination, op2_jaccard_join, op3_substring_dedup, op4_language_id, op5_token_counts, op6_language_model, op7_sharding, op8_neighbours, op9_mixing, op10_secret_scan, op11_hard_negatives, op12_quality_rules, op13_token_alignment)}
+ORACLE_SQL = {"op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL}
