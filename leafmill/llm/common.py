@@ -45,6 +45,13 @@ def small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def numbered(df: DataFrame, times: str, name: str, run: int = 65_536) -> DataFrame:
+    """Each row as often as its column `times` says, with `name` counting from 1: by runs, so that no row makes an array longer than `run`."""
+    n = F.col(times).cast("long")
+    runs = df.where(n > 0).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(CAST({times} AS BIGINT) - 1) div {run}"))))
+    return runs.withColumn(name, F.explode(F.sequence(F.col(name) * run + 1, F.least(n, (F.col(name) + 1) * run))))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, parts_for, small
+from .common import WORD, materialize, numbered, parts_for, small
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +58,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     key = ["doc_id", "source", "size", "print"]
     rows = materialize(rows.select(*key), "mix-rows")
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    copies = counted.select(*key, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    copies = numbered(counted, "n", "copy").select(*key, "copy")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     known = sources.agg(F.count(F.lit(1)), F.sum("source_rows"), F.sum("source_size")).first()
     n_sources, n_rows, words = known[0], known[1] or 0, known[2] or 0
@@ -112,18 +112,18 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of `docs` (doc_id, text, source and any others): a document that is taken twice
+    """The documents of the mix, with the columns of `docs` (doc_id, text, source and any others, of any names): a document that is taken twice
     stands twice, one that is not taken goes. The one document at the end of the budget, taken in part, stands once whole.
     Rows with equal doc_id, source and text are numbered in the order of their other columns, if there are any such rows."""
-    own = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     plan = mix_plan(mix_rows(docs), **options).select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("print").alias("p_print"), F.col("copy").alias("p_copy"), times.alias("p_times"))
     plan = materialize(plan.where("p_times > 0"), "mix-plan")
     n, copies = plan.agg(F.count(F.lit(1)), F.max("p_copy")).first()
-    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("p__print") == F.col("p_print"))
-    numbered = docs.withColumn("p__print", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    # Columns of `docs` stand in a struct, so their names meet no others.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d_row"), F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("d_print"))
+    same = F.col("d_id").eqNullSafe(F.col("p_id")) & F.col("d_source").eqNullSafe(F.col("p_source")) & (F.col("d_print") == F.col("p_print"))
     if (copies or 1) > 1:
-        place = Window.partitionBy("doc_id", "source", "p__print").orderBy(*(own or ["doc_id"]))
-        numbered = numbered.withColumn("p__copy", F.row_number().over(place))
-        same = same & (F.col("p__copy") == F.col("p_copy"))
-    return numbered.join(small(plan, n), same).withColumn("p__turn", F.explode(F.sequence(F.lit(1), F.col("p_times")))).select(*docs.columns)
+        own = [F.col("d_row").getField(c) for c in docs.columns if c not in ("doc_id", "source", "text")]
+        rows = rows.withColumn("d_copy", F.row_number().over(Window.partitionBy("d_id", "d_source", "d_print").orderBy(*(own or ["d_id"]))))
+        same = same & (F.col("d_copy") == F.col("p_copy"))
+    return rows.join(small(plan, n), same).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("p_times")))).select("d_row.*")

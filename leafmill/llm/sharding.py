@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, small
+from .common import materialize, numbered, parts_for, small
 
 
 def hypergeometric(good: int, bad: int, n: int, u: float) -> int:
@@ -65,7 +65,7 @@ def shard_rows(rows: DataFrame, shards: int = 8, seed: int = 20, part_rows: int
     keyed = rows.select(F.xxhash64(*nulls, *cols).alias("_k1"), F.xxhash64(F.lit(seed), F.lit("row"), *nulls, *cols).alias("_k2"), F.struct(*cols).alias("_row"))
     keys = materialize(keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n")), "rows")
     n = keys.agg(F.sum("_n")).first()[0] or 0
-    copies = keys.select("_k1", "_k2", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+    copies = numbered(keys, "_n", "_copy").select("_k1", "_k2", F.col("_copy").cast("int"))
     parts = min(parts_for(n, part_rows), most_parts)
     draw = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "_k1", "_k2", "_copy")
     dealt = copies.withColumn("_part", F.pmod(draw("part"), F.lit(parts)).cast("int"))

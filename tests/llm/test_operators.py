@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontamination, jaccard_join, language_id, language_model, mixing, neighbours, secrets, sharding, substring_dedup, token_counts
-from leafmill.llm.common import word_hashes, words_of
+from leafmill.llm.common import numbered, word_hashes, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, score string"
 
@@ -418,6 +418,18 @@ def test_mixing(docs):
         want[r["doc_id"]] += math.ceil(r["taken"] / r["size"]) if r["size"] else 0
     assert mixed == +want
     assert mixing.mix_plan(rows.limit(0)).count() == 0
+    names = ["p_id", "p_source", "p_print", "p_copy", "p_times", "p__print", "p__copy", "p__turn", "d_row", "d_id", "d_source", "d_print", "d_copy", "turn", "print", "copy", "taken"]
+    more = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    got = mixing.mix_documents(more)
+    assert got.columns == more.columns and Counter(r["doc_id"] for r in got.collect()) == mixed
+    assert got.where(" OR ".join(f"{c} <> 'own {c}'" for c in names)).count() == 0
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_rows_are_numbered_by_runs(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 0), ("d", 6)], "k string, n int")
+    got = sorted((r["k"], r["i"]) for r in numbered(df, "n", "i", run=3).collect())
+    assert got == sorted((k, i) for k, n in (("a", 1), ("b", 7), ("d", 6)) for i in range(1, n + 1))
 
 
 def test_secrets(spark):
