@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from ..functions.geometry import both
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import both, duck
 from ..plans.plan import Plan
 from ..plans.views import SOBEL_PASSES
+from . import colour, strips
+
+
+def measured(inputs: tuple[str, ...], over: tuple[str, ...], doc: str, run: Callable[..., DataFrame], sql: str) -> Plan:
+    """An operator on arrays, held against SQL over pixels."""
+    return Plan(inputs, doc, run=run, duckdb=duck(sql), oracle_inputs=over)
 
 
 def on_pixels(doc: str, body: str, *more: str) -> Plan:
@@ -33,17 +43,55 @@ SAUVOLA = """hist AS (SELECT image_id, v, count(*) AS n FROM med GROUP BY image_
     """ + BOX.replace("{of}", "med") + """, ink AS (SELECT m.image_id, m.y, m.x, CASE WHEN m.v <= CASE WHEN l.sd < 3 THEN o.threshold ELSE l.mean * (1 + 0.34 * (l.sd / 128 - 1)) END THEN 0 ELSE 255 END AS v
     FROM med m JOIN local l ON m.image_id = l.image_id AND m.y = l.y AND m.x = l.x JOIN otsu o ON m.image_id = o.image_id)"""
 
-#: Colour from three images of the table: red its own, green and blue the next two of ten.
-RGB = "rgb AS (SELECT r.image_id, r.y, r.x, r.v AS r, g.v AS g, b.v AS b FROM pixel r JOIN pixel g ON g.image_id = (r.image_id + 1) % 10 AND g.y = r.y AND g.x = r.x JOIN pixel b ON b.image_id = (r.image_id + 2) % 10 AND b.y = r.y AND b.x = r.x)"
+#: Grey of a colour pixel.
+GREY = "bround(round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 9))"
+
+
+def _hsv(of: str, out: str) -> str:
+    """Hue, saturation and value of a relation with r, g, b."""
+    return f"""{out}0 AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM {of}),
+    {out}1 AS (SELECT *, CASE WHEN d = 0 THEN 0e0 WHEN hi = r THEN 3e1 * (g - b) / d WHEN hi = g THEN 6e1 + 3e1 * (b - r) / d ELSE 12e1 + 3e1 * (r - g) / d END AS h0 FROM {out}0),
+    {out} AS (SELECT *, CAST(bround(round(CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END, 9)) AS INT) % 180 AS hue, CASE WHEN hi = 0 THEN 0e0 ELSE bround(round(d * 255e0 / hi, 9)) END AS sat FROM {out}1)"""
+
+
+_KEPT = lambda v: f"greatest(0e0, least(255e0, bround(round({v}, 9))))"
+_HELD = lambda c: f"greatest(-1e0, least(1e0, CAST(s.{c} AS DOUBLE))) AS {c}"
+_PICK = lambda *of: "CASE hue // 30 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(of)) + " END"
+TONE_SQL = f"""WITH s0 AS (SELECT p.*, {", ".join(map(_HELD, colour.SETTINGS))} FROM colour_pixel p JOIN tone_setting s ON s.image_id = p.image_id),
+    w AS (SELECT image_id, y, x, brightness, contrast, saturation, {_KEPT("r * (1 + 0.3e0 * white_balance)")} AS r, CAST(g AS DOUBLE) AS g, {_KEPT("b * (1 - 0.3e0 * white_balance)")} AS b FROM s0),
+    t AS (SELECT image_id, y, x, saturation, {", ".join(_KEPT(f"{c} * (1 + contrast) - 128 * contrast + 80 * brightness") + f" AS {c}" for c in "rgb")} FROM w), {_hsv("t", "hsv")},
+    n AS (SELECT *, {_KEPT("sat * (1 + saturation)")} / 255 AS s2, hue % 30 / 3e1 AS part FROM hsv), m AS (SELECT *, hi * (1 - s2) AS lo, hi * (1 - s2 * part) AS fall, hi * (1 - s2 * (1 - part)) AS rise FROM n)
+    SELECT image_id, y, x, """ + ", ".join(f"CAST(CASE WHEN saturation = 0 THEN {c} ELSE {_KEPT(_PICK(*of))} END AS INT) AS {c}" for c, of in (("r", ("hi", "fall", "lo", "lo", "rise", "hi")), ("g", ("rise", "hi", "hi", "fall", "lo", "lo")), ("b", ("lo", "lo", "rise", "hi", "hi", "fall")))) + " FROM m"
+GLARE_SQL = f"""WITH {_hsv("colour_pixel", "hsv")}, c AS (SELECT p.image_id, p.y, p.x, CAST(p.sat AS BIGINT) AS sat, greatest(0e0, least(255e0, bround(round((b - {GREY}) * 0.564e0 + 128, 9)))) AS cb, q.guess, CAST(bround(q.guess) AS INT) AS spot FROM hsv p JOIN bridge q ON q.image_id = p.image_id AND q.y = p.y),
+    o AS (SELECT image_id, y, guess, max(CASE WHEN x = spot THEN sat END) AS saturation, quantile_cont(CASE WHEN x < spot - 18 THEN cb END, 0.5) AS ground FROM c GROUP BY image_id, y, guess),
+    r AS (SELECT c.image_id, c.y, c.x, row_number() OVER (PARTITION BY c.image_id, c.y ORDER BY abs(c.cb - o.ground) DESC, c.x) AS place FROM c JOIN o ON o.image_id = c.image_id AND o.y = c.y WHERE c.x BETWEEN c.spot - 18 AND c.spot + 18)
+    SELECT o.image_id, o.y, o.saturation, o.saturation <= 25 AS glare, CASE WHEN o.saturation <= 25 OR o.ground IS NULL THEN o.guess ELSE CAST(r.x AS DOUBLE) END AS x FROM o JOIN r ON r.image_id = o.image_id AND r.y = o.y AND r.place = 1"""
+
+#: Samples of each frame of an image as an image of its own, and those of frames large enough for a signature.
+REGIONS = """z AS (SELECT image_id, max(x) + 1 AS iw, max(y) + 1 AS ih FROM pixel GROUP BY image_id),
+    f0 AS (SELECT f.image_id, f.frame_no, greatest(0, least(bround(f.x * iw), iw - 1)) AS x0, greatest(0, least(bround(f.y * ih), ih - 1)) AS y0, bround(f.w * iw) AS w, bround(f.h * ih) AS h, iw, ih FROM image_frame f JOIN z ON z.image_id = f.image_id),
+    f1 AS (SELECT image_id, frame_no, x0, y0, greatest(1, least(w, iw - x0)) AS w, greatest(1, least(h, ih - y0)) AS h FROM f0),
+    reg AS (SELECT p.image_id * 100 + f.frame_no AS image_id, CAST(p.y - y0 AS INT) AS y, CAST(p.x - x0 AS INT) AS x, v FROM pixel p JOIN f1 f ON f.image_id = p.image_id AND p.x >= x0 AND p.x < x0 + w AND p.y >= y0 AND p.y < y0 + h AND w >= 2 AND h >= 2),
+    large AS (SELECT * FROM reg WHERE image_id IN (SELECT image_id * 100 + frame_no FROM f1 WHERE w >= 24 AND h >= 24))"""
 
 LAPLACE = """a AS (SELECT image_id, y, x, v, coalesce(lag(v) OVER wx, lead(v) OVER wx) AS l, coalesce(lead(v) OVER wx, lag(v) OVER wx) AS r, coalesce(lag(v) OVER wy, lead(v) OVER wy) AS u, coalesce(lead(v) OVER wy, lag(v) OVER wy) AS d FROM {of}
     WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)), lap AS (SELECT image_id, y, x, l + r + u + d - 4 * v AS z FROM a)"""
 BLUR = "blur AS (SELECT image_id, sum(z * z) / CAST(count(*) AS DOUBLE) - power(sum(z) / CAST(count(*) AS DOUBLE), 2) AS score FROM lap GROUP BY image_id)"
 QC = "qc AS (SELECT k.image_id, k.score, e.mean, CASE WHEN k.score < 100 THEN 'FAIL' WHEN e.mean <= 30 OR e.mean >= 225 THEN 'WARNING' ELSE 'PASS' END AS verdict FROM blur k JOIN (SELECT image_id, avg(v) AS mean FROM pixel GROUP BY image_id) e ON k.image_id = e.image_id)"
 
-GAUSS = (0.2, 0.6)  # weights of the neighbours and the centre of a short Gaussian, per pass
-SMOOTH = f"""sx AS (SELECT image_id, y, x, v, {GAUSS[1]} * v + {GAUSS[0]} * (coalesce(lag(v) OVER w, lead(v) OVER w) + coalesce(lead(v) OVER w, lag(v) OVER w)) AS p FROM pixel WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
-    sm AS (SELECT image_id, y, x, v, {GAUSS[1]} * p + {GAUSS[0]} * (coalesce(lag(p) OVER w, lead(p) OVER w) + coalesce(lead(p) OVER w, lag(p) OVER w)) AS g FROM sx WINDOW w AS (PARTITION BY image_id, x ORDER BY y))"""
+
+def gaussian_sql(sigma: float) -> str:
+    """smooth(image_id, y, x, v, g): pixels and their Gaussian, in bytes, the border mirrored as often as needed."""
+    reach = (round(6 * sigma + 1) | 1) // 2
+    place = lambda at, n: f"CASE WHEN {n} = 1 THEN 0 ELSE {n} - 1 - abs({n} - 1 - abs({at}) % (2 * ({n} - 1))) END"
+    return f"""k AS (SELECT d, e / sum(e) OVER () AS u FROM (SELECT d, exp(-d * d / {2 * sigma * sigma}e0) AS e FROM (SELECT unnest(range(-{reach}, {reach} + 1)) AS d) r) q),
+    dim AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixel GROUP BY image_id),
+    ax AS (SELECT n.x, n.w, {place("n.x + k.d", "n.w")} AS sx, sum(k.u) AS u FROM (SELECT DISTINCT x, w FROM pixel JOIN dim USING (image_id)) n, k GROUP BY n.x, n.w, sx),
+    ay AS (SELECT n.y, n.h, {place("n.y + k.d", "n.h")} AS sy, sum(k.u) AS u FROM (SELECT DISTINCT y, h FROM pixel JOIN dim USING (image_id)) n, k GROUP BY n.y, n.h, sy),
+    across AS (SELECT p.image_id, p.y, a.x, sum(a.u * p.v) AS s FROM pixel p JOIN dim USING (image_id) JOIN ax a ON a.w = dim.w AND a.sx = p.x GROUP BY p.image_id, p.y, a.x),
+    down AS (SELECT p.image_id, a.y, p.x, sum(a.u * p.s) AS s FROM across p JOIN dim USING (image_id) JOIN ay a ON a.h = dim.h AND a.sy = p.y GROUP BY p.image_id, a.y, p.x),
+    smooth AS (SELECT p.image_id, p.y, p.x, p.v, bround(round(d.s, 9)) AS g FROM pixel p JOIN down d ON d.image_id = p.image_id AND d.y = p.y AND d.x = p.x)"""
+
 
 SIGNATURE_CELLS = """cells AS (SELECT image_id, cy, cx, sum(v * oy * ox) / sum(oy * ox) AS m FROM (SELECT p.image_id, p.v, c.cy, k.cx, least(CAST(p.y + 1 AS DOUBLE), (c.cy + 1) * z.h / 24) - greatest(CAST(p.y AS DOUBLE), c.cy * z.h / 24) AS oy,
     least(CAST(p.x + 1 AS DOUBLE), (k.cx + 1) * z.w / 24) - greatest(CAST(p.x AS DOUBLE), k.cx * z.w / 24) AS ox FROM pixel p JOIN dims z ON p.image_id = z.image_id JOIN rows24 c ON c.cy < (p.y + 1) * 24 / z.h AND c.cy + 1 > p.y * 24 / z.h JOIN cols24 k ON k.cx < (p.x + 1) * 24 / z.w AND k.cx + 1 > p.x * 24 / z.w) q WHERE oy > 0 AND ox > 0 GROUP BY image_id, cy, cx)"""
@@ -69,12 +117,23 @@ GUTTER = f"""size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pix
         band AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(m, 9), x) AS rn, avg(m) OVER (PARTITION BY image_id) AS mean FROM smooth WHERE x >= floor(0.3 * w) AND x < floor(0.7 * w)),
         gutter AS (SELECT image_id, x AS gutter, w, greatest(0e0, mean - m) AS fall, CASE WHEN mean > 0 AND x - floor(0.3 * w) >= floor(0.05 * w) AND floor(0.7 * w) - x >= floor(0.05 * w) THEN greatest(0e0, (mean - m) / mean) ELSE 0e0 END AS confidence FROM band WHERE rn = 1)"""
 
+
+
+def qc_verdicts(scanline: DataFrame) -> DataFrame:
+    mean = scanline.groupBy("image_id").agg((F.sum(F.aggregate("gray", F.lit(0).cast("long"), lambda a, v: a + v)) / F.sum(F.size("gray"))).alias("mean"))
+    verdict = F.when(F.col("score") < 100, "FAIL").when((F.col("mean") <= 30) | (F.col("mean") >= 225), "WARNING").otherwise("PASS")
+    return strips.blur_scores(scanline).join(mean, "image_id").select("image_id", verdict.alias("verdict"), F.round("score", 6).alias("score"), F.round("mean", 6).alias("mean"))
+
+
 PLANS = {
-    "d01_to_gray": on_pixels("Grey from colour: 0.299 red, 0.587 green, 0.114 blue, rounded.", f"WITH {RGB} SELECT image_id, y, x, CAST(bround(0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE)) AS INT) AS v FROM rgb"),
-    "d02_blur_score": on_pixels("Variance of the Laplacian of four neighbours; the border is mirrored.", f"WITH {LAPLACE.format(of='pixel')}, {BLUR} SELECT image_id, round(score, 6) AS score FROM blur"),
-    "d03_sobel": on_pixels("3 x 3 gradients and their magnitude; the border is mirrored.", f"WITH {SOBEL_PASSES} SELECT image_id, y, x, gx, gy, round(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)), 6) AS magnitude FROM g"),
+    "d01_to_gray": measured(("colour_line",), ("colour_pixel",), "Grey from colour: 0.299 red, 0.587 green, 0.114 blue, rounded.", lambda colour_line: strips.pixels(colour.to_gray(colour_line).withColumnRenamed("gray", "v"), "v"),
+        f"SELECT image_id, y, x, CAST({GREY} AS INT) AS v FROM colour_pixel"),
+    "d02_blur_score": measured(("scanline",), ("pixel",), "Variance of the Laplacian of four neighbours; the border is mirrored.", lambda scanline: strips.blur_scores(scanline).withColumn("score", F.round("score", 6)),
+        f"WITH {LAPLACE.format(of='pixel')}, {BLUR} SELECT image_id, round(score, 6) AS score FROM blur"),
+    "d03_sobel": measured(("scanline",), ("pixel",), "3 x 3 gradients and their magnitude; the border is mirrored.", lambda scanline: strips.pixels(strips.sobel(scanline), "gx", "gy").withColumn("magnitude", F.round(F.sqrt(F.expr("gx * gx + gy * gy")), 6)),
+        f"WITH {SOBEL_PASSES} SELECT image_id, y, x, gx, gy, round(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)), 6) AS magnitude FROM g"),
     "d04_exposure": on_pixels("Mean grey.", "SELECT image_id, round(avg(v), 9) AS mean FROM pixel GROUP BY image_id"),
-    "d05_qc_verdict": on_pixels("FAIL if blurred, WARNING if too dark or bright, else PASS.", f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC} SELECT image_id, verdict, round(score, 6) AS score, round(mean, 6) AS mean FROM qc"),
+    "d05_qc_verdict": measured(("scanline",), ("pixel",), "FAIL if blurred, WARNING if too dark or bright, else PASS.", qc_verdicts, f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC} SELECT image_id, verdict, round(score, 6) AS score, round(mean, 6) AS mean FROM qc"),
     "d06_combine_verdict": on_pixels("The worst verdict of a job's frames (here: images of one parity); scores of the last frame.",
         f"WITH {LAPLACE.format(of='pixel')}, {BLUR}, {QC}, r AS (SELECT *, image_id % 2 AS job, CASE verdict WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END AS bad, row_number() OVER (PARTITION BY image_id % 2 ORDER BY image_id DESC) AS rn FROM qc) SELECT job, CASE max(bad) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' END AS verdict, round(max(CASE WHEN rn = 1 THEN score END), 6) AS score, round(max(CASE WHEN rn = 1 THEN mean END), 6) AS mean FROM r GROUP BY job"),
     "d07_content_signature": Plan(("pixel",), "24 x 24 area means with fractional overlap.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT image_id, cy, cx, round(m, 6) AS mean FROM cells"),
@@ -84,27 +143,31 @@ PLANS = {
     "d10_split_decision": on_pixels("Whether a page is split, and where (percent): a gutter of confidence 0.08 and a fall of 20, else the middle. Reduced: takes no request.",
         f"WITH {GUTTER}, d AS (SELECT image_id, confidence >= 0.08 AND fall >= 20 AS split, gutter * 100.0 / w AS place FROM gutter) SELECT image_id, split, CASE WHEN split THEN CAST(greatest(1, least(99, floor(place))) AS INT) ELSE 50 END AS percent FROM d"),
     "d11_otsu": on_pixels("Threshold of the largest variance between two classes.", f"WITH {HIST}, {OTSU} SELECT image_id, threshold FROM otsu"),
-    "d12_region_measure": on_pixels("Sharpness inside two regions of an image (left and right 45 %), each by itself.",
-        f"WITH reg AS (SELECT image_id * 2 + CASE WHEN x < 32 THEN 0 ELSE 1 END AS image_id, y, x, v FROM pixel WHERE x < 29 OR x >= 35), {LAPLACE.format(of='reg')}, {BLUR} SELECT image_id AS region, round(score, 6) AS score FROM blur"),
+    "d12_region_measure": measured(("scanline", "image_frame"), ("pixel", "image_frame"), "Sharpness inside each frame of an image, each by itself, and its 24 x 24 content (here: a sum over its cells).",
+        lambda scanline, image_frame: strips.region_measure(scanline, image_frame).select("image_id", "frame_no", F.round("sharpness", 6).alias("score"), F.aggregate(F.transform("signature", lambda v, i: (i + 1) * v), F.lit(0), lambda a, x: a + x).cast("long").alias("signature_sum")),
+        f"WITH {REGIONS}, {LAPLACE.format(of='reg')}, {BLUR}, {DIMS.replace('pixel', 'large')}, {SIGNATURE_CELLS.replace('pixel', 'large')}, sig AS (SELECT image_id, CAST(sum((cy * 24 + cx + 1) * bround(round(m, 6))) AS BIGINT) AS signature_sum FROM cells GROUP BY image_id) SELECT f.image_id, f.frame_no, coalesce(round(b.score, 6), 0e0) AS score, s.signature_sum FROM image_frame f LEFT JOIN blur b ON b.image_id = f.image_id * 100 + f.frame_no LEFT JOIN sig s ON s.image_id = f.image_id * 100 + f.frame_no"),
     "d13_separation_score": on_pixels("Variance between the two classes of the Otsu threshold over the whole variance, and whether it is 0.35 or more.",
         f"WITH {HIST}, {OTSU}, t AS (SELECT image_id, sum(n * v * v) / CAST(sum(n) AS DOUBLE) - power(sum(n * v) / CAST(sum(n) AS DOUBLE), 2) AS var FROM hist GROUP BY image_id) SELECT t.image_id, round(CASE WHEN var > 0 THEN between_var / var ELSE 0 END, 6) AS score, between_var / var >= 0.35 AS separates FROM t JOIN otsu o ON t.image_id = o.image_id"),
-    "d14_edge_thresholds": on_pixels("Gradient thresholds from the value at place floor(0.995 n).",
+    "d14_edge_thresholds": measured(("scanline",), ("pixel",), "Gradient thresholds from the value at place floor(0.995 n).", lambda scanline: strips.edge_thresholds(scanline).select("image_id", F.round("high", 6).alias("high"), F.round("low", 6).alias("low")),
         f"WITH {SOBEL_PASSES}, m AS (SELECT image_id, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS mag FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM m), h AS (SELECT image_id, greatest(30, least(220, mag / 2)) AS high FROM r WHERE k = floor(n * 0.995)) SELECT image_id, round(high, 6) AS high, round(greatest(15, least(high, 0.4 * high)), 6) AS low FROM h"),
-    "d15_skin_coverage": on_pixels("Share of pixels of skin colour, also within 4 pixels of the border.",
-        f"""WITH {RGB}, k AS (SELECT image_id, y, x, (r - (0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE))) * 0.713 + 128 AS cr, (b - (0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE))) * 0.564 + 128 AS cb, max(y) OVER (PARTITION BY image_id) AS my FROM rgb),
-        s AS (SELECT image_id, CASE WHEN cr BETWEEN 135 AND 180 AND cb BETWEEN 85 AND 135 THEN 1.0 ELSE 0.0 END AS skin, x < 4 OR x >= 60 OR y < 4 OR y > my - 4 AS edge FROM k) SELECT image_id, round(avg(CAST(skin AS DOUBLE)), 9) AS coverage, round(avg(CASE WHEN edge THEN CAST(skin AS DOUBLE) END), 9) AS edge_coverage FROM s GROUP BY image_id"""),
-    "d16_tone_adjust": on_pixels("White balance (0.2), then contrast (0.1) and brightness (0.1), kept to 0..255 after each step.",
-        f"""WITH {RGB}, w AS (SELECT image_id, y, x, greatest(0, least(255, bround(CAST(r AS DOUBLE) * 1.06))) AS r, g, greatest(0, least(255, bround(CAST(b AS DOUBLE) * 0.94))) AS b FROM rgb)
-        SELECT image_id, y, x, CAST(greatest(0, least(255, bround(r * 1.1e0 - 12.8e0 + 8))) AS INT) AS r, CAST(greatest(0, least(255, bround(g * 1.1e0 - 12.8e0 + 8))) AS INT) AS g, CAST(greatest(0, least(255, bround(b * 1.1e0 - 12.8e0 + 8))) AS INT) AS b FROM w"""),
+    "d15_skin_coverage": measured(("colour_line",), ("colour_pixel",), "Share of samples of skin colour, also within 4 samples of the border, and whether it may be a finger.",
+        lambda colour_line: colour.skin_coverage(colour_line).select("image_id", F.round("coverage", 9).alias("coverage"), F.round("edge_coverage", 9).alias("edge_coverage"), "plausible"),
+        f"""WITH k AS (SELECT image_id, y, x, r, b, {GREY} AS v, max(y) OVER (PARTITION BY image_id) AS my, max(x) OVER (PARTITION BY image_id) AS mx FROM colour_pixel), c AS (SELECT *, bround(round((r - v) * 0.713e0 + 128, 9)) AS cr, bround(round((b - v) * 0.564e0 + 128, 9)) AS cb FROM k),
+        s AS (SELECT image_id, CASE WHEN cr BETWEEN 135 AND 180 AND cb BETWEEN 85 AND 135 THEN 1e0 ELSE 0e0 END AS skin, x < 4 OR x > mx - 4 OR y < 4 OR y > my - 4 AS edge FROM c), a AS (SELECT image_id, avg(skin) AS coverage, avg(CASE WHEN edge THEN skin END) AS edge_coverage FROM s GROUP BY image_id)
+        SELECT image_id, round(coverage, 9) AS coverage, round(edge_coverage, 9) AS edge_coverage, coverage BETWEEN 0.0015 AND 0.05 AND edge_coverage > 0 AS plausible FROM a"""),
+    "d16_tone_adjust": measured(("colour_line", "tone_setting"), ("colour_pixel", "tone_setting"), "White balance, then contrast and brightness, then saturation, by each image's settings, kept to 0..255 after each step.",
+        lambda colour_line, tone_setting: strips.pixels(colour.tone_adjust(colour_line, tone_setting), "r", "g", "b"), TONE_SQL),
     "d17_rotate_flip": on_pixels("A quarter turn clockwise, then a horizontal flip, as coordinates.", "SELECT image_id, x AS y, y AS x, v FROM pixel"),
     "d18_crop_pixels": on_pixels("Pixels inside a rectangle, moved to its corner.", "SELECT image_id, y - 8 AS y, x - 10 AS x, v FROM pixel WHERE x >= 10 AND x < 50 AND y >= 8 AND y < 40"),
-    "d19_unsharp": on_pixels("Sharpening: v (1 + 0.6) - 0.6 Gaussian, kept to 0..255.", f"WITH {SMOOTH} SELECT image_id, y, x, round(greatest(CAST(0 AS DOUBLE), least(CAST(255 AS DOUBLE), v * 1.6e0 - 0.6e0 * g)), 6) AS v FROM sm"),
-    "d20_suppress_showthrough": on_pixels("Faint depth below the background fades: none up to 15, all from 45 on.",
-        f"WITH {BOX.format(of='pixel')}, d AS (SELECT p.image_id, p.y, p.x, p.v, l.mean AS bg, l.mean - p.v AS depth FROM pixel p JOIN local l ON p.image_id = l.image_id AND p.y = l.y AND p.x = l.x) SELECT image_id, y, x, round(CASE WHEN depth <= 0 THEN CAST(v AS DOUBLE) ELSE bg - depth * greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (depth - 15) / 30)) END, 6) AS v FROM d"),
-    "d21_local_stats": on_pixels("Mean and deviation in a window of radius 7, cut at the border.", f"WITH {BOX.format(of='pixel')} SELECT image_id, y, x, round(mean, 6) AS mean, round(sd, 5) AS sd FROM local"),
-    "d22_median3": Plan(("pixel",), "3 x 3 median; the border is replicated.", f"WITH {MEDIAN_SPARK} SELECT image_id, y, x, v FROM med", f"WITH {MEDIAN_DUCKDB} SELECT image_id, y, x, v FROM med"),
-    "d23_sauvola": Plan(("pixel",), "Black and white by local thresholds.", f"WITH {MEDIAN_SPARK}, {SAUVOLA} SELECT image_id, y, x, v FROM ink", f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, y, x, v FROM ink"),
-    "d24_ink_coverage": Plan(("pixel",), "Share of ink.", f"WITH {MEDIAN_SPARK}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id", f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id"),
+    "d19_unsharp": measured(("scanline",), ("pixel",), "Sharpening: v (1 + 0.6) - 0.6 Gaussian of sigma 2, rounded, kept to 0..255.", lambda scanline: strips.pixels(strips.unsharp(scanline), "v"),
+        f"WITH {gaussian_sql(2.0)} SELECT image_id, y, x, CAST(greatest(0, least(255, bround(round(v * 1.6e0 - 0.6e0 * g, 6)))) AS INT) AS v FROM smooth"),
+    "d20_suppress_showthrough": measured(("scanline",), ("pixel",), "Faint depth below the background (a Gaussian of sigma 25) fades: all up to 15, none from 45 on.", lambda scanline: strips.pixels(strips.suppress_showthrough(scanline), "v"),
+        f"WITH {gaussian_sql(25.0)}, d AS (SELECT image_id, y, x, v, g, g - v AS depth FROM smooth) SELECT image_id, y, x, CAST(CASE WHEN depth <= 0 THEN v ELSE floor(round(g - depth * greatest(0e0, least(1e0, (depth - 15) / 30)), 9)) END AS INT) AS v FROM d"),
+    "d21_local_stats": measured(("scanline",), ("pixel",), "Mean and deviation in a window, cut at the border; its radius is a 160th of the longer side, 7 to 35.",
+        lambda scanline: strips.pixels(strips.local_stats(scanline), "mean", "sd").select("image_id", "y", "x", F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd")), f"WITH {BOX.format(of='pixel')} SELECT image_id, y, x, round(mean, 6) AS mean, round(sd, 5) AS sd FROM local"),
+    "d22_median3": measured(("scanline",), ("pixel",), "3 x 3 median; the border is replicated.", lambda scanline: strips.pixels(strips.median3(scanline), "v"), f"WITH {MEDIAN_DUCKDB} SELECT image_id, y, x, v FROM med"),
+    "d23_sauvola": measured(("scanline",), ("pixel",), "Black and white by local thresholds.", lambda scanline: strips.pixels(strips.sauvola(scanline), "v"), f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, y, x, v FROM ink"),
+    "d24_ink_coverage": measured(("scanline",), ("pixel",), "Share of ink.", lambda scanline: strips.ink_coverage(scanline).withColumn("ink", F.round("ink", 9)), f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id"),
     "d25_sign_change_profile": on_pixels("Sign changes of the vertical gradient down each column, the outer tenth left out. Reduced: over the whole height, no validity rules.",
         f"WITH {SOBEL_PASSES}, z AS (SELECT image_id, x, y, CASE WHEN gy > 0 THEN 1 ELSE -1 END AS s, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM g), t AS (SELECT g.image_id, g.x, g.y, CASE WHEN g.gy > 0 THEN 1 ELSE -1 END AS s FROM g JOIN (SELECT DISTINCT image_id, h FROM z) k ON g.image_id = k.image_id WHERE g.gy <> 0 AND g.y >= greatest(3, 0.1 * h) AND g.y < h - greatest(3, 0.1 * h)), l AS (SELECT *, lag(s) OVER (PARTITION BY image_id, x ORDER BY y) AS p FROM t) SELECT image_id, x, sum(CASE WHEN p IS NOT NULL AND p <> s THEN 1 ELSE 0 END) AS changes FROM l GROUP BY image_id, x"),
     "d26_band_argmax": on_pixels("In every third row the column, of 16 to 47, of the strongest horizontal gradient; the first on a tie.", f"WITH {SOBEL_PASSES}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, y ORDER BY abs(gx) DESC, x) AS rn FROM g WHERE y % 3 = 0 AND x BETWEEN 16 AND 47) SELECT image_id, y, x, abs(gx) AS strength FROM r WHERE rn = 1"),
@@ -112,6 +175,6 @@ PLANS = {
         f"WITH {SOBEL_PASSES}, m AS (SELECT image_id, y, x FROM g WHERE gx * gx + gy * gy > 90000), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM m) SELECT image_id, y, x FROM r WHERE k % CAST(ceil(n / 5000.0) AS INT) = 0"),
     "d28_resample_plan": both(("calibration", "batch"), "Size of each page at its batch's resolution, from the rig's measured one.",
         "WITH p AS (SELECT project_id, max(CASE WHEN target_w_in IS NOT NULL AND (pixel_w / target_w_in + pixel_h / target_h_in) / 2 BETWEEN 20 AND 4800 THEN (pixel_w / target_w_in + pixel_h / target_h_in) / 2 END) AS ppi FROM calibration GROUP BY project_id) SELECT b.batch_id, CAST(greatest(1, bround(3000 * greatest(0.125e0, least(8e0, b.dpi / coalesce(p.ppi, 285e0))))) AS INT) AS w, CAST(greatest(1, bround(4000 * greatest(0.125e0, least(8e0, b.dpi / coalesce(p.ppi, 285e0))))) AS INT) AS h FROM batch b LEFT JOIN p ON b.project_id = p.project_id"),
-    "d29_glare_rows": on_pixels("Rows whose saturation is 25 or less in the middle: an edge can't be found there. Reduced: no chroma step for other rows.",
-        f"WITH {RGB} SELECT image_id, y, round(avg(CAST(greatest(r, g, b) - least(r, g, b) AS DOUBLE)), 6) AS saturation, max(greatest(r, g, b) - least(r, g, b)) <= 25 AS glare FROM rgb WHERE x BETWEEN 28 AND 35 GROUP BY image_id, y"),
+    "d29_glare_rows": measured(("colour_line", "bridge"), ("colour_pixel", "bridge"), "Rows whose saturation is 25 or less where an edge should be: it can't be found there. In others, the column near it whose blue difference stands out most from the columns before.",
+        lambda colour_line, bridge: colour.glare_rows(colour_line, bridge), GLARE_SQL),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,22 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 @dataclass(frozen=True)
 class Plan:
-    """An operator: Spark SQL over `inputs`, what it does, and DuckDB's SQL where that differs."""
+    """An operator: Spark SQL over `inputs`, or a function of them (`run`), what it does, and DuckDB's SQL (over `oracle_inputs`) where that differs."""
 
     inputs: tuple[str, ...]
     doc: str
-    sql: str
+    sql: str = ""
     duckdb: str | None = None
+    run: Callable[..., DataFrame] | None = None
+    oracle_inputs: tuple[str, ...] | None = None
 
     def apply(self, **tables: DataFrame) -> DataFrame:
         """The operator's result over the given DataFrames, one for each input."""
         missing = set(self.inputs) - set(tables)
         if missing:
             raise ValueError(f"tables missing: {', '.join(sorted(missing))}")
+        if self.run is not None:
+            return self.run(**{t: tables[t] for t in self.inputs})
         spark = next(iter(tables.values())).sparkSession
         return run_sql(spark, self.sql, {t: tables[t] for t in self.inputs})
 
@@ -57,7 +62,7 @@ def _needed(names: tuple[str, ...], seen: list[str]) -> list[str]:
 def oracle(plan: Plan) -> str:
     """The plan as one DuckDB statement over the driver's tables."""
     parts = []
-    for n in _needed(plan.inputs, []):
+    for n in _needed(plan.oracle_inputs or plan.inputs, []):
         sql = VIEWS[n][0]
         parts.append(f"{n} AS ({sql if isinstance(sql, str) else sql['duckdb']})")
     body = (plan.duckdb or plan.sql).strip()

@@ -69,6 +69,23 @@ PIXEL = {
     "spark": "SELECT image_id, y, posexplode(gray) AS (x, v) FROM scanline",
     "duckdb": "SELECT image_id, y, CAST(unnest(range(len(gray))) AS INT) AS x, unnest(gray) AS v FROM scanline",
 }
+#: Colour from three images of the table: red its own, green and blue the next two of ten.
+COLOUR_LINE = """SELECT r.image_id, r.y, r.gray AS r, g.gray AS g, b.gray AS b FROM scanline r JOIN scanline g ON g.image_id = (r.image_id + 1) % 10 AND g.y = r.y JOIN scanline b ON b.image_id = (r.image_id + 2) % 10 AND b.y = r.y"""
+COLOUR_PIXEL = {
+    "spark": "SELECT image_id, y, p.x, p.v.r, p.v.g, p.v.b FROM (SELECT image_id, y, posexplode(arrays_zip(r, g, b)) AS (x, v) FROM colour_line) p",
+    "duckdb": "SELECT image_id, y, CAST(unnest(range(len(r))) AS INT) AS x, unnest(r) AS r, unnest(g) AS g, unnest(b) AS b FROM colour_line",
+}
+#: Tone settings of an image: those of the first job of its number.
+TONE_SETTING = f"""SELECT image_id, white_balance, brightness, contrast, saturation FROM (SELECT l_partkey % 10 AS image_id, l_discount * 10 - 0.5 AS white_balance, l_discount * 3 - 0.15 AS brightness, l_tax * 10 - 0.4 AS contrast,
+    CASE WHEN l_partkey % 10 = 4 THEN 0e0 ELSE l_discount * 20 - 1.0 END AS saturation, row_number() OVER (PARTITION BY l_partkey % 10 ORDER BY {JOB_KEY}) AS place FROM lineitem) t WHERE place = 1"""
+#: A straight line down each image, aslant.
+BRIDGE = "SELECT image_id, y, (20 + image_id) + 3e-1 * (y % 40) AS guess FROM scanline"
+_FRAMES = "CAST(CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 0.55e0 WHEN 2 THEN 0.2e0 ELSE 0.99e0 END AS DOUBLE) AS x, CAST(CASE k WHEN 2 THEN 0.1e0 WHEN 3 THEN 0.99e0 ELSE 0e0 END AS DOUBLE) AS y, CAST(CASE k WHEN 2 THEN 0.5e0 + image_id * 0.01e0 WHEN 3 THEN 0.5e0 ELSE 0.45e0 END AS DOUBLE) AS w, CAST(CASE k WHEN 2 THEN 0.6e0 WHEN 3 THEN 0.5e0 ELSE 1e0 END AS DOUBLE) AS h"
+#: Four frames of each image: the halves, one over both, and a corner too small to measure.
+IMAGE_FRAME = {
+    "spark": f"SELECT image_id, k AS frame_no, {_FRAMES} FROM (SELECT image_id, explode(sequence(0, 3)) AS k FROM (SELECT DISTINCT image_id FROM scanline) i) f",
+    "duckdb": f"SELECT image_id, CAST(k AS INT) AS frame_no, {_FRAMES} FROM (SELECT image_id, unnest(range(4)) AS k FROM (SELECT DISTINCT image_id FROM scanline) i) f",
+}
 PROFILE = "SELECT image_id, x AS pos, avg(v) AS val FROM pixel GROUP BY image_id, x"
 
 SOBEL_PASSES = """n AS (SELECT image_id, y, x, v, 2 * v + coalesce(lag(v) OVER wx, lead(v) OVER wx) + coalesce(lead(v) OVER wx, lag(v) OVER wx) AS s,
@@ -139,6 +156,7 @@ LINE_SAMPLE = "SELECT doc_id, line_num, left_px + width / CAST(2 AS DOUBLE) AS x
 VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "project": (PROJECT, ("nation",)), "calibration": (CALIBRATION, ("supplier",)), "batch": (BATCH, ("orders",)), "capture_job": (CAPTURE_JOB, ("lineitem",)),
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
+    "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
     "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),

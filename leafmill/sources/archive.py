@@ -68,19 +68,36 @@ def verify_export(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.join(there, "target", "left_anti")
 
 
+SCANLINES = "path string, width int, height int, y int, r array<int>, g array<int>, b array<int>, gray array<int>"
+
+
 def read_scanlines(spark: SparkSession, path: str) -> DataFrame:
-    """Grey rows of image files: path, y, gray. Files that can't be decoded give no rows; list_files() finds them."""
+    """Rows of image files in colour and grey: path, width, height, y, r, g, b, gray. A file that can't be decoded is one row of width and height 0 without y and samples, so it fails its page, not the run.
+
+    Grey images have three equal planes; an alpha plane is left out. A row of a batch is one scanline, so a page of any height is passed on in pieces of 256 rows.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for image in b.column(0).to_pylist():
+        names = [c.split(" ")[0] for c in SCANLINES.split(", ")]
+        kinds = [pa.string(), *[pa.int32()] * 3, *[pa.list_(pa.int32())] * 4]
+        table = lambda values: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                image = batch.column(0)[i].as_py()
                 h, w, c = image["height"], image["width"], image["nChannels"]
-                v = np.frombuffer(image["data"], np.uint8).reshape(h, w, c).astype(float)
-                gray = np.rint(v[..., :3] @ [0.114, 0.587, 0.299]).astype(np.int32) if c >= 3 else v[..., 0].astype(np.int32)  # blue comes first
-                yield pa.RecordBatch.from_arrays([pa.array([image["origin"]] * h), pa.array(range(h), pa.int32()), pa.array(list(gray), pa.list_(pa.int32()))], names=["path", "y", "gray"])
-
-    images = spark.read.format("image").option("dropInvalid", "true").load(path).select("image")
-    return images.mapInArrow(rows, "path string, y int, gray array<int>")
+                if h <= 0 or w <= 0:
+                    yield table([[image["origin"]], [0], [0], *[[None]] * 5])
+                    continue
+                samples = np.frombuffer(image["data"], np.uint8).reshape(h, w, c)
+                for y in range(0, h, 256):
+                    v = samples[y : y + 256].astype(np.int32)
+                    b, g, r = (v[..., k if c >= 3 else 0] for k in range(3))  # blue comes first
+                    grey = np.rint(0.299 * r + 0.587 * g + 0.114 * b).astype(np.int32)
+                    n = len(v)
+                    yield table([[image["origin"]] * n, [w] * n, [h] * n, list(range(y, y + n)), *[list(p) for p in (r, g, b, grey)]])
+
+    images = spark.read.format("image").option("dropInvalid", "false").load(path).select("image")
+    return images.mapInArrow(rows, SCANLINES)
 
 
 PLANS = {

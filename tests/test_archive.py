@@ -66,9 +66,14 @@ def test_images_become_scanlines(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     (tmp_path / "p.png").write_bytes(png)
     (tmp_path / "broken.png").write_bytes(b"no image")
-    got = {r["y"]: r["gray"] for r in archive.read_scanlines(spark, str(tmp_path)).collect()}
+    got = {(r["path"].rsplit("/", 1)[1], r["y"]): r for r in archive.read_scanlines(spark, str(tmp_path)).collect()}
+    assert set(got) == {("p.png", 0), ("p.png", 1), ("broken.png", None)}
     want = np.rint(rgb.astype(float) @ [0.299, 0.587, 0.114]).astype(int)
-    assert [got[0], got[1]] == want.tolist()
+    for y in (0, 1):
+        r = got["p.png", y]
+        assert [r["r"], r["g"], r["b"]] == [rgb[y, :, k].tolist() for k in range(3)] and r["gray"] == want[y].tolist() and (r["width"], r["height"]) == (3, 2)
+    bad = got["broken.png", None]
+    assert (bad["width"], bad["height"], bad["r"], bad["gray"]) == (0, 0, None, None)
     assert archive.list_files(spark, str(tmp_path)).count() == 2
 
 
