@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import _parse_datatype_string
 
+from ..operators import strips
 from ..plans.plan import Plan, view
 
 INTERVAL_MS, SHARP, NEEDED, DIFFERS, WEIGHT, NEAR, COVERED = 500, 40.0, 3, 18.0, 0.35, 0.03, 0.2
@@ -30,20 +35,19 @@ class Watch:
     captured: list[int] | None = None
     previous: list[int] | None = field(default=None)
 
-    def check(self, f) -> dict | None:
-        """One frame; None if it comes too soon after the last accepted one."""
-        ms = int(f.ts.value // 1_000_000)
+    def check(self, ms: int, f: dict) -> dict | None:
+        """One frame, at `ms`; None if it comes too soon after the last accepted one."""
         if self.last_ms is not None and ms - self.last_ms < INTERVAL_MS:
             return None
         self.last_ms = ms
-        signature = [int(v) for v in f.signature] if f.signature is not None else None
+        signature = [int(v) for v in f["signature"]] if f["signature"] is not None else None
         settled = difference(signature, self.previous) < DIFFERS
         self.previous = signature
         stable = triggered = False
-        new = (f.x, f.y, f.w, f.h)
-        if not f.detected or f.w * f.h < COVERED * IMAGE_W * IMAGE_H:
+        new = (f["x"], f["y"], f["w"], f["h"])
+        if not f["detected"] or f["w"] * f["h"] < COVERED * IMAGE_W * IMAGE_H:
             self.box, self.count = None, 0
-        elif f.sharpness < SHARP:
+        elif f["sharpness"] < SHARP:
             self.box, self.count = new, 0
         else:
             if self.box is not None:
@@ -53,7 +57,69 @@ class Watch:
             if self.count == NEEDED and difference(signature, self.captured) >= DIFFERS:
                 triggered, self.captured, self.count = True, signature, 0
         x, y, w, h = self.box or (None,) * 4
-        return {"frame_id": f.frame_id, "stream_id": f.stream_id, "ts": f.ts, "stable": stable, "smooth_x": x, "smooth_y": y, "smooth_w": w, "smooth_h": h, "stable_count": self.count, "settled": settled, "triggered": triggered}
+        return {"frame_id": f["frame_id"], "stream_id": f["stream_id"], "ts": f["ts"], "stable": stable, "smooth_x": x, "smooth_y": y, "smooth_w": w, "smooth_h": h, "stable_count": self.count, "settled": settled, "triggered": triggered}
+
+    @classmethod
+    def of(cls, state: tuple) -> Watch:
+        last, x, y, w, h, count, captured, previous = state
+        return cls(last, (x, y, w, h) if x is not None else None, count, captured, previous)
+
+    def state(self) -> tuple:
+        return (self.last_ms, *(self.box or (None,) * 4), self.count, self.captured, self.previous)
+
+
+#: A region's measures, and what frame mode needs to know of a frame's stream.
+REGIONS = "array<struct<sharpness: double, signature: array<int>>>"
+MODE_FRAMES = f"frame_id long, stream_id long, ts timestamp, editing boolean, automatic boolean, regions {REGIONS}"
+MODE_CHECKS = "frame_id long, stream_id long, ts timestamp, lowest_sharpness double, settled boolean, stable_count int, status string, triggered boolean"
+MODE_STATE = "last_ms long, count int, captured array<int>, previous array<int>"
+
+
+@dataclass
+class FrameWatch:
+    """Frame mode: regions are pinned by the operator, so a page is steady when their contents rest, and the least sharp region decides. Remembers the signatures of all regions, one after the other."""
+
+    cells: int = 24
+    last_ms: int | None = None
+    count: int = 0
+    captured: list[int] | None = None
+    previous: list[int] | None = None
+
+    def check(self, ms: int, f: dict) -> dict | None:
+        if self.last_ms is not None and ms - self.last_ms < INTERVAL_MS:
+            return None
+        self.last_ms = ms
+        status, settled, triggered = self._status(f)
+        lowest = min((r["sharpness"] for r in f["regions"]), default=None) if f["regions"] is not None else None
+        return {"frame_id": f["frame_id"], "stream_id": f["stream_id"], "ts": f["ts"], "lowest_sharpness": lowest, "settled": settled, "stable_count": self.count, "status": status, "triggered": triggered}
+
+    def _status(self, f: dict) -> tuple[str, bool, bool]:
+        if f["regions"] is None or not len(f["regions"]):
+            self.count = 0
+            return "WAITING FOR LIVE VIEW", False, False
+        signature, size = [], self.cells * self.cells
+        for r in f["regions"]:  # a region without a signature is a block of zeros, so the others keep their places
+            own = [int(v) for v in r["signature"][:size]] if r["signature"] is not None else []
+            signature += own + [0] * (size - len(own))
+        before, self.previous = self.previous, signature
+        settled = difference(signature, before) < DIFFERS
+        if f["editing"] or not f["automatic"] or min(r["sharpness"] for r in f["regions"]) < SHARP:
+            self.count = 0
+            return "EDITING FRAMES" if f["editing"] else "FOCUSING" if f["automatic"] else "PRESS CAPTURE", settled, False
+        self.count = min(self.count + 1, NEEDED) if settled else 1
+        if self.count < NEEDED:
+            return "HOLD STILL", settled, False
+        if difference(signature, self.captured) < DIFFERS:
+            return "SWAP PAGE", settled, False
+        self.captured, self.count = signature, 0
+        return "CAPTURING", settled, True
+
+    @classmethod
+    def of(cls, state: tuple, cells: int) -> FrameWatch:
+        return cls(cells, *state)
+
+    def state(self) -> tuple:
+        return (self.last_ms, self.count, self.captured, self.previous)
 
 
 def difference(a: list[int] | None, b: list[int] | None) -> float:
@@ -63,30 +129,103 @@ def difference(a: list[int] | None, b: list[int] | None) -> float:
     return sum(abs(x - y) for x, y in zip(a, b, strict=True)) / len(a)
 
 
-def folded(watch: Watch, frames: pd.DataFrame) -> pd.DataFrame:
-    names = [c.split()[0] for c in CHECKS.split(", ")]
-    rows = [r for f in frames.sort_values(["ts", "frame_id"]).itertuples(index=False) if (r := watch.check(f))]
-    return pd.DataFrame(rows, columns=names)
+def fold_batch(frames: DataFrame, start: Callable[[], Watch | FrameWatch], out: str) -> DataFrame:
+    """Folds each stream's frames in the order of time. They come sorted, and a task holds what is remembered of one stream, not its frames."""
+    schema = to_arrow_schema(_parse_datatype_string(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = watch = None
+        for batch in batches:
+            found = []
+            for us, f in zip(batch.column("ts").cast(pa.int64()).to_pylist(), batch.to_pylist(), strict=True):
+                if watch is None or f["stream_id"] != stream:
+                    stream, watch = f["stream_id"], start()
+                if (r := watch.check(us // 1000, f)) is not None:
+                    found.append(r)
+            yield from pa.Table.from_pylist(found, schema).to_batches()
+
+    return frames.repartition("stream_id").sortWithinPartitions("stream_id", "ts", "frame_id").mapInArrow(run, out)
+
+
+def fold_stream(frames: DataFrame, start: Callable[[], Watch | FrameWatch], again: Callable[[tuple], Watch | FrameWatch], out: str, kept: str) -> DataFrame:
+    """The same over a stream. Frames of one micro-batch are put in the order of time; a frame that comes in a later one is checked then."""
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watch = again(tuple(state.get)) if state.exists else start()
+        rows = pd.concat(list(chunks)).sort_values(["ts", "frame_id"]).to_dict("records")
+        found = [r for f in rows if (r := watch.check(int(f["ts"].value // 1_000_000), f)) is not None]
+        state.update(watch.state())
+        yield pd.DataFrame(found, columns=names)
+
+    return frames.groupBy("stream_id").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def watch_batch(frames: DataFrame) -> DataFrame:
     """Checks of all accepted frames of each stream, in the order of time."""
-    return frames.groupBy("stream_id").applyInPandas(lambda pdf: folded(Watch(), pdf), CHECKS)
+    return fold_batch(frames, Watch, CHECKS)
 
 
 def watch_stream(frames: DataFrame) -> DataFrame:
-    """The same over a stream. Frames of one micro-batch are put in the order of time; a frame that comes in a later one is checked then."""
+    """The same over a stream."""
+    return fold_stream(frames, Watch, Watch.of, CHECKS, STATE)
 
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        w = Watch()
-        if state.exists:
-            last, x, y, width, h, count, captured, previous = state.get
-            w = Watch(last, (x, y, width, h) if x is not None else None, count, captured, previous)
-        out = folded(w, pd.concat(list(chunks)))
-        state.update((w.last_ms, *(w.box or (None,) * 4), w.count, w.captured, w.previous))
-        yield out
 
-    return frames.groupBy("stream_id").applyInPandasWithState(step, CHECKS, STATE, "append", GroupStateTimeout.NoTimeout)
+def frame_mode_batch(frames: DataFrame, cells: int = 24) -> DataFrame:
+    """Frame mode over MODE_FRAMES: lowest sharpness, whether all regions rest, steady checks so far, what the operator is told, and whether a capture starts. Signatures have `cells` * `cells` values."""
+    return fold_batch(frames, lambda: FrameWatch(cells), MODE_CHECKS)
+
+
+def frame_mode_stream(frames: DataFrame, cells: int = 24) -> DataFrame:
+    """The same over a stream."""
+    return fold_stream(frames, lambda: FrameWatch(cells), lambda state: FrameWatch.of(state, cells), MODE_CHECKS, MODE_STATE)
+
+
+def measured_regions(picture: np.ndarray, frames: list[dict], cells: int) -> list[dict]:
+    """Sharpness and signature of each fractional frame of a picture: as strips.region_measure() gives them for stored images."""
+    height, width = picture.shape
+    out = []
+    for f in frames:
+        x, y = (int(np.clip(np.rint(f[c] * side), 0, side - 1)) for c, side in (("x", width), ("y", height)))
+        w, h = (int(np.clip(np.rint(f[c] * side), 1, side - low)) for c, side, low in (("w", width, x), ("h", height, y)))
+        if w < 2 or h < 2:
+            out.append({"sharpness": 0.0, "signature": None})
+            continue
+        part = picture[y : y + h, x : x + w]
+        signature = None
+        if w >= cells and h >= cells:
+            sums = strips.signature_parts(part, np.arange(h), w, h, cells)[1]
+            signature = np.rint(np.round(sums * (cells * cells) / (w * h), 6)).astype(int).ravel().tolist()
+        out.append({"sharpness": float(strips.laplacian(np.pad(part, 1, "reflect")).var()), "signature": signature})
+    return out
+
+
+def check_regions(pictures: DataFrame, batches: DataFrame, cells: int = 24) -> DataFrame:
+    """MODE_FRAMES of live pictures (frame_id, stream_id, ts, picture: array of grey rows, may be a stream) by the frames that their batch holds (stream_id, frames: array of x, y, w, h as fractions, editing, automatic).
+
+    Pictures of streams whose batch has no frames are left out: they are not in frame mode. A picture that is null or empty has no regions.
+    """
+    joined = pictures.join(batches.where("size(frames) > 0"), "stream_id")
+    names = [c.split(" ")[0] for c in MODE_FRAMES.split(", ")[:5]] + ["regions"]
+    schema = to_arrow_schema(_parse_datatype_string(MODE_FRAMES))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            pictures_ = batch.column("picture").to_pylist()
+            regions = [measured_regions(np.array(p), f, cells) if p and p[0] else None for p, f in zip(pictures_, batch.column("frames").to_pylist(), strict=True)]
+            yield from pa.table([*[batch.column(c) for c in names[:-1]], pa.array(regions, schema.field("regions").type)], names=names).cast(schema).to_batches()
+
+    return joined.select(*names[:-1], "picture", "frames").mapInArrow(run, MODE_FRAMES)
+
+
+def frame_mode_batches(batch: DataFrame) -> DataFrame:
+    """Frames of each batch as fractions of the picture that they were drawn on, for check_regions(); a stream is at the batch of its number. Malformed frames are left out, and without a reference size there are none."""
+    numbers = F.transform(F.split("fixed_frames", ";"), lambda t: F.transform(F.split(t, ","), lambda v: v.try_cast("double")))
+    fine = F.filter(numbers, lambda a: (F.size(a) == 4) & F.forall(a, lambda v: v.isNotNull()))
+    part = lambda a, i, side: F.get(a, i) / F.col(side)
+    frames = F.transform(fine, lambda a: F.struct(part(a, 0, "frame_ref_w").alias("x"), part(a, 1, "frame_ref_h").alias("y"), part(a, 2, "frame_ref_w").alias("w"), part(a, 3, "frame_ref_h").alias("h")))
+    drawn = F.when((F.col("frame_ref_w") > 0) & (F.col("frame_ref_h") > 0), frames)
+    return batch.select(F.col("batch_id").alias("stream_id"), drawn.alias("frames"), (F.col("status") == "Completed").alias("editing"), (F.col("status") == "Active").alias("automatic"))
 
 
 def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +235,18 @@ def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "live_frame").join(signatures, "vec_id", "left").drop("vec_id")
 
 
+def live_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pictures (12 rows of 32) of the frames, from the cells of their signature."""
+    cell = lambda y: lambda x: F.get("signature", ((x * 2 + y * 7) % 64).cast("int"))
+    picture = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), cell(y)))
+    return live_frames(spark, sf_dir).select("frame_id", "stream_id", "ts", F.when(F.col("signature").isNotNull(), picture).alias("picture"))
+
+
+def f07_frame_mode_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = check_regions(live_pictures(spark, sf_dir), frame_mode_batches(view(spark, sf_dir, "batch")), cells=4)
+    return frame_mode_batch(frames, cells=4).select("frame_id", "stream_id", F.round("lowest_sharpness", 6).alias("lowest_sharpness"), "settled", "stable_count", "status", "triggered")
+
+
 def _checks(*columns: str, where: str = "true"):
     return lambda spark, sf_dir: watch_batch(live_frames(spark, sf_dir)).where(where).select("frame_id", "stream_id", *columns)
 
@@ -106,7 +257,7 @@ QUERIES = {
     "f04_smooth_box": _checks("smooth_x", "smooth_y", "smooth_w", "smooth_h"),
     "f05_stable_count": _checks("stable_count"),
     "f06_capture_trigger": _checks("ts", where="triggered"),
-    "f07_frame_mode_trigger": _checks("settled"),  # reduced: no regions, no pause, no trigger
+    "f07_frame_mode_trigger": f07_frame_mode_trigger,
 }
 
 PLANS = {
