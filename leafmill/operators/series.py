@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.geometry import both
 from ..plans.plan import Plan
+from . import slopes
 from .raster import OTSU
 
 ROLLED = "rolled AS (SELECT image_id, pos, val, avg(val) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS r, max(pos) OVER (PARTITION BY image_id) + 1 AS n FROM profile)"
@@ -47,21 +48,16 @@ C1 = f"(m0 * (u1 * m4 - u2 * m3) - u0 * (m1 * m4 - m2 * m3) + m2 * (m1 * u2 - m2
 C2 = f"(m0 * (m2 * u2 - m3 * u1) - m1 * (m1 * u2 - m2 * u1) + u0 * (m1 * m3 - m2 * m2)) / {DET}"
 
 LINES = "ln AS (SELECT doc_id, line_num, min(x) AS lx, avg(y) AS ly, count(*) AS cnt, regr_slope(y, x) AS slope FROM line_sample GROUP BY doc_id, line_num)"
-#: Slope v over y of the lines of a page: upper-middle slope of all pairs at least 2 % of the height apart, upper-middle intercept, share of lines within `near` of it.
-_THEIL_SPARK = """{n}_g AS (SELECT doc_id, array_sort(collect_list(struct(ly, {v} AS v))) AS ls, max(ly) - min(ly) AS height FROM ln WHERE {lines} GROUP BY doc_id HAVING count(*) >= 8),
-        {n}_p AS (SELECT doc_id, ls, array_sort(flatten(transform(ls, (a, i) -> transform(filter(slice(ls, i + 2, size(ls)), b -> b.ly - a.ly >= 0.02 * height AND b.ly > a.ly), b -> (b.v - a.v) / (b.ly - a.ly))))) AS ss FROM {n}_g),
-        {n}_m AS (SELECT doc_id, ls, ss[size(ss) div 2] AS s FROM {n}_p WHERE size(ss) > 0), {n}_c AS (SELECT doc_id, s, array_sort(transform(ls, l -> l.v - s * l.ly)) AS cs, array_min(ls).ly AS first_y, array_max(ls).ly AS last_y FROM {n}_m),
-        {n} AS (SELECT doc_id, s, cs[size(cs) div 2] AS c, first_y, last_y, size(filter(cs, v -> abs(v - cs[size(cs) div 2]) <= {near})) / CAST(size(cs) AS DOUBLE) AS share FROM {n}_c)"""
+#: For DuckDB, slope v over y of the lines of a page: upper-middle slope of all pairs at least 2 % of the height apart, upper-middle intercept, share of lines within `near` of it.
 _THEIL_DUCKDB = """{n}_l AS (SELECT doc_id, line_num, ly, {v} AS v FROM ln WHERE {lines}), {n}_h AS (SELECT doc_id, min(ly) AS first_y, max(ly) AS last_y FROM {n}_l GROUP BY doc_id HAVING count(*) >= 8),
         {n}_p AS (SELECT a.doc_id, (b.v - a.v) / (b.ly - a.ly) AS s FROM {n}_l a JOIN {n}_l b ON a.doc_id = b.doc_id AND b.ly > a.ly JOIN {n}_h h ON h.doc_id = a.doc_id WHERE b.ly - a.ly >= 0.02 * (h.last_y - h.first_y)),
-        {n}_m AS (SELECT doc_id, list_sort(list(s))[count(*) // 2 + 1] AS s FROM {n}_p GROUP BY doc_id), {n}_c AS (SELECT l.doc_id, m.s, l.v - m.s * l.ly AS c FROM {n}_l l JOIN {n}_m m ON l.doc_id = m.doc_id),
+        {n}_m AS (SELECT doc_id, list_sort(list(s))[count(*) // 2 + 1] AS s FROM {n}_p GROUP BY doc_id), {n}_c AS (SELECT l.doc_id, m.s, l.v - m.s * l.ly AS c, l.ly FROM {n}_l l JOIN {n}_m m ON l.doc_id = m.doc_id),
         {n}_k AS (SELECT doc_id, list_sort(list(c))[count(*) // 2 + 1] AS mid FROM {n}_c GROUP BY doc_id),
-        {n} AS (SELECT c.doc_id, max(c.s) AS s, max(k.mid) AS c, max(h.first_y) AS first_y, max(h.last_y) AS last_y, avg(CASE WHEN abs(c.c - k.mid) <= {near} THEN 1e0 ELSE 0e0 END) AS share FROM {n}_c c JOIN {n}_k k ON c.doc_id = k.doc_id JOIN {n}_h h ON h.doc_id = c.doc_id GROUP BY c.doc_id)"""
-_SHEAR = "shear AS (SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(share, 6) AS inliers, share >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM margin)"
+        {n} AS (SELECT c.doc_id, max(c.s) AS s, max(k.mid) AS c, max(h.first_y) AS first_y, max(h.last_y) AS last_y, avg(CASE WHEN abs(c.c - k.mid) <= {near} THEN 1e0 ELSE 0e0 END) AS share, min_by(c.ly, (round(abs(c.c - k.mid), 9), c.ly)) AS pivot_y FROM {n}_c c JOIN {n}_k k ON c.doc_id = k.doc_id JOIN {n}_h h ON h.doc_id = c.doc_id GROUP BY c.doc_id)"""
+_SHEAR = "shear AS (SELECT doc_id, round(degrees(atan(s)), 6) AS angle, round(share, 6) AS inliers, round(pivot_y, 6) AS pivot_y, share >= 0.6 AND abs(degrees(atan(s))) BETWEEN 0.3 AND 10 AS applies FROM margin)"
 _FIELD = "span AS (SELECT *, abs(degrees(atan(c + s * last_y)) - degrees(atan(c + s * first_y))) AS span FROM turn), field AS (SELECT doc_id, round(s, 9) + 0e0 AS trend, round(c, 9) + 0e0 AS slope, round(span, 6) AS span, round(share, 6) AS share, share >= 0.5 AND span BETWEEN 0.5 AND 10 AS applies FROM span)"
 _MARGIN, _TURN = {"n": "margin", "v": "lx", "lines": "cnt >= 1", "near": "15"}, {"n": "turn", "v": "slope", "lines": "cnt >= 8", "near": "0.03e0"}
-SHEAR_SPARK, SHEAR_DUCKDB = (f"{t.format(**_MARGIN)}, {_SHEAR}" for t in (_THEIL_SPARK, _THEIL_DUCKDB))
-FIELD_SPARK, FIELD_DUCKDB = (f"{t.format(**_TURN)}, {_FIELD}" for t in (_THEIL_SPARK, _THEIL_DUCKDB))
+SHEAR_DUCKDB, FIELD_DUCKDB = f"{_THEIL_DUCKDB.format(**_MARGIN)}, {_SHEAR}", f"{_THEIL_DUCKDB.format(**_TURN)}, {_FIELD}"
 DECISION = """a AS (SELECT doc_id, line_num, degrees(atan(slope)) AS deg FROM ln WHERE cnt >= 8), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY deg, line_num) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM a),
         q AS (SELECT doc_id, max(n) AS n, max(CASE WHEN k = floor(n / 2e0) THEN deg END) AS mid, max(CASE WHEN k = floor(n * 3 / 4e0) THEN deg END) - max(CASE WHEN k = floor(n / 4e0) THEN deg END) AS iqr FROM r GROUP BY doc_id)
         SELECT q.doc_id, q.n, round(mid, 6) AS angle, round(iqr, 6) AS iqr, CASE WHEN n < 3 THEN 'none' WHEN iqr <= 3 AND abs(mid) >= 0.1 THEN CASE WHEN abs(mid) <= 15 THEN 'lines' ELSE 'none' END WHEN field.applies THEN 'rotation' WHEN shear.applies THEN 'shear' ELSE 'none' END AS decision
@@ -100,12 +96,12 @@ PLANS = {
     "e16_interp": both(("profile",), "A profile at places between its samples, by straight lines; ends are held.",
         "WITH s AS (SELECT image_id, pos, val, lead(pos) OVER w AS p1, lead(val) OVER w AS v1 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.25e0 AS x, round(CASE WHEN p1 IS NULL THEN val ELSE val + (v1 - val) * 0.25e0 / (p1 - pos) END, 9) AS val FROM s"),
     "e17_arc_length": both(("edge",), "Length along an edge up to each sample.", "WITH d AS (SELECT image_id, pos, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, pos, round(sum(coalesce(step, 0)) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS length FROM d"),
-    "e18_margin_shear": Plan(("line_sample",), "Slope of the left margin: the upper-middle slope of all pairs of lines far enough apart; 8 lines and 60 % of them within 15 pixels are needed, and 0.3 to 10 degrees.",
-        f"WITH {LINES}, {SHEAR_SPARK} SELECT * FROM shear", f"WITH {LINES}, {SHEAR_DUCKDB} SELECT * FROM shear"),
+    "e18_margin_shear": Plan(("line_sample",), "Slope of the left margin: the upper-middle slope of all pairs of lines far enough apart; 8 lines and 60 % of them within 15 pixels are needed, and 0.3 to 10 degrees. Turned around the line that fits best.",
+        run=slopes.margin_shear, duckdb=f"WITH {LINES}, {SHEAR_DUCKDB} SELECT * FROM shear"),
     "e19_rotation_field": Plan(("line_sample",), "How the lines' own slopes change down the page: as e18, with 8 lines of 8 samples, half of them within 0.03, and a span of 0.5 to 10 degrees from the first to the last line.",
-        f"WITH {LINES}, {FIELD_SPARK} SELECT * FROM field", f"WITH {LINES}, {FIELD_DUCKDB} SELECT * FROM field"),
+        run=slopes.rotation_field, duckdb=f"WITH {LINES}, {FIELD_DUCKDB} SELECT * FROM field"),
     "e20_deskew_decision": Plan(("line_sample",), "How to set a page straight. By its lines' middle angle, if three lines have 8 samples, quartiles are within 3 degrees and it is 0.1 at least (none beyond 15); else by e19; else by e18; else none.",
-        f"WITH {LINES}, {FIELD_SPARK}, {SHEAR_SPARK}, {DECISION}", f"WITH {LINES}, {FIELD_DUCKDB}, {SHEAR_DUCKDB}, {DECISION}"),
+        run=slopes.deskew_decision, duckdb=f"WITH {LINES}, {FIELD_DUCKDB}, {SHEAR_DUCKDB}, {DECISION}"),
     "e21_poly_fit": both(("edge",), "Quadratic through an edge, weighted by strength, around its mean column; nothing if singular.",
         f"""WITH c AS (SELECT image_id, avg(CAST(pos AS DOUBLE)) AS mid FROM edge GROUP BY image_id), d AS (SELECT e.image_id, e.pos - c.mid AS t, e.row_val AS v, e.strength + 1 AS w FROM edge e JOIN c ON e.image_id = c.image_id),
         s AS (SELECT image_id, sum(w) AS m0, sum(w * t) AS m1, sum(w * t * t) AS m2, sum(w * t * t * t) AS m3, sum(w * t * t * t * t) AS m4, sum(w * v) AS u0, sum(w * t * v) AS u1, sum(w * t * t * v) AS u2 FROM d GROUP BY image_id) SELECT image_id, round({C0}, 5) AS c0, round({C1}, 6) AS c1, round({C2}, 7) AS c2 FROM s WHERE abs({DET}) > 0.000000001"""),

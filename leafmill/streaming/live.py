@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -181,25 +182,43 @@ def frame_mode_stream(frames: DataFrame, cells: int = 24) -> DataFrame:
     return fold_stream(frames, lambda: FrameWatch(cells), lambda state: FrameWatch.of(state, cells), MODE_CHECKS, MODE_STATE)
 
 
+@lru_cache(maxsize=4096)
+def _overlaps(size: int, cells: int) -> np.ndarray:
+    """Part of each sample of a side that lies in each cell, (cells, samples), over the samples of a cell."""
+    edges, at = np.arange(cells + 1)[:, None] * size / cells, np.arange(size)
+    return np.clip(np.minimum(edges[1:], at + 1) - np.maximum(edges[:-1], at), 0, None) * cells / size
+
+
+@lru_cache(maxsize=4096)
+def _mirrored(size: int) -> np.ndarray:
+    """Places of a side with one more at each end, mirrored without the border sample."""
+    return np.concatenate([[1], np.arange(size), [size - 2]])
+
+
 def measured_regions(picture: np.ndarray, frames: list[dict], cells: int) -> list[dict]:
     """Sharpness and signature of each fractional frame of a picture: as strips.region_measure() gives them for stored images."""
     height, width = picture.shape
     out = []
     for f in frames:
-        x, y = (int(np.clip(np.rint(f[c] * side), 0, side - 1)) for c, side in (("x", width), ("y", height)))
-        w, h = (int(np.clip(np.rint(f[c] * side), 1, side - low)) for c, side, low in (("w", width, x), ("h", height, y)))
+        x, y = max(0, min(round(f["x"] * width), width - 1)), max(0, min(round(f["y"] * height), height - 1))
+        w, h = max(1, min(round(f["w"] * width), width - x)), max(1, min(round(f["h"] * height), height - y))
         if w < 2 or h < 2:
             out.append({"sharpness": 0.0, "signature": None})
             continue
         part = picture[y : y + h, x : x + w]
         signature = None
         if w >= cells and h >= cells:
-            sums = strips.signature_parts(part, np.arange(h), w, h, cells)[1]
-            signature = np.rint(np.round(sums * (cells * cells) / (w * h), 6)).astype(int).ravel().tolist()
-        out.append({"sharpness": float(strips.laplacian(np.pad(part, 1, "reflect")).var()), "signature": signature})
+            signature = np.rint(np.round(_overlaps(h, cells) @ part @ _overlaps(w, cells).T, 6)).astype(int).ravel().tolist()
+        out.append({"sharpness": float(strips.laplacian(part[_mirrored(h)[:, None], _mirrored(w)]).var()), "signature": signature})
     return out
 
 
+def _pictures(column: pa.Array) -> Iterator[np.ndarray | None]:
+    for rows in column:
+        samples = np.asarray(rows.values.flatten()) if rows.is_valid else ()
+        yield samples.reshape(len(rows.values), -1) if len(samples) else None
+
+
 def check_regions(pictures: DataFrame, batches: DataFrame, cells: int = 24) -> DataFrame:
     """MODE_FRAMES of live pictures (frame_id, stream_id, ts, picture: array of grey rows, may be a stream) by the frames that their batch holds (stream_id, frames: array of x, y, w, h as fractions, editing, automatic).
 
@@ -211,8 +230,7 @@ def check_regions(pictures: DataFrame, batches: DataFrame, cells: int = 24) -> D
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            pictures_ = batch.column("picture").to_pylist()
-            regions = [measured_regions(np.array(p), f, cells) if p and p[0] else None for p, f in zip(pictures_, batch.column("frames").to_pylist(), strict=True)]
+            regions = [measured_regions(p, f, cells) if p is not None else None for p, f in zip(_pictures(batch.column("picture")), batch.column("frames").to_pylist(), strict=True)]
             yield from pa.table([*[batch.column(c) for c in names[:-1]], pa.array(regions, schema.field("regions").type)], names=names).cast(schema).to_batches()
 
     return joined.select(*names[:-1], "picture", "frames").mapInArrow(run, MODE_FRAMES)
