@@ -20,7 +20,6 @@ LEDGER = {
 }
 #: Values of columns that older ledgers lack; others are null.
 DEFAULTS = {"batch": {"status": "Active", "split_book_pages": False, "dewarp_enabled": False, "binarize_enabled": False, "frame_ref_w": 0, "frame_ref_h": 0, "dpi": 300}, "capture_job": {"processing_status": "Pending", "qc_status": "Pending", "ocr_status": "Pending", "export_status": "Pending", "capture_format": "TIFF", "rotation_degrees": 0, "brightness": 0.0, "contrast": 0.0, "saturation": 0.0, "sharpness": 0.0, "white_balance": 0.0}}
-FORMATS = ("PDF", "TIFF", "JPG", "PNG")
 
 
 def read_ledger(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -55,13 +54,6 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
-def write_export(manifest: DataFrame, path: str, file_format: str) -> None:
-    """Writes a manifest's rows by batch; the commit moves finished files only. Formats other than PDF, TIFF, JPG and PNG are refused."""
-    if file_format not in FORMATS:
-        raise ValueError(f"format {file_format}: not one of {', '.join(FORMATS)}")
-    manifest.withColumn("format", F.lit(file_format)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
-
-
 def verify_export(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Rows of a manifest whose target is missing or empty."""
     there = listing.where(F.col("length") > 0).select(F.col("path").alias("target"))
