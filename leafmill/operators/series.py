@@ -85,10 +85,6 @@ PLANS = {
     "e10_book_span": both(("profile",), "The widest run of the cleaned mask; runs of under 20 places or 5 % don't count, gaps of 10 or 3 % are bridged. `book_span` takes a gutter's place.", f"WITH {MASK}, {book_span()} SELECT image_id, a, b FROM span"),
     "e11_detect_span": both(("profile",), "The span of e10, or nothing where there is none.", f"WITH {MASK}, {book_span()} SELECT wide.image_id, a, b FROM wide LEFT JOIN span ON wide.image_id = span.image_id"),
     "e13_line_fit": both(("edge",), "Least squares of an edge's rows on its columns.", "SELECT image_id, round(regr_slope(row_val, pos), 9) AS slope, round(regr_intercept(row_val, pos), 6) AS intercept FROM edge GROUP BY image_id"),
-    "e14_robust_line": both(("edge",), "The line through two samples, of hashed trial pairs, that most samples lie within 4 of; then a fit to these.",
-        """WITH t AS (SELECT a.image_id, a.pos AS k, a.pos AS x0, a.row_val AS y0, b.pos AS x1, b.row_val AS y1 FROM edge a JOIN edge b ON a.image_id = b.image_id AND b.pos = (a.pos * 37 + 11) % 64 AND b.pos <> a.pos), l AS (SELECT image_id, k, (y1 - y0) / (x1 - x0) AS s, y0 - x0 * (y1 - y0) / (x1 - x0) AS c FROM t),
-        q AS (SELECT l.image_id, l.k, l.s, l.c, sum(CASE WHEN abs(e.row_val - l.s * e.pos - l.c) <= 4 THEN 1 ELSE 0 END) AS inliers FROM l JOIN edge e ON e.image_id = l.image_id GROUP BY l.image_id, l.k, l.s, l.c), w AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY inliers DESC, k) AS rn FROM q)
-        SELECT w.image_id, max(w.inliers) AS inliers, round(regr_slope(e.row_val, e.pos), 6) AS slope FROM w JOIN edge e ON e.image_id = w.image_id AND abs(e.row_val - w.s * e.pos - w.c) <= 4 WHERE w.rn = 1 AND w.inliers >= 2 GROUP BY w.image_id"""),
     "e15_edge_quality": both(("edge",), "Spread of each half of an edge around its line and its median strength; good if steady and at least half as strong as the stronger half of its image, else it needs a second try. Reduced: halves stand for sides; no distance to the gutter.",
         """WITH h AS (SELECT e.*, CASE WHEN 2 * pos < max(pos) OVER (PARTITION BY image_id) + 1 THEN 'left' ELSE 'right' END AS side FROM edge e), f AS (SELECT image_id, side, regr_slope(row_val, pos) AS s, regr_intercept(row_val, pos) AS c, median(strength) AS strength FROM h GROUP BY image_id, side),
         j AS (SELECT f.image_id, f.side, max(f.strength) AS strength, sqrt(avg(power(h.row_val - f.s * h.pos - f.c, 2))) AS jitter FROM f JOIN h ON h.image_id = f.image_id AND h.side = f.side GROUP BY f.image_id, f.side), g AS (SELECT *, jitter <= 3 AND strength >= 0.5 * max(strength) OVER (PARTITION BY image_id) AS good FROM j)
@@ -105,8 +101,6 @@ PLANS = {
     "e21_poly_fit": both(("edge",), "Quadratic through an edge, weighted by strength, around its mean column; nothing if singular.",
         f"""WITH c AS (SELECT image_id, avg(CAST(pos AS DOUBLE)) AS mid FROM edge GROUP BY image_id), d AS (SELECT e.image_id, e.pos - c.mid AS t, e.row_val AS v, e.strength + 1 AS w FROM edge e JOIN c ON e.image_id = c.image_id),
         s AS (SELECT image_id, sum(w) AS m0, sum(w * t) AS m1, sum(w * t * t) AS m2, sum(w * t * t * t) AS m3, sum(w * t * t * t * t) AS m4, sum(w * v) AS u0, sum(w * t * v) AS u1, sum(w * t * t * v) AS u2 FROM d GROUP BY image_id) SELECT image_id, round({C0}, 5) AS c0, round({C1}, 6) AS c1, round({C2}, 7) AS c2 FROM s WHERE abs({DET}) > 0.000000001"""),
-    "e26_marker_spacing": both(("contour",), "Middle distance of outlines' centres to their nearest neighbour, by image.",
-        "WITH p AS (SELECT image_id, contour_id, x + w / 2e0 AS cx, y + h / 2e0 AS cy FROM contour), d AS (SELECT a.image_id, a.contour_id, min(sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS d FROM p a JOIN p b ON a.image_id = b.image_id AND a.contour_id <> b.contour_id GROUP BY a.image_id, a.contour_id), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d, contour_id) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM d) SELECT image_id, round(d, 6) AS spacing FROM r WHERE k = floor(n / 2e0)"),
     "e28_detection_score": both(("contour",), "The best outline of each image over the passes; a later pass must be strictly better. Padded by 10 but where it touches the border.",
         f"WITH {SCORED} SELECT image_id, contour_id, pass, round(conf, 12) AS conf, CASE WHEN x <= 0 THEN x ELSE greatest(0, x - 10) END AS px, CASE WHEN y <= 0 THEN y ELSE greatest(0, y - 10) END AS py FROM best"),
     "e29_two_page_pair": both(("contour",), "The two largest outlines of 15 to 60 % of the image, left to right, if they overlap by a quarter of the narrower at most.",
@@ -114,9 +108,6 @@ PLANS = {
     "e30_crop_decision": both(("contour",), "Keep the whole page below a confidence of 0.3, crop with a warning below 0.5, else crop.",
         f"WITH {SCORED}, i AS (SELECT DISTINCT image_id FROM contour) SELECT i.image_id, CASE WHEN conf IS NULL OR conf < 0.3 THEN 'whole' ELSE 'crop' END AS action, CASE WHEN conf IS NULL OR conf < 0.5 THEN 'WARNING' ELSE 'PASS' END AS verdict FROM i LEFT JOIN best b ON i.image_id = b.image_id"),
     "e31_quad_from_traces": both(("edge",), "Side of each half of an edge: its mean row, and the edge's row there.", "SELECT image_id, round(avg(CASE WHEN pos < 32 THEN row_val END), 6) AS left_mean, round(avg(CASE WHEN pos >= 32 THEN row_val END), 6) AS right_mean, max(CASE WHEN pos = 0 THEN row_val END) AS left_row, max(CASE WHEN pos = 63 THEN row_val END) AS right_row FROM edge GROUP BY image_id"),
-    "e34_calibration_audit": both(("calibration",), "A rig's calibrations: three are needed; good if the mean error is 1 pixel at most.", "SELECT project_id, count(*) AS n, round(avg(reprojection_error_px), 6) AS error_px, CASE WHEN count(*) < 3 THEN 'too few' WHEN avg(reprojection_error_px) <= 1 THEN 'good' ELSE 'poor' END AS grade FROM calibration GROUP BY project_id"),
-    "e27_mesh_gate": both(("line_sample",), "Whether a page's lines allow a mesh: six lines at least, and smoothed offsets of their words from the line within 6 % of the page's height.",
-        f"WITH {LINES}, h AS (SELECT doc_id, max(ly) - min(ly) AS height, count(*) AS n FROM ln GROUP BY doc_id), o AS (SELECT s.doc_id, s.line_num, s.x, avg(s.y - l.ly) OVER (PARTITION BY s.doc_id, s.line_num ORDER BY s.x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS off FROM line_sample s JOIN ln l ON s.doc_id = l.doc_id AND s.line_num = l.line_num), m AS (SELECT doc_id, max(abs(off)) AS most FROM o GROUP BY doc_id) SELECT h.doc_id, h.n, round(m.most, 6) AS most, h.n >= 6 AND m.most <= 0.06 * h.height AS mesh FROM h JOIN m ON h.doc_id = m.doc_id"),
     "e32_output_size": both(("edge",), "Size of a flattened page: the edge's length, at least a quarter of its width, and the range of its rows.", "WITH d AS (SELECT image_id, pos, row_val, sqrt(1 + power(row_val - lag(row_val) OVER (PARTITION BY image_id ORDER BY pos), 2)) AS step FROM edge) SELECT image_id, CAST(greatest(bround(sum(coalesce(step, 0))), bround(count(*) / 4e0)) AS INT) AS w, CAST(greatest(1, max(row_val) - min(row_val)) AS INT) AS h FROM d GROUP BY image_id"),
     "e33_spline": both(("profile",), "Catmull-Rom spline through a profile, half way between its samples; ends are held.",
         "WITH p AS (SELECT image_id, pos, val AS p1, coalesce(lag(val) OVER w, val) AS p0, lead(val) OVER w AS p2, lead(val, 2) OVER w AS q3 FROM profile WINDOW w AS (PARTITION BY image_id ORDER BY pos)) SELECT image_id, pos + 0.5e0 AS x, round(0.5e0 * (2 * p1 + (p2 - p0) * 0.5e0 + (2 * p0 - 5 * p1 + 4 * p2 - coalesce(q3, p2)) * 0.25e0 + (3 * p1 - p0 - 3 * p2 + coalesce(q3, p2)) * 0.125e0), 6) AS val FROM p WHERE p2 IS NOT NULL"),

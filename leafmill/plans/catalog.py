@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plan import Plan, oracle, view
 
-MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.fits", "operators.text", "sources.archive", "streaming.live")
+MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.fits", "operators.points", "operators.text", "sources.archive", "streaming.live")
 
 
 def plans() -> dict[str, Plan]:

@@ -86,6 +86,10 @@ IMAGE_FRAME = {
     "spark": f"SELECT image_id, k AS frame_no, {_FRAMES} FROM (SELECT image_id, explode(sequence(0, 3)) AS k FROM (SELECT DISTINCT image_id FROM scanline) i) f",
     "duckdb": f"SELECT image_id, CAST(k AS INT) AS frame_no, {_FRAMES} FROM (SELECT image_id, unnest(range(4)) AS k FROM (SELECT DISTINCT image_id FROM scanline) i) f",
 }
+#: Calibration photos: the batches of a project; some can't be decoded, some are of another size. Markers: three for each job's line.
+CALIBRATION_IMAGE = """SELECT CAST(o_custkey % 500 AS INT) AS set_id, o_orderkey AS image_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 3000 ELSE 4000 END AS width, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 3000 END AS height,
+    (o_custkey % 500 % 20) / CAST(10 AS DOUBLE) AS error_px FROM orders"""
+MARKER = " UNION ALL ".join(f"SELECT l_orderkey AS image_id, CAST((l_partkey + {k} * l_linenumber) % 9 AS INT) AS marker_id FROM lineitem" for k in range(3))
 PROFILE = "SELECT image_id, x AS pos, avg(v) AS val FROM pixel GROUP BY image_id, x"
 
 SOBEL_PASSES = """n AS (SELECT image_id, y, x, v, 2 * v + coalesce(lag(v) OVER wx, lead(v) OVER wx) + coalesce(lead(v) OVER wx, lag(v) OVER wx) AS s,
@@ -156,7 +160,7 @@ LINE_SAMPLE = "SELECT doc_id, line_num, left_px + width / CAST(2 AS DOUBLE) AS x
 VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "project": (PROJECT, ("nation",)), "calibration": (CALIBRATION, ("supplier",)), "batch": (BATCH, ("orders",)), "capture_job": (CAPTURE_JOB, ("lineitem",)),
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
-    "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
+    "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
     "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
