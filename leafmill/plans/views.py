@@ -131,6 +131,9 @@ OCR_WORD = {
     "duckdb": "WITH t AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), u AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM t) " + _WORD,
 }
 
+#: Boxes of a text layer: every tenth page was not read into boxes.
+OCR_BOX = "SELECT * FROM ocr_word WHERE doc_id % 10 <> 0"
+
 LISTING = """WITH b AS (SELECT l_partkey, l_suppkey, concat('/archive/B', CAST(l_orderkey AS STRING), '/') AS dir,
                   concat('B', CAST(l_orderkey AS STRING), '_', lpad(CAST(l_linenumber AS STRING), 6, '0'), CASE WHEN l_returnflag = 'R' THEN '_R' ELSE '' END) AS base
            FROM lineitem),
@@ -161,7 +164,7 @@ VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "project": (PROJECT, ("nation",)), "calibration": (CALIBRATION, ("supplier",)), "batch": (BATCH, ("orders",)), "capture_job": (CAPTURE_JOB, ("lineitem",)),
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
     "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
-    "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "listing": (LISTING, ("lineitem",)),
+    "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "ocr_box": (OCR_BOX, ("ocr_word",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
     "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
 }
