@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plan import Plan, oracle, view
 
-MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.fits", "operators.points", "operators.text", "sources.archive", "streaming.live")
+MODULES = ("operators.ledger", "functions.settings", "functions.geometry", "operators.raster", "operators.series", "operators.fits", "operators.points", "operators.trace", "operators.text", "sources.archive", "streaming.live")
 
 
 def plans() -> dict[str, Plan]:
@@ -24,8 +24,7 @@ def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    more = [import_module(f"leafmill.{name}").QUERIES for name in ("operators.trace", "streaming.live")]
-    return {name: _query(p) for name, p in plans().items()} | more[0] | more[1]
+    return {name: _query(p) for name, p in plans().items()} | import_module("leafmill.streaming.live").QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,6 +66,7 @@ def oracle(plan: Plan) -> str:
         sql = VIEWS[n][0]
         parts.append(f"{n} AS ({sql if isinstance(sql, str) else sql['duckdb']})")
     body = (plan.duckdb or plan.sql).strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join([*parts, body[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ", ".join([*parts, body[len(start) :]])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
