@@ -246,11 +246,14 @@ def frame_mode_batches(batch: DataFrame) -> DataFrame:
     return batch.select(F.col("batch_id").alias("stream_id"), drawn.alias("frames"), (F.col("status") == "Completed").alias("editing"), (F.col("status") == "Active").alias("automatic"))
 
 
-def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signed_frames(live_frame: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Frames with the grey signature of their picture."""
     cells = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 255))).cast("int"))
-    signatures = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", cells.alias("signature"))
-    return view(spark, sf_dir, "live_frame").join(signatures, "vec_id", "left").drop("vec_id")
+    return live_frame.join(embeddings.select("vec_id", cells.alias("signature")), "vec_id", "left").drop("vec_id")
+
+
+def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed_frames(view(spark, sf_dir, "live_frame"), view(spark, sf_dir, "embeddings"))
 
 
 def live_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,20 +268,37 @@ def f07_frame_mode_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_mode_batch(frames, cells=4).select("frame_id", "stream_id", F.round("lowest_sharpness", 6).alias("lowest_sharpness"), "settled", "stable_count", "status", "triggered")
 
 
-def _checks(*columns: str, where: str = "true"):
-    return lambda spark, sf_dir: watch_batch(live_frames(spark, sf_dir)).where(where).select("frame_id", "stream_id", *columns)
+QUERIES = {"f07_frame_mode_trigger": f07_frame_mode_trigger}
+
+#: The fold in SQL: every stream's frames one after the other.
+_FOLD = f"""WITH RECURSIVE fr AS (SELECT l.frame_id, l.stream_id, l.ts, epoch_ms(l.ts) AS ms, l.detected AND l.w * l.h >= {COVERED} * {IMAGE_W} * {IMAGE_H} AS found, l.x, l.y, l.w, l.h, l.sharpness, list_transform(e.embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS INT)) AS sig,
+        row_number() OVER (PARTITION BY l.stream_id ORDER BY l.ts, l.frame_id) AS n FROM live_frame l LEFT JOIN embeddings e ON e.vec_id = l.vec_id),
+    st AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS last_ms, CAST(NULL AS DOUBLE) AS bx, CAST(NULL AS DOUBLE) AS bx_y, CAST(NULL AS DOUBLE) AS bw, CAST(NULL AS DOUBLE) AS bh, 0 AS count, CAST(NULL AS INT[]) AS captured, false AS seen, false AS stable, false AS triggered, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS TIMESTAMP) AS ts FROM fr
+        UNION ALL SELECT stream_id, n, last_ms, CASE WHEN seen THEN CASE WHEN NOT found THEN NULL WHEN NOT sharp OR bx IS NULL THEN x ELSE {WEIGHT} * x + (1 - {WEIGHT}) * bx END ELSE bx END, CASE WHEN seen THEN CASE WHEN NOT found THEN NULL WHEN NOT sharp OR bx IS NULL THEN y ELSE {WEIGHT} * y + (1 - {WEIGHT}) * bx_y END ELSE bx_y END,
+            CASE WHEN seen THEN CASE WHEN NOT found THEN NULL WHEN NOT sharp OR bx IS NULL THEN w ELSE {WEIGHT} * w + (1 - {WEIGHT}) * bw END ELSE bw END, CASE WHEN seen THEN CASE WHEN NOT found THEN NULL WHEN NOT sharp OR bx IS NULL THEN h ELSE {WEIGHT} * h + (1 - {WEIGHT}) * bh END ELSE bh END,
+            CASE WHEN fires THEN 0 ELSE now END, CASE WHEN fires THEN sig ELSE captured END, seen, steady, fires, frame_id, ts
+        FROM (SELECT *, seen AND found AND sharp AND now = {NEEDED} AND (captured IS NULL OR sig IS NULL OR list_sum(list_transform(list_zip(sig, captured), lambda p: abs(p[1] - p[2]))) / CAST(len(sig) AS DOUBLE) >= {DIFFERS}) AS fires
+            FROM (SELECT *, CASE WHEN NOT seen THEN count WHEN NOT found OR NOT sharp THEN 0 WHEN steady THEN least(count + 1, {NEEDED}) ELSE 1 END AS now
+                FROM (SELECT *, seen AND found AND sharp AND bx IS NOT NULL AND abs(x - bx) <= {NEAR} * {IMAGE_W} AND abs(y - bx_y) <= {NEAR} * {IMAGE_H} AND abs(w - bw) <= {NEAR} * {IMAGE_W} AND abs(h - bh) <= {NEAR} * {IMAGE_H} AS steady
+                    FROM (SELECT t.stream_id, f.n, CASE WHEN t.last_ms IS NULL OR f.ms - t.last_ms >= {INTERVAL_MS} THEN f.ms ELSE t.last_ms END AS last_ms, t.last_ms IS NULL OR f.ms - t.last_ms >= {INTERVAL_MS} AS seen, t.bx, t.bx_y, t.bw, t.bh, t.count, t.captured, f.frame_id, f.ts, f.found, f.sharpness >= {SHARP} AS sharp, f.x, f.y, f.w, f.h, f.sig
+                        FROM st t JOIN fr f ON f.stream_id = t.stream_id AND f.n = t.n + 1) a) b) c) d)
+    SELECT frame_id, stream_id, {{columns}} FROM st WHERE seen AND {{where}}"""
+
 
+def _checked(doc: str, columns: str, where: str = "true") -> Plan:
+    """A query over the checks of all accepted frames; `columns` in SQL that both dialects take."""
+    sql = _FOLD.format(columns=columns, where=where)
+    for name, own in (("smooth_x", "bx"), ("smooth_y", "bx_y"), ("smooth_w", "bw"), ("smooth_h", "bh"), ("stable_count", "count")):
+        sql = sql.replace(f"round({name}, 9)", f"round({own}, 9)").replace(f"{name} AS {name}", f"{own} AS {name}")
+    return Plan(("live_frame", "embeddings"), doc, run=lambda live_frame, embeddings: watch_batch(signed_frames(live_frame, embeddings)).where(where).selectExpr("frame_id", "stream_id", *columns.split(" ; ")), duckdb=sql.replace(" ; ", ", "))
 
-QUERIES = {
-    "f01_throttle": _checks("ts"),
-    "f03_box_stable": _checks("stable"),
-    "f04_smooth_box": _checks("smooth_x", "smooth_y", "smooth_w", "smooth_h"),
-    "f05_stable_count": _checks("stable_count"),
-    "f06_capture_trigger": _checks("ts", where="triggered"),
-    "f07_frame_mode_trigger": f07_frame_mode_trigger,
-}
 
 PLANS = {
+    "f01_throttle": _checked("Frames that are checked: each at least half a second after the last one.", "ts AS ts"),
+    "f03_box_stable": _checked("Whether a frame's box is where the smoothed one was, within 3 % of the picture.", "stable AS stable"),
+    "f04_smooth_box": _checked("The smoothed box after each check.", "round(smooth_x, 9) AS smooth_x ; round(smooth_y, 9) AS smooth_y ; round(smooth_w, 9) AS smooth_w ; round(smooth_h, 9) AS smooth_h"),
+    "f05_stable_count": _checked("Steady checks so far.", "stable_count AS stable_count"),
+    "f06_capture_trigger": _checked("Checks that start a capture.", "ts AS ts", "triggered"),
     "f02_detected_gate": Plan(("live_frame",), "Frames whose outline covers a fifth of the picture.", "SELECT frame_id, stream_id, detected AND w * h / (640 * 480) >= 0.2 AS passes FROM live_frame"),
     # A frame without a measurement means no camera, a stream is at the batch of its number, an active batch captures by itself, and frames of a batch that was not exported are being edited.
     "f08_readiness": Plan(("live_frame", "batch"), "What the operator is told; the first that fits.",
