@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..operators.ledger import FINAL
 from ..plans.plan import Plan
 
@@ -30,16 +35,13 @@ def _numbers(get: str, size: str, split: str) -> str:
     return f"ca AS (SELECT job_id, {split} AS p FROM capture_job), cb AS (SELECT job_id, {size}(p) AS k, {cols} FROM ca), cn AS (SELECT *, {good} AS good FROM cb)"
 
 
-CROP_SPARK = _numbers("try_element_at(p, {i})", "size", "split(left_crop_box, ',')") + ", " + _CROP.replace("trunc_(", "(")
+#: The same in Spark over arrays of numbers, which makes methods small enough to be compiled.
+CROP_SPARK = f"""ca AS (SELECT job_id, transform(split(left_crop_box, ','), v -> try_cast(v AS DOUBLE)) AS p FROM capture_job), cq AS (SELECT job_id, p, CASE WHEN size(p) IN (4, 8) AND forall(p, v -> v IS NOT NULL) THEN CASE size(p) WHEN 8 THEN 'quad' ELSE 'rect' END ELSE 'whole' END AS kind FROM ca),
+    cr AS (SELECT job_id, kind, p, greatest(CAST(get(p, 0) AS INT), 0) AS rx, greatest(CAST(get(p, 1) AS INT), 0) AS ry FROM cq),
+    cs AS (SELECT job_id, kind, CASE kind WHEN 'quad' THEN p WHEN 'rect' THEN array(rx, ry, rx + least(CAST(get(p, 2) AS INT), 1000 - rx), ry, rx + least(CAST(get(p, 2) AS INT), 1000 - rx), ry + least(CAST(get(p, 3) AS INT), 800 - ry), rx, ry + least(CAST(get(p, 3) AS INT), 800 - ry)) ELSE array(0D, 0D, 1000D, 0D, 1000D, 800D, 0D, 800D) END AS q FROM cr),
+    crop AS (SELECT job_id, kind, {", ".join(f"get(q, {2 * i}) AS x{i + 1}, get(q, {2 * i + 1}) AS y{i + 1}" for i in range(4))} FROM cs)"""
 CROP_DUCKDB = _numbers("p[{i}]", "len", "string_split(left_crop_box, ',')") + ", " + _CROP.replace("trunc_(", "trunc(")
 
-#: Setting codes known to the library: key, code, name.
-CODES = "codes AS (SELECT * FROM (VALUES ('iso', 1, 'ISO 100'), ('iso', 2, 'ISO 200'), ('iso', 3, 'ISO 400'), ('av', 1, 'f/4'), ('av', 2, 'f/5.6'), ('av', 4, 'f/8'), ('tv', 1, '1/60'), ('tv', 3, '1/125'), ('tv', 5, '1/250')) AS t(setting, code, name))"
-
-#: Stored curves and calibrations as text, some of them malformed.
-CURVE_TEXT = "t AS (SELECT job_id, concat('top:0,', CAST(page_number AS STRING), ',500,12', CASE WHEN batch_id % 5 = 0 THEN ',7' WHEN batch_id % 7 = 0 THEN ',x,1' ELSE '' END, CASE WHEN batch_id % 11 = 0 THEN '' ELSE concat(';bottom:0,', CAST(batch_id % 900 AS STRING), ',500,880') END) AS txt FROM capture_job)"
-CALIBRATION_TEXT = "t AS (SELECT calibration_id, concat('3000,3010,', CAST(calibration_id AS STRING), ',900', CASE WHEN calibration_id % 4 = 0 THEN ',1' ELSE '' END, ';0.1,-0.2', CASE WHEN calibration_id % 3 = 0 THEN '' ELSE ';4000,3000' END) AS txt FROM calibration)"
-
 _BASE = "regexp_replace(regexp_replace(original_path, '^.*/', ''), '[.][^.]*$', '')"
 _DIR = "regexp_replace(original_path, '[^/]*$', '')"
 
@@ -47,7 +49,20 @@ _DIR = "regexp_replace(original_path, '[^/]*$', '')"
 _SUFFIX, _ENDING = "(_processed|_1_left|_2_right|_frame[0-9]+)[.][^.]+$", "[.][^.]+$"
 _NAMES = f"CASE WHEN matches_(file, '{_SUFFIX}') THEN regexp_replace(file, '{_SUFFIX}', '') END, CASE WHEN matches_(file, '{_ENDING}') THEN regexp_replace(file, '{_ENDING}', '') END"
 _FILES = f"lf AS (SELECT path, {_DIR.replace('original_path', 'path')} AS dir, lower(regexp_replace(path, '^.*/', '')) AS file FROM listing)"
-NAMED_SPARK = f"{_FILES}, ln AS (SELECT path, dir, file, explode(array_compact(array_distinct(array({_NAMES.replace('matches_', 'regexp_like')})))) AS base FROM lf)"
+#: Folder, name and ending of a path, without regular expressions; what is left of a name without its ending.
+_FILE = "substring_index({p}, '/', -1)"
+_PARTS = "left({p}, length({p}) - length(" + _FILE + ")) AS dir, lower(" + _FILE + ") AS file"
+_STEM = "CASE WHEN instr(file, '.') > 0 THEN left(file, length(file) - length(substring_index(file, '.', -1)) - 1) ELSE file END"
+NAMED_SPARK = f"""lf AS (SELECT path, {_PARTS.format(p="path")} FROM listing), le AS (SELECT *, substring_index(file, '.', -1) AS ending, {_STEM} AS stem FROM lf),
+    lx AS (SELECT *, instr(file, '.') > 0 AND ending <> '' AS ends, regexp_extract(stem, '(_processed|_1_left|_2_right|_frame[0-9]+)$', 1) AS suffix FROM le),
+    ls AS (SELECT path, dir, file, explode(CASE WHEN NOT ends THEN array() WHEN suffix = '' THEN array(stem) ELSE array(stem, left(stem, length(stem) - length(suffix))) END) AS base FROM lx), ln AS (SELECT path, dir, file, base FROM ls)"""
+_ORIGINALS = f"(SELECT *, {_STEM} AS base FROM (SELECT *, {_PARTS.format(p='original_path')} FROM {{of}}) o0)"
+#: Each job's places to look, by tier, and the listing's files under the keys they answer to: one join.
+RESOLVED_SPARK = f"""kl AS (SELECT path, ending IN ('tif', 'tiff', 'jpg', 'jpeg', 'png') AS image, explode(concat(array(concat('p|', path)), CASE WHEN NOT ends THEN array() WHEN suffix = '' THEN array(concat('n|', dir, '|', stem)) ELSE array(concat('n|', dir, '|', stem), concat('n|', dir, '|', left(stem, length(stem) - length(suffix)))) END)) AS key FROM lx),
+    kj AS (SELECT job_id, original_path, inline(concat(transform(split(processed_path, ';'), p -> struct(1 AS tier, concat('p|', p) AS key)), array(struct(2 AS tier, concat('n|', dir, '|', base) AS key), struct(3 AS tier, concat('n|', dir, 'Processed/|', base) AS key), struct(4 AS tier, concat('p|', original_path) AS key)))) FROM
+        (SELECT job_id, original_path, coalesce(processed_path, '') AS processed_path, dir, base FROM {_ORIGINALS.format(of="f")} o)),
+    u AS (SELECT job_id, path, tier FROM kj JOIN kl ON kj.key = kl.key WHERE tier IN (1, 4) OR image AND (tier = 3 OR lower(path) <> lower(original_path))), t AS (SELECT *, min(tier) OVER (PARTITION BY job_id) AS best FROM u)
+    SELECT DISTINCT job_id, path, tier FROM t WHERE tier = best"""
 NAMED_DUCKDB = f"{_FILES}, ln AS (SELECT path, dir, file, unnest(list_distinct([{_NAMES.replace('matches_', 'regexp_matches')}])) AS base FROM lf)"
 _TIERS = f"""o AS (SELECT job_id, original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM f), i AS (SELECT * FROM ln WHERE matches_(file, '[.](tif|tiff|jpg|jpeg|png)$')),
         d AS (SELECT job_id, i.path, 2 AS tier FROM o JOIN i ON o.dir = i.dir AND o.base = i.base WHERE lower(i.path) <> lower(o.original_path)), q AS (SELECT job_id, i.path, 3 AS tier FROM o JOIN i ON concat(o.dir, 'Processed/') = i.dir AND o.base = i.base),
@@ -55,6 +70,61 @@ _TIERS = f"""o AS (SELECT job_id, original_path, {_DIR} AS dir, lower({_BASE}) A
         u AS (SELECT * FROM r UNION ALL SELECT * FROM d UNION ALL SELECT * FROM q UNION ALL SELECT * FROM g), t AS (SELECT *, min(tier) OVER (PARTITION BY job_id) AS best FROM u)
         SELECT DISTINCT job_id, path, tier FROM t WHERE tier = best"""
 
+
+
+def _held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _numbers_of(text: Column) -> Column:
+    """The numbers between commas, empty entries left out; null if one is none."""
+    values = F.transform(F.filter(F.split(text, ","), lambda v: v != ""), lambda v: F.trim(v).try_cast("double"))
+    return _held(values, lambda n: F.when(F.forall(n, lambda v: v.isNotNull()), n))
+
+
+def parse_curve(text: Column) -> Column:
+    """top and bottom (arrays of x, y) of a stored curve, "top:x1,y1,...;bottom:..."; null if a number is none anywhere, or one of the two is missing, odd or empty. Of repeated labels the last good one counts, other labels count for nothing but bad numbers."""
+    label = lambda p: F.struct(F.substring_index(p, ":", 1).alias("label"), _numbers_of(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("n"))
+    parts = F.transform(F.filter(F.split(text, ";"), lambda p: F.instr(p, ":") > 0), label)
+    point = lambda n, i: F.struct(F.get(n, i).alias("x"), F.get(n, i + 1).alias("y"))
+    points = lambda n: F.transform(F.sequence(F.lit(0), F.size(n) - 2, F.lit(2)), lambda i: point(n, i))
+    last = lambda p, name: F.try_element_at(F.filter(p, lambda q: (q["label"] == name) & (F.size(q["n"]) > 0) & (F.size(q["n"]) % 2 == 0)), F.lit(-1))["n"]
+    made = lambda s: F.when(s["top"].isNotNull() & s["bottom"].isNotNull(), F.struct(points(s["top"]).alias("top"), points(s["bottom"]).alias("bottom")))
+    sides = lambda p: F.when(F.forall(p, lambda q: q["n"].isNotNull()), F.struct(last(p, "top").alias("top"), last(p, "bottom").alias("bottom")))
+    return _held(_held(parts, sides), made)
+
+
+def format_curve(curve: Column) -> Column:
+    """A curve as text again, one decimal."""
+    points = lambda side: F.array_join(F.transform(curve[side], lambda q: F.format_string("%.1f,%.1f", q["x"], q["y"])), ",")
+    return F.when(curve.isNotNull(), F.concat(F.lit("top:"), points("top"), F.lit(";bottom:"), points("bottom")))
+
+
+def parse_calibration(text: Column) -> Column:
+    """fx, fy, cx, cy, distortion (array), width and height of a stored calibration, "fx,fy,cx,cy;d1,...;w,h"; null unless it has three parts, four intrinsics and two whole sizes, and every number is one."""
+    parts = F.split(text, ";")
+    part = lambda i: F.split(F.get(parts, F.lit(i)), ",")
+    doubles = lambda i: F.transform(part(i), lambda v: F.trim(v).try_cast("double"))
+    sizes = F.transform(part(2), lambda v: F.trim(v).try_cast("int"))
+    known = lambda a: F.forall(a, lambda v: v.isNotNull())
+    fine = (F.size(parts) == 3) & (F.size(part(0)) == 4) & (F.size(part(2)) == 2) & known(doubles(0)) & known(doubles(1)) & known(sizes)
+    intrinsics = [F.get(doubles(0), F.lit(i)).alias(n) for i, n in enumerate(("fx", "fy", "cx", "cy"))]
+    return F.when(fine, F.struct(*intrinsics, doubles(1).alias("distortion"), F.get(sizes, F.lit(0)).alias("width"), F.get(sizes, F.lit(1)).alias("height")))
+
+
+def format_calibration(c: Column) -> Column:
+    """A calibration as text again; each number in the shortest form that gives it back."""
+    joined = lambda values: F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+    return F.when(c.isNotNull(), F.concat(joined(F.array(c["fx"], c["fy"], c["cx"], c["cy"])), F.lit(";"), joined(c["distortion"]), F.lit(";"), c["width"].cast("string"), F.lit(","), c["height"].cast("string")))
+
+
+def sanitize_name(name: Column) -> Column:
+    """A file name without what file systems refuse (<>:"/|?* and backslashes, and characters below the space), each turned into _; "untitled" if nothing is left."""
+    clean = F.trim(F.regexp_replace(name, r'[<>:"/|?*\\\x00-\x1F]', "_"))
+    return F.when(F.coalesce(clean, F.lit("")) == "", "untitled").otherwise(clean)
+
+
 PLANS = {
     "b01_parse_frames": Plan(("batch",), "Frames of a batch; malformed entries are skipped.", f"WITH {FRAMES_SPARK} SELECT batch_id, n, x, y, w, h FROM ok", f"WITH {FRAMES_DUCKDB} SELECT batch_id, n, x, y, w, h FROM ok"),
     "b02_format_frames": Plan(("batch",), "Frames as text again, one decimal.",
@@ -63,25 +133,28 @@ PLANS = {
     "b03_parse_crop": Plan(("capture_job",), "A stored crop as four corners of a 1000 x 800 image.", f"WITH {CROP_SPARK} SELECT job_id, kind, x1, y1, x2, y2, x3, y3, x4, y4 FROM crop", f"WITH {CROP_DUCKDB} SELECT job_id, kind, x1, y1, x2, y2, x3, y3, x4, y4 FROM crop"),
     "b04_format_corners": Plan(("capture_job",), "Corners as text, one decimal.", f"WITH {CROP_SPARK} SELECT job_id, format_string('%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f', x1, y1, x2, y2, x3, y3, x4, y4) AS text FROM crop", f"WITH {CROP_DUCKDB} SELECT job_id, printf('%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f', x1, y1, x2, y2, x3, y3, x4, y4) AS text FROM crop"),
     "b07_explode_frames": Plan(("batch",), "A row for each frame, with its suffix: at least two digits.", f"WITH {FRAMES_SPARK} SELECT batch_id, n, concat('_frame', lpad(CAST(n AS STRING), greatest(2, length(CAST(total AS STRING))), '0')) AS suffix FROM ok", f"WITH {FRAMES_DUCKDB} SELECT batch_id, n, concat('_frame', lpad(CAST(n AS STRING), CAST(greatest(2, length(CAST(total AS STRING))) AS INT), '0')) AS suffix FROM ok"),
-    "b08_sanitize_name": Plan(("customer",), "A file name without characters that file systems refuse; 'untitled' if nothing is left.",
-        r"""SELECT c_custkey AS id, CASE WHEN trim(t) = '' THEN 'untitled' ELSE trim(t) END AS name FROM (SELECT c_custkey, regexp_replace(concat(CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END, CASE WHEN c_custkey % 3 = 0 THEN ':a/b?' ELSE '' END), '[<>:"/|?*\\\\]', '_') AS t FROM customer) q""",
-        r"""SELECT c_custkey AS id, CASE WHEN trim(t) = '' THEN 'untitled' ELSE trim(t) END AS name FROM (SELECT c_custkey, regexp_replace(concat(CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END, CASE WHEN c_custkey % 3 = 0 THEN ':a/b?' ELSE '' END), '[<>:"/|?*\\]', '_', 'g') AS t FROM customer) q"""),
+    "b08_sanitize_name": Plan(("given_name",), "A file name without characters that file systems refuse; 'untitled' if nothing is left.", run=lambda given_name: given_name.select("id", sanitize_name(F.col("name")).alias("name")),
+        duckdb=r"""SELECT id, CASE WHEN trim(t) = '' THEN 'untitled' ELSE trim(t) END AS name FROM (SELECT id, regexp_replace(name, '[<>:"/|?*\\\x00-\x1F]', '_', 'g') AS t FROM given_name) q"""),
     "b09_capture_name": Plan(("capture_job", "batch", "project"), "Name of a capture and path of its thumbnail; recaptures end in _R.",
         """SELECT j.job_id, concat(p.name, '_', b.batch_code, '_', lpad(CAST(j.page_number AS STRING), 6, '0'), CASE WHEN j.original_path LIKE '%!_R.jpg' ESCAPE '!' THEN '_R' ELSE '' END) AS name,
         concat(p.output_directory, '/', b.batch_code, '/Thumbnails/', lpad(CAST(j.page_number AS STRING), 6, '0'), '.png') AS thumbnail FROM capture_job j JOIN batch b ON j.batch_id = b.batch_id JOIN project p ON b.project_id = p.project_id"""),
     "b10_is_derivative": Plan(("capture_job", "listing"), "Files of the same folder that derive from a job's original: base name and a known suffix; recaptures of the page do not.",
-        f"WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), {NAMED_SPARK} SELECT original_path, path FROM o JOIN ln ON o.dir = ln.dir AND o.base = ln.base",
+        f"WITH {NAMED_SPARK}, j AS (SELECT DISTINCT original_path FROM capture_job) SELECT o.original_path, ln.path FROM {_ORIGINALS.format(of='j')} o JOIN ln ON o.dir = ln.dir AND o.base = ln.base",
         f"WITH o AS (SELECT DISTINCT original_path, {_DIR} AS dir, lower({_BASE}) AS base FROM capture_job), {NAMED_DUCKDB} SELECT original_path, path FROM o JOIN ln ON o.dir = ln.dir AND o.base = ln.base"),
     "b11_resolve_outputs": Plan(("capture_job", "listing"), "Files to export of each final page; the first of these that there are: recorded outputs that exist, images that derive from the original beside it, those in Processed/, the original.",
-        f"WITH {FINAL}, {NAMED_SPARK}, r AS (SELECT job_id, p.path, 1 AS tier FROM (SELECT job_id, explode(split(processed_path, ';')) AS path FROM f) p JOIN listing l ON p.path = l.path), {_TIERS.replace('matches_', 'regexp_like')}",
+        f"WITH {FINAL}, {NAMED_SPARK}, {RESOLVED_SPARK}",
         f"WITH {FINAL}, {NAMED_DUCKDB}, p AS (SELECT job_id, unnest(string_split(processed_path, ';')) AS path FROM f), r AS (SELECT job_id, p.path, 1 AS tier FROM p JOIN listing l ON p.path = l.path), {_TIERS.replace('matches_', 'regexp_matches')}"),
-    "b12_decode_setting": Plan(("lineitem",), "Name of a setting's code; unknown ones in hexadecimal.",
-        f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', hex(q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code",
-        f"WITH {CODES}, q AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem) SELECT q.l_orderkey AS id, q.setting, q.code, coalesce(c.name, concat('0x', printf('%X', q.code))) AS name FROM q LEFT JOIN codes c ON q.setting = c.setting AND q.code = c.code"),
-    "b05_parse_curve": Plan(("capture_job",), "Curves stored as 'top:...;bottom:...': both needed; an odd count or one bad number makes the whole value null.",
-        f"WITH {CURVE_TEXT}, p AS (SELECT job_id, txt, split(regexp_extract(txt, 'top:([^;]*)', 1), ',') AS a, split(regexp_extract(txt, 'bottom:([^;]*)', 1), ',') AS b FROM t), g AS (SELECT job_id, size(a) % 2 = 0 AND size(b) % 2 = 0 AND NOT exists(a, v -> try_cast(v AS DOUBLE) IS NULL) AND NOT exists(b, v -> try_cast(v AS DOUBLE) IS NULL) AS good, a, b FROM p) SELECT job_id, CASE WHEN good THEN size(a) div 2 END AS top_points, CASE WHEN good THEN size(b) div 2 END AS bottom_points, CASE WHEN good THEN try_cast(a[0] AS DOUBLE) END AS x0, CASE WHEN good THEN try_cast(b[1] AS DOUBLE) END AS y0 FROM g",
-        f"WITH {CURVE_TEXT}, p AS (SELECT job_id, txt, string_split(regexp_extract(txt, 'top:([^;]*)', 1), ',') AS a, string_split(regexp_extract(txt, 'bottom:([^;]*)', 1), ',') AS b FROM t), g AS (SELECT job_id, len(a) % 2 = 0 AND len(b) % 2 = 0 AND len(list_filter(a, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AND len(list_filter(b, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AS good, a, b FROM p) SELECT job_id, CASE WHEN good THEN len(a) // 2 END AS top_points, CASE WHEN good THEN len(b) // 2 END AS bottom_points, CASE WHEN good THEN try_cast(a[1] AS DOUBLE) END AS x0, CASE WHEN good THEN try_cast(b[2] AS DOUBLE) END AS y0 FROM g"),
-    "b06_parse_calibration": Plan(("calibration",), "Calibrations stored as three parts: four intrinsics, distortions, two sizes; else null.",
-        f"WITH {CALIBRATION_TEXT}, p AS (SELECT calibration_id, split(txt, ';') AS s FROM t), q AS (SELECT calibration_id, size(s) AS parts, split(try_element_at(s, 1), ',') AS i, split(try_element_at(s, 3), ',') AS z FROM p) SELECT calibration_id, CASE WHEN parts = 3 AND size(i) = 4 AND size(z) = 2 THEN try_cast(i[0] AS DOUBLE) END AS fx, CASE WHEN parts = 3 AND size(i) = 4 AND size(z) = 2 THEN try_cast(z[0] AS INT) END AS w FROM q",
-        f"WITH {CALIBRATION_TEXT}, p AS (SELECT calibration_id, string_split(txt, ';') AS s FROM t), q AS (SELECT calibration_id, len(s) AS parts, string_split(s[1], ',') AS i, string_split(s[3], ',') AS z FROM p) SELECT calibration_id, CASE WHEN parts = 3 AND len(i) = 4 AND len(z) = 2 THEN try_cast(i[1] AS DOUBLE) END AS fx, CASE WHEN parts = 3 AND len(i) = 4 AND len(z) = 2 THEN try_cast(z[1] AS INT) END AS w FROM q"),
+    "b12_decode_setting": Plan(("setting_reading", "setting_code"), "Name of a setting's code, from a table of codes (setting, code, name); unknown ones in hexadecimal.",
+        "SELECT r.id, r.setting, r.code, coalesce(c.name, concat('0x', hex(r.code))) AS name FROM setting_reading r LEFT JOIN setting_code c ON r.setting = c.setting AND r.code = c.code",
+        "SELECT r.id, r.setting, r.code, coalesce(c.name, concat('0x', printf('%X', r.code))) AS name FROM setting_reading r LEFT JOIN setting_code c ON r.setting = c.setting AND r.code = c.code"),
+    "b05_parse_curve": Plan(("curve_text",), "Stored curves: both sides needed; an odd count or one bad number makes the whole value null. Points, the first and last of them, and the text that they give again.",
+        run=lambda curve_text: curve_text.select("job_id", parse_curve(F.col("txt")).alias("c")).select("job_id", F.when(F.col("c").isNotNull(), F.size("c.top")).alias("top_points"), F.when(F.col("c").isNotNull(), F.size("c.bottom")).alias("bottom_points"), F.col("c.top")[0]["x"].alias("x0"), F.element_at("c.bottom", -1)["y"].alias("y1"), format_curve(F.col("c")).alias("text")),
+        duckdb="""WITH p AS (SELECT job_id, string_split(regexp_extract(txt, 'top:([^;]*)', 1), ',') AS a, string_split(regexp_extract(txt, 'bottom:([^;]*)', 1), ',') AS b FROM curve_text), g AS (SELECT job_id, len(a) % 2 = 0 AND len(b) % 2 = 0 AND len(list_filter(a, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AND len(list_filter(b, lambda v: try_cast(v AS DOUBLE) IS NULL)) = 0 AS good, a, b FROM p)
+        SELECT job_id, CASE WHEN good THEN len(a) // 2 END AS top_points, CASE WHEN good THEN len(b) // 2 END AS bottom_points, CASE WHEN good THEN try_cast(a[1] AS DOUBLE) END AS x0, CASE WHEN good THEN try_cast(b[len(b)] AS DOUBLE) END AS y1,
+        CASE WHEN good THEN concat('top:', array_to_string(list_transform(a, lambda v: printf('%.1f', CAST(v AS DOUBLE))), ','), ';bottom:', array_to_string(list_transform(b, lambda v: printf('%.1f', CAST(v AS DOUBLE))), ',')) END AS text FROM g"""),
+    "b06_parse_calibration": Plan(("calibration_text",), "Stored calibrations: three parts with four intrinsics, distortions and two sizes, else null. Its numbers, and whether the text that they give again is read as the same.",
+        run=lambda calibration_text: calibration_text.select("calibration_id", parse_calibration(F.col("txt")).alias("c")).select("calibration_id", "c.fx", "c.fy", "c.cx", "c.cy", F.aggregate("c.distortion", F.lit(0.0), lambda a, v: a + v).alias("distortion_sum"), "c.width", "c.height", (parse_calibration(format_calibration(F.col("c"))) == F.col("c")).alias("again")),
+        duckdb="""WITH p AS (SELECT calibration_id, string_split(txt, ';') AS s FROM calibration_text), q AS (SELECT calibration_id, len(s) AS parts, list_transform(string_split(s[1], ','), lambda v: try_cast(v AS DOUBLE)) AS i, list_transform(string_split(s[2], ','), lambda v: try_cast(v AS DOUBLE)) AS d, list_transform(string_split(s[3], ','), lambda v: try_cast(v AS INT)) AS z FROM p),
+        g AS (SELECT *, coalesce(parts = 3 AND len(i) = 4 AND len(z) = 2 AND len(list_filter(i, lambda v: v IS NULL)) = 0 AND len(list_filter(d, lambda v: v IS NULL)) = 0 AND len(list_filter(z, lambda v: v IS NULL)) = 0, false) AS good FROM q)
+        SELECT calibration_id, CASE WHEN good THEN i[1] END AS fx, CASE WHEN good THEN i[2] END AS fy, CASE WHEN good THEN i[3] END AS cx, CASE WHEN good THEN i[4] END AS cy, CASE WHEN good THEN list_reduce(d, lambda a, v: a + v, 0e0) END AS distortion_sum, CASE WHEN good THEN z[1] END AS width, CASE WHEN good THEN z[2] END AS height, CASE WHEN good THEN true END AS again FROM g"""),
 }

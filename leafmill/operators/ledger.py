@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from ..plans.plan import Plan
 
-STATUSES = "processing_status, qc_status, ocr_status, export_status"
-
 #: Newest completed attempt of each page that was not superseded; ties on time go to the smaller job id.
 FINAL = """f AS (SELECT * FROM (SELECT j.*, row_number() OVER (PARTITION BY batch_id, page_number ORDER BY ts DESC, job_id) AS rn
              FROM capture_job j WHERE processing_status = 'Completed' AND export_status <> 'Superseded') q WHERE rn = 1)"""
@@ -35,6 +33,10 @@ MANIFEST = """SELECT n.job_id, n.batch_id, n.page_number, CAST(n.file_pos AS INT
        concat(b.batch_code, '_Page_', lpad(CAST(n.idx AS STRING), 6, '0'), CASE n.capture_format WHEN 'TIFF' THEN '.tif' WHEN 'JPG' THEN '.jpg' ELSE '.png' END) AS target
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY page_number, job_id, file_pos, path) AS INT) AS idx FROM m) n JOIN batch b ON n.batch_id = b.batch_id"""
 
+#: What a template gives to other jobs, and the statuses that go back.
+ADJUSTMENTS = ("rotation_degrees", "flip_horizontal", "flip_vertical", "brightness", "contrast", "saturation", "sharpness", "white_balance")
+FOUR = ("processing", "qc", "ocr", "export")
+
 PLANS = {
     "a01_enqueue": Plan(("capture_job", "batch"), "New captures with every status Pending, and the batch's resolution stamped on the row.",
         "SELECT concat(j.job_id, '-n') AS job_id, j.batch_id, j.page_number, j.ts, j.original_path, j.capture_format, b.dpi, 'Pending' AS processing_status, 'Pending' AS qc_status, 'Pending' AS ocr_status, 'Pending' AS export_status FROM capture_job j JOIN batch b ON j.batch_id = b.batch_id"),
@@ -55,8 +57,10 @@ PLANS = {
     "a07_fold_status": Plan(("job_event",), "Current statuses from the event log: the last write of each field counts, none after a supersede; unknown fields are ignored.",
         f"""WITH {FOLD} SELECT a.job_id, CASE WHEN gone = 1 THEN 'Superseded' ELSE coalesce(processing, 'Pending') END AS processing_status, coalesce(qc, 'Pending') AS qc_status,
         coalesce(ocr, 'Pending') AS ocr_status, CASE WHEN gone = 1 THEN 'Superseded' ELSE coalesce(export, 'Pending') END AS export_status FROM a LEFT JOIN k ON a.job_id = k.job_id"""),
-    "a08_set_outputs": Plan(("capture_job",), "Output paths are set unless the job is superseded.",
-        "SELECT job_id, CASE WHEN processing_status = 'Superseded' THEN NULL ELSE processed_path END AS processed_path, CASE WHEN processing_status = 'Superseded' OR processed_path IS NULL THEN 0 ELSE length(processed_path) - length(replace(processed_path, ';', '')) + 1 END AS n_outputs FROM capture_job"),
+    "a08_set_outputs": Plan(("job_event", "output_event"), "Output paths from the log of their writes: the last one counts, none from the first supersede on; null if there is none.",
+        """WITH k AS (SELECT job_id, min(CASE WHEN lower(status_type) = 'supersede' THEN ts END) AS cut FROM job_event GROUP BY job_id), j AS (SELECT job_id FROM job_event UNION SELECT job_id FROM output_event),
+        w AS (SELECT o.job_id, o.paths, row_number() OVER (PARTITION BY o.job_id ORDER BY o.ts DESC, o.event_id DESC) AS rn FROM output_event o LEFT JOIN k ON k.job_id = o.job_id WHERE k.cut IS NULL OR o.ts < k.cut)
+        SELECT j.job_id, w.paths AS processed_path, CASE WHEN w.paths IS NULL THEN 0 ELSE length(w.paths) - length(replace(w.paths, ';', '')) + 1 END AS n_outputs FROM j LEFT JOIN w ON w.job_id = j.job_id AND w.rn = 1"""),
     "a09_recent_batches": Plan(("batch", "project", "capture_job"), "Batches, newest first, with their project's name and the largest page number of any attempt.",
         """WITH p AS (SELECT batch_id, max(page_number) AS pages FROM capture_job GROUP BY batch_id)
         SELECT b.batch_id, b.batch_code, coalesce(r.name, '(unknown project)') AS project_name, coalesce(p.pages, 0) AS pages, concat(CAST(coalesce(p.pages, 0) AS STRING), ' page(s)') AS pages_text, b.start_time,
@@ -66,26 +70,30 @@ PLANS = {
         """WITH n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, page_number ORDER BY ts DESC, job_id) AS rn FROM capture_job WHERE processing_status <> 'Superseded' AND export_status <> 'Superseded'),
         t AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY page_number DESC) AS place FROM n WHERE rn = 1)
         SELECT batch_id, page_number, job_id, CAST(place AS INT) AS place, CASE processing_status WHEN 'Completed' THEN 'Processed' WHEN 'Failed' THEN 'Processing failed' ELSE 'Processing' END AS label FROM t WHERE place <= 100"""),
-    "a11_bulk_adjust": Plan(("capture_job",), "A batch's first job gives its adjustments to all others of the batch, which are queued again; superseded ones too.",
-        """WITH s AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY page_number, job_id) AS rn FROM capture_job), t AS (SELECT * FROM s WHERE rn = 1)
-        SELECT s.job_id, s.batch_id, t.rotation_degrees, t.brightness, t.contrast, t.saturation, t.sharpness, t.white_balance, s.job_id <> t.job_id AS changed,
-        CASE WHEN s.job_id <> t.job_id THEN 'Pending' ELSE s.processing_status END AS processing_status, CASE WHEN s.job_id <> t.job_id THEN 'Pending' ELSE s.export_status END AS export_status FROM s JOIN t ON s.batch_id = t.batch_id"""),
+    "a11_bulk_adjust": Plan(("capture_job", "adjust_request"), "A template's eight adjustments go to the jobs asked for (those of an id, or a whole batch without one), not to the template itself; they are flagged and queued again, superseded ones too. Of two templates the smaller id counts; unknown templates change nothing.",
+        f"""WITH x AS (SELECT job_id, min(template_id) AS template_id FROM (SELECT j.job_id, r.template_id FROM capture_job j JOIN adjust_request r ON r.job_id = j.job_id UNION SELECT j.job_id, r.template_id FROM capture_job j JOIN adjust_request r ON r.batch_id = j.batch_id AND r.job_id IS NULL) a WHERE job_id <> template_id GROUP BY job_id),
+        t AS (SELECT x.job_id AS to_id, j.* FROM x JOIN capture_job j ON j.job_id = x.template_id)
+        SELECT j.job_id, j.batch_id, {", ".join(f"CASE WHEN t.to_id IS NULL THEN j.{c} ELSE t.{c} END AS {c}" for c in ADJUSTMENTS)}, t.to_id IS NOT NULL AS changed, {", ".join(f"CASE WHEN t.to_id IS NULL THEN j.{c}_status ELSE 'Pending' END AS {c}_status" for c in FOUR)}
+        FROM capture_job j LEFT JOIN t ON t.to_id = j.job_id"""),
     "a12_next_page_number": Plan(("capture_job",), "Where numbering resumes: after the highest page still held. Deleting the last page frees its number, an inner one does not.",
         "SELECT batch_id, coalesce(max(CASE WHEN processing_status <> 'Superseded' AND export_status <> 'Superseded' THEN page_number END), 0) + 1 AS next_page, max(page_number) + 1 AS next_of_all FROM capture_job GROUP BY batch_id"),
-    "a13_resume_or_create": Plan(("batch",), "Requests for a batch code of a project: the active batch of that code, or a new one with a snapshot of the settings; no splitting if it has frames.",
-        """WITH r AS (SELECT DISTINCT project_id, batch_code, split_book_pages, fixed_frames, dpi FROM batch), a AS (SELECT project_id, batch_code, max(batch_id) AS batch_id FROM batch WHERE status = 'Active' GROUP BY project_id, batch_code)
-        SELECT r.project_id, r.batch_code, a.batch_id, a.batch_id IS NULL AS created, r.dpi, CASE WHEN r.fixed_frames IS NOT NULL THEN false ELSE r.split_book_pages END AS split_book_pages FROM r LEFT JOIN a ON r.project_id = a.project_id AND r.batch_code = a.batch_code"""),
+    "a13_resume_or_create": Plan(("batch", "batch_request"), "Each request for a batch code of a project: the active batch of that code (the newest), or a new one with a snapshot of the asked settings; no splitting if it has frames.",
+        """WITH a AS (SELECT project_id, batch_code, max(batch_id) AS batch_id FROM batch WHERE status = 'Active' GROUP BY project_id, batch_code)
+        SELECT r.request_id, r.project_id, r.batch_code, a.batch_id, a.batch_id IS NULL AS created, coalesce(b.dpi, r.dpi) AS dpi, CASE WHEN a.batch_id IS NOT NULL THEN b.split_book_pages WHEN trim(coalesce(r.fixed_frames, '')) <> '' THEN false ELSE r.split_book_pages END AS split_book_pages
+        FROM batch_request r LEFT JOIN a ON r.project_id = a.project_id AND r.batch_code = a.batch_code LEFT JOIN batch b ON b.batch_id = a.batch_id"""),
     "a14_calibration_at_start": Plan(("batch", "calibration"), "As-of join: the rig's calibration that was active when the batch started, if any.",
         """WITH c AS (SELECT *, lead(calibrated_utc) OVER (PARTITION BY project_id ORDER BY calibrated_utc, calibration_id) AS until FROM calibration)
         SELECT b.batch_id, b.project_id, c.calibration_id, c.calibrated_utc FROM batch b LEFT JOIN c ON b.project_id = c.project_id AND c.calibrated_utc <= b.start_time AND (c.until IS NULL OR b.start_time < c.until)"""),
     "a15_ocr_worklist": Plan(("capture_job",), "Final pages whose text is not read yet.", f"WITH {FINAL} SELECT job_id, batch_id, page_number, ocr_status FROM f WHERE ocr_status <> 'Completed'"),
-    "a16_ocr_summary": Plan(("capture_job", "batch"), "Counts of text reading by batch; all are skipped where the engine is missing (here: every seventh batch).",
-        f"""WITH {FINAL}, c AS (SELECT f.batch_id, f.batch_id % 7 = 0 AS missing, sum(CASE WHEN ocr_status = 'Completed' THEN 1 ELSE 0 END) AS done, sum(CASE WHEN ocr_status = 'Failed' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM f GROUP BY f.batch_id)
+    "a16_ocr_summary": Plan(("capture_job", "ocr_site"), "Counts of text reading by batch; all are skipped where the engine is missing. Batches of unknown sites have one.",
+        f"""WITH {FINAL}, c AS (SELECT f.batch_id, max(CASE WHEN s.engine THEN 0 WHEN s.engine IS NULL THEN 0 ELSE 1 END) = 1 AS missing, sum(CASE WHEN ocr_status = 'Completed' THEN 1 ELSE 0 END) AS done, sum(CASE WHEN ocr_status = 'Failed' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM f LEFT JOIN ocr_site s ON s.batch_id = f.batch_id GROUP BY f.batch_id)
         SELECT batch_id, missing, CASE WHEN missing THEN 0 ELSE done END AS completed, CASE WHEN missing THEN 0 ELSE failed END AS failed, CASE WHEN missing THEN n ELSE n - done - failed END AS skipped,
         CASE WHEN missing THEN 'engine missing' WHEN failed > 0 THEN 'some pages failed' WHEN done = n THEN 'all pages read' ELSE 'some pages skipped' END AS message FROM c"""),
-    "a17_export_plan": Plan(("capture_job", "batch"), "Whether a batch can be exported and its pages in order: none without captures, none while a job waits. Reduced: takes no explicit list of ids.",
-        f"""WITH {FINAL}, {GATE} SELECT b.batch_id, CASE WHEN g.batch_id IS NULL THEN 'no captures' WHEN g.waiting > 0 THEN 'blocked' ELSE 'ready' END AS state, f.job_id, f.page_number, CAST(row_number() OVER (PARTITION BY b.batch_id ORDER BY f.page_number, f.job_id) AS INT) AS position
-        FROM batch b LEFT JOIN g ON b.batch_id = g.batch_id LEFT JOIN f ON b.batch_id = f.batch_id AND g.waiting = 0"""),
+    "a17_export_plan": Plan(("capture_job", "batch", "export_request"), "Whether a batch can be exported and its pages in order: none without captures, none while a job waits. A list of ids wins over the final pages: its order holds, whatever the jobs' status, and unknown ids and those of other batches drop out.",
+        f"""WITH {FINAL}, {GATE}, x AS (SELECT r.batch_id, j.job_id, j.page_number, min(r.position) AS place FROM export_request r JOIN capture_job j ON j.job_id = r.job_id AND j.batch_id = r.batch_id GROUP BY r.batch_id, j.job_id, j.page_number), listed AS (SELECT DISTINCT batch_id FROM export_request),
+        pages AS (SELECT batch_id, job_id, page_number, place FROM x UNION ALL SELECT f.batch_id, f.job_id, f.page_number, f.page_number FROM f WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.batch_id = f.batch_id))
+        SELECT b.batch_id, CASE WHEN g.batch_id IS NULL THEN 'no captures' WHEN g.waiting > 0 THEN 'blocked' ELSE 'ready' END AS state, p.job_id, p.page_number, CAST(row_number() OVER (PARTITION BY b.batch_id ORDER BY p.place, p.page_number, p.job_id) AS INT) AS position
+        FROM batch b LEFT JOIN g ON b.batch_id = g.batch_id LEFT JOIN pages p ON b.batch_id = p.batch_id AND g.waiting = 0"""),
     "a18_export_manifest": Plan(("capture_job", "batch"), "Files to write: final pages' outputs, one running number for each batch, and the target's name.", f"WITH {FINAL}, {FILES_SPARK} {MANIFEST}", f"WITH {FINAL}, {FILES_DUCKDB} {MANIFEST}"),
     "a19_mark_exported": Plan(("capture_job", "batch"), "After export the final pages are Completed, and the batch Exported once none waits.",
         f"""WITH {FINAL}, {GATE} SELECT j.job_id, CASE WHEN f.job_id IS NOT NULL THEN 'Completed' ELSE j.export_status END AS export_status, CASE WHEN g.waiting = 0 THEN 'Exported' ELSE b.status END AS batch_status
@@ -98,9 +106,8 @@ PLANS = {
     "a21_frame_edit_gate": Plan(("capture_job",), "Frames of a batch are locked while jobs wait, with their count.", f"WITH {GATE} SELECT batch_id, waiting > 0 AS locked, waiting FROM g"),
     "a22_last_format": Plan(("capture_job",), "Capture format of a batch's newest job.",
         "SELECT batch_id, capture_format FROM (SELECT batch_id, capture_format, row_number() OVER (PARTITION BY batch_id ORDER BY ts DESC, job_id DESC) AS rn FROM capture_job) q WHERE rn = 1"),
-    "a23_crop_requeue": Plan(("capture_job",), "Edited crops (here: the page's next attempt's crop): the manual flag is kept or set where the geometry changed; all statuses go to Pending.",
-        """WITH e AS (SELECT *, lead(left_crop_box) OVER (PARTITION BY batch_id, page_number ORDER BY ts, job_id) AS edited FROM capture_job)
-        SELECT job_id, edited AS left_crop_box, (qc_status = 'WARNING') OR (edited IS DISTINCT FROM left_crop_box) AS manual_crop, 'Pending' AS processing_status, 'Pending' AS qc_status, 'Pending' AS ocr_status, 'Pending' AS export_status FROM e"""),
+    "a23_crop_requeue": Plan(("capture_job", "crop_edit"), "Edited crops of jobs: the manual flag is kept, or set where the geometry changed; all four statuses go to Pending. Edits of unknown jobs do nothing.",
+        f"""SELECT j.job_id, e.left_crop_box, coalesce(j.manual_crop, false) OR (e.left_crop_box IS DISTINCT FROM j.left_crop_box) AS manual_crop, {", ".join(f"'Pending' AS {c}_status" for c in FOUR)} FROM capture_job j JOIN crop_edit e ON e.job_id = j.job_id"""),
     "a24_page_status": Plan(("capture_job",), "One label for a page; the first that fits.",
         "SELECT job_id, CASE WHEN processing_status = 'Failed' THEN 'Processing failed' WHEN ocr_status = 'Failed' THEN 'OCR failed' WHEN qc_status = 'FAIL' THEN 'QC fail' WHEN qc_status = 'WARNING' THEN 'Needs review' WHEN processing_status = 'Completed' THEN 'Processed' ELSE 'Processing' END AS label FROM capture_job"),
     "a25_severity": Plan(("capture_job",), "Severity of a status text or page label; the first rule that fits.",
@@ -121,9 +128,9 @@ PLANS = {
     "a28_qc_rollup": Plan(("capture_job",), "Verdicts of a batch: counts, the worst, and the mean sharpness setting.",
         """SELECT batch_id, sum(CASE WHEN qc_status = 'PASS' THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN qc_status = 'WARNING' THEN 1 ELSE 0 END) AS warned, sum(CASE WHEN qc_status = 'FAIL' THEN 1 ELSE 0 END) AS failed,
         CASE max(CASE qc_status WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'PASS' THEN 0 ELSE -1 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARNING' WHEN 0 THEN 'PASS' ELSE 'Pending' END AS worst, round(avg(sharpness), 6) AS mean_sharpness FROM capture_job GROUP BY batch_id"""),
-    "a29_validation_report": Plan(("validation",), "Overall verdict of each checked page by run, flagged if any part is, and what changed between the runs.",
+    "a29_validation_report": Plan(("validation",), "Overall verdict of each checked page by run, flagged if any part is, what changed between the runs, and the share of pages that pass in each run.",
         """WITH v AS (SELECT image, page, run, max(CASE WHEN 'FLAG' IN (top_status, bottom_status, left_status, right_status, gutter_status) THEN 1 ELSE 0 END) AS flag FROM validation GROUP BY image, page, run),
         p AS (SELECT image, page, flag FROM v WHERE run = 'previous'), c AS (SELECT image, page, flag FROM v WHERE run = 'current')
-        SELECT coalesce(p.image, c.image) AS image, coalesce(p.page, c.page) AS page, CASE p.flag WHEN 1 THEN 'FLAG' WHEN 0 THEN 'PASS' END AS previous, CASE c.flag WHEN 1 THEN 'FLAG' WHEN 0 THEN 'PASS' END AS current_run,
+        SELECT coalesce(p.image, c.image) AS image, coalesce(p.page, c.page) AS page, CASE p.flag WHEN 1 THEN 'FLAG' WHEN 0 THEN 'PASS' END AS previous, round(avg(1e0 - p.flag) OVER (), 9) AS previous_rate, round(avg(1e0 - c.flag) OVER (), 9) AS current_rate, CASE c.flag WHEN 1 THEN 'FLAG' WHEN 0 THEN 'PASS' END AS current_run,
         CASE WHEN p.flag IS NULL THEN 'new' WHEN c.flag IS NULL THEN 'gone' WHEN p.flag = c.flag THEN 'same' WHEN c.flag = 1 THEN 'worse' ELSE 'better' END AS change FROM p FULL OUTER JOIN c ON p.image = c.image AND p.page = c.page"""),
 }

@@ -40,12 +40,29 @@ CAPTURE_JOB = f"""SELECT {JOB_KEY} AS job_id,
        CASE l_suppkey % 3 WHEN 0 THEN 'TIFF' WHEN 1 THEN 'JPG' ELSE 'PNG' END AS capture_format,
        CAST((l_partkey % 21 - 10) * 45 AS INT) AS rotation_degrees,
        l_discount * 30 - 1.5 AS brightness, l_tax * 30 - 1.2 AS contrast, l_discount * 20 - 1.0 AS saturation,
-       l_tax * 20 AS sharpness, l_discount * 10 - 0.5 AS white_balance,
+       l_tax * 20 AS sharpness, l_discount * 10 - 0.5 AS white_balance, l_partkey % 3 = 0 AS flip_horizontal, l_partkey % 5 = 0 AS flip_vertical, l_partkey % 6 = 1 AS manual_crop,
        CASE l_partkey % 4 WHEN 0 THEN concat('10.0,10.0,', CAST(200 + l_partkey % 100 AS STRING), '.0,12.0,210.0,150.0,8.0,148.0')
                           WHEN 1 THEN concat('5,5,', CAST(100 + l_partkey % 900 AS STRING), ',120')
                           WHEN 2 THEN 'not,a,box' END AS left_crop_box
 FROM lineitem"""
 
+#: What operators ask for: adjustments of a whole batch (no job_id) or of some jobs, batches to resume, ordered lists of pages (one id unknown), edited crops, and where the text engine is installed.
+ADJUST_REQUEST = """SELECT b.batch_id, f.template_id, CAST(NULL AS STRING) AS job_id FROM (SELECT DISTINCT batch_id FROM capture_job WHERE batch_id % 3 = 0) b JOIN (SELECT batch_id, min(job_id) AS template_id FROM capture_job GROUP BY batch_id) f ON f.batch_id = b.batch_id
+UNION ALL SELECT j.batch_id, f.template_id, j.job_id FROM capture_job j JOIN (SELECT batch_id, min(job_id) AS template_id FROM capture_job GROUP BY batch_id) f ON f.batch_id = j.batch_id WHERE j.batch_id % 3 = 1 AND j.page_number <= 3"""
+BATCH_REQUEST = """SELECT batch_id AS request_id, project_id, CASE WHEN batch_id % 7 = 0 THEN concat('N', batch_code) ELSE batch_code END AS batch_code, split_book_pages, fixed_frames, dpi FROM batch WHERE batch_id % 2 = 0"""
+EXPORT_REQUEST = """SELECT batch_id, 100 - page_number AS position, job_id FROM capture_job WHERE batch_id % 5 = 0 AND page_number <> 2 UNION ALL SELECT batch_id, 0, concat('gone-', CAST(batch_id AS STRING)) FROM batch WHERE batch_id % 5 = 0"""
+CROP_EDIT = "SELECT job_id, edited AS left_crop_box FROM (SELECT job_id, lead(left_crop_box) OVER w AS edited, lead(job_id) OVER w AS next FROM capture_job WINDOW w AS (PARTITION BY batch_id, page_number ORDER BY ts, job_id)) e WHERE next IS NOT NULL"
+OCR_SITE = "SELECT batch_id, batch_id % 7 <> 0 AS engine FROM batch"
+#: Writes of output paths.
+OUTPUT_EVENT = "SELECT event_id, ts, user_id AS job_id, concat('/archive/', CAST(event_id AS STRING), '.tif', CASE WHEN event_id % 2 = 0 THEN concat(';/archive/', CAST(event_id AS STRING), '_2.tif') ELSE '' END) AS paths FROM events WHERE event_id % 3 = 0"
+
+#: Settings as stored or typed: curves and calibrations, some of them malformed, names that no file may have, and codes that a camera reports.
+CURVE_TEXT = """SELECT job_id, concat('top:0,', CAST(page_number AS STRING), ',500,12', CASE WHEN batch_id % 5 = 0 THEN ',7' WHEN batch_id % 7 = 0 THEN ',x,1' ELSE '' END, CASE WHEN batch_id % 11 = 0 THEN '' ELSE concat(';bottom:0,', CAST(batch_id % 900 AS STRING), ',500,880') END) AS txt FROM capture_job"""
+CALIBRATION_TEXT = """SELECT calibration_id, concat('3000,3010,', CAST(calibration_id AS STRING), ',900', CASE WHEN calibration_id % 4 = 0 THEN ',1' ELSE '' END, ';0.1,-0.2', CASE WHEN calibration_id % 10 = 1 THEN ',?' ELSE '' END, CASE WHEN calibration_id % 3 = 0 THEN '' WHEN calibration_id % 10 = 2 THEN ';4000,x' ELSE ';4000,3000' END) AS txt FROM calibration"""
+GIVEN_NAME = "SELECT c_custkey AS id, concat(CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END, CASE WHEN c_custkey % 3 = 0 THEN ':a/b?' ELSE '' END) AS name FROM customer"
+SETTING_CODE = "SELECT * FROM (VALUES ('iso', 1, 'ISO 100'), ('iso', 2, 'ISO 200'), ('iso', 3, 'ISO 400'), ('av', 1, 'f/4'), ('av', 2, 'f/5.6'), ('av', 4, 'f/8'), ('tv', 1, '1/60'), ('tv', 3, '1/125'), ('tv', 5, '1/250')) AS t(setting, code, name)"
+SETTING_READING = "SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'av' ELSE 'tv' END AS setting, l_linenumber AS code FROM lineitem"
+
 JOB_EVENT = """SELECT event_id, ts, user_id AS job_id,
        CASE WHEN event_type = 'signup' AND event_id % 17 = 0 THEN 'supersede'
             WHEN event_type IN ('view', 'purchase', 'error') THEN 'processing'
@@ -162,6 +179,8 @@ LINE_SAMPLE = "SELECT doc_id, line_num, left_px + width / CAST(2 AS DOUBLE) AS x
 #: name -> (SQL or SQL by dialect, tables it reads)
 VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "project": (PROJECT, ("nation",)), "calibration": (CALIBRATION, ("supplier",)), "batch": (BATCH, ("orders",)), "capture_job": (CAPTURE_JOB, ("lineitem",)),
+    "curve_text": (CURVE_TEXT, ("capture_job",)), "calibration_text": (CALIBRATION_TEXT, ("calibration",)), "given_name": (GIVEN_NAME, ("customer",)), "setting_code": (SETTING_CODE, ()), "setting_reading": (SETTING_READING, ("lineitem",)),
+    "adjust_request": (ADJUST_REQUEST, ("capture_job",)), "batch_request": (BATCH_REQUEST, ("batch",)), "export_request": (EXPORT_REQUEST, ("capture_job", "batch")), "crop_edit": (CROP_EDIT, ("capture_job",)), "ocr_site": (OCR_SITE, ("batch",)), "output_event": (OUTPUT_EVENT, ("events",)),
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
     "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "ocr_box": (OCR_BOX, ("ocr_word",)), "listing": (LISTING, ("lineitem",)),

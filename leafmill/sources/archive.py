@@ -15,11 +15,11 @@ from ..plans.plan import Plan
 LEDGER = {
     "project": "project_id int, name string, output_directory string",
     "batch": "batch_id long, project_id int, batch_code string, status string, start_time timestamp, split_book_pages boolean, dewarp_enabled boolean, binarize_enabled boolean, fixed_frames string, frame_ref_w int, frame_ref_h int, dpi int",
-    "capture_job": "job_id string, batch_id long, page_number int, ts timestamp, processing_status string, qc_status string, ocr_status string, export_status string, original_path string, processed_path string, capture_format string, rotation_degrees int, brightness double, contrast double, saturation double, sharpness double, white_balance double, left_crop_box string",
+    "capture_job": "job_id string, batch_id long, page_number int, ts timestamp, processing_status string, qc_status string, ocr_status string, export_status string, original_path string, processed_path string, capture_format string, rotation_degrees int, brightness double, contrast double, saturation double, sharpness double, white_balance double, flip_horizontal boolean, flip_vertical boolean, manual_crop boolean, left_crop_box string",
     "calibration": "calibration_id long, project_id int, calibrated_utc timestamp, target_w_in double, target_h_in double, pixel_w double, pixel_h double, reprojection_error_px double",
 }
 #: Values of columns that older ledgers lack; others are null.
-DEFAULTS = {"batch": {"status": "Active", "split_book_pages": False, "dewarp_enabled": False, "binarize_enabled": False, "frame_ref_w": 0, "frame_ref_h": 0, "dpi": 300}, "capture_job": {"processing_status": "Pending", "qc_status": "Pending", "ocr_status": "Pending", "export_status": "Pending", "capture_format": "TIFF", "rotation_degrees": 0, "brightness": 0.0, "contrast": 0.0, "saturation": 0.0, "sharpness": 0.0, "white_balance": 0.0}}
+DEFAULTS = {"batch": {"status": "Active", "split_book_pages": False, "dewarp_enabled": False, "binarize_enabled": False, "frame_ref_w": 0, "frame_ref_h": 0, "dpi": 300}, "capture_job": {"processing_status": "Pending", "qc_status": "Pending", "ocr_status": "Pending", "export_status": "Pending", "capture_format": "TIFF", "rotation_degrees": 0, "brightness": 0.0, "contrast": 0.0, "saturation": 0.0, "sharpness": 0.0, "white_balance": 0.0, "flip_horizontal": False, "flip_vertical": False, "manual_crop": False}}
 
 
 def read_ledger(spark: SparkSession, path: str) -> dict[str, DataFrame]:
