@@ -140,8 +140,9 @@ PLANS = {
     "d08_content_difference": Plan(("pixel",), "Mean absolute difference of the signatures of an image and the next.", f"WITH {SIZES}, {SIGNATURE_SPARK} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id", f"WITH {DIMS}, {SIGNATURE_CELLS} SELECT a.image_id, round(avg(abs(a.m - b.m)), 6) AS difference FROM cells a JOIN cells b ON b.image_id = a.image_id + 1 AND a.cy = b.cy AND a.cx = b.cx GROUP BY a.image_id"),
     "d09_gutter": on_pixels("Darkest column, smoothed by a 9 x 9 Gaussian, from 30 to 70 % of the width; how far it stands out from the columns there, 0 unless 5 % of the width lies on both sides of it; its fall.",
         f"WITH {GUTTER} SELECT image_id, gutter, round(confidence, 9) AS confidence, round(fall, 9) AS fall FROM gutter"),
-    "d10_split_decision": on_pixels("Whether a page is split, and where (percent): a gutter of confidence 0.08 and a fall of 20, else the middle. Reduced: takes no request.",
-        f"WITH {GUTTER}, d AS (SELECT image_id, confidence >= 0.08 AND fall >= 20 AS split, gutter * 100.0 / w AS place FROM gutter) SELECT image_id, split, CASE WHEN split THEN CAST(greatest(1, least(99, floor(place))) AS INT) ELSE 50 END AS percent FROM d"),
+    "d10_split_decision": on_pixels("Whether a page is split, and where (percent): if asked for, or by a gutter of confidence 0.08 and a fall of 20. At the percent asked for, if it is 1 to 99; else at a gutter of that confidence, else in the middle.",
+        f"""WITH {GUTTER}, d AS (SELECT g.image_id, coalesce(r.requested, false) AS requested, r.percent, confidence, confidence >= 0.08 AND fall >= 20 AS clear, gutter * 100.0 / w AS place FROM gutter g LEFT JOIN split_request r ON r.image_id = g.image_id)
+        SELECT image_id, requested OR clear AS split, CASE WHEN requested AND percent BETWEEN 1 AND 99 THEN percent WHEN (requested OR clear) AND confidence >= 0.08 THEN CAST(greatest(1, least(99, floor(place))) AS INT) ELSE 50 END AS percent FROM d""", "split_request"),
     "d11_otsu": on_pixels("Threshold of the largest variance between two classes.", f"WITH {HIST}, {OTSU} SELECT image_id, threshold FROM otsu"),
     "d12_region_measure": measured(("scanline", "image_frame"), ("pixel", "image_frame"), "Sharpness inside each frame of an image, each by itself, and its 24 x 24 content (here: a sum over its cells).",
         lambda scanline, image_frame: strips.region_measure(scanline, image_frame).select("image_id", "frame_no", F.round("sharpness", 6).alias("score"), F.aggregate(F.transform("signature", lambda v, i: (i + 1) * v), F.lit(0), lambda a, x: a + x).cast("long").alias("signature_sum")),
@@ -168,8 +169,11 @@ PLANS = {
     "d22_median3": measured(("scanline",), ("pixel",), "3 x 3 median; the border is replicated.", lambda scanline: strips.pixels(strips.median3(scanline), "v"), f"WITH {MEDIAN_DUCKDB} SELECT image_id, y, x, v FROM med"),
     "d23_sauvola": measured(("scanline",), ("pixel",), "Black and white by local thresholds.", lambda scanline: strips.pixels(strips.sauvola(scanline), "v"), f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, y, x, v FROM ink"),
     "d24_ink_coverage": measured(("scanline",), ("pixel",), "Share of ink.", lambda scanline: strips.ink_coverage(scanline).withColumn("ink", F.round("ink", 9)), f"WITH {MEDIAN_DUCKDB}, {SAUVOLA} SELECT image_id, round(avg(CASE WHEN v = 0 THEN 1e0 ELSE 0e0 END), 9) AS ink FROM ink GROUP BY image_id"),
-    "d25_sign_change_profile": on_pixels("Sign changes of the vertical gradient down each column, the outer tenth left out. Reduced: over the whole height, no validity rules.",
-        f"WITH {SOBEL_PASSES}, z AS (SELECT image_id, x, y, CASE WHEN gy > 0 THEN 1 ELSE -1 END AS s, max(y) OVER (PARTITION BY image_id) + 1 AS h FROM g), t AS (SELECT g.image_id, g.x, g.y, CASE WHEN g.gy > 0 THEN 1 ELSE -1 END AS s FROM g JOIN (SELECT DISTINCT image_id, h FROM z) k ON g.image_id = k.image_id WHERE g.gy <> 0 AND g.y >= greatest(3, 0.1 * h) AND g.y < h - greatest(3, 0.1 * h)), l AS (SELECT *, lag(s) OVER (PARTITION BY image_id, x ORDER BY y) AS p FROM t) SELECT image_id, x, sum(CASE WHEN p IS NOT NULL AND p <> s THEN 1 ELSE 0 END) AS changes FROM l GROUP BY image_id, x"),
+    "d25_sign_change_profile": on_pixels("Sign changes of the horizontal gradient down each column between the page's edges, the outer tenth (3 rows at least) left out; columns of over 20 rows count, if two samples have a sign.",
+        f"""WITH {SOBEL_PASSES}, z AS (SELECT image_id, max(y) + 1 AS h FROM pixel GROUP BY image_id), p AS (SELECT e.image_id, e.pos AS x, CAST(greatest(0, least(h - 1, bround(e.top))) AS INT) AS t, CAST(greatest(0, least(h, bround(e.bottom))) AS INT) AS b FROM edge_pair e JOIN z ON z.image_id = e.image_id),
+        q AS (SELECT *, CAST(greatest(3, floor((b - t) * 0.1e0)) AS INT) AS cut FROM p), v AS (SELECT g.image_id, g.x, g.y, CASE WHEN g.gx > 0 THEN 1 ELSE -1 END AS s FROM g JOIN q ON q.image_id = g.image_id AND q.x = g.x WHERE g.gx <> 0 AND q.b > q.t + 10 AND g.y >= q.t + q.cut AND g.y < q.b - q.cut),
+        l AS (SELECT *, lag(s) OVER (PARTITION BY image_id, x ORDER BY y) AS before FROM v), turned AS (SELECT image_id, x, sum(CASE WHEN before <> s THEN 1 ELSE 0 END) AS changes FROM l GROUP BY image_id, x HAVING count(*) >= 2)
+        SELECT q.image_id, q.x, CAST(coalesce(n.changes, 0) AS BIGINT) AS changes, n.changes IS NOT NULL AND q.b - q.t > 20 AS valid FROM q LEFT JOIN turned n ON n.image_id = q.image_id AND n.x = q.x""", "edge_pair"),
     "d26_band_argmax": on_pixels("In every third row the column, of 16 to 47, of the strongest horizontal gradient; the first on a tie.", f"WITH {SOBEL_PASSES}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, y ORDER BY abs(gx) DESC, x) AS rn FROM g WHERE y % 3 = 0 AND x BETWEEN 16 AND 47) SELECT image_id, y, x, abs(gx) AS strength FROM r WHERE rn = 1"),
     "d27_edge_points": on_pixels("Points of strong gradient, row by row, thinned evenly to 5000 at most.",
         f"WITH {SOBEL_PASSES}, m AS (SELECT image_id, y, x FROM g WHERE gx * gx + gy * gy > 90000), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY image_id) AS n FROM m) SELECT image_id, y, x FROM r WHERE k % CAST(ceil(n / 5000.0) AS INT) = 0"),

@@ -107,6 +107,8 @@ IMAGE_FRAME = {
 CALIBRATION_IMAGE = """SELECT CAST(o_custkey % 500 AS INT) AS set_id, o_orderkey AS image_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 3000 ELSE 4000 END AS width, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 3000 END AS height,
     (o_custkey % 500 % 20) / CAST(10 AS DOUBLE) AS error_px FROM orders"""
 MARKER = " UNION ALL ".join(f"SELECT l_orderkey AS image_id, CAST((l_partkey + {k} * l_linenumber) % 9 AS INT) AS marker_id FROM lineitem" for k in range(3))
+#: Pages that someone asked to split, some at a place of their own.
+SPLIT_REQUEST = "SELECT image_id, image_id % 3 = 0 AS requested, CASE WHEN image_id % 2 = 0 THEN CAST(20 * image_id - 10 AS INT) END AS percent FROM (SELECT DISTINCT image_id FROM scanline) i WHERE image_id <> 9"
 PROFILE = "SELECT image_id, x AS pos, avg(v) AS val FROM pixel GROUP BY image_id, x"
 
 SOBEL_PASSES = """n AS (SELECT image_id, y, x, v, 2 * v + coalesce(lag(v) OVER wx, lead(v) OVER wx) + coalesce(lead(v) OVER wx, lag(v) OVER wx) AS s,
@@ -182,7 +184,7 @@ VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "curve_text": (CURVE_TEXT, ("capture_job",)), "calibration_text": (CALIBRATION_TEXT, ("calibration",)), "given_name": (GIVEN_NAME, ("customer",)), "setting_code": (SETTING_CODE, ()), "setting_reading": (SETTING_READING, ("lineitem",)),
     "adjust_request": (ADJUST_REQUEST, ("capture_job",)), "batch_request": (BATCH_REQUEST, ("batch",)), "export_request": (EXPORT_REQUEST, ("capture_job", "batch")), "crop_edit": (CROP_EDIT, ("capture_job",)), "ocr_site": (OCR_SITE, ("batch",)), "output_event": (OUTPUT_EVENT, ("events",)),
     "job_event": (JOB_EVENT, ("events",)), "live_frame": (LIVE_FRAME, ("events",)), "scanline": (SCANLINE, ("embeddings",)), "pixel": (PIXEL, ("scanline",)),
-    "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
+    "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "split_request": (SPLIT_REQUEST, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "ocr_box": (OCR_BOX, ("ocr_word",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
     "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
