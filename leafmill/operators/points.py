@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.plan import Plan
 
@@ -55,47 +56,70 @@ def robust_lines(points: DataFrame, trials: int = 300, tolerance: float = 4.0) -
     return points.select("image_id", "x", "y").groupBy("image_id").applyInArrow(run, f"image_id {points.schema['image_id'].dataType.simpleString()}, inliers long, slope double, intercept double")
 
 
-def nearest_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distance of each point to the nearest one that stands elsewhere; infinite if all stand at one place.
+def nearest_distances(x: np.ndarray, y: np.ndarray, image: np.ndarray | None = None) -> np.ndarray:
+    """Distance of each point to the nearest of its image (one image, if none are given) that stands elsewhere; infinite if all stand at one place.
 
-    Points lie in the cells of a grid, about one in each. A point looks at the cells around it, ring by ring (the reach doubles), until its nearest is no farther than the rings it has seen.
+    Points lie in the cells of their image's grid, about one in each. A point looks at the cells around it, ring by ring (the reach doubles), until its nearest is no farther than the rings it has seen. All images are
+    searched at once.
     """
-    places, inverse = np.unique(np.stack([x, y], axis=1), axis=0, return_inverse=True)
-    n = len(places)
-    out = np.full(n, np.inf)
+    image = np.zeros(len(x)) if image is None else image
+    order = np.lexsort((y, x, image))
+    rows = np.stack([image[order].astype(np.float64), x[order], y[order]], axis=1)
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
+    place = np.cumsum(new) - 1
+    rows = rows[new]
+    n, out = len(rows), np.full(int(new.sum()), np.inf)
     if n > 1:
-        low, size = places.min(0), np.ptp(places, axis=0)
-        cell = max(float(np.sqrt(size[0] * size[1] / n)), float(size.max()) / n)
-        at = np.floor((places - low) / cell).astype(np.int64)
-        side = int(at[:, 1].max()) + 1
-        order = np.lexsort((at[:, 1], at[:, 0]))
-        key = at[order, 0] * side + at[order, 1]
-        left, reach = np.arange(n), 1
+        first = np.append(True, rows[1:, 0] != rows[:-1, 0])
+        start, group = np.flatnonzero(first), np.cumsum(first) - 1
+        many = np.diff(np.append(start, n))
+        low = np.minimum.reduceat(rows[:, 1:], start)
+        size = np.maximum.reduceat(rows[:, 1:], start) - low
+        cell = np.maximum(np.sqrt(size[:, 0] * size[:, 1] / many), size.max(1) / many)
+        cell = np.where(cell > 0, cell, 1.0)[group]
+        at = np.floor((rows[:, 1:] - low[group]) / cell[:, None]).astype(np.int64)
+        side = int(at.max()) + 2
+        by_key = np.argsort((group * side + at[:, 0]) * side + at[:, 1], kind="stable")
+        key = ((group * side + at[:, 0]) * side + at[:, 1])[by_key]
+        left, reach = np.flatnonzero(many[group] > 1), 1
         while len(left):
             for off in range(-reach, reach + 1):
                 column = at[left, 0] + off
-                first = np.searchsorted(key, column * side + np.maximum(at[left, 1] - reach, 0), side="left")
-                last = np.searchsorted(key, column * side + np.minimum(at[left, 1] + reach, side - 1), side="right")
-                held = np.where(column >= 0, np.maximum(last - first, 0), 0)
+                inside = (column >= 0) & (column < side)
+                base = (group[left] * side + column) * side
+                begin = np.searchsorted(key, base + np.maximum(at[left, 1] - reach, 0), side="left")
+                end = np.searchsorted(key, base + np.minimum(at[left, 1] + reach, side - 1), side="right")
+                held = np.where(inside, np.maximum(end - begin, 0), 0)
                 row = np.repeat(np.arange(len(left)), held)
-                other = order[np.repeat(first, held) + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)]
-                d = np.hypot(*(places[left[row]] - places[other]).T)
-                d[d == 0] = np.inf
+                other = by_key[np.repeat(begin, held) + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)]
+                d = np.hypot(rows[left[row], 1] - rows[other, 1], rows[left[row], 2] - rows[other, 2])
+                d[left[row] == other] = np.inf
                 np.minimum.at(out, left[row], d)
-            left = left[out[left] > reach * cell]
+            left = left[out[left] > reach * cell[left]]
             reach *= 2
-    return out[inverse.ravel()]
+    answer = np.empty(len(x))
+    answer[order] = out[place]
+    return answer
 
 
-def marker_spacing(points: DataFrame) -> DataFrame:
-    """image_id and spacing: the upper-middle one of the distances of `points` (image_id, x, y) to their nearest at another place; 0 if there are none."""
+def marker_spacing(points: DataFrame, together: int = 200_000) -> DataFrame:
+    """image_id and spacing: the upper-middle one of the distances of `points` (image_id, x, y) to their nearest at another place; 0 if there are none. Images are searched in groups of about `together` points."""
+    groups = max(1, -(-points.count() // together))
+    kind = points.schema["image_id"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        d = nearest_distances(*(np.asarray(t.column(c), np.float64) for c in ("x", "y")))
-        d = np.sort(d[np.isfinite(d)])
-        return pa.table({"image_id": t.column("image_id")[:1], "spacing": pa.array([float(d[len(d) // 2]) if len(d) else 0.0])})
-
-    return points.select("image_id", "x", "y").groupBy("image_id").applyInArrow(run, f"image_id {points.schema['image_id'].dataType.simpleString()}, spacing double")
+        ids = t.column("image_id").combine_chunks().dictionary_encode()
+        image = np.asarray(ids.indices)
+        d = nearest_distances(*(np.asarray(t.column(c), np.float64) for c in ("x", "y")), image)
+        order = np.lexsort((d, image))
+        found = np.isfinite(d)[order]
+        n = np.bincount(image[order], found, len(ids.dictionary)).astype(np.int64)
+        start = np.searchsorted(image[order], np.arange(len(n)))
+        middle = np.where(n > 0, d[order][np.minimum(start + n // 2, len(d) - 1)], 0.0)
+        return pa.table({"image_id": ids.dictionary, "spacing": pa.array(middle)})
+
+    dealt = points.where("image_id IS NOT NULL").select("image_id", "x", "y", F.pmod(F.xxhash64("image_id"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInArrow(run, f"image_id {kind}, spacing double")
 
 
 def calibration_audit(least_images: int = 3, least_markers: int = 6, most_error: float = 1.0) -> Plan:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.geometry import both
 from ..plans.plan import Plan
-from . import slopes
+from . import slopes, trace
 from .raster import OTSU
 
 ROLLED = "rolled AS (SELECT image_id, pos, val, avg(val) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS r, max(pos) OVER (PARTITION BY image_id) + 1 AS n FROM profile)"
 LEVELS = "levels AS (SELECT image_id, median(CASE WHEN pos >= 0.2 * n AND pos < 0.8 * n THEN val END) AS page, min(CASE WHEN pos < 20 THEN val END) AS near_min, min(CASE WHEN pos >= n - 20 THEN val END) AS far_min, max(n) AS n FROM rolled GROUP BY image_id)"
 
-#: Weak samples of an edge replaced by straight lines between the strong ones beside them.
+#: For DuckDB, weak samples of an edge replaced by straight lines between the strong ones beside them.
 BRIDGED = """lim AS (SELECT image_id, 0.4 * median(strength) AS weak FROM edge GROUP BY image_id), st AS (SELECT e.image_id, e.pos, e.row_val, e.strength, e.strength > l.weak AS good FROM edge e JOIN lim l ON e.image_id = l.image_id),
     nb AS (SELECT *, max(CASE WHEN good THEN pos END) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p0, min(CASE WHEN good THEN pos END) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p1 FROM st),
     bridged AS (SELECT n.image_id, n.pos, n.row_val, n.strength, CASE WHEN n.good THEN n.row_val WHEN a.pos IS NULL THEN coalesce(b.row_val, n.row_val) WHEN b.pos IS NULL THEN a.row_val ELSE a.row_val + (b.row_val - a.row_val) * (n.pos - a.pos) / CAST(b.pos - a.pos AS DOUBLE) END AS val
@@ -72,8 +74,9 @@ PLANS = {
         f"WITH {ROLLED}, {LEVELS}, t AS (SELECT *, least(near_min, far_min) + 0.6e0 * (page - least(near_min, far_min)) AS cut FROM levels) SELECT t.image_id, coalesce(min(CASE WHEN r > cut THEN pos END), 0) AS first_pos, coalesce(max(CASE WHEN r > cut THEN pos END), max(t.n) - 1) AS last_pos, round(max(t.cut), 6) AS cut FROM t JOIN rolled q ON q.image_id = t.image_id GROUP BY t.image_id"),
     "e03_row_transition": both(("profile",), "As e02, with the near end alone as background.",
         f"WITH {ROLLED}, {LEVELS}, t AS (SELECT *, near_min + 0.6e0 * (page - near_min) AS cut FROM levels) SELECT t.image_id, coalesce(min(CASE WHEN r > cut THEN pos END), 0) AS first_pos, round(max(t.cut), 6) AS cut FROM t JOIN rolled q ON q.image_id = t.image_id GROUP BY t.image_id"),
-    "e04_bridge_low_confidence": both(("edge",), "An edge whose weak samples are bridged.", f"WITH {BRIDGED} SELECT image_id, pos, round(val, 9) AS val FROM bridged"),
-    "e05_count_bridged": both(("edge",), "Samples that bridging moved by over 0.01.", f"WITH {BRIDGED} SELECT image_id, sum(CASE WHEN abs(val - row_val) > 0.01 THEN 1 ELSE 0 END) AS moved FROM bridged GROUP BY image_id"),
+    "e04_bridge_low_confidence": Plan(("edge",), "An edge whose weak samples are bridged.", run=lambda edge: trace.bridge_edges(edge).selectExpr("image_id", "pos", "round(val, 9) AS val"), duckdb=f"WITH {BRIDGED} SELECT image_id, pos, round(val, 9) AS val FROM bridged"),
+    "e05_count_bridged": Plan(("edge",), "Samples that bridging moved by over 0.01.", run=lambda edge: trace.bridge_edges(edge).groupBy("image_id").agg(F.count_if(F.abs(F.col("val") - F.col("row_val")) > 0.01).alias("moved")),
+        duckdb=f"WITH {BRIDGED} SELECT image_id, sum(CASE WHEN abs(val - row_val) > 0.01 THEN 1 ELSE 0 END) AS moved FROM bridged GROUP BY image_id"),
     "e06_savgol": both(("edge",), "Local quadratic fit over 151 samples, fewer at the ends; places count from the middle of each edge.",
         f"""WITH d AS (SELECT image_id, pos, (pos - (min(pos) OVER (PARTITION BY image_id) + max(pos) OVER (PARTITION BY image_id)) / 2e0) / 64 AS i, row_val AS v FROM edge), s AS (SELECT image_id, pos, i, v, count(*) OVER w AS s0, sum(i) OVER w AS s1, sum(i * i) OVER w AS s2, sum(i * i * i) OVER w AS s3, sum(i * i * i * i) OVER w AS s4, sum(v) OVER w AS t0, sum(i * v) OVER w AS t1, sum(i * i * v) OVER w AS t2 FROM d WINDOW w AS (PARTITION BY image_id ORDER BY i ROWS BETWEEN 75 PRECEDING AND 75 FOLLOWING)),
         c AS (SELECT image_id, pos, v, CAST(s0 AS DOUBLE) AS m0, s1 - i * s0 AS m1, s2 - 2 * i * s1 + i * i * s0 AS m2, s3 - 3 * i * s2 + 3 * i * i * s1 - i * i * i * s0 AS m3, s4 - 4 * i * s3 + 6 * i * i * s2 - 4 * i * i * i * s1 + i * i * i * i * s0 AS m4, t0 AS u0, t1 - i * t0 AS u1, t2 - 2 * i * t1 + i * i * t0 AS u2 FROM s)

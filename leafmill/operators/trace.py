@@ -68,8 +68,11 @@ def outline(image: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray]:
     return rows, strength[rows, np.arange(w)]
 
 
-def bridged(places: np.ndarray, strength: np.ndarray, share: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """Places with each run of weak ones (strength at most `share` of the median) put on the line between its neighbours, rounded; and which were weak. At an end a run copies its one neighbour."""
+def bridged(places: np.ndarray, strength: np.ndarray, share: float = 0.4, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places with each run of weak ones (strength at most `share` of the median) put on the line between its neighbours, rounded if `whole`; and which were weak.
+
+    At an end a run copies its one neighbour. If all are weak, the line runs from the last place to the first.
+    """
     weak = strength <= share * np.median(strength)
     out = places.copy()
     n = len(places)
@@ -77,7 +80,8 @@ def bridged(places: np.ndarray, strength: np.ndarray, share: float = 0.4) -> tup
     for a, b in edges.reshape(-1, 2):
         low = places[a - 1] if a else places[min(b, n - 1)]
         high = places[b] if b < n else places[max(a - 1, 0)]
-        out[a:b] = [round(low + (k + 1) / (b - a + 1) * (high - low)) for k in range(b - a)]
+        line = low + (np.arange(b - a) + 1) / (b - a + 1) * (high - low)
+        out[a:b] = np.rint(line) if whole else line
     return out, weak
 
 
@@ -139,6 +143,18 @@ def judged_sides(image: np.ndarray, rows: tuple[int, int, int, int], book: tuple
             sides[k] = side_walk(across, rows[2 * k], rows[2 * k + 1], book[k], max(1, int(wider)), gutter, wider >= limit)
 
 
+def bridge_edges(edge: DataFrame, share: float = 0.4) -> DataFrame:
+    """image_id, pos, row_val and val: rows of each edge (image_id, pos, row_val, strength) with weak samples bridged. See bridged()."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        rows = t.column("row_val").to_numpy().astype(np.float64)
+        return t.drop(["strength"]).append_column("val", pa.array(bridged(rows, t.column("strength").to_numpy().astype(np.float64), share, False)[0]))
+
+    kinds = ", ".join(f"{c} {edge.schema[c].dataType.simpleString()}" for c in ("image_id", "pos", "row_val"))
+    return edge.select("image_id", "pos", "row_val", "strength").groupBy("image_id").applyInArrow(run, f"{kinds}, val double")
+
+
 def trace_edge(scanlines: DataFrame) -> DataFrame:
     """Top and bottom edge of each image (image_id, y, gray): image_id, side, pos, row_val, strength. Images of under 3 rows or columns give no rows. See outline()."""
 

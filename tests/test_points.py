@@ -17,6 +17,9 @@ def test_nearest_distances(seed):
     d = np.hypot(x[:, None] - x, y[:, None] - y)
     d[d == 0] = np.inf
     assert np.allclose(points.nearest_distances(x, y), d.min(1), rtol=1e-12)
+    image = rng.integers(0, 9, n)
+    d[image[:, None] != image] = np.inf
+    assert np.allclose(points.nearest_distances(x, y, image), d.min(1), rtol=1e-12)
 
 
 def test_many_markers_in_linear_time():

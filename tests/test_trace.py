@@ -64,6 +64,8 @@ def test_transition_needs_a_sustained_rise():
 def test_bridges():
     x, strength = np.array([5, 5, 90, 91, 8, 8, 70]), np.array([9, 9, 1, 1, 9, 9, 1])
     out, weak = trace.bridged(x, strength)
+    assert trace.bridged(x.astype(float), strength, whole=False)[0].tolist() == [5, 5, 6, 7, 8, 8, 8]
+    assert trace.bridged(np.array([1.0, 5.0, 7.0]), np.zeros(3), whole=False)[0].tolist() == [5.5, 4.0, 2.5]  # all weak: from the last to the first
     assert out.tolist() == [5, 5, 6, 7, 8, 8, 8] and weak.tolist() == [False, False, True, True, False, False, True]
 
 
