@@ -476,3 +476,4 @@ def test_pipeline(spark):
             assert decontamination.find_leaks(out, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
         docs = out.cache()
     assert {r["shard"] for r in docs.select("shard").distinct().collect()} <= set(range(8))
+    assert Counter(map(tuple, p.run(spark, sf).collect())) == Counter(map(tuple, docs.collect()))
