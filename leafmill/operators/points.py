@@ -165,19 +165,19 @@ def mesh_gate(least_lines: int = 6, least_samples: int = 8, reach: int = 20, sha
     """
     steps, solution = _solved(4)
     powers = ", ".join([f"sum(power(t, {k})) AS m{k}" for k in range(7)] + [f"sum(power(t, {k}) * d) AS u{k}" for k in range(4)])
-    body = f"""WITH c AS (SELECT doc_id, line_num, floor(x) AS x, avg(y) AS y FROM line_sample GROUP BY doc_id, line_num, floor(x)),
+    # The largest value on whole columns lies at an end or beside a place where the cubic turns.
+    value = lambda x: f"abs(c0 + (({x}) - ax) / 1e2 * (c1 + (({x}) - ax) / 1e2 * (c2 + (({x}) - ax) / 1e2 * c3)))"
+    places = ["0e0", "last_x", *[f"greatest(0e0, least(last_x, {side}(ax + 1e2 * {t})))" for t in ("t1", "t2") for side in ("floor", "ceil")]]
+    body = f"""WITH c AS (SELECT doc_id, line_num, floor(x) AS x, avg(y) AS y, sum(y) AS sy, count(*) AS cy FROM line_sample GROUP BY doc_id, line_num, floor(x)),
         w AS (SELECT doc_id, line_num, x, avg(y) OVER (PARTITION BY doc_id, line_num ORDER BY x RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS y, count(*) OVER (PARTITION BY doc_id, line_num) AS n FROM c),
-        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k FROM w WHERE n >= {least_samples}), h AS (SELECT doc_id, line_num, max(CASE WHEN k = floor(n / 2e0) THEN y END) AS mid FROM o GROUP BY doc_id, line_num),
-        a AS (SELECT doc_id, avg(x) AS ax FROM o GROUP BY doc_id), p AS (SELECT o.doc_id, (o.x - a.ax) / 1e2 AS t, o.y - h.mid AS d FROM o JOIN h ON h.doc_id = o.doc_id AND h.line_num = o.line_num JOIN a ON a.doc_id = o.doc_id),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k FROM w WHERE n >= {least_samples}), h AS (SELECT *, max(CASE WHEN k = floor(n / 2e0) THEN y END) OVER (PARTITION BY doc_id, line_num) AS mid FROM o),
+        a AS (SELECT doc_id, avg(x) AS ax, count(DISTINCT line_num) AS lines FROM o GROUP BY doc_id), p AS (SELECT h.doc_id, (h.x - a.ax) / 1e2 AS t, h.y - h.mid AS d FROM h JOIN a ON a.doc_id = h.doc_id),
         sums AS (SELECT doc_id, {powers} FROM p GROUP BY doc_id), {steps}, coef AS (SELECT doc_id, {", ".join(f"{v} AS c{i}" for i, v in enumerate(solution))} FROM e3),
-        page AS (SELECT doc_id, max(x) AS last_x FROM c GROUP BY doc_id), tall AS (SELECT doc_id, max(ly) - min(ly) AS height FROM (SELECT doc_id, line_num, avg(y) AS ly FROM line_sample GROUP BY doc_id, line_num) l GROUP BY doc_id),
-        col AS (%s), b AS (SELECT col.doc_id, max(abs(c0 + c1 * t + c2 * t * t + c3 * t * t * t)) AS most FROM (SELECT col.doc_id, (col.x - a.ax) / 1e2 AS t FROM col JOIN a ON a.doc_id = col.doc_id) col JOIN coef ON coef.doc_id = col.doc_id GROUP BY col.doc_id),
-        g AS (SELECT page.doc_id, coalesce(u.n, 0) AS n, b.most, tall.height FROM page JOIN tall ON tall.doc_id = page.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id) u ON u.doc_id = page.doc_id LEFT JOIN b ON b.doc_id = page.doc_id)
+        page AS (SELECT doc_id, max(last_x) AS last_x, max(ly) - min(ly) AS height FROM (SELECT doc_id, line_num, max(x) AS last_x, sum(sy) / sum(cy) AS ly FROM c GROUP BY doc_id, line_num) l GROUP BY doc_id),
+        turn AS (SELECT page.doc_id, CAST(page.last_x AS DOUBLE) AS last_x, page.height, coalesce(a.lines, 0) AS n, a.ax, c0, c1, c2, c3, CASE WHEN c2 * c2 - 3 * c1 * c3 >= 0 THEN -(c2 + CASE WHEN c2 < 0 THEN -1 ELSE 1 END * sqrt(c2 * c2 - 3 * c1 * c3)) END AS q FROM page LEFT JOIN a ON a.doc_id = page.doc_id LEFT JOIN coef ON coef.doc_id = page.doc_id),
+        at_ AS (SELECT *, CASE WHEN c3 <> 0 THEN q / (3 * c3) END AS t1, CASE WHEN q <> 0 THEN c1 / q END AS t2 FROM turn), g AS (SELECT doc_id, n, height, CASE WHEN c0 IS NOT NULL THEN greatest({", ".join(map(value, places))}) END AS most FROM at_)
         SELECT doc_id, n, CASE WHEN n >= {least_lines} THEN round(most, 4) END AS most, coalesce(n >= {least_lines} AND most <= {share} * height, false) AS mesh FROM g"""
-    return Plan(
-        ("line_sample",), "Whether a page's lines allow a mesh: six lines of eight samples at least, and a common cubic bend within 6 % of the page's height.",
-        body % "SELECT doc_id, explode(sequence(0, CAST(last_x AS INT))) AS x FROM page", body % "SELECT doc_id, unnest(range(CAST(last_x AS BIGINT) + 1)) AS x FROM page",
-    )
+    return Plan(("line_sample",), "Whether a page's lines allow a mesh: six lines of eight samples at least, and a common cubic bend within 6 % of the page's height.", body)
 
 
 def _edge_points(edge: DataFrame) -> DataFrame:
