@@ -93,7 +93,10 @@ def read_scanlines(spark: SparkSession, path: str) -> DataFrame:
 
 
 PLANS = {
-    "s01_read_ledger": Plan(("batch", "project", "calibration"), "The ledger's tables joined by their keys.", "SELECT b.batch_id, b.batch_code, p.name, count(c.calibration_id) AS calibrations FROM batch b LEFT JOIN project p ON b.project_id = p.project_id LEFT JOIN calibration c ON c.project_id = b.project_id GROUP BY b.batch_id, b.batch_code, p.name"),
+    "s01_read_ledger": Plan(("batch", "project", "calibration"), "The ledger's tables joined by their keys.",
+        """WITH c AS (SELECT project_id, count(calibration_id) AS n FROM calibration GROUP BY project_id), p AS (SELECT project_id, name, count(*) AS n FROM project GROUP BY project_id, name)
+        SELECT b.batch_id, b.batch_code, p.name, sum(coalesce(c.n, 0) * coalesce(p.n, 1)) AS calibrations FROM batch b LEFT JOIN p ON b.project_id = p.project_id LEFT JOIN c ON c.project_id = b.project_id GROUP BY b.batch_id, b.batch_code, p.name""",
+        "SELECT b.batch_id, b.batch_code, p.name, count(c.calibration_id) AS calibrations FROM batch b LEFT JOIN project p ON b.project_id = p.project_id LEFT JOIN calibration c ON c.project_id = b.project_id GROUP BY b.batch_id, b.batch_code, p.name"),
     "s07_verify_export": Plan(("capture_job", "listing"), "Recorded outputs that are missing or empty.",
         "SELECT DISTINCT p.job_id, p.path FROM (SELECT job_id, explode(split(processed_path, ';')) AS path FROM capture_job) p LEFT JOIN listing l ON l.path = p.path AND l.length > 0 WHERE l.path IS NULL",
         "SELECT DISTINCT p.job_id, p.path FROM (SELECT job_id, unnest(string_split(processed_path, ';')) AS path FROM capture_job) p LEFT JOIN listing l ON l.path = p.path AND l.length > 0 WHERE l.path IS NULL"),
