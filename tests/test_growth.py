@@ -6,7 +6,6 @@ import duckdb
 import pytest
 
 from leafmill.plans import catalog
-from leafmill.plans.plan import oracle
 
 PLANS = catalog.plans()
 
@@ -30,6 +29,12 @@ def most_joined(df):
     return found
 
 
+def joins_on_ranges(df):
+    """Joins that compare by order: each row meets all rows of its keys."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [line for line in lines if "Join" in line and ("<" in line or ">" in line)]
+
+
 def same_as_sql(spark, name, tables):
     """Rows of the query and of its SQL over the same rows: name -> (rows, DDL); equal, or the test fails."""
     plan = PLANS[name]
@@ -61,3 +66,30 @@ def test_windows_of_long_images_are_those_of_the_sql(spark, name):
     scanline = ([(3, y, row) for y, row in enumerate(image)], "image_id int, y int, gray array<int>")
     pixel = ([(3, y, x, v) for y, row in enumerate(image) for x, v in enumerate(row)], "image_id int, y int, x int, v int")
     same_as_sql(spark, name, {"scanline": scanline, "pixel": pixel})
+
+
+DAY = datetime(2024, 1, 1)
+CALIBRATIONS = [(i, None if i % 50 == 0 else i % 2, None if i % 41 == 0 else DAY + timedelta(hours=i // 3 * 5), 8.5 if i % 3 else None, 11.0, 2000.0, None if i % 4 == 0 else 2600.0) for i in range(300)] + [(900, 1, DAY, 8.5, 11.0, 1.0, 1.0), (899, 1, DAY, None, 11.0, 1.0, 1.0)]
+BATCHES = [(i, None if i % 30 == 0 else i % 3, None if i % 29 == 0 else DAY + timedelta(minutes=i * 90 - 3000), "1,2,3,4" if i % 2 else None) for i in range(400)]
+CALIBRATION = "calibration_id long, project_id int, calibrated_utc timestamp, target_w_in double, target_h_in double, pixel_w double, pixel_h double"
+BATCH = "batch_id long, project_id int, start_time timestamp, fixed_frames string"
+
+
+def test_batches_do_not_meet_all_calibrations(spark):
+    df = same_as_sql(spark, "a14_calibration_at_start", {"batch": (BATCHES, BATCH), "calibration": (CALIBRATIONS, CALIBRATION)})
+    assert df.where("calibration_id IS NOT NULL").count() > 200
+    assert not joins_on_ranges(df)
+
+
+def test_jobs_do_not_meet_all_calibrations(spark):
+    jobs = [(f"j{i}", i % 410, "Completed" if i % 3 else "Failed", "/a" if i % 5 else None, "PASS") for i in range(500)]
+    df = same_as_sql(spark, "a26_worker_route", {"capture_job": (jobs, "job_id string, batch_id long, processing_status string, processed_path string, qc_status string"), "batch": (BATCHES, BATCH), "calibration": (CALIBRATIONS, CALIBRATION)})
+    assert not joins_on_ranges(df)
+
+
+def test_pages_of_a_validation_do_not_meet_in_one_task(spark):
+    rows = [(None if i % 40 == 0 else i // 2, i % 7, "current" if i % 3 else "previous", *["FLAG" if i * k % 11 == 0 else "OK" for k in (1, 2, 3, 4)], "NONE") for i in range(1, 600)]
+    names = "top_status string, bottom_status string, left_status string, right_status string, gutter_status string"
+    df = same_as_sql(spark, "a29_validation_report", {"validation": (rows, f"image long, page int, run string, {names}")})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
