@@ -93,3 +93,24 @@ def test_pages_of_a_validation_do_not_meet_in_one_task(spark):
     df = same_as_sql(spark, "a29_validation_report", {"validation": (rows, f"image long, page int, run string, {names}")})
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def exchanges(df):
+    """Shuffles of a query, those of its broadcast sides included."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_corners_move_once(spark):
+    crops = ["10,10,250,12,210,150,8,148", "5,5,300,120", "not,a,box", None, "1,1,1,1,1,1,1,1", "0,0,10,0,0,10,10,10", "3,4,-5,1,2,2,9,9"]
+    rows = [(f"j{i % 50}" if i % 50 else None, c) for i, c in zip(range(1, 50), crops * 9)]
+    df = same_as_sql(spark, "c02_order_corners", {"capture_job": (rows, "job_id string, left_crop_box string")})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan and exchanges(df) == 1
+
+
+def test_contours_move_once(spark):
+    edge = [(i, x, float((x * 7 + i * 5) % 45) if x % 9 else None) for i in (0, 1, 4, 77) for x in range(0, 64, 1 + i % 3)]
+    contour = [(f"c{i % 390}", i % 23, i * 7 % 600, i * 13 % 500) for i in range(400)] + [("odd", None, 3, 3), ("none", 4, None, 5)]
+    tables = {"contour": (contour, "contour_id string, image_id long, x int, y int"), "edge": (edge, "image_id int, pos int, row_val double")}
+    df = same_as_sql(spark, "e35_nearest_edge_point", tables)
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
