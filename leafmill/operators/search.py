@@ -71,9 +71,11 @@ class SearchIndex:
         return self.boxes.join(found, (F.col("id") == F.col("w_id")) & (F.lower("text") == F.col("word"))).select(*HIT)
 
 
-def build_index(words: DataFrame, parts: int = 16) -> SearchIndex:
-    """An index of the word boxes of `words` (level and HIT). Save it to search more than once. A part should hold some 100,000 words at most: `parts` grows with the vocabulary. Null and blank texts are left out."""
+def build_index(words: DataFrame, parts: int | None = None, part_words: int = 50_000) -> SearchIndex:
+    """An index of the word boxes of `words` (level and HIT). Save it to search more than once. Its `parts`, if not given, grow with the vocabulary (counted about, in one look at the boxes), so that each holds some `part_words` words; 16 at least. Null and blank texts are left out."""
     boxes = boxes_of(words).select(F.xxhash64(F.lower("text")).alias("id"), *HIT)
+    if parts is None:
+        parts = max(16, -(-boxes.agg(F.approx_count_distinct("id")).first()[0] // part_words))
     part = F.floor((F.shiftrightunsigned("id", 32) * parts) / F.lit(2**32)).cast("int")
     vocabulary = boxes.select(F.lower("text").alias("word"), "id").distinct().withColumn("part", part)
     gram = vocabulary.where(F.char_length("word") >= 3).select("part", "id", F.explode(grams_of(F.col("word"))).alias("gram"))

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from leafmill.operators import search
 from leafmill.plans import catalog
 
 PLANS = catalog.plans()
@@ -114,3 +115,10 @@ def test_contours_move_once(spark):
     tables = {"contour": (contour, "contour_id string, image_id long, x int, y int"), "edge": (edge, "image_id int, pos int, row_val double")}
     df = same_as_sql(spark, "e35_nearest_edge_point", tables)
     assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_an_index_grow_with_its_words(spark):
+    boxes = spark.range(3000).selectExpr("id AS doc_id", "5 AS level", "1 AS line_num", "1 AS word_num", "1 AS left_px", "1 AS top_px", "concat('tion', id) AS text")
+    index = search.build_index(boxes, part_words=20)
+    assert index.grams.selectExpr("max(size(ids))").first()[0] < 80
+    assert index.search("tion").count() == 3000
