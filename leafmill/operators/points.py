@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.plan import Plan
+from ..plans.plan import Plan, run_together
 
 
 def trial_pairs(n: int, trials: int) -> np.ndarray:
@@ -143,17 +143,18 @@ def calibration_audit(least_images: int = 3, least_markers: int = 6, most_error:
     )
 
 
-def _solved(n: int) -> tuple[str, list[str]]:
-    """Steps that solve n normal equations m0.. and u0.. in columns (nothing where a pivot is below 1e-9), and the names of the solution."""
+def _solved(n: int, leave_out: bool = True) -> tuple[str, list[str]]:
+    """Steps that solve n normal equations m0.. and u0.. in columns (nothing, or nulls unless `leave_out`, where a pivot is below 1e-9), and the names of the solution."""
     size = n + 1
     cells = [[f"m{i + j}" for j in range(n)] + [f"u{i}"] for i in range(n)]
     steps, last = [], "sums"
     for k in range(n):
-        make = [f"({cells[i][j]} - {cells[k][j]} * {cells[i][k]} / {cells[k][k]}) AS s{k}_{i}_{j}" for i in range(n) if i != k for j in range(size)]
-        steps.append(f"e{k} AS (SELECT *, {', '.join(make)} FROM {last} WHERE abs({cells[k][k]}) >= 1e-9)")
+        pivot = cells[k][k] if leave_out else f"CASE WHEN abs({cells[k][k]}) >= 1e-9 THEN {cells[k][k]} END"
+        make = [f"({cells[i][j]} - {cells[k][j]} * {cells[i][k]} / {pivot}) AS s{k}_{i}_{j}" for i in range(n) if i != k for j in range(size)]
+        steps.append(f"e{k} AS (SELECT *, {', '.join(make)} FROM {last}" + (f" WHERE abs({cells[k][k]}) >= 1e-9)" if leave_out else ")"))
         cells = [[cells[i][j] if i == k else f"s{k}_{i}_{j}" for j in range(size)] for i in range(n)]
         last = f"e{k}"
-    return ", ".join(steps), [f"{cells[i][n]} / {cells[i][i]}" for i in range(n)]
+    return ", ".join(steps), [f"{cells[i][n]} / {cells[i][i]}" if leave_out else f"{cells[i][n]} / nullif({cells[i][i]}, 0e0)" for i in range(n)]
 
 
 def mesh_gate(least_lines: int = 6, least_samples: int = 8, reach: int = 20, share: float = 0.06) -> Plan:
@@ -177,7 +178,17 @@ def mesh_gate(least_lines: int = 6, least_samples: int = 8, reach: int = 20, sha
         turn AS (SELECT page.doc_id, CAST(page.last_x AS DOUBLE) AS last_x, page.height, coalesce(a.lines, 0) AS n, a.ax, c0, c1, c2, c3, CASE WHEN c2 * c2 - 3 * c1 * c3 >= 0 THEN -(c2 + CASE WHEN c2 < 0 THEN -1 ELSE 1 END * sqrt(c2 * c2 - 3 * c1 * c3)) END AS q FROM page LEFT JOIN a ON a.doc_id = page.doc_id LEFT JOIN coef ON coef.doc_id = page.doc_id),
         at_ AS (SELECT *, CASE WHEN c3 <> 0 THEN q / (3 * c3) END AS t1, CASE WHEN q <> 0 THEN c1 / q END AS t2 FROM turn), g AS (SELECT doc_id, n, height, CASE WHEN c0 IS NOT NULL THEN greatest({", ".join(map(value, places))}) END AS most FROM at_)
         SELECT doc_id, n, CASE WHEN n >= {least_lines} THEN round(most, 4) END AS most, coalesce(n >= {least_lines} AND most <= {share} * height, false) AS mesh FROM g"""
-    return Plan(("line_sample",), "Whether a page's lines allow a mesh: six lines of eight samples at least, and a common cubic bend within 6 % of the page's height.", body)
+    # In Spark a page moves once and its sums are taken in one pass: lines that don't count are left out of sums, and pivots that are too small give nulls, where the SQL above leaves out rows and joins.
+    guarded, solution = _solved(4, leave_out=False)
+    counts = f"doc_id IS NOT NULL AND n >= {least_samples}"
+    once = f"""WITH c AS (SELECT doc_id, line_num, floor(x) AS x, avg(y) AS y, sum(y) AS sy, count(*) AS cy FROM line_sample GROUP BY doc_id, line_num, floor(x)),
+        w AS (SELECT doc_id, line_num, x, avg(y) OVER (PARTITION BY doc_id, line_num ORDER BY x RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS y, count(*) OVER (PARTITION BY doc_id, line_num) AS n, sum(sy) OVER (PARTITION BY doc_id, line_num) / sum(cy) OVER (PARTITION BY doc_id, line_num) AS ly FROM c),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k FROM w), h AS (SELECT *, max(CASE WHEN k = floor(n / 2e0) THEN y END) OVER (PARTITION BY doc_id, line_num) AS mid, avg(CASE WHEN {counts} THEN x END) OVER (PARTITION BY doc_id) AS ax FROM o),
+        p AS (SELECT doc_id, x, ly, ax, CASE WHEN {counts} AND k = 0 AND line_num IS NOT NULL THEN 1 ELSE 0 END AS line, CASE WHEN {counts} THEN (x - ax) / 1e2 END AS t, CASE WHEN {counts} THEN y - mid END AS d FROM h),
+        sums AS (SELECT doc_id, max(ax) AS ax, sum(line) AS n, CAST(max(x) AS DOUBLE) AS last_x, max(ly) - min(ly) AS height, {powers} FROM p GROUP BY doc_id), {guarded}, coef AS (SELECT doc_id, ax, n, last_x, height, {", ".join(f"{v} AS c{i}" for i, v in enumerate(solution))} FROM e3),
+        turn AS (SELECT *, CASE WHEN c2 * c2 - 3 * c1 * c3 >= 0 THEN -(c2 + CASE WHEN c2 < 0 THEN -1 ELSE 1 END * sqrt(c2 * c2 - 3 * c1 * c3)) END AS q FROM coef),
+        at_ AS{body.split("at_ AS")[1]}"""
+    return Plan(("line_sample",), "Whether a page's lines allow a mesh: six lines of eight samples at least, and a common cubic bend within 6 % of the page's height.", run=lambda line_sample: run_together(once, "doc_id", line_sample=line_sample), duckdb=body)
 
 
 def _edge_points(edge: DataFrame) -> DataFrame:

@@ -122,3 +122,25 @@ def test_parts_of_an_index_grow_with_its_words(spark):
     index = search.build_index(boxes, part_words=20)
     assert index.grams.selectExpr("max(size(ids))").first()[0] < 80
     assert index.search("tion").count() == 3000
+
+
+def moves(df):
+    """How often rows are dealt out by a key in a query."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        conf.set("spark.sql.adaptive.enabled", "true")
+
+
+# Pages of 2 to 9 lines of 3 to 20 samples, bent; some samples twice or in one column, and a page whose lines are all too short.
+SAMPLES = [(d, n, float(9 * i + d % 5 + 30 * (n % 2)) + 0.25 * (i % 3), 24.0 * n + 0.002 * d * (i - 8) ** 2 + i % 4) for d in range(60) for n in range(2 + d % 8) for i in range(3 if d == 7 else 3 + (5 * d + 7 * n) % 18 * (1 if d % 6 else 3))]
+SAMPLES += SAMPLES[::17] + [(d, n, x + 0.3, y + 1.5) for d, n, x, y in SAMPLES[::11]]
+
+
+@pytest.mark.parametrize("name", ["e27_mesh_gate"])
+def test_samples_of_a_page_move_once(spark, name):
+    df = same_as_sql(spark, name, {"line_sample": (SAMPLES, "doc_id long, line_num int, x double, y double")})
+    assert df.count() > 10
+    assert moves(df) == 1
