@@ -5,8 +5,8 @@ Each function gives the operator for its arguments; PLANS are those of the queri
 
 from __future__ import annotations
 
-from ..functions.geometry import both
-from ..plans.plan import Plan
+from ..functions.geometry import both, duck
+from ..plans.plan import Plan, run_together
 from .series import C2, DET
 
 #: Points within `band` of a segment, by their place t along it and distance d from it.
@@ -80,8 +80,7 @@ def page_curve(width: float = 800.0, spine: float | None = 0.0) -> Plan:
     powers = ", ".join(f"sum(w * power(t, {k})) AS m{k}" for k in range(1, 7))
     mixed = ", ".join(f"sum(w * power(t, {k}) * v) AS u{k}" for k in range(1, 4))
     at = lambda x: f"(k0 + k1 * (({x} - mid) / {half!r}) + k2 * power(({x} - mid) / {half!r}, 2) + k3 * power(({x} - mid) / {half!r}, 3))"
-    return both(("line_sample",), "Five points of a page's upper and lower curve, from the shape that its text lines share.",
-        f"""WITH r AS (SELECT doc_id, line_num, x, y, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY doc_id, line_num) AS n FROM line_sample),
+    sql = f"""WITH r AS (SELECT doc_id, line_num, x, y, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY doc_id, line_num) AS n FROM line_sample),
         l AS (SELECT doc_id, line_num, avg(x) AS mx, max(CASE WHEN k = floor(n / 2e0) THEN y END) AS my, max(x) - min(x) AS span FROM r WHERE n >= 8 GROUP BY doc_id, line_num),
         ok AS (SELECT doc_id FROM l GROUP BY doc_id HAVING count(*) >= 3 AND max(span) >= 0.35 * {width!r}),
         pool AS (SELECT r.doc_id, r.line_num, r.x, r.y - l.my AS v FROM r JOIN l ON r.doc_id = l.doc_id AND r.line_num = l.line_num JOIN ok ON ok.doc_id = r.doc_id),
@@ -94,7 +93,25 @@ def page_curve(width: float = 800.0, spine: float | None = 0.0) -> Plan:
         e AS (SELECT doc_id, mx, my, row_number() OVER (PARTITION BY doc_id ORDER BY line_num) AS up, row_number() OVER (PARTITION BY doc_id ORDER BY line_num DESC) AS down FROM l),
         a AS (SELECT g6.*, 'top' AS edge, mx, my FROM g6 JOIN e ON g6.doc_id = e.doc_id WHERE up = 1 UNION ALL SELECT g6.*, 'bottom', mx, my FROM g6 JOIN e ON g6.doc_id = e.doc_id WHERE down = 1),
         five AS (SELECT a.*, i, i / 4e0 * ({width!r} - 1) AS x FROM a, (VALUES (0), (1), (2), (3), (4)) pts(i))
-        SELECT doc_id, edge, i AS point, x, round(my + {at("x")} - {at("mx")}, 5) AS y FROM five""")
+        SELECT doc_id, edge, i AS point, x, round(my + {at("x")} - {at("mx")}, 5) AS y FROM five"""
+    # In Spark a page moves once and its sums are taken in one pass: what lines and pages have in common comes from windows, and the sample at the far edge is added to the sums.
+    near, far_t = ("0", "0e0") if far is None else (f"row_number() OVER (PARTITION BY doc_id ORDER BY abs(x - {far!r}), line_num, x, v)", f"({far!r} - mid) / {half!r}")
+    plus = lambda k: "" if far is None else f" + 8e0 * near_n * power({far_t}, {k})"
+    plus_v = lambda k: "" if far is None else f" + coalesce(8e0 * near_n * power({far_t}, {k}) * near_v, 0e0)"
+    sums = ", ".join([f"p{k}{plus(k)} AS m{k}" for k in range(7)] + [f"q{k}{plus_v(k)} AS u{k}" for k in range(4)])
+    mid = "sum(x) OVER p / count(x) OVER p" if far is None else f"(sum(x) OVER p + {far!r}) / (count(x) OVER p + 1)"
+    once = f"""WITH r AS (SELECT doc_id, line_num, x, y, row_number() OVER (PARTITION BY doc_id, line_num ORDER BY y, x) - 1 AS k, count(*) OVER (PARTITION BY doc_id, line_num) AS n FROM line_sample),
+        l AS (SELECT *, avg(x) OVER g AS mx, max(CASE WHEN k = floor(n / 2e0) THEN y END) OVER g AS my, max(x) OVER g - min(x) OVER g AS span FROM r WHERE n >= 8 WINDOW g AS (PARTITION BY doc_id, line_num)),
+        b AS (SELECT *, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER p AS lines, max(span) OVER p AS widest, min(line_num) OVER p AS first_line, max(line_num) OVER p AS last_line FROM l WINDOW p AS (PARTITION BY doc_id)),
+        pool AS (SELECT doc_id, line_num, x, y - my AS v, mx, my, first_line, last_line FROM b WHERE lines >= 3 AND widest >= 0.35 * {width!r} AND doc_id IS NOT NULL AND line_num IS NOT NULL),
+        t AS (SELECT *, {mid} AS mid, {near} AS near FROM pool WINDOW p AS (PARTITION BY doc_id)), z AS (SELECT *, (x - mid) / {half!r} AS t FROM t),
+        g AS (SELECT doc_id, max(mid) AS mid, CAST(count(*) AS DOUBLE) AS p0, {", ".join(f"sum(power(t, {k})) AS p{k}" for k in range(1, 7))}, sum(v) AS q0, {", ".join(f"sum(power(t, {k}) * v) AS q{k}" for k in range(1, 4))}, CAST(sum(CASE WHEN near <= 20 THEN 1 ELSE 0 END) AS DOUBLE) AS near_n, avg(CASE WHEN near <= 20 THEN v END) AS near_v,
+             max(CASE WHEN line_num = first_line THEN mx END) AS first_x, max(CASE WHEN line_num = first_line THEN my END) AS first_y, max(CASE WHEN line_num = last_line THEN mx END) AS last_x, max(CASE WHEN line_num = last_line THEN my END) AS last_y FROM z GROUP BY doc_id),
+        g0 AS (SELECT doc_id, mid, first_x, first_y, last_x, last_y, {sums} FROM g),
+        g1 AS{sql.split("g1 AS")[1].split("g6 AS")[0]}g6 AS (SELECT *, (u0 - m1 * k1 - m2 * k2 - m3 * k3) / m0 AS k0 FROM g5),
+        a AS (SELECT *, CASE WHEN edge = 'top' THEN first_x ELSE last_x END AS mx, CASE WHEN edge = 'top' THEN first_y ELSE last_y END AS my FROM g6, (VALUES ('top'), ('bottom')) edges(edge)),
+        five AS{sql.split("five AS")[1]}"""
+    return Plan(("line_sample",), "Five points of a page's upper and lower curve, from the shape that its text lines share.", run=lambda line_sample: run_together(once, "doc_id", line_sample=line_sample), duckdb=duck(sql))
 
 
 PLANS = {"e22_band_fit": band_fit(), "e23_fit_width_curve": fit_width_curve(), "e24_refine_quad": refine_quad(), "e25_page_curve": page_curve()}

@@ -139,8 +139,15 @@ SAMPLES = [(d, n, float(9 * i + d % 5 + 30 * (n % 2)) + 0.25 * (i % 3), 24.0 * n
 SAMPLES += SAMPLES[::17] + [(d, n, x + 0.3, y + 1.5) for d, n, x, y in SAMPLES[::11]]
 
 
-@pytest.mark.parametrize("name", ["e27_mesh_gate"])
+@pytest.mark.parametrize("name", ["e25_page_curve", "e27_mesh_gate"])
 def test_samples_of_a_page_move_once(spark, name):
     df = same_as_sql(spark, name, {"line_sample": (SAMPLES, "doc_id long, line_num int, x double, y double")})
     assert df.count() > 10
     assert moves(df) == 1
+
+
+def test_a_curve_without_a_spine_is_that_of_its_sql(spark, monkeypatch):
+    from leafmill.operators import fits
+
+    monkeypatch.setitem(PLANS, "curve", fits.page_curve(spine=None))
+    assert moves(same_as_sql(spark, "curve", {"line_sample": (SAMPLES, "doc_id long, line_num int, x double, y double")})) == 1
