@@ -151,3 +151,15 @@ def test_a_curve_without_a_spine_is_that_of_its_sql(spark, monkeypatch):
 
     monkeypatch.setitem(PLANS, "curve", fits.page_curve(spine=None))
     assert moves(same_as_sql(spark, "curve", {"line_sample": (SAMPLES, "doc_id long, line_num int, x double, y double")})) == 1
+
+
+@pytest.mark.parametrize("name", ["e18_margin_shear", "e19_rotation_field", "e20_deskew_decision"])
+def test_pages_pass_in_order_whatever_the_batches(spark, name):
+    rows = [(d, n, float(40 * i + (d % 9 - 4) * n * 0.7), 24.0 * n + i * 0.3 * (d % 4) + 0.05 * d * n * i % 7) for d in range(30) for n in range(6 + d % 8) for i in range(6 + (d + n) % 9)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = same_as_sql(spark, name, {"line_sample": (rows, "doc_id long, line_num int, x double, y double")})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert df.count() > 10
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().executedPlan().toString()
