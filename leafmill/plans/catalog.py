@@ -20,7 +20,7 @@ def plans() -> dict[str, Plan]:
 
 
 def _query(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: plan.apply(**{t: view(spark, sf_dir, t) for t in plan.inputs})
+    return lambda spark, sf_dir: plan.apply(**{t: view(spark, sf_dir, t, plan.dealt) for t in plan.inputs})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ import pytest
 
 from leafmill.operators import search
 from leafmill.plans import catalog
+from leafmill.plans.plan import deal
 
 PLANS = catalog.plans()
 
@@ -163,3 +164,17 @@ def test_pages_pass_in_order_whatever_the_batches(spark, name):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert df.count() > 10
     assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["t02_text_lines"])
+def test_words_of_a_page_do_not_move(spark, name):
+    df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert moves(df) == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # texts move, before they are taken apart
+
+
+def test_parts_of_pages_grow_with_their_number(spark):
+    pages = deal(spark.range(90), "id", rows=10)
+    assert pages.rdd.getNumPartitions() == 9 and pages.count() == 90
+    assert deal(spark.range(3), "id").rdd.getNumPartitions() == 4
