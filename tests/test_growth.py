@@ -166,7 +166,7 @@ def test_pages_pass_in_order_whatever_the_batches(spark, name):
     assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["t02_text_lines"])
+@pytest.mark.parametrize("name", ["t02_text_lines", "t03_page_text"])
 def test_words_of_a_page_do_not_move(spark, name):
     df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert moves(df) == 1
