@@ -178,3 +178,37 @@ def test_parts_of_pages_grow_with_their_number(spark):
     pages = deal(spark.range(90), "id", rows=10)
     assert pages.rdd.getNumPartitions() == 9 and pages.count() == 90
     assert deal(spark.range(3), "id").rdd.getNumPartitions() == 4
+
+
+JOB = "job_id string, batch_id long, page_number int, ts timestamp, processing_status string, export_status string, original_path string, processed_path string"
+# Jobs beside what they may resolve to: recorded outputs, here and elsewhere; derived images; folders named Processed, one in another; names without an ending or of another case.
+PATHS = [f"{d}{b}{s}{e}" for d in ("", "/a/", "/a/Processed/", "/a/Processed/Processed/", "/xProcessed/", "/x") for b in ("p1", "P2", "p3_1_left", "n.o") for s in ("", "_processed", "_frame07", "_2_right") for e in ("", ".", ".tif", ".JPG", ".txt")]
+JOBS = [(f"j{i}", i, 1, DAY, "Completed", "Pending", None if i % 50 == 49 else PATHS[i * 7 % len(PATHS)], [None, "", f"{PATHS[i % len(PATHS)]};/gone", "/gone", f";{PATHS[i % len(PATHS)]};{PATHS[(i * 11 + 5) % len(PATHS)]}"][i % 5]) for i in range(400)]
+
+
+def test_a_job_looks_once_for_what_derives_from_its_original(spark):
+    listing = [(p, 1) for i, p in enumerate(PATHS) if i % 3 and p]
+    df = same_as_sql(spark, "b11_resolve_outputs", {"capture_job": (JOBS, JOB), "listing": (listing, "path string, length long")})
+    assert {r["tier"] for r in df.collect()} == {1, 2, 3, 4}
+    few = spark.createDataFrame([(f"j{i}", i, 1, DAY, "Completed", "Pending", f"/a/q{i}.tif", f"/a/r{i}.tif") for i in range(50)], JOB)
+    files = spark.createDataFrame([(f"/a/{k}{i}.tif", 1) for i in range(50) for k in "qr"], "path string, length long")
+    assert most_generated(PLANS["b11_resolve_outputs"].apply(capture_job=few, listing=files)) <= 100
+
+
+def most_generated(df):
+    """Rows of the largest explode of a query."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = df.select("*")
+        again.collect()
+        plan = again._jdf.queryExecution().executedPlan()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", "true")
+    found, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "Generate" in node.nodeName():
+            found = max(found, node.metrics().get("numOutputRows").get().value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
