@@ -118,15 +118,25 @@ SOBEL_PASSES = """n AS (SELECT image_id, y, x, v, 2 * v + coalesce(lag(v) OVER w
                   2 * d + coalesce(lag(d) OVER wy, lead(d) OVER wy) + coalesce(lead(d) OVER wy, lag(d) OVER wy) AS gx
            FROM n WINDOW wy AS (PARTITION BY image_id, x ORDER BY y))"""
 
+#: Down the columns in Spark, with the sums along a row taken in its array: pixels move and are sorted once, by column, and the strongest row comes from a largest key of (strength, upper row first).
+_SOBEL_DOWN = """n AS (SELECT image_id, y, posexplode(transform(gray, (v, x) -> 2 * v + coalesce(get(gray, x - 1), get(gray, x + 1)) + coalesce(get(gray, x + 1), get(gray, x - 1)))) AS (x, s) FROM scanline),
+     g AS (SELECT image_id, y, x, coalesce(lead(s) OVER wy, lag(s) OVER wy) - coalesce(lag(s) OVER wy, lead(s) OVER wy) AS gy FROM n WINDOW wy AS (PARTITION BY image_id, x ORDER BY y))"""
+_KEY, _ROW = "CAST(coalesce(abs(gy), -1) AS BIGINT) * 4294967296 - y", "CAST(ceil({k} / 4294967296D) AS BIGINT) * 4294967296 - {k}"
+
 EDGE = f"""WITH {SOBEL_PASSES},
      r AS (SELECT *, row_number() OVER (PARTITION BY image_id, x ORDER BY abs(gy) DESC, y) AS rn FROM g)
 SELECT image_id, x AS pos, CAST(y AS DOUBLE) AS row_val, CAST(abs(gy) AS DOUBLE) AS strength FROM r WHERE rn = 1"""
 
 #: Strongest row of each column in the upper and in the lower half.
-EDGE_PAIR = f"""WITH {SOBEL_PASSES},
+EDGE_PAIR = {
+    "spark": f"""WITH {_SOBEL_DOWN}, z AS (SELECT image_id, max(y) + 1 AS h FROM scanline WHERE size(gray) > 0 GROUP BY image_id),
+     k AS (SELECT g.image_id, x, max(CASE WHEN 2 * y < h THEN {_KEY} END) AS upper, max(CASE WHEN NOT 2 * y < h THEN {_KEY} END) AS lower FROM g JOIN z ON g.image_id <=> z.image_id GROUP BY g.image_id, x)
+SELECT image_id, x AS pos, CAST({_ROW.format(k="upper")} AS DOUBLE) AS top, CAST({_ROW.format(k="lower")} AS DOUBLE) AS bottom FROM k WHERE upper IS NOT NULL AND lower IS NOT NULL""",
+    "duckdb": f"""WITH {SOBEL_PASSES},
      h AS (SELECT *, CASE WHEN 2 * y < max(y) OVER (PARTITION BY image_id) + 1 THEN 0 ELSE 1 END AS half FROM g),
      r AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, half ORDER BY abs(gy) DESC, y) AS rn FROM h)
-SELECT image_id, x AS pos, CAST(max(CASE WHEN half = 0 THEN y END) AS DOUBLE) AS top, CAST(max(CASE WHEN half = 1 THEN y END) AS DOUBLE) AS bottom FROM r WHERE rn = 1 GROUP BY image_id, x HAVING count(*) = 2"""
+SELECT image_id, x AS pos, CAST(max(CASE WHEN half = 0 THEN y END) AS DOUBLE) AS top, CAST(max(CASE WHEN half = 1 THEN y END) AS DOUBLE) AS bottom FROM r WHERE rn = 1 GROUP BY image_id, x HAVING count(*) = 2""",
+}
 
 #: Points of strong gradient, thinned evenly to 5000 an image.
 EDGE_POINT = f"""WITH {SOBEL_PASSES},
@@ -187,5 +197,5 @@ VIEWS: dict[str, tuple[str | dict[str, str], tuple[str, ...]]] = {
     "colour_line": (COLOUR_LINE, ("scanline",)), "colour_pixel": (COLOUR_PIXEL, ("colour_line",)), "tone_setting": (TONE_SETTING, ("lineitem",)), "bridge": (BRIDGE, ("scanline",)), "split_request": (SPLIT_REQUEST, ("scanline",)), "calibration_image": (CALIBRATION_IMAGE, ("orders",)), "marker": (MARKER, ("lineitem",)), "image_frame": (IMAGE_FRAME, ("scanline",)),
     "profile": (PROFILE, ("pixel",)), "edge": (EDGE, ("pixel",)), "ocr_word": (OCR_WORD, ("documents",)), "ocr_box": (OCR_BOX, ("ocr_word",)), "listing": (LISTING, ("lineitem",)),
     "validation": (VALIDATION, ("lineitem",)), "contour": (CONTOUR, ("lineitem",)), "line_sample": (LINE_SAMPLE, ("ocr_word",)),
-    "edge_pair": (EDGE_PAIR, ("pixel",)), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
+    "edge_pair": (EDGE_PAIR, ("scanline", "pixel")), "edge_point": (EDGE_POINT, ("pixel",)), "segment": (SEGMENT, ("edge_point",)),
 }

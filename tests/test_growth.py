@@ -7,7 +7,8 @@ import pytest
 
 from leafmill.operators import search
 from leafmill.plans import catalog
-from leafmill.plans.plan import deal
+from leafmill.plans.plan import deal, run_sql
+from leafmill.plans.views import VIEWS
 
 PLANS = catalog.plans()
 
@@ -212,3 +213,17 @@ def most_generated(df):
             found = max(found, node.metrics().get("numOutputRows").get().value())
         todo += [node.children().apply(i) for i in range(node.children().size())]
     return found
+
+
+def test_edges_of_halves_hold_no_image_in_one_task(spark):
+    # Rows of several lengths, without pixels, of one image alone, and of no image.
+    rows = [(i, y, [(y * y * 7 + x * 31 + (i or 3) * y * x) % 256 if (x + y) % 11 else None for x in range(6 + y * 5 % 4 * ((i or 0) % 2))]) for i in (0, 1, 2, None) for y in range(40 + 3 * (i or 0))]
+    rows += [(7, 0, [1, 2, 3]), (8, 0, [5, 5, 5]), (8, 1, [5, 5, 5]), (9, 0, []), (9, 1, None), (1, 90, []), (2, 99, None), (6, 0, [4]), (6, 1, [9]), (6, 2, [200]), (6, 3, [1])]
+    lines = spark.createDataFrame(rows, "image_id int, y int, gray array<int>")
+    sql = VIEWS["edge_pair"][0]
+    df = run_sql(spark, sql["spark"], {"scanline": lines})
+    pixels = lines.selectExpr("image_id", "y", "posexplode(gray) AS (x, v)").toArrow()  # noqa: F841
+    want = duckdb.connect().execute(f"WITH pixel AS (SELECT * FROM pixels) SELECT image_id, pos, top, bottom FROM ({sql['duckdb']}) e").fetchall()
+    assert len(want) > 20
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select("image_id", "pos", "top", "bottom").collect())
+    assert str(df._jdf.queryExecution().executedPlan()).count("Window ") == 1
