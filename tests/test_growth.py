@@ -227,3 +227,13 @@ def test_edges_of_halves_hold_no_image_in_one_task(spark):
     assert len(want) > 20
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in df.select("image_id", "pos", "top", "bottom").collect())
     assert str(df._jdf.queryExecution().executedPlan()).count("Window ") == 1
+
+
+def test_requests_of_a_job_do_not_meet_jobs_twice(spark):
+    jobs = [(f"j{i}" if i % 37 else None, i % 12, *(i % 7 for _ in range(8)), *(f"s{i}" for _ in range(4))) for i in range(1, 200)]
+    asked = [(i % 14 if i % 9 else None, f"j{i * 5 % 220}" if i % 11 else None, f"j{i * 3 % 230}" if i % 3 else None) for i in range(120)]
+    ddl = "job_id string, batch_id long, rotation_degrees int, flip_horizontal int, flip_vertical int, brightness int, contrast int, saturation int, sharpness int, white_balance int, processing_status string, qc_status string, ocr_status string, export_status string"
+    df = same_as_sql(spark, "a11_bulk_adjust", {"capture_job": (jobs, ddl), "adjust_request": (asked, "batch_id long, template_id string, job_id string")})
+    assert df.where("changed").count() > 20
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3
