@@ -237,3 +237,11 @@ def test_requests_of_a_job_do_not_meet_jobs_twice(spark):
     assert df.where("changed").count() > 20
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 3
+
+
+def test_pages_with_boxes_meet_texts_once(spark):
+    words = [(d if d else None, 5 if w % 7 else 4, w, w, 8 * (w % 3), 9, " " if w % 5 == 0 else f"w{w}") for d in range(0, 40, 2) for w in range(d % 9)]
+    pages = [(d if d else None, [f"a\r\nb{d}", " ", None, "one"][d % 4 if d % 3 else 3]) for d in range(45)]
+    df = same_as_sql(spark, "t01_text_layer", {"ocr_box": (words, "doc_id long, level int, left_px int, top_px int, width int, height int, text string"), "documents": (pages, "doc_id long, text string")})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti") :]
