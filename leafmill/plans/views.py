@@ -163,7 +163,8 @@ OCR_WORD = {
 #: Boxes of a text layer: every tenth page was not read into boxes.
 OCR_BOX = "SELECT * FROM ocr_word WHERE doc_id % 10 <> 0"
 
-LISTING = """WITH b AS (SELECT l_partkey, l_suppkey, concat('/archive/B', CAST(l_orderkey AS STRING), '/') AS dir,
+LISTING = {
+    "duckdb": """WITH b AS (SELECT l_partkey, l_suppkey, concat('/archive/B', CAST(l_orderkey AS STRING), '/') AS dir,
                   concat('B', CAST(l_orderkey AS STRING), '_', lpad(CAST(l_linenumber AS STRING), 6, '0'), CASE WHEN l_returnflag = 'R' THEN '_R' ELSE '' END) AS base
            FROM lineitem),
      f AS (SELECT concat(dir, base, '.jpg') AS path, l_partkey FROM b WHERE l_suppkey % 13 <> 0
@@ -171,7 +172,17 @@ LISTING = """WITH b AS (SELECT l_partkey, l_suppkey, concat('/archive/B', CAST(l
            UNION ALL SELECT concat(dir, 'p', CAST(l_partkey AS STRING), '_2_right.tif'), l_partkey FROM b WHERE l_partkey % 10 = 4
            UNION ALL SELECT concat(dir, base, '_processed.tif'), l_partkey FROM b WHERE l_partkey % 10 = 7
            UNION ALL SELECT concat(dir, 'Processed/', base, '.tif'), l_partkey FROM b WHERE l_partkey % 10 = 8)
-SELECT path, CAST(min(CASE WHEN l_partkey % 50 = 8 THEN 0 ELSE 1000 + l_partkey END) AS BIGINT) AS length FROM f GROUP BY path"""
+SELECT path, CAST(min(CASE WHEN l_partkey % 50 = 8 THEN 0 ELSE 1000 + l_partkey END) AS BIGINT) AS length FROM f GROUP BY path""",
+    # The same, but files are told apart by folder and name before their paths are made: short keys, and each path is made once. concat_ws leaves out nulls as DuckDB's concat does.
+    "spark": """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, concat_ws('', lpad(CAST(l_linenumber AS STRING), 6, '0'), CASE WHEN l_returnflag = 'R' THEN '_R' END) AS page FROM lineitem),
+     f AS (SELECT l_orderkey, 0 AS kind, page AS name, l_partkey FROM b WHERE l_suppkey % 13 <> 0
+           UNION ALL SELECT l_orderkey, CAST(l_partkey % 10 AS INT), CASE WHEN l_partkey % 10 = 4 THEN CAST(l_partkey AS STRING) ELSE page END, l_partkey FROM b WHERE l_partkey % 10 IN (4, 7, 8)),
+     g AS (SELECT l_orderkey, kind, name, CAST(min(CASE WHEN l_partkey % 50 = 8 THEN 0 ELSE 1000 + l_partkey END) AS BIGINT) AS length FROM f GROUP BY l_orderkey, kind, name),
+     d AS (SELECT kind, name, length, CAST(l_orderkey AS STRING) AS code FROM g)
+SELECT explode(CASE kind WHEN 4 THEN array(concat_ws('', '/archive/B', code, '/p', name, '_1_left.tif'), concat_ws('', '/archive/B', code, '/p', name, '_2_right.tif'))
+    WHEN 7 THEN array(concat_ws('', '/archive/B', code, '/B', code, '_', name, '_processed.tif')) WHEN 8 THEN array(concat_ws('', '/archive/B', code, '/Processed/B', code, '_', name, '.tif'))
+    ELSE array(concat_ws('', '/archive/B', code, '/B', code, '_', name, '.jpg')) END) AS path, length FROM d""",
+}
 
 VALIDATION = """SELECT l_orderkey AS image, l_linenumber AS page, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS image_id,
        CASE WHEN l_linestatus = 'F' THEN 'current' ELSE 'previous' END AS run,

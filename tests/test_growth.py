@@ -245,3 +245,31 @@ def test_pages_with_boxes_meet_texts_once(spark):
     df = same_as_sql(spark, "t01_text_layer", {"ocr_box": (words, "doc_id long, level int, left_px int, top_px int, width int, height int, text string"), "documents": (pages, "doc_id long, text string")})
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("LeftAnti") :]
+
+
+def test_what_derives_from_originals_is_that_of_the_sql(spark):
+    # Originals twice, without a path or an ending, of another case; files that answer to two names, that are listed twice, or have no path.
+    listing = [(p, 1) for i, p in enumerate(PATHS) if i % 3] + [(p, 2) for p in PATHS[::7]] + [(None, 1), (".tif", 1), ("_processed.tif", 1)]
+    jobs = [*JOBS, *[(f"k{i}", i, 1, DAY, "Completed", "Pending", p, None) for i, p in enumerate(["", ".jpg", "/a/", "/A/P1.tif", None, *PATHS[::5]])]]
+    df = same_as_sql(spark, "b10_is_derivative", {"capture_job": (jobs, JOB), "listing": (listing, "path string, length long")})
+    assert df.count() > 100
+
+
+def test_paths_are_not_made_anew_to_see_that_they_are_there(spark):
+    plan = catalog.queries()["b10_is_derivative"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Filter" in line]
+    assert tests and not [line for line in tests if "concat" in line or "substring" in line]
+
+
+def test_files_are_told_apart_by_short_keys(spark):
+    rows = [(None if i % 97 == 0 else i % 40, i % 90, i % 26, None if i % 89 == 0 else (i % 3) * 1234567 - 5 * (i % 7 == 0), [None, "R", "N"][i % 3]) for i in range(3000)]
+    lineitem = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string")
+    sql = VIEWS["listing"][0]
+    con = duckdb.connect()
+    arrow = lineitem.toArrow()  # noqa: F841
+    con.execute("CREATE TABLE lineitem AS SELECT * FROM arrow")
+    df = run_sql(spark, sql["spark"], {"lineitem": lineitem})
+    assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql["duckdb"]).fetchall())
+    assert df.schema.simpleString() == "struct<path:string,length:bigint>"
+    keys = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert len(keys) == 1 and "l_orderkey" in keys[0].split("]")[0]  # not by whole paths
